@@ -11,7 +11,8 @@ RADIUS = 6_371_010.0
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b, c, d = map(F.radians, (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # a null stays null, which least() would pass over
+    return 2 * RADIUS * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

@@ -31,7 +31,11 @@ def register(name: str, check: Callable[[Feed], DataFrame], sql: str, flex: bool
 
 
 def register_table(name: str, table: Callable[[Feed], DataFrame], sql: str, flex: bool = False) -> None:
-    QUERIES[name] = lambda spark, sf_dir: table(feed_of(spark, sf_dir, flex=flex)).drop("feed_id")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = table(feed_of(spark, sf_dir, flex=flex)).drop("feed_id")
+        return found.withColumns({c: F.col(c).cast("string") for c, kind in found.dtypes if kind == "date"})
+
+    QUERIES[name] = run
     SQL[name] = with_feed(sql, flex)
 
 
@@ -190,7 +194,7 @@ _ACTIVE = f"{_DATES}, active AS (SELECT service_id, date FROM weekly UNION SELEC
 _RUNS = f"""{_DATES}, lastx AS (SELECT service_id, date, arg_max(exception_type, _row_number) AS k FROM calendar_dates GROUP BY 1, 2),
  served AS (SELECT service_id, date FROM weekly WHERE (service_id, date) NOT IN (SELECT service_id, date FROM lastx) UNION ALL SELECT service_id, date FROM lastx WHERE k = 1),
  runs AS (SELECT service_id, min(date) AS f, max(date) AS l FROM (SELECT *, date - CAST(row_number() OVER (PARTITION BY service_id ORDER BY date) AS INTEGER) AS g FROM served) q GROUP BY service_id, g)"""
-register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, arg_min(feed_lang, _row_number) AS feed_lang, arg_min(feed_start_date, _row_number) AS feed_start_date, arg_min(feed_end_date, _row_number) AS feed_end_date, (SELECT min(f) FROM runs) AS service_start, (SELECT max(l) FROM runs) AS service_end FROM feed_info")
+register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, arg_min(feed_lang, _row_number) AS feed_lang, CAST(arg_min(feed_start_date, _row_number) AS VARCHAR) AS feed_start_date, CAST(arg_min(feed_end_date, _row_number) AS VARCHAR) AS feed_end_date, CAST((SELECT min(f) FROM runs) AS VARCHAR) AS service_start, CAST((SELECT max(l) FROM runs) AS VARCHAR) AS service_end FROM feed_info")
 
 
 def feature_sql() -> str:
@@ -203,7 +207,9 @@ register_table("g3_feature_flags", aggregates.feature_flags, feature_sql())
 register_table("g4_deviated_routes", aggregates.deviated_routes, "SELECT count(*) AS n_trips FROM (SELECT trip_id FROM stop_times GROUP BY 1 HAVING count(location_id) > 0 AND count(stop_id) > 0 AND count(arrival_time) > 0 AND count(departure_time) > 0) q HAVING count(*) > 0", True)
 register("g5_block_route_types", aggregates.block_route_types, "WITH u AS (SELECT block_id, t.route_id, route_type, min(t._row_number) AS n FROM trips t JOIN routes r ON r.route_id = t.route_id WHERE block_id IS NOT NULL GROUP BY 1, 2, 3), y AS (SELECT block_id, route_type, min(n) AS n FROM u GROUP BY 1, 2) " + sel("inconsistent_route_type_for_block_id", "trips", "NULL", blockId="block_id", routeIds="a", routeTypes="b") + " FROM (SELECT block_id, string_agg(CAST(route_type AS VARCHAR), ',' ORDER BY n) AS b FROM y GROUP BY 1 HAVING count(*) > 1) p JOIN (SELECT block_id, string_agg(route_id, ',' ORDER BY n) AS a FROM u GROUP BY 1) q USING (block_id)")
 register("g6_single_points", aggregates.single_points, sel("single_shape_point", "shapes", "min(_row_number)", shapeId="shape_id") + " FROM shapes GROUP BY shape_id HAVING count(*) = 1")
-register("g7_lone_flex_stop", lambda f: aggregates.lone_flex_stop(Feed(f.spark, {"stop_times": f["stop_times"].withColumn("trip_id", F.concat("trip_id", F.lit("-"), F.expr("floor(_row_number / 3)")))})), sel("missing_stop_times_record", "stop_times", "min(_row_number)", tripId="t") + " FROM (SELECT *, trip_id || '-' || CAST(floor(_row_number / 3) AS BIGINT) AS t FROM stop_times) q GROUP BY t HAVING count(*) = 1 AND bool_and(coalesce(start_pickup_drop_off_window IS NOT NULL AND end_pickup_drop_off_window IS NOT NULL AND pickup_type = 2 AND drop_off_type = 2, false))", True)
+#: Trips of a few rows each, all on request.
+_ON_REQUEST = {"trip_id": "concat(trip_id, '-', floor(_row_number / 3))", "pickup_type": "2", "drop_off_type": "2"}
+register("g7_lone_flex_stop", lambda f: aggregates.lone_flex_stop(Feed(f.spark, {"stop_times": f["stop_times"].withColumns({k: F.expr(v) for k, v in _ON_REQUEST.items()})})), sel("missing_stop_times_record", "stop_times", "min(_row_number)", tripId="t") + " FROM (SELECT *, trip_id || '-' || CAST(floor(_row_number / 3) AS BIGINT) AS t FROM stop_times) q GROUP BY t HAVING count(*) = 1 AND bool_and(start_pickup_drop_off_window IS NOT NULL AND end_pickup_drop_off_window IS NOT NULL)", True)
 register("g8_shape_distance_gaps", aggregates.shape_distance_gaps, sel("trip_with_shape_dist_traveled_but_no_shape_distances", "trips", "t._row_number", tripId="t.trip_id", shapeId="shape_id", stopTimeRow="n") + " FROM trips t JOIN (SELECT trip_id, arg_min(_row_number, coalesce(stop_sequence, 0) * 1000000000000 + _row_number) AS n FROM stop_times WHERE shape_dist_traveled IS NOT NULL GROUP BY 1) s USING (trip_id) WHERE shape_id IN (SELECT shape_id FROM shapes WHERE shape_dist_traveled IS NULL)")
 register("g9_notices_by_severity", lambda f: severity_totals(keys.foreign_key_violation(f).unionByName(joins.usage(f))).select(F.lit("").alias("feed_id"), F.coalesce("code", F.lit("all")).alias("code"), "severity", F.lit("").alias("filename"), F.col("n_notices").alias("row_number"), F.create_map(F.lit("severity"), F.coalesce("severity", F.lit("all"))).alias("context")), f"SELECT coalesce(code, 'all') AS code, '' AS filename, count(*) AS row_number, 'severity=' || coalesce(severity, 'all') AS context FROM (SELECT code, CASE code WHEN 'foreign_key_violation' THEN 'ERROR' WHEN 'unused_station' THEN 'INFO' ELSE 'WARNING' END AS severity FROM ({FOREIGN_SQL} UNION ALL {SQL['f1_usage'][SQL['f1_usage'].index('SELECT ' + chr(39) + 'unused_trip'):]}) q) z GROUP BY ROLLUP (severity, code)")
 register_table("g10_compare_reports", lambda f: compare(keys.foreign_key_violation(f), keys.foreign_key_violation(Feed(f.spark, f.tables | {"stops": f.tables["stops"].where("stop_id <> 'P5'")}))), f"WITH a AS ({FOREIGN_SQL}), b AS ({FOREIGN_SQL.replace('FROM stops)', 'FROM stops WHERE stop_id <> ' + chr(39) + 'P5' + chr(39) + ')').replace('FROM stops c WHERE', 'FROM stops c WHERE stop_id <> ' + chr(39) + 'P5' + chr(39) + ' AND')}) SELECT 'foreign_key_violation' AS code, (SELECT count(*) FROM a) AS n_before, (SELECT count(*) FROM b) AS n_after, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x) AS only_before, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) x) AS only_after")
@@ -263,8 +269,8 @@ register("h10_fast_far", sequences.fast_far, f"""WITH {_MEASURED}, hp AS (SELECT
 # ---- I: calendars
 
 _D = f"DATE '{TODAY}'"
-register_table("i1_active_dates", calendars.active_dates, f"WITH {_ACTIVE} SELECT service_id, date FROM active")
-register_table("i2_service_runs", calendars.service_runs, f"WITH {_RUNS} SELECT service_id, f AS first, l AS last FROM runs")
+register_table("i1_active_dates", calendars.active_dates, f"WITH {_ACTIVE} SELECT service_id, CAST(date AS VARCHAR) AS date FROM active")
+register_table("i2_service_runs", calendars.service_runs, f"WITH {_RUNS} SELECT service_id, CAST(f AS VARCHAR) AS first, CAST(l AS VARCHAR) AS last FROM runs")
 register("i3_service_windows", lambda f: calendars.service_windows(f, datetime.date(1995, 6, 1)), f"WITH {_RUNS} " + all_of(
     sel("big_gap_in_service", "calendar", "c._row_number", serviceId="service_id", gapStart="l", gapEnd="n") + " FROM calendar c JOIN (SELECT *, lead(f) OVER (PARTITION BY service_id ORDER BY f) AS n FROM runs) r USING (service_id) WHERE n - l - 1 > 13",
     sel("service_extends_far_in_the_future", "calendar", "c._row_number", serviceId="service_id", lastDate="m") + " FROM calendar c JOIN (SELECT service_id, max(l) AS m FROM runs GROUP BY 1) r USING (service_id) WHERE m > DATE '1995-06-01' + 730",
@@ -281,7 +287,7 @@ register("e16_feed_dates", lambda f: calendars.feed_dates(f, TODAY), all_of(
     sel("future_feed", "feed_info", feedStartDate="feed_start_date") + f" FROM feed_info WHERE feed_start_date > {_D}",
 ))
 _COUNTS = f"{_ACTIVE}, tr AS (SELECT t.service_id, coalesce(n, 1) AS n FROM trips t LEFT JOIN (SELECT trip_id, sum(1 + (end_time - start_time - 1) // headway_secs) AS n FROM frequencies GROUP BY 1) q USING (trip_id)), per AS (SELECT date, CAST(sum(n) AS BIGINT) AS n_trips FROM active JOIN tr USING (service_id) GROUP BY 1)"
-register_table("i6_trips_per_date", calendars.trips_per_date, f"WITH {_COUNTS} SELECT date, n_trips FROM per")
+register_table("i6_trips_per_date", calendars.trips_per_date, f"WITH {_COUNTS} SELECT CAST(date AS VARCHAR) AS date, n_trips FROM per")
 register("i7_majority_coverage", lambda f: calendars.majority_coverage(f, datetime.date(1997, 12, 30)), f"WITH {_COUNTS}, k AS (SELECT *, row_number() OVER (ORDER BY n_trips, date) - 1 AS i, count(*) OVER () AS c FROM per), least_ AS (SELECT floor(n_trips * 0.75) AS m FROM k WHERE i = greatest(CAST(floor(c * 0.9) AS BIGINT), c - 30)), win AS (SELECT min(date) AS f, max(date) AS l FROM per, least_ WHERE n_trips >= m) " + sel("trip_coverage_not_active_for_next7_days", "trips", "NULL", currentDate="DATE '1997-12-30'", serviceStart="f", serviceEnd="l") + " FROM win WHERE f > DATE '1997-12-30' OR l - DATE '1997-12-30' < 7")
 register("i8_block_overlap", calendars.block_overlap, f"""WITH {_ACTIVE}, o AS (SELECT *, row_number() OVER ({_BY}) AS i, count(*) OVER (PARTITION BY trip_id) AS n FROM stop_times),
  sp AS (SELECT t.block_id, t.trip_id, t.service_id, t._row_number, a.arrival_time AS a0, a.departure_time AS d0, b.arrival_time AS a1, b.departure_time AS d1 FROM trips t JOIN o a ON a.trip_id = t.trip_id AND a.i = 1 JOIN o b ON b.trip_id = t.trip_id AND b.i = b.n WHERE block_id IS NOT NULL AND a.arrival_time IS NOT NULL AND a.departure_time IS NOT NULL AND b.arrival_time IS NOT NULL AND b.departure_time IS NOT NULL),
@@ -316,11 +322,15 @@ register("k2_pathway_unreachable_location", graph.pathway_unreachable_location,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import registry_files
+
+    return QUERIES | registry_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import registry_files
+
+    return SQL | registry_files.SQL
 
 
 

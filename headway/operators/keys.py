@@ -15,7 +15,7 @@ from ..schema import REFERENCES, TABLES, Reference
 
 def clock(seconds: Column) -> Column:
     part = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
-    return F.concat_ws(":", part(seconds / 3600), part(seconds / 60 % 60), part(seconds % 60))
+    return F.concat(part(seconds / 3600), F.lit(":"), part(seconds / 60 % 60), F.lit(":"), part(seconds % 60))
 
 
 def shown(table: str, column: str) -> Column:

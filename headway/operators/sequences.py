@@ -84,7 +84,7 @@ def shape_distance(feed: Feed) -> DataFrame:
         .when(same, "equal_shape_distance_same_coordinates").when(F.col("m") >= CLOSE_M, "equal_shape_distance_diff_coordinates")
         .when(F.col("m") > 0, "equal_shape_distance_diff_coordinates_distance_below_threshold")
     )
-    found = rows.withColumn("code", code).where("code is not null")
+    found = rows.where("shape_dist_traveled is not null and p.shape_dist_traveled is not null").withColumn("code", code).where("code is not null")
     severity = {"equal_shape_distance_same_coordinates": "WARNING", "equal_shape_distance_diff_coordinates_distance_below_threshold": "WARNING"}
     out = []
     for level in ("ERROR", "WARNING"):

@@ -54,9 +54,11 @@ def unpack_archives(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(lines, LINES)
 
 
-def read_lines(spark: SparkSession, glob: str) -> DataFrame:
+def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int = -1) -> DataFrame:
     """Lines of plain files `.../<feed_id>/<filename>` with physical numbers.
 
+    feed_at and file_at are the places of the two names in the path, counted from its end.
+
     Large files are read in splits. Lines of a split follow each other in one task; the splits'
     line counts, a row for each split, give the number at which each begins.
     """
@@ -65,7 +67,7 @@ def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     numbered = raw.join(splits.withColumn("before", before).drop("n"), ["path", "at"])
     parts = F.split(F.url_decode("path"), "/")
-    return numbered.select(F.element_at(parts, -2).alias("feed_id"), F.element_at(parts, -1).alias("filename"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
+    return numbered.select(F.element_at(parts, feed_at).alias("feed_id"), F.element_at(parts, file_at).alias("filename"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
 
 
 def join_quoted(lines: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def file_presence(listing: DataFrame) -> DataFrame:
     lacking = F.array(*(F.when(~has(f), F.lit(f)) for f in required), F.when(~has("stops.txt") & ~has("locations.geojson"), F.lit("stops.txt")), F.when(~has("feed_info.txt") & has("translations.txt"), F.lit("feed_info.txt")))
     missing = names.select("feed_id", F.explode(F.filter(lacking, lambda x: x.isNotNull())).alias("file"))
     hinted = names.where(~has("feed_info.txt") & ~has("translations.txt"))
-    n = lambda df, code, severity, file: notices(df.withColumn("_f", file), code, severity, "", None, filename="_f").withColumn("filename", F.col("context")["filename"])
+    n = lambda df, code, severity, file: notices(df.withColumn("_f", file), code, severity, "", None, file="_f").withColumn("filename", F.col("context")["file"])
     return union([
         n(missing, "missing_required_file", "ERROR", F.col("file")), n(hinted, "missing_recommended_file", "WARNING", F.lit("feed_info.txt")),
         n(top.where(~F.col("filename").isin(list(known))), "unknown_file", "INFO", F.col("filename")), n(top.where((F.col("size") == 0) & F.col("filename").isin(list(known))), "empty_file", "ERROR", F.col("filename")),
