@@ -30,7 +30,7 @@ def fraction_digits(currency: Column) -> Column:
 
 def java_trim(c: Column) -> Column:
     """Without leading and trailing characters up to U+0020."""
-    return F.regexp_replace(c, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+    return F.btrim(c, F.lit("".join(map(chr, range(0x21)))))
 
 
 def to_date(c: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..feed import Feed
-from ..notices import context_of
 from ..schema import TABLES
 
 
@@ -140,12 +139,15 @@ def row_notices(feed: Feed, rules: list[RowRule] | None = None) -> DataFrame | N
         own = applicable(feed, table, rules) if table in feed else []
         if not own:
             continue
-        hits = [
-            F.when(spark_sql(r.when), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), context_of({k: spark_sql(v) for k, v in r.pairs()}).alias("context")))
-            for r in own
-        ]
-        found = feed[table].select("feed_id", "_row_number", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("hit"))
-        parts.append(found.select("feed_id", "hit.code", "hit.severity", F.lit(TABLES[table].file).alias("filename"), F.col("_row_number").cast("long").alias("row_number"), "hit.context"))
+        def pairs(r: RowRule) -> Column:
+            each = [F.struct(F.lit(k).alias("key"), spark_sql(v).cast("string").alias("value")) for k, v in r.pairs()]
+            return F.array(*each) if each else F.array().cast("array<struct<key:string,value:string>>")
+
+        hits = [F.when(spark_sql(r.when), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), pairs(r).alias("pairs"))) for r in own]
+        # exploded as they are and filtered then, so that conditions are compiled; lambdas see hits only
+        found = feed[table].select("feed_id", "_row_number", F.explode(F.array(*hits)).alias("hit")).where("hit is not null")
+        context = F.map_from_entries(F.filter("hit.pairs", lambda p: p["value"].isNotNull()))
+        parts.append(found.select("feed_id", "hit.code", "hit.severity", F.lit(TABLES[table].file).alias("filename"), F.col("_row_number").cast("long").alias("row_number"), context.alias("context")))
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p)

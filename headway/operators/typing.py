@@ -6,6 +6,8 @@ problems. Rows with an error leave the typed table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,27 @@ PARSERS = {
 }
 
 
-def problem(when: Column, code: str, severity: str, name: str, value: Column) -> Column:
-    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(name).alias("field"), value.cast("string").alias("value")))
+@dataclass(frozen=True)
+class Problem:
+    when: Column
+    code: str
+    severity: str
+    field: str
+    value: Column
+
+    def cell(self) -> Column:
+        return F.when(self.when, F.struct(F.lit(self.code).alias("code"), F.lit(self.severity).alias("severity"), F.lit(self.field).alias("field"), self.value.cast("string").alias("value")))
+
+
+problem = Problem
+
+
+def any_error(found: list[Problem]) -> Column:
+    out = F.lit(False)
+    for p in found:
+        if p.severity == "ERROR":
+            out = out | F.coalesce(p.when, F.lit(False))
+    return out
 
 
 def typed(f: Field, text: Column) -> Column:
@@ -31,7 +52,7 @@ def typed(f: Field, text: Column) -> Column:
     return value
 
 
-def field_problems(f: Field, raw: Column, text: Column, value: Column) -> list[Column]:
+def field_problems(f: Field, raw: Column, text: Column, value: Column) -> list[Problem]:
     """raw: the cell as read; text: trimmed, null where empty; value: typed."""
     out = []
     if f.presence in ("required", "recommended"):
@@ -66,8 +87,7 @@ def type_table(raw: DataFrame, table: Table, declared: list[str] | None = None)
     rows = rows.select("*", *(F.nullif(cells.java_trim(F.col(f.name)), F.lit("")).alias(f"_t_{f.name}") for f in table.fields))
     rows = rows.select("*", *(typed(f, F.col(f"_t_{f.name}")).cast(SPARK_TYPES.get(f.type, "string")).alias(f"_v_{f.name}") for f in table.fields))
     found = [p for f in table.fields for p in field_problems(f, F.col(f.name), F.col(f"_t_{f.name}"), F.col(f"_v_{f.name}"))]
-    rows = rows.withColumn("_found", F.filter(F.array(*found), lambda p: p.isNotNull()))
-    rows = rows.withColumn("_error", F.exists("_found", lambda p: p["severity"] == "ERROR"))
+    rows = rows.withColumn("_error", any_error(found))
     late = []
     for f in table.fields:
         if f.mixed_case:
@@ -81,13 +101,12 @@ def type_table(raw: DataFrame, table: Table, declared: list[str] | None = None)
             amount = F.col(f"_v_{f.name}")
             digits = F.when(amount.contains("."), F.length(F.substring_index(amount, ".", -1))).otherwise(0)
             late.append(problem(digits != cells.fraction_digits(F.col(f"_v_{f.currency}")), "invalid_currency_amount", "ERROR", f.name, amount))
-    listed = F.concat("_found", F.filter(F.array(*late), lambda p: p.isNotNull())) if late else F.col("_found")
-    rows = rows.withColumn("_all", listed).withColumn("_bad", F.exists("_all", lambda p: p["severity"] == "ERROR"))
-    each = rows.select("feed_id", "_row_number", F.explode("_all").alias("p"))
+    # exploded as they are and filtered then: lambdas over the array would not be compiled
+    each = rows.select("feed_id", "_row_number", F.explode(F.array(*(p.cell() for p in found + late))).alias("p")).where("p is not null")
     messages = each.select(
         "feed_id", "p.code", "p.severity", F.lit(table.file).alias("filename"), F.col("_row_number").cast("long").alias("row_number"), context_of({"fieldName": F.col("p.field"), "fieldValue": F.col("p.value")}).alias("context")
     )
-    values = rows.where(~F.col("_bad")).select("feed_id", "_row_number", *(F.col(f"_v_{f.name}").alias(f.name) for f in table.fields))
+    values = rows.where(~(F.col("_error") | any_error(late))).select("feed_id", "_row_number", *(F.col(f"_v_{f.name}").alias(f.name) for f in table.fields))
     return values, messages
 
 
