@@ -55,8 +55,11 @@ class Projected(dict):
             found = self[name] = found()
         return found
 
+    def items(self):
+        return [(name, self[name]) for name in self]
+
     def __or__(self, more: dict) -> Projected:
-        return Projected({**dict(self), **more})
+        return Projected({**{name: super(Projected, self).__getitem__(name) for name in self}, **more})
 
 
 def feed_of(spark: SparkSession, sf_dir: str, *names: str, feed_id: str = "feed", flex: bool = False) -> Feed:

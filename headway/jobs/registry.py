@@ -280,7 +280,7 @@ register("i4_feed_windows", lambda f: calendars.feed_windows(f, datetime.date(19
     sel("service_window_outside_feed_period", "calendar", "NULL", serviceId="service_id", daysBefore="greatest(a - f, 0)", daysAfter="greatest(l - b, 0)") + " FROM sp, per WHERE f < a OR l > b",
     sel("feed_valid_beyond_total_service_window", "feed_info", "NULL", serviceStart="f", serviceEnd="l") + " FROM tot, per WHERE f - a > 14 OR b - l > 14",
 ))
-register("i5_expired_calendar", lambda f: calendars.expired_calendar(f, datetime.date(1997, 12, 30)), f"WITH {_ACTIVE} " + sel("expired_calendar", "calendar", "c._row_number", serviceId="service_id", lastDate="m") + f" FROM calendar c JOIN (SELECT service_id, max(date) AS m FROM active GROUP BY 1) a USING (service_id) WHERE m < DATE '1997-12-30'")
+register("i5_expired_calendar", lambda f: calendars.expired_calendar(f, datetime.date(2001, 7, 1)), f"WITH {_ACTIVE} " + sel("expired_calendar", "calendar", "c._row_number", serviceId="service_id", lastDate="m") + f" FROM calendar c JOIN (SELECT service_id, max(date) AS m FROM active GROUP BY 1) a USING (service_id) WHERE m < DATE '2001-07-01'")
 register("e16_feed_dates", lambda f: calendars.feed_dates(f, TODAY), all_of(
     sel("feed_expiration_date7_days", "feed_info", feedEndDate="feed_end_date") + f" FROM feed_info WHERE feed_end_date < {_D} + 7",
     sel("feed_expiration_date30_days", "feed_info", feedEndDate="feed_end_date") + f" FROM feed_info WHERE feed_end_date < {_D} + 30 AND feed_end_date >= {_D} + 7",

@@ -101,37 +101,35 @@ def ring_problem(kind: str, coordinates: str | None) -> str | None:
     return None
 
 
+def spans(polygon: list[np.ndarray], y: float) -> np.ndarray:
+    """The stretches (from, to) of the level y that lie inside a polygon."""
+    xs = []
+    for r in polygon:
+        (x1, y1), (x2, y2) = r[:-1].T, r[1:].T
+        cut = (y1 > y) != (y2 > y)
+        xs += ((x2 - x1)[cut] * (y - y1[cut]) / (y2 - y1)[cut] + x1[cut]).tolist()
+    return np.array(sorted(xs)).reshape(-1, 2)
+
+
 def overlap(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> bool:
-    """Whether the insides of two geometries meet."""
+    """Whether the insides of two geometries meet.
+
+    They do if edges cross. Without crossings it is enough to look at levels between corners.
+    """
     for p in a:
         for q in b:
             if (p[0].max(axis=0) <= q[0].min(axis=0)).any() or (q[0].max(axis=0) <= p[0].min(axis=0)).any():
                 continue
             if any(crossings(r, s).any() for r in p for s in q):
                 return True
-            for x, y in ((p, q), (q, p)):
-                probe = inner_point(x)
-                if inside(probe, y[0])[0] and not any(inside(probe, h)[0] for h in y[1:]):
+            levels = np.unique(np.concatenate([r[:, 1] for r in p + q]))
+            for y in (levels[:-1] + levels[1:]) / 2:
+                u, v = spans(p, y), spans(q, y)
+                if (np.minimum(u[:, None, 1], v[None, :, 1]) - np.maximum(u[:, None, 0], v[None, :, 0]) > 1e-12).any():
                     return True
     return False
 
 
-def inner_point(polygon: list[np.ndarray]) -> np.ndarray:
-    """A point within a polygon and outside its holes: on a level between two corners."""
-    shell = polygon[0]
-    levels = np.unique(np.concatenate([r[:, 1] for r in polygon]))
-    for y in (levels[:-1] + levels[1:]) / 2:
-        xs = []
-        for r in polygon:
-            (x1, y1), (x2, y2) = r[:-1].T, r[1:].T
-            cut = (y1 > y) != (y2 > y)
-            xs += ((x2 - x1)[cut] * (y - y1[cut]) / (y2 - y1)[cut] + x1[cut]).tolist()
-        xs.sort()
-        if len(xs) > 1 and xs[1] > xs[0]:
-            return np.array([[(xs[0] + xs[1]) / 2, y]])
-    return shell[:1]
-
-
 def zone_rings(feed: Feed) -> DataFrame:
     """Zones with an invalid geometry, and what is wrong with it."""
     @F.pandas_udf("string")

@@ -211,7 +211,7 @@ def test_overlaps():
     import numpy as np
 
     box = lambda x, y, n: [[np.array([[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]], float)]]
-    assert zones.overlap(box(0, 0, 2), box(1, 1, 2)) and zones.overlap(box(0, 0, 4), box(1, 1, 1)) and zones.overlap(box(0, 0, 2), box(0, 0, 2))
+    assert zones.overlap(box(0, 0, 2), box(1, 0, 2)) and zones.overlap(box(0, 0, 2), box(1, 1, 2)) and zones.overlap(box(0, 0, 4), box(1, 1, 1)) and zones.overlap(box(0, 0, 2), box(0, 0, 2))
     assert not zones.overlap(box(0, 0, 1), box(1, 0, 1)) and not zones.overlap(box(0, 0, 1), box(5, 5, 1))
 
 
