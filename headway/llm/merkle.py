@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 SECTION = 8
 CELL = 64
-#: Ids of a bucket: a bucket's rows are ordered in one task.
-BUCKET = 64
-BUCKETS = 1024
+#: A bucket has 2**6 ids, and its rows are ordered in one task; 2**10 buckets are ordered in one.
+BUCKET_BITS, RANGE_BITS = 6, 10
 
 
 def sha(c: Column) -> Column:
@@ -68,9 +67,9 @@ def differing(a: Column, b: Column) -> Column:
 def next_bucket(buckets: DataFrame) -> DataFrame:
     """(b) -> (b, after): the next lower value, after the lowest the highest.
 
-    Values are ordered within ranges of BUCKETS, and the ranges among themselves.
+    Values are ordered within ranges, and the ranges among themselves.
     """
-    ranged = buckets.select("b", F.floor(F.col("b") / BUCKETS).alias("r"))
+    ranged = buckets.select("b", F.shiftright("b", RANGE_BITS).alias("r"))
     inner = ranged.withColumn("after", F.lead("b").over(W.partitionBy("r").orderBy(F.desc("b"))))
     tops = ranged.groupBy("r").agg(F.max("b").alias("top"))
     order = W.orderBy(F.desc("r"))
@@ -81,18 +80,18 @@ def next_bucket(buckets: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id, text, next_text): the next document's text in descending id, after the last the first.
 
-    Ids are ordered in buckets of BUCKET values, so no task orders more; only the lowest row of a
+    Ids are ordered in buckets, so no task orders more than a bucket has; only the lowest row of a
     bucket needs the highest of the next bucket. Repeated ids follow each other by a hash of the
     text. Rows with a null id stand apart, and their next text is empty; so is a null text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("id is not null").select("id", "text", F.floor(F.col("id") / BUCKET).alias("b"))
+    known = rows.where("id is not null").select("id", "text", F.shiftright("id", BUCKET_BITS).alias("b")).where("b is not null")
     order = W.partitionBy("b").orderBy(F.desc("id"), F.xxhash64("text"))
     ranked = known.select(
         "id", "text", "b", F.lead("text").over(order).alias("next_text"),
         F.lead("b").over(order).isNull().alias("last"), F.lag("b").over(order).isNull().alias("first"),
     )
-    # The three uses of ranked read one shuffle of the texts.
+    # The three uses of ranked read one shuffle of the texts, as all have the filters of `known`.
     inner = ranked.where("not last").select("id", "text", "next_text")
     heads = ranked.where("first").select(F.col("b").alias("after"), F.col("text").alias("next_text"))
     follow = next_bucket(known.select("b").distinct())
