@@ -31,7 +31,7 @@ IDENTITY = (
 #: Labelled texts to learn from, at most (in expectation).
 LEARN_ROWS = 8_000
 MAX_FEATURES = 4_000
-RIDGE, COUNTERFACTUAL = 2.0, 20.0
+RIDGE, COUNTERFACTUAL = 0.3, 20.0
 PAIRS_PER_TEXT = 2
 WORD = re.compile(r"[^\W\d_]+")
 SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITY for i, t in enumerate(g)}
@@ -89,12 +89,11 @@ def solve(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], lis
     back = lambda where, g: np.bincount(where[1], g[where[0]], minlength=width)
     p = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     x, n, m = (at, col), len(rows), len(pairs)
-    balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * n
     w, b = np.zeros(width), 0.0
     # adam: the same step size suits features of any frequency
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
-        miss = (p(sums(x, w, n) + b) - y) * balance
+        miss = p(sums(x, w, n) + b) - y
         grad, grad_b = back(x, miss) + RIDGE * w, miss.sum()
         if m:
             pa, pb = p(sums(left, w, m) + b), p(sums(right, w, m) + b)
