@@ -4,8 +4,9 @@ A text becomes a vector of hashed letter n-grams (one to three code points, word
 blanks), weighted by log frequency and inverse document frequency and scaled to length one. Each
 language has CENTROIDS centroids, found by spherical k-means on a bounded sample of labelled
 texts. A text takes the language of the centroid with the largest cosine. It is rejected where
-that cosine lies below the language's threshold: a share of what the farthest learning texts of
-that language have, so only texts unlike any language seen fall below.
+that cosine lies below the threshold for its language and length: a share of what the farthest
+learning texts of that language have, whole or cut to that length. So only texts unlike any
+language seen fall below. A text of a word or less is rejected only if it shares no n-gram.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ CENTROIDS = 3
 #: Learning texts per language, at most (in expectation).
 SAMPLE = 600
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.35
+#: Numbers of n-grams that part texts into classes of length, and characters that learning texts are cut to.
+LENGTHS = (24, 96, 384)
+CUTS = (12, 48, 192)
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -54,7 +58,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, of length one
     owner: np.ndarray  # index of the language of each centroid
-    thresholds: np.ndarray
+    thresholds: np.ndarray  # by language and class of length
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -66,7 +70,7 @@ class Model:
         best = cosines.argmax(axis=1)
         cosine = cosines[np.arange(len(best)), best]
         language = self.owner[best]
-        return language, cosine, cosine < self.thresholds[language]
+        return language, cosine, cosine <= self.thresholds[language, np.searchsorted(LENGTHS, counts.sum(axis=1))]
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -103,13 +107,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dimen
     counts = np.stack([np.frombuffer(c, np.float32) for c in found["counts"]])
     languages = sorted(found["lang"].unique())
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    model = Model(languages, idf.astype(np.float32), np.zeros((0, dimensions)), np.zeros(0, int), np.zeros(len(languages)))
+    model = Model(languages, idf.astype(np.float32), np.zeros((0, dimensions)), np.zeros(0, int), np.zeros((len(languages), len(LENGTHS) + 1)))
     x = model.vectors(counts).astype(np.float32)
     parts = [spherical_means(x[(found["lang"] == lang).to_numpy()], centroids) for lang in languages]
     model.centroids, model.owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    for i, lang in enumerate(languages):
-        cosines = (x[(found["lang"] == lang).to_numpy()] @ parts[i].T).max(axis=1)
-        model.thresholds[i] = REJECT_SHARE * np.quantile(cosines, REJECT_QUANTILE)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                own = model.centroids[model.owner == languages.index(lang)]
+                for part in (text, *(text[:n] for n in CUTS if n < len(text))):
+                    counts = grams(part, dimensions)[None]
+                    out.append((lang, int(np.searchsorted(LENGTHS, counts.sum())), float((model.vectors(counts) @ own.T).max())))
+            yield pd.DataFrame(out, columns=["lang", "length", "cosine"])
+
+    far = picked.where(F.col("lang").isin(languages)).select("lang", "text").mapInPandas(measure, "lang string, length int, cosine double").toPandas()
+    for (lang, length), cosines in far[far["length"] > 0].groupby(["lang", "length"])["cosine"]:
+        model.thresholds[languages.index(lang), length] = REJECT_SHARE * np.quantile(cosines, REJECT_QUANTILE)
     return model
 
 

@@ -335,6 +335,19 @@ def test_pipeline_stages(spark, tmp_path):
         given = found
 
 
+def test_near_duplicate_stage_on_repeats_and_nulls(spark):
+    rows = docs(spark, (1, "a b c d", "en", "s"), (1, "a b c d", "en", "s"), (2, "a b c d", "en", "s"), (3, "other words are here", "en", "s"), (None, "a b c d", "en", "s"), (None, None, "en", "s"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "None", "None"]
+
+
+def test_short_texts_are_not_rejected(spark):
+    texts = [("en", "the cat sat on the mat and the hat was there"), ("de", "der hund und die katze sind nicht da gewesen")]
+    train = docs(spark, *((i, f"{t} {t[i % 20 :]}", lang, "s") for i in range(60) for lang, t in texts))
+    found = langid.identify(docs(spark, (1, "hat", None, "s"), (2, "und da", None, "s"), (3, "a", None, "s")), langid.fit(train))
+    assert found.where("rejected").count() == 0
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     given = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
