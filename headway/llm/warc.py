@@ -28,7 +28,7 @@ MAGIC = 0x184D2A5D
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 LEVEL = 3
 DICTIONARY_BYTES = 110 << 10
-#: The dictionary is built from at most so many records and so many bytes of each.
+#: The dictionary is built from about so many records and at most so many characters of each.
 SAMPLE_RECORDS = 600
 SAMPLE_BYTES = 16 << 10
 ARCHIVE_BYTES = 16 << 20
@@ -71,10 +71,14 @@ def parse(data: bytes) -> dict:
 
 
 def build_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from the records of the pages with the smallest hashed ids; empty if there is too little."""
-    picked = pages.select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLE_RECORDS)
+    """A dictionary from the records of about SAMPLE_RECORDS pages, picked by a hash; empty if there is too little.
+
+    The share of pages is set from their number, so tasks send no more than the sample in all.
+    """
+    share = min(1.0, SAMPLE_RECORDS / max(1, pages.count()))
+    picked = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
     rows = picked.select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
-    samples = [(r["html"] or "").encode("utf-8", "surrogatepass") for r in rows]
+    samples = sorted((r["html"] or "").encode("utf-8", "surrogatepass") for r in rows)
     samples = [record(i, "https://example.com/", payload_digest(s), len(s), None, s) for i, s in enumerate(samples)]
     if len(samples) < 8:
         return b""
