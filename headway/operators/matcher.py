@@ -21,6 +21,8 @@ from .distances import stop_coordinates
 FEED = "feed_id"
 NEAR_M, RAIL_ENDS, TOO_MANY = 100.0, 4.0, 20
 RAIL = 2
+#: Parts that the patterns of a shape are dealt into.
+SALTS = 8
 
 
 def vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -34,37 +36,34 @@ def along(points: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.arctan2(hops, (points[:-1] * points[1:]).sum(axis=1)) * RADIUS)))
 
 
-def to_segments(stop: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment: metres from the stop to it, and where on it (0 to 1) the nearest point lies."""
+def to_segments(stops: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each stop (rows) and segment (columns): metres between them, and where on it (0 to 1) the nearest point lies."""
     a, d = points[:-1], points[1:] - points[:-1]
     length = (d * d).sum(axis=1)
-    t = np.where(length > 0, ((stop - a) * d).sum(axis=1) / np.where(length > 0, length, 1), 0.0).clip(0, 1)
-    near = a + t[:, None] * d
-    near /= np.linalg.norm(near, axis=1, keepdims=True)
-    chord = np.linalg.norm(near - stop, axis=1)
-    return 2 * np.arcsin(np.minimum(1, chord / 2)) * RADIUS, t
+    t = ((stops @ d.T - (a * d).sum(axis=1)) / np.where(length > 0, length, 1)).clip(0, 1)
+    near = a + t[:, :, None] * d
+    near /= np.sqrt((near * near).sum(axis=2))[:, :, None]
+    apart = near - stops[:, None]
+    return 2 * np.arcsin(np.minimum(1, np.sqrt((apart * apart).sum(axis=2)) / 2)) * RADIUS, t
 
 
-def candidates(stop: np.ndarray, points: np.ndarray, at: np.ndarray, limit: float) -> list[tuple[float, float]]:
-    """(metres along, metres from the shape) of the nearest place of each stretch of segments within limit."""
-    m, t = to_segments(stop, points)
-    where = at[:-1] + t * np.diff(at)
-    close = np.flatnonzero(m <= limit)
-    if not len(close):
+def candidates(m: np.ndarray, where: np.ndarray, limit: float) -> list[tuple[float, float]]:
+    """(metres along, metres from the shape) of the local minima of m within limit; m and where have a value for each segment."""
+    close = m <= limit
+    if not close.any():
         return []
-    out, low = [], None
-    for k, i in enumerate(close):
-        apart = k > 0 and i != close[k - 1] + 1
-        rises = low is not None and not apart and m[i] > m[close[k - 1]] and (k + 1 == len(close) or close[k + 1] == i + 1)
-        if apart and low is not None:
-            out.append(low)
-            low = None
-        if low is None or m[i] < low[1]:
-            low = (float(where[i]), float(m[i]))
-        elif rises and k + 1 < len(close) and m[close[k + 1]] < m[i]:
+    out: list[tuple[float, float]] = []
+    low, rising, before = None, False, -2
+    for i in np.flatnonzero(close).tolist():
+        value = float(m[i])
+        if low is not None and (i != before + 1 or rising and value < last):
             out.append(low)
             low = None
-    return out + ([low] if low is not None else [])
+        rising = low is not None and value > last
+        if low is None or value < low[1]:
+            low = (float(where[i]), value)
+        last, before = value, i
+    return [*out, low]
 
 
 def assign(choices: list[list[tuple[float, float]]]) -> tuple[list[int] | None, int]:
@@ -98,12 +97,14 @@ def assign(choices: list[list[tuple[float, float]]]) -> tuple[list[int] | None,
 def match(points: np.ndarray, user: np.ndarray, stops: np.ndarray, distances: np.ndarray, rail: bool) -> list[tuple[str, int, float]]:
     """Problems of a pattern: (code, index of the stop, metres)."""
     at = along(points)
+    metres, t = to_segments(stops, points)
+    where = at[:-1] + t * np.diff(at)
     limits = [NEAR_M * (RAIL_ENDS if rail and i in (0, len(stops) - 1) else 1) for i in range(len(stops))]
     out, choices, kept = [], [], []
-    for i, s in enumerate(stops):
-        found = candidates(s, points, at, limits[i])
+    for i in range(len(stops)):
+        found = candidates(metres[i], where[i], limits[i])
         if not found:
-            out.append(("stop_too_far_from_shape", i, float(to_segments(s, points)[0].min())))
+            out.append(("stop_too_far_from_shape", i, float(metres[i].min())))
             continue
         if len(found) > TOO_MANY:
             out.append(("stop_has_too_many_matches_for_shape", i, float(min(c for _, c in found))))
@@ -142,13 +143,18 @@ def patterns(feed: Feed) -> DataFrame:
 def stop_to_shape(feed: Feed) -> DataFrame:
     """Stops too far from their trip's shape, matched too often, or out of order.
 
-    Patterns and shapes meet by a join, so patterns of one large shape are spread over tasks. A
-    stop too far from a shape is reported once, for the first trip.
+    A stop too far from a shape is reported once, for the first trip.
     """
     point = F.struct("shape_pt_sequence", "_row_number", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled")
     shapes = feed["shapes"].where("shape_id is not null").groupBy(FEED, "shape_id").agg(F.array_sort(F.collect_list(point)).alias("p")).where(F.size("p") > 1)
     shapes = shapes.select(FEED, "shape_id", *(F.col(f"p.{c}").alias(n) for n, c in (("lats", "shape_pt_lat"), ("lons", "shape_pt_lon"), ("user", "shape_dist_traveled"))))
-    work = patterns(feed).join(shapes, [FEED, "shape_id"])
+    # The work is in Python, not in bytes, so a fixed number of partitions is dealt, and a shape's
+    # patterns over several of them.
+    n = int(feed.spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [FEED, "shape_id", "salt"]
+    salted = patterns(feed).withColumn("salt", F.pmod(F.xxhash64("t.trip_row"), F.lit(SALTS))).repartition(n, *keys)
+    copies = shapes.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))).repartition(n, *keys)
+    work = salted.join(copies, keys)
     found_type = "array<struct<code:string,at:int,m:double>>"
 
     @F.pandas_udf(found_type)
