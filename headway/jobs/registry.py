@@ -321,6 +321,25 @@ register("k2_pathway_unreachable_location", graph.pathway_unreachable_location,
  pc AS (SELECT *, stop_id IN (SELECT stop_id FROM f) AS x, stop_id IN (SELECT stop_id FROM g) AS y FROM ins WHERE location_type IN (3, 4) OR location_type = 0 AND stop_id NOT IN (SELECT parent_station FROM stops WHERE parent_station IS NOT NULL)) """ + sel("pathway_unreachable_location", "stops", stopId="stop_id", hasEntrance="x", hasExit="y") + " FROM pc WHERE NOT x OR NOT y")
 
 
+# ---- L: several checks in one run, which share the reading and dealing of stop_times
+
+TOGETHER = ["row_rules", "duplicate_key_stop_times", "usage", "unsorted_stop_times", "stop_time_times", "trip_edges", "stop_time_distance"]
+
+
+def run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runner import run_checks
+
+    run = run_checks(feed_of(spark, sf_dir), TODAY, TOGETHER)
+    if run.failures:
+        raise ValueError(f"checks failed: {run.failures}")
+    return run.notices.groupBy("code").agg(F.count(F.lit(1)).alias("n_notices"))
+
+
+QUERIES["l6_run_checks"] = run_together
+_PARTS = [n for n in SQL if n.startswith("e_rows_") and "flex" not in n] + ["d1_duplicate_key_stop_times", "f1_usage", "h1_unsorted_stop_times", "h2_stop_time_times", "h3_trip_edges", "h4_stop_time_distance"]
+SQL["l6_run_checks"] = f"SELECT code, count(*) AS n_notices FROM ({' UNION ALL '.join(f'SELECT code FROM ({SQL[n]}) q{i}' for i, n in enumerate(_PARTS))}) z GROUP BY code"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import registry_files
 

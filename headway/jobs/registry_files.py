@@ -171,17 +171,3 @@ def _geojson_columns() -> list[str]:
 SQL["j8_zone_structure"] = """WITH f AS (SELECT 'F' || n_nationkey AS feed, n_nationkey % 6 AS k FROM nation), p(k, code, context) AS (VALUES (1, 'unsupported_geo_json_type', 'geoJsonType=Features'), (1, 'geo_json_unknown_element', 'unknownElement=crs'), (2, 'missing_required_element', 'missingElement=type'), (2, 'unsupported_feature_type', 'featureIndex=0;featureType=Thing'),
  (2, 'unsupported_geometry_type', 'featureIndex=0;geometryType=Point'), (3, 'malformed_json', ''), (4, 'missing_required_element', 'missingElement=features'), (5, 'missing_required_element', 'featureIndex=0;missingElement=features.id'), (5, 'missing_required_element', 'featureIndex=0;missingElement=features.geometry'), (5, 'geo_json_unknown_element', 'featureIndex=0;unknownElement=x'))
  SELECT feed, code, context FROM f JOIN p USING (k)"""
-
-
-def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks of the projected feed, as counts by code."""
-    from .registry import TODAY
-    from .runner import run_checks
-
-    run = run_checks(feed_of(spark, sf_dir), TODAY)
-    if run.failures:
-        raise ValueError(f"checks failed: {run.failures}")
-    return run.notices.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n_notices"))
-
-
-QUERIES["l6_run_checks"] = whole_run
