@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..feed import Feed, first_rows
-from ..functions.geo import chord_angle_m, haversine_m, metres
+from ..functions.geo import RADIUS, chord_angle_m, haversine_m, metres, unit_vector
 from ..notices import notices
 
 FEED = "feed_id"
@@ -44,16 +44,32 @@ def shape_running_distance(feed: Feed) -> DataFrame:
     return rows.select(FEED, "shape_id", "_row_number", F.sum("hop").over(by).alias("metres"), F.max("shape_dist_traveled").over(by).alias("user_distance"))
 
 
-#: Degrees of a grid cell; a stop is compared with segments whose boxes touch its cell or a neighbour's.
+#: Degrees of a grid cell; a stop is first compared with segments whose boxes touch its cell or a neighbour's.
 CELL = 0.01
+#: Parts that the far stops of a shape are dealt into.
+SALTS = 8
+
+
+def sphere_segment_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres from a point to the nearest place on the chord between two others, lifted to the sphere."""
+    p, a, b = unit_vector(lat, lon), unit_vector(lat1, lon1), unit_vector(lat2, lon2)
+    d = [y - x for x, y in zip(a, b, strict=True)]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    length = dot(d, d)
+    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot([x - y for x, y in zip(p, a, strict=True)], d) / length)))
+    near = [x + t * y for x, y in zip(a, d, strict=True)]
+    norm = F.sqrt(dot(near, near))
+    apart = [x / norm - y for x, y in zip(near, p, strict=True)]
+    return 2 * RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(dot(apart, apart)) / 2))
 
 
 def closest_shape_point(feed: Feed) -> DataFrame:
-    """For each visited (shape, stop) the metres to the nearest segment among those in nearby cells.
+    """For each visited (shape, stop) the metres to the nearest segment, and how many segments are in nearby cells.
 
     Pairs meet by shape and cell, so a long shape is compared only where the stop is. The plane
-    about the stop stands for the sphere, which is exact enough within a cell. Stops with no
-    segment in nearby cells are not listed.
+    about the stop stands for the sphere, which is exact enough within a cell. A segment that isn't
+    met lies beyond the neighbour cells, so a stop without a match, or whose best one is farther
+    than their edge, is compared with all segments of the shape, on the sphere.
     """
     by = W.partitionBy(FEED, "shape_id").orderBy("shape_pt_sequence", "_row_number")
     ends = feed["shapes"].where("shape_id is not null").select(
@@ -64,6 +80,7 @@ def closest_shape_point(feed: Feed) -> DataFrame:
     visits = feed["trips"].where("shape_id is not null").select(FEED, "trip_id", "shape_id").join(feed["stop_times"].where("stop_id is not null").select(FEED, "trip_id", "stop_id").distinct(), [FEED, "trip_id"])
     places = stop_coordinates(feed).where("lat is not null")
     stops = visits.select(FEED, "shape_id", "stop_id").distinct().join(places, [FEED, "stop_id"]).withColumns({"y": F.floor(F.col("lat") / CELL), "x": F.floor(F.col("lon") / CELL)})
+    key = [FEED, "shape_id", "stop_id"]
     rows = stops.join(segments, [FEED, "shape_id", "y", "x"])
     k = 111_195.0
     scale = F.cos(F.radians("lat"))
@@ -72,4 +89,17 @@ def closest_shape_point(feed: Feed) -> DataFrame:
     length = dx * dx + dy * dy
     t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(px[0] * dx + py[0] * dy) / length)))
     m = F.sqrt(F.pow(px[0] + t * dx, 2) + F.pow(py[0] + t * dy, 2))
-    return rows.groupBy(FEED, "shape_id", "stop_id").agg(F.round(F.min(m), 2).alias("distance_m"), F.count(F.lit(1)).alias("n_segments"))
+    met = rows.groupBy(*key).agg(F.min(m).alias("m"), F.count(F.lit(1)).alias("n"))
+    edge = F.least(
+        F.col("lat") - (F.col("y") - 1) * CELL, (F.col("y") + 2) * CELL - F.col("lat"),
+        (F.col("lon") - (F.col("x") - 1) * CELL) * scale, ((F.col("x") + 2) * CELL - F.col("lon")) * scale,
+    ) * k
+    # cells don't wrap at 180 degrees
+    sure = F.col("m").isNotNull() & (F.col("m") <= edge) & (F.abs("lon") < 180 - 2 * CELL)
+    best = stops.join(met, key, "left").withColumn("sure", F.coalesce(sure, F.lit(False)))
+    done = best.where("sure").select(*key, "m", "n")
+    far = best.where("not sure").select(*key, "lat", "lon", "n", F.pmod(F.xxhash64("stop_id"), F.lit(SALTS)).alias("salt"))
+    copies = ends.where("lat1 is not null and lon1 is not null and lon2 is not null").withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    everywhere = sphere_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    others = far.join(copies, [FEED, "shape_id", "salt"]).groupBy(*key).agg(F.min(everywhere).alias("m"), F.first("n").alias("n"))
+    return done.unionByName(others).select(*key, F.round("m", 2).alias("distance_m"), F.coalesce("n", F.lit(0)).alias("n_segments"))

@@ -106,6 +106,22 @@ def test_distances(spark):
     assert pairs(distances.transfer_distance(f))[1] == ("transfer_distance_too_large", 4)
 
 
+def test_closest_shape_point_beyond_nearby_cells(spark):
+    # at 60 degrees a cell is 0.56 km wide: the box of the diagonal reaches the stop's neighbour
+    # cells, the upright at the end lies past them and is nearer
+    pts = [(60.018, 10.0), (60.045, 9.94), (60.045, 10.0215), (59.98, 10.0215)]
+    f = feed(
+        spark, shapes=[dict(shape_id="H", shape_pt_lat=a, shape_pt_lon=b, shape_pt_sequence=i) for i, (a, b) in enumerate(pts)],
+        stops=[dict(stop_id="Near", stop_lat=60.005, stop_lon=10.0005), dict(stop_id="Far", stop_lat=60.0, stop_lon=12.0), dict(stop_id="On", stop_lat=60.045, stop_lon=10.0)],
+        trips=[dict(trip_id="T", shape_id="H")], stop_times=stop_times(("T", "Near", 1), ("T", "Far", 2), ("T", "On", 3)),
+    )
+    found = {r["stop_id"]: r["distance_m"] for r in distances.closest_shape_point(f).collect()}
+    assert set(found) == {"Near", "Far", "On"}
+    assert found["On"] < 1
+    assert found["Near"] == pytest.approx(0.021 * 111_195 * 0.49992, rel=0.001)
+    assert found["Far"] == pytest.approx(109_966, rel=0.001)
+
+
 def test_shape_distance(spark):
     pts = [(40.0, -74.0, 1, 0.0), (40.0, -74.0, 2, 0.0), (40.1, -74.0, 3, 0.0), (40.1, -74.0, 4, None), (40.2, -74.0, 5, 3.0), (40.2, -74.0, 6, 2.0), (40.200001, -74.0, 7, 2.0)]
     f = feed(spark, shapes=[dict(shape_id="H", shape_pt_lat=a, shape_pt_lon=b, shape_pt_sequence=c, shape_dist_traveled=d) for a, b, c, d in pts])
