@@ -21,6 +21,7 @@ from .distances import stop_coordinates
 FEED = "feed_id"
 NEAR_M, RAIL_ENDS, TOO_MANY = 100.0, 4.0, 20
 RAIL = 2
+TOO_FAR = ("stop_too_far_from_shape", "stop_too_far_from_shape_using_user_distance")
 #: Parts that the patterns of a shape are dealt into.
 SALTS = 8
 
@@ -143,7 +144,8 @@ def patterns(feed: Feed) -> DataFrame:
 def stop_to_shape(feed: Feed) -> DataFrame:
     """Stops too far from their trip's shape, matched too often, or out of order.
 
-    A stop too far from a shape is reported once, for the first trip.
+    A stop too far from a shape, by place or by user distance, is reported once, for the first
+    trip; the other problems are reported for each pattern, with its first trip.
     """
     point = F.struct("shape_pt_sequence", "_row_number", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled")
     shapes = feed["shapes"].where("shape_id is not null").groupBy(FEED, "shape_id").agg(F.array_sort(F.collect_list(point)).alias("p")).where(F.size("p") > 1)
@@ -168,5 +170,8 @@ def stop_to_shape(feed: Feed) -> DataFrame:
 
     found = work.withColumn("found", matched("lats", "lons", "user", F.col("steps.lat"), F.col("steps.lon"), F.col("steps.d"), "rail"))
     each = found.select(FEED, "shape_id", "t", "steps", F.explode("found").alias("f")).select(FEED, "shape_id", "t.trip_id", "t.trip_row", "f.code", "f.m", F.col("f.at").alias("at"), F.get("steps", F.col("f.at"))["stop_id"].alias("stop_id"))
-    first = each.groupBy(FEED, "code", "shape_id", "stop_id").agg(F.min(F.struct("trip_row", "trip_id", "at", "m")).alias("x"))
-    return notices(first, F.col("code"), "WARNING", "trips.txt", "x.trip_row", tripId="x.trip_id", shapeId="shape_id", stopId="stop_id", geoDistanceToShape=F.round("x.m").cast("long"))
+    # of a trip, places come before user distances
+    order = F.struct("trip_row", "trip_id", (F.col("code") == TOO_FAR[1]).alias("user"), "at", "m", "code")
+    first = each.where(F.col("code").isin(*TOO_FAR)).groupBy(FEED, "shape_id", "stop_id").agg(F.min(order).alias("x"))
+    rest = each.where(~F.col("code").isin(*TOO_FAR)).select(FEED, "shape_id", "stop_id", order.alias("x"))
+    return notices(first.unionByName(rest), F.col("x.code"), "WARNING", "trips.txt", "x.trip_row", tripId="x.trip_id", shapeId="shape_id", stopId="stop_id", geoDistanceToShape=F.round("x.m").cast("long"))

@@ -210,6 +210,17 @@ def test_user_distance(spark):
     assert [(c, x["stopId"]) for c, _, x in codes(matcher.stop_to_shape(f))] == [("stop_too_far_from_shape_using_user_distance", "Near")]
 
 
+def test_every_pattern_out_of_order(spark):
+    trips = {"T": ["Last", "Near", "First"], "U": ["Last", "Near", "First", "First"], "V": ["First", "Far", "Last"], "W": ["First", "Far", "Far", "Last"]}
+    f = feed(spark, **SHAPE, routes=[dict(route_id="R", route_type=3)], trips=[dict(trip_id=t, route_id="R", shape_id="H") for t in trips], stop_times=stop_times(*((t, s, i) for t, stops in trips.items() for i, s in enumerate(stops))))
+    assert [(c, n, x["stopId"]) for c, n, x in codes(matcher.stop_to_shape(f))] == [("stop_too_far_from_shape", 4, "Far"), ("stops_match_shape_out_of_order", 2, "Near"), ("stops_match_shape_out_of_order", 3, "Near")]
+
+
+def test_too_far_by_either_distance_is_one(spark):
+    f = feed(spark, **SHAPE, routes=[dict(route_id="R", route_type=3)], trips=[dict(trip_id="T", route_id="R", shape_id="H")], stop_times=stop_times(("T", "First", 0, None, None, 0.0), ("T", "Far", 1, None, None, 1.9), ("T", "Last", 2, None, None, 2.0)))
+    assert [(c, x["stopId"]) for c, _, x in codes(matcher.stop_to_shape(f))] == [("stop_too_far_from_shape", "Far")]
+
+
 RING = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
 
 
