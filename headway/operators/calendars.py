@@ -1,7 +1,7 @@
 """Service calendars: active dates, runs of dates, windows, trips per date, block conflicts.
 
-Dates are rows, so trips per date and shared dates are aggregates and joins. A calendar row that
-spans more than MAX_SPAN_DAYS is cut there, as a mistyped year would otherwise give millions of rows.
+Dates are rows, so trips per date and shared dates are aggregates and joins. Long spans are
+expanded whole, in chunks of CHUNK_DAYS.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ from ..notices import notices, union
 FEED = "feed_id"
 SERVICE = [FEED, "service_id"]
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-MAX_SPAN_DAYS = 36_600
+#: Days of a span that are expanded at once, so that no array of dates is long.
+CHUNK_DAYS = 3_660
 GAP_DAYS, FAR_DAYS, OUTSIDE_DAYS = 13, 730, 14
 
 
 def weekly_dates(calendar: DataFrame) -> DataFrame:
     """feed_id, service_id, date for the days of the week set in [start, end]; only a value's low bit counts."""
-    end = F.least(F.greatest("end_date", "start_date"), F.date_add("start_date", MAX_SPAN_DAYS))
-    spans = calendar.where("service_id is not null and start_date is not null and end_date is not null").select(*SERVICE, F.array(*(F.coalesce(F.col(d), F.lit(0)).bitwiseAND(1) for d in DAYS)).alias("days"), F.explode(F.sequence("start_date", end)).alias("date"))
+    end = F.greatest("end_date", "start_date")
+    days = F.array(*(F.coalesce(F.col(d), F.lit(0)).bitwiseAND(1) for d in DAYS))
+    offsets = F.sequence(F.lit(0), F.datediff(end, "start_date"), F.lit(CHUNK_DAYS))
+    chunks = calendar.where("service_id is not null and start_date is not null and end_date is not null").select(*SERVICE, days.alias("days"), "start_date", end.alias("end"), F.explode(offsets).alias("offset"))
+    first = F.date_add("start_date", F.col("offset"))
+    spans = chunks.select(*SERVICE, "days", F.explode(F.sequence(first, F.least("end", F.date_add(first, CHUNK_DAYS - 1)))).alias("date"))
     return spans.where(F.element_at("days", F.weekday("date") + 1) == 1).select(*SERVICE, "date")
 
 

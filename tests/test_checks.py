@@ -149,6 +149,19 @@ def test_two_readings_of_exceptions(spark):
     assert sorted((str(r["first"]), str(r["last"])) for r in calendars.service_runs(f).collect()) == [("2026-06-01", "2026-06-01"), ("2026-06-03", "2026-06-03"), ("2026-06-05", "2026-06-05")]
 
 
+def test_long_spans_are_whole(spark):
+    f = feed(
+        spark, calendar=[WEEK | dict(service_id="W", start_date=day("1900-01-01"), end_date=day("2099-12-31")), WEEK | dict(service_id="X", start_date=day("0001-01-01"), end_date=day("9999-12-31"))],
+        trips=[dict(trip_id=t, service_id=s, block_id="B") for t, s in (("T1", "W"), ("T2", "W"))], stop_times=stop_times(("T1", "A", 1, 100, 100), ("T1", "B", 2, 300, 310), ("T2", "B", 1, 200, 200), ("T2", "A", 2, 400, 400)),
+        calendar_dates=[dict(service_id="W", date=day("1900-01-01"), exception_type=2)],
+    )
+    found = {r["service_id"]: (str(r["a"]), str(r["b"]), r["n"]) for r in calendars.active_dates(f).groupBy("service_id").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count_distinct("date").alias("n")).collect()}
+    assert found == {"W": ("1900-01-02", "2099-12-31", 73048), "X": ("0001-01-01", "9999-12-31", 3652059)}
+    assert [(str(r["first"]), str(r["last"])) for r in calendars.service_runs(f).where("service_id = 'W'").collect()] == [("1900-01-02", "2099-12-31")]
+    assert calendars.expired_calendar(f, day("2026-06-01")).count() == 0
+    assert [c["date"] for _, _, c in codes(calendars.block_overlap(f))] == ["1900-01-02"]
+
+
 def test_trips_per_date(spark):
     f = feed(spark, calendar=[WEEK | dict(service_id="W", start_date=day("2026-06-01"), end_date=day("2026-06-02"))], trips=[dict(trip_id=t, service_id="W") for t in "ABC"], frequencies=[dict(trip_id="A", start_time=28800, end_time=64800, headway_secs=600)])
     assert {(str(r["date"]), r["n_trips"]) for r in calendars.trips_per_date(f).collect()} == {("2026-06-01", 62), ("2026-06-02", 62)}
