@@ -341,6 +341,14 @@ def test_near_duplicate_stage_on_repeats_and_nulls(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "None", "None"]
 
 
+def test_near_duplicate_stage_keeps_each_text_once(spark):
+    a, b, c = "a text of its own without any copy", "quite another line that others repeat", "copies of this have no id at all"
+    rows = docs(spark, (5, a, "en", "s"), (5, b, "en", "s"), (3, b, "en", "s"), (3, b, "de", "s"), (None, b, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s"), (7, None, "en", "s"), (7, None, "en", "s"))
+    for n in (1, 5):
+        kept = corpus_pipeline.drop_near_duplicates(spark, rows.repartition(n), SF).collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("3", b), ("5", a), ("7", "None"), ("None", c)]
+
+
 def test_short_texts_are_not_rejected(spark):
     texts = [("en", "the cat sat on the mat and the hat was there"), ("de", "der hund und die katze sind nicht da gewesen")]
     train = docs(spark, *((i, f"{t} {t[i % 20 :]}", lang, "s") for i in range(60) for lang, t in texts))
