@@ -40,6 +40,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to a new path in the shared folder, and that path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes paths that scratch_path or stored gave, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def joined(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     """df joined to a lookup table that must be cheap to count (a checkpoint, an aggregate of one).
 
@@ -49,6 +63,16 @@ def joined(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
+def fraction(seed: int, *columns) -> Column:
+    """A hash of the columns as a number from 0 to below 1; a share s of rows lies below s, however small s is."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / float(1 << 53)
+
+
+def sampled(df: DataFrame, rows: float, total: int, seed: int, *columns) -> DataFrame:
+    """About `rows` of df's `total` rows, picked by a hash of the columns; all where there are no more."""
+    return df if total <= rows else df.where(fraction(seed, *columns) < rows / total)
+
+
 def ascii_lower(c: Column) -> Column:
     """c with A-Z lower-cased and every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

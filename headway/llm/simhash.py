@@ -1,7 +1,8 @@
 """SimHash near-duplicates, found by anchor-point covering.
 
-A document's fingerprint has bit b set if b is set in over half of the XXH64 values (seed 42) of
-its word 3-shingles. Two fingerprints are linked if they differ in at most three bits.
+Contract form, `near_duplicates`: a document's fingerprint has bit b set if b is set in over half
+of the XXH64 values (seed 42) of its word 3-shingles. Two fingerprints are linked if they differ
+in at most three bits.
 
 Candidates: a 64-bit fingerprint has two halves of 32 bits, and of three differing bits one half
 holds at most one. So each half is searched with a threshold of one bit. Its anchors are the
@@ -12,6 +13,12 @@ its home. If halves x and y differ in one bit, y lies within two bits of the hom
 anchor compares those at home with those sent there, and no link is missed.
 
 Copies share a fingerprint and are one node, whatever their number; links join nodes only.
+
+Wide form, `similar_groups`: texts whose sets of word 5-shingles have a Jaccard similarity of 0.8
+or more differ in about 8 to 15 % of the bits of a fingerprint, far more than three of 64. So the
+fingerprint has 512 bits here, in 16 segments of 32, each of which is searched with a threshold
+of one bit by the same anchors, and every candidate is verified by its exact similarity. The
+higher the similarity, the surer one of the segments is alike; the README has measured recall.
 """
 
 from __future__ import annotations
@@ -23,30 +30,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, forget, stored
 
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
-CHUNK = 1 << 16
+CHUNK = 1 << 14
+#: The wide form: words of a shingle, segments of 32 bits, least Jaccard similarity.
+WIDE_SHINGLE, SEGMENTS, SIMILARITY = 5, 16, 0.8
+#: Fingerprints that a task sends to their anchors.
+NODES_PER_TASK = 50_000
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text as a signed 64-bit integer; 0 for null or no words."""
+def word_spans(text: str | None, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words joined by blanks, and where each shingle starts and ends there; fewer words than a shingle are one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and space only
     if not words:
-        return 0
-    line = b" ".join(words)
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n], ends[min(shingle, len(words)) - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        values = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
-        ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    return b" ".join(words), starts[:n], ends[min(shingle, len(words)) - 1 :]
+
+
+def hashes(line: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], "<u8")
+
+
+def ones_of(values: np.ndarray) -> np.ndarray:
+    """How many rows of values (rows of 64-bit numbers) have each bit set, as counts for each column's 64 bits."""
+    rows = values.reshape(len(values), -1)
+    bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255  # of 255 rows the sums are below 256 and stay bytes
+    out = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:
+        out += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text as a signed 64-bit integer; 0 for null or no words."""
+    line, starts, ends = word_spans(text, shingle)
+    if not line:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(starts), CHUNK):
+        ones += ones_of(hashes(line, starts[at : at + CHUNK], ends[at : at + CHUNK]))
+    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8")[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -54,6 +85,28 @@ def simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
+def wide_simhash(text: str | None, shingle: int = WIDE_SHINGLE, segments: int = SEGMENTS) -> list[int]:
+    """The wide fingerprint, of the text's different shingles: a number below 2**32 for each segment; all 0 without words.
+
+    A shingle's further bits are drawn from its XXH64 by a mixing step for each 64 of them.
+    """
+    line, starts, ends = word_spans(text, shingle)
+    if not line:
+        return [0] * segments
+    found = np.unique(np.concatenate([hashes(line, starts[at : at + CHUNK], ends[at : at + CHUNK]) for at in range(0, len(starts), CHUNK)]))
+    ones = np.zeros(32 * segments, np.int64)
+    for at in range(0, len(found), CHUNK):
+        h = (found[at : at + CHUNK, None] ^ np.arange(segments // 2, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += ones_of(h ^ (h >> np.uint64(29)))
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u4").tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def wide_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([wide_simhash(t) for t in texts])
+
+
 def syndrome(word: Column) -> Column:
     """Position 1-31 whose flip makes the low 31 bits a code word, 0 if they are one."""
     out = F.lit(0)
@@ -78,29 +131,35 @@ def anchors(half: Column) -> tuple[Column, Column]:
     return home.bitwiseOR(top), F.concat(F.array(home.bitwiseOR(top), other), second)
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """nodes (stored) over as many tasks as their number asks for, before each is sent to many anchors."""
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(max(least, -(-nodes.count() // NODES_PER_TASK)))
+
+
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """nodes(fp long, node long, one row per fp) -> every link (a, b) between different nodes, once."""
+    """nodes(fp long, one row per fp) -> every link (a, b) between different fingerprints, a < b, once."""
     if threshold > 3:
         raise ValueError("two halves with a threshold of one bit each cover three differing bits at most")
+    nodes = spread(nodes.select("fp"))
     halves = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)]
     keys = [anchors(h) for h in halves]
     second = lambda c: c.bitwiseOR(F.lit(1 << 32).cast("long"))
     (home0, near0), (home1, near1) = keys
-    at_home = nodes.select("fp", "node", F.explode(F.array(home0, second(home1))).alias("anchor"))
-    sent = nodes.select(
-        F.col("fp").alias("fp2"), F.col("node").alias("node2"),
-        F.explode(F.concat(near0, F.transform(near1, second))).alias("anchor"),
-    )
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold) & (F.col("fp") < F.col("fp2"))
-    return at_home.join(sent, (at_home["anchor"] == sent["anchor"]) & near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    at_home = nodes.select(F.col("fp").alias("a"), F.explode(F.array(home0, second(home1))).alias("anchor"))
+    sent = nodes.select(F.col("fp").alias("b"), F.explode(F.concat(near0, F.transform(near1, second))).alias("anchor"))
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold) & (F.col("a") < F.col("b"))
+    return at_home.join(sent, "anchor").where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node reachable, for every node with an edge.
 
-    Large-star and small-star steps in turn until nothing changes; each round is stored.
+    Large-star and small-star steps in turn until nothing changes. Each round is stored in the
+    shared folder, and the one before is deleted; the last stays, as the result is read from it.
     """
-    e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spark = edges.sparkSession
+    e, path = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(e)
     while before[0]:
@@ -109,8 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.union(root.select("u", F.col("m").alias("v"))).distinct())
-        after = state(e)
+        e, new = stored(small.union(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(spark, path)
+        path, after = new, state(e)
         if after == before:
             break
         before = after
@@ -121,13 +181,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs -> (id, fingerprint, component_id), one row for each row of docs.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an
-    id keep their rows. Rows with a null id get component_id null unless their fingerprint links
-    them to rows with an id; they never give a component its number. Other columns are ignored.
+    id keep their rows. Rows with a null id are linked, and link others, like any other; a
+    component takes its number from rows with an id, and has none where there are none. Ids may
+    be of any type that has an order. Other columns are ignored.
     """
     prints = checkpointed(docs.select(F.col(id_col).alias("id"), simhash_udf(F.col(text_col)).alias("fp")))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(nodes.where("node is not null")))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    found = components(links(nodes))
+    member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    smallest = member.groupBy("c").agg(F.min("first").alias("component_id"))
+    classes = member.join(smallest, "c").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def shingle_set(text: Column, shingle: int = WIDE_SHINGLE) -> Column:
+    """The different shingles of a text, as 64-bit hashes."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def set_of(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (shingle - 1)))).otherwise(F.array())
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, shingle), " "))))
+
+    # within transform the words are a variable, and so split once for each text
+    return F.get(F.transform(F.array(words), set_of), F.lit(0))
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """nodes(node long, segments array<long>), stored, one row per fingerprint -> candidate pairs (a, b), a < b, once.
+
+    Within each segment, nodes of one value are compared with the smallest of them, and that one
+    with those of values one bit apart, which the anchors bring together. An anchor has 529
+    values within two bits, so pairs grow with the nodes and not with the square of a group.
+    """
+    each = spread(nodes).select("node", F.posexplode("segments").alias("segment", "value"))
+    values = checkpointed(each.groupBy("segment", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    shared = values.where("n > 1").select("segment", "value", "first")
+    members = each.join(shared, ["segment", "value"]).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    home, near = anchors(F.col("value"))
+    tagged = lambda c: c.bitwiseOR(F.shiftleft(F.col("segment").cast("long"), 32))
+    some = spread(values.select("segment", "value", "first"))
+    at_home = some.select(tagged(home).alias("anchor"), F.col("value").alias("x"), F.col("first").alias("a"))
+    sent = some.select(F.explode(F.transform(near, tagged)).alias("anchor"), F.col("value").alias("y"), F.col("first").alias("b"))
+    one_bit = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) == 1) & (F.col("x") < F.col("y"))
+    apart = at_home.join(sent, "anchor").where(one_bit).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return members.unionByName(apart).distinct()
+
+
+def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """rows (a key, text) -> (first, group): the smallest key of each fingerprint and of its group, for every fingerprint.
+
+    key is a column of any type that has an order, a struct as well. Texts of one fingerprint are
+    one node; nodes whose shingle sets have a Jaccard similarity of at least `similarity` are
+    linked where they are compared (see alike), and what is linked is a group. Null and empty
+    texts are one node that is like no other. Each fingerprint's text is that of its smallest key.
+    """
+    prints = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"), wide_udf(F.col(text_col)).alias("segments"))
+    smallest = prints.groupBy("segments").agg(F.min("key").alias("first")).select("segments", "first", F.monotonically_increasing_id().alias("node"))
+    nodes = checkpointed(smallest)
+    pairs = alike(nodes.select("node", "segments"))
+    # the fingerprints' own estimate first: unlike texts that share a segment by chance are far apart
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("segments").alias(f"{n}s"), F.col("first").alias(f"{n}k"))
+    apart = F.aggregate(F.zip_with("as", "bs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= SEGMENTS * 32 // 4).select("a", "b", "ak", "bk")
+    near = checkpointed(near)
+    wanted = near.select(F.col("ak").alias("key")).unionByName(near.select(F.col("bk").alias("key"))).distinct()
+    texts = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").groupBy("key").agg(F.min("text").alias("text"))
+    sets = checkpointed(texts.select("key", shingle_set(F.col("text")).alias("set")))
+    both = near.join(sets.withColumnRenamed("key", "ak").withColumnRenamed("set", "x"), "ak").join(
+        sets.withColumnRenamed("key", "bk").withColumnRenamed("set", "y"), "bk"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    found = components(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    member = nodes.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("c"))
+    groups = member.groupBy("c").agg(F.min("first").alias("group"))
+    return member.join(groups, "c").select("first", "group")

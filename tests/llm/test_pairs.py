@@ -66,13 +66,15 @@ def test_links_equal_brute_force(spark):
             prints.append(q)
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    nodes = spark.createDataFrame(list(zip(signed, range(len(prints)), strict=True)), "fp long, node long")
-    found = {tuple(sorted((x["a"], x["b"]))) for x in simhash.links(nodes).collect()}
+    number = {fp: i for i, fp in enumerate(signed)}
+    nodes = spark.createDataFrame([(fp, "extra") for fp in signed], "fp long, first string")
+    found = {tuple(sorted((number[x["a"]], number[x["b"]]))) for x in simhash.links(nodes).collect()}
     want = {(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if bin(prints[i] ^ prints[j]).count("1") <= 3}
     assert found == want
-    parts = {x["node"]: x["component"] for x in simhash.components(simhash.links(nodes)).collect()}
+    parts = {number[x["node"]]: number[x["component"]] for x in simhash.components(simhash.links(nodes)).collect()}
     slow = slow_components(list(enumerate(prints)))
-    assert {i: parts.get(i, i) for i in slow} == slow
+    same = lambda of: {frozenset(j for j in slow if of(j) == of(i)) for i in slow}
+    assert same(lambda i: parts.get(i, i)) == same(slow.get)
 
 
 def test_long_chain(spark):
@@ -89,6 +91,69 @@ def test_simhash_edge_rows(spark):
         simhash.links(spark.createDataFrame([], "fp long, node long"), 4)
 
 
+def test_rows_without_an_id_are_bridges(spark):
+    """Fingerprints 0, 7 and 63 with the middle one's row without an id: it links the other two."""
+    fps = {"a": 0, "b": 7, "c": 63}
+    prints = spark.createDataFrame([(3, "a"), (None, "b"), (5, "c"), (None, "b")], "doc_id long, text string")
+    real = simhash.simhash_udf
+    simhash.simhash_udf = lambda c: F.when(c == "a", fps["a"]).when(c == "b", fps["b"]).otherwise(fps["c"]).cast("long")
+    try:
+        found = simhash.near_duplicates(prints).collect()
+    finally:
+        simhash.simhash_udf = real
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == [("3", 3), ("5", 3), ("None", 3), ("None", 3)]
+
+
+def words5(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_groups_against_brute_force(spark):
+    """Copies with some words changed: no group without a chain of links, and close copies are found."""
+    import random
+
+    r = random.Random(4)
+    texts = []
+    for base in range(30):
+        words = [f"{r.choice('abcdefgh')}{r.randrange(400)}" for _ in range(150)]
+        texts.append(" ".join(words))
+        for changes in (1, 1, 2, 3, 12):
+            copy = list(words)
+            for at in r.sample(range(150), changes):
+                copy[at] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, "one two", "one two", "One  two", "x" * 100_000]
+    found = {x["first"]: x["group"] for x in simhash.similar_groups(spark.createDataFrame(rows(*texts), DOCS), "doc_id").collect()}
+    sets = {i: words5(t) for i, t in enumerate(texts)}
+    linked = {i: i for i in found}
+
+    def root(i):
+        while linked[i] != i:
+            i = linked[i]
+        return i
+
+    close = []
+    for i, j in itertools.combinations(sorted(found), 2):
+        both = len(sets[i] & sets[j])
+        if both and both / len(sets[i] | sets[j]) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            linked[b] = a
+            if both / len(sets[i] | sets[j]) >= 0.9:
+                close.append((i, j))
+    assert all(root(g) == root(i) for i, g in found.items())
+    assert len(close) > 60
+    assert sum(found[i] == found[j] for i, j in close) > 0.95 * len(close)
+    assert 180 in found and 181 not in found and 182 in found and 183 not in found
+
+
+def test_shingle_sets(spark):
+    for text in ("a b c d e f g", "A b", "", None, "a b c d e a b c d e a b c d e", " x\x0b y\n"):
+        got = spark.createDataFrame([(text,)], "t string").select(simhash.shingle_set(F.col("t")).alias("s"), simhash.wide_udf("t").alias("w")).first()
+        assert len(got["s"]) == len(words5(text))
+        assert len(got["w"]) == 16 and all(0 <= x < 1 << 32 for x in got["w"])
+
+
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 LICENSED = [
     "Under the GNU General  Public-License! and the MIT\nlicense", None, "", "gnu general license public", "apache licenses", "cc by cc by", "Licensed under the Apache License, Version 2.0.",
