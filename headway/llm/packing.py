@@ -10,6 +10,7 @@ are bounded by the group, and the groups grow in number with the data.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTH = 2048
 GROUP_PIECES = 8192
@@ -26,11 +28,24 @@ GROUP_PIECES = 8192
 CACHE_PARTS = 400_000
 
 
-#: Texts of these characters alone are normalised by lower-casing: no marks to compose, no odd spaces.
+#: What PartCache can do by itself, as a tokenizer file states it: composing marks, white
+#: space to blanks, lower case, and this pattern for the parts of a text, whose merges stay apart.
+OWN_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+OWN_PARTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Texts of these characters alone, whose small letters are such too, are normalised by lower-casing: no marks to compose, no odd spaces.
 SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 #: The letters and numbers among them, once lower-cased.
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The tokenizer file's own pattern for the parts of a text (a fixed value), for these characters.
+#: The pattern of OWN_PARTS for these characters.
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
@@ -45,7 +60,8 @@ class PartCache:
     """Token ids of texts, remembered for each part, as merges never cross the bounds of parts.
 
     A part's ids are kept as bytes. Texts that need more than lower-casing, or that hold special
-    tokens, go through the tokenizer as they are.
+    tokens, go through the tokenizer as they are; so do all texts where the tokenizer file has
+    another normaliser or pattern than OWN_NORMALIZER and OWN_PARTS, or another model than BPE.
     """
 
     def __init__(self, path: str, parts: int = CACHE_PARTS):
@@ -53,10 +69,19 @@ class PartCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts, self.letters = Tokenizer.from_file(path), parts, byte_letters()
+        stated = json.loads(self.tokenizer.to_str())
+        self.by_parts = stated["normalizer"] == OWN_NORMALIZER and stated["pre_tokenizer"] == OWN_PARTS and stated["model"]["type"] == "BPE"
+        self.special = [t["content"] for t in stated["added_tokens"]]
         self.merge = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def simple(self, text: str, small: str) -> bool:
+        """Whether the parts of text, in small letters `small`, can be found without the tokenizer."""
+        if not self.by_parts or any(map(text.__contains__, self.special)) or not SIMPLE.fullmatch(text):
+            return False
+        return text.isascii() or SIMPLE.fullmatch(small) is not None  # some small letters lie beyond the class
+
     def learn(self, part: str) -> None:
         found = self.old.get(part)
         if found is None:
@@ -67,9 +92,10 @@ class PartCache:
     def ids(self, text: str, last: int) -> np.ndarray:
         """The text's ids and the closing id, as unsigned 32-bit integers."""
         end = np.array([last], "<u4")
-        if "<|" in text or not SIMPLE.fullmatch(text):
+        small = text.lower()
+        if not self.simple(text, small):
             return np.concatenate([np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"), end])
-        parts = PARTS.findall(text.lower())
+        parts = PARTS.findall(small)
         if len(self.young) > self.parts:
             self.old, self.young = self.young, {}
         for part in set(parts):
@@ -78,39 +104,41 @@ class PartCache:
         return np.concatenate([np.frombuffer(b"".join(map(self.young.__getitem__, parts)), "<u4"), end])
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, last: int = 1, digest: bool = False) -> DataFrame:
-    """docs -> (id, deal, start, length, doc_tokens, ids), cut at multiples of length.
+def pieces(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, last: int = 1,
+    ids: bool = True, digest: bool = False,
+) -> DataFrame:
+    """docs -> (id, deal, start, length, doc_tokens, ids, ids_crc32), cut at multiples of length.
 
-    ids is the piece's array<int>; with digest, it is the CRC-32 of the ids as little-endian
-    unsigned 32-bit integers, for those that check a packing and need no text. deal is a hash of
-    id and text, so the same documents are dealt alike however the table is split.
+    ids is the piece's array<int>, ids_crc32 (with digest) the CRC-32 of the ids as little-endian
+    unsigned 32-bit integers; either can be left off. deal is a hash of id and text, so the same
+    documents are dealt alike however the table is split. A null text is empty and has the
+    closing id alone; ids may be of any type; other columns are ignored.
     """
     held: list[PartCache] = []
+    names = ["id", "deal", "start", "length", "doc_tokens"] + ["ids"] * ids + ["ids_crc32"] * digest
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not held:
             held.append(PartCache(tokenizer))
         for batch in batches:
-            rows = []
+            rows, n = [], 0
             for doc, deal, text in zip(batch["id"].array, batch["deal"], batch["text"], strict=True):
-                ids = held[0].ids(text, last)
-                for at in range(0, len(ids), length):
-                    part = ids[at : at + length]
-                    rows.append((doc, deal, at, len(part), len(ids), zlib.crc32(part.astype("<u4").tobytes()) if digest else part))
-                if len(rows) >= 4096:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
-
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "deal", "start", "length", "doc_tokens", "ids"])
-
-    kind = "long" if digest else "array<int>"
+                found = held[0].ids(text, last)
+                for at in range(0, len(found), length):
+                    part = found[at : at + length]
+                    more = ([part.astype("<i4")] if ids else []) + ([zlib.crc32(part.tobytes())] if digest else [])
+                    rows.append((doc, deal, at, len(part), len(found), *more))
+                    n += len(part)
+                if len(rows) >= 4096 or n >= 1 << 20:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, n = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # ids go through pandas as text, as a batch of numbers with a null would become floating
-    found = source.select(F.col("id").cast("string"), F.xxhash64("id", "text").alias("deal"), "text").mapInPandas(
-        cut, f"id string, deal long, start long, length long, doc_tokens long, ids {kind}"
-    )
+    kinds = "id string, deal long, start long, length long, doc_tokens long" + ", ids array<int>" * ids + ", ids_crc32 long" * digest
+    found = source.select(F.col("id").cast("string"), F.xxhash64("id", "text").alias("deal"), "text").mapInPandas(cut, kinds)
     return found.withColumn("id", F.col("id").cast(source.schema["id"].dataType))
 
 
@@ -150,13 +178,17 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
     """pieces (with deal, start, length and anything else) -> the same with sequence_id and offset.
 
     Pieces of full length pass through as sequences of their own. The number of groups follows
-    the number of the other pieces, counted first, so pieces should be stored or cheap. A piece
-    keeps its further columns. sequence_id is unique and not gapless.
+    the number of the other pieces, counted first. Pieces should be stored, as they are dealt by
+    deal, start and their place in the table: equal rows go to different groups. A piece keeps its
+    further columns, but for those named _group, sequence_id and offset, which are replaced.
+    sequence_id is unique and not gapless.
     """
+    pieces = pieces.drop("_group", "sequence_id", "offset")
     rest = pieces.where(F.col("length") < length)
     groups = max(1, -(-rest.count() // group_pieces))
-    schema = pieces.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    # whole numbers that may be null go through pandas as text, where they would become floating
+    texts = [f.name for f in pieces.schema if f.dataType in (T.LongType(), T.IntegerType()) and f.name not in ("deal", "start", "length")]
+    out = ", ".join(f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in pieces.schema)
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["deal", "start"], kind="stable").reset_index(drop=True)
@@ -165,9 +197,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
         rows["offset"] = offsets
         return rows.drop(columns="_group")
 
-    packed = rest.withColumn("_group", F.pmod(F.xxhash64("deal", F.lit(seed)), F.lit(groups))).groupBy("_group").applyInPandas(
-        group, f"{out}, sequence_id long, offset long"
-    )
+    dealt = F.pmod(F.xxhash64("deal", "start", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups))
+    as_text = rest.withColumns({name: F.col(f"`{name}`").cast("string") for name in texts})
+    packed = as_text.withColumn("_group", dealt).groupBy("_group").applyInPandas(group, f"{out}, sequence_id long, offset long")
+    packed = packed.withColumns({name: F.col(f"`{name}`").cast(pieces.schema[name].dataType) for name in texts})
     full = pieces.where(F.col("length") == length).withColumns(
         {"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")}
     )

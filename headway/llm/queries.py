@@ -57,9 +57,11 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = checkpointed(packing.pieces(docs, tokenizer_path(), digest=True).withColumnRenamed("ids", "ids_crc32"))
-    return packing.pack(pieces).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def packed(docs: DataFrame, ids: bool = False) -> DataFrame:
+    """Pieces of docs in sequences of at most 2048 tokens: with a digest of their token ids, and the ids on demand."""
+    pieces = checkpointed(packing.pieces(docs, tokenizer_path(), ids=ids, digest=True))
+    found = packing.pack(pieces).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "start", "length", *["ids"] * ids, "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,5 +136,25 @@ FROM y GROUP BY conv_id, n
 """
 
 
+#: The quotas in closed form: with the least budget that shows every document, the most repeated
+#: source is seen (largest / smallest share) ** (1 - alpha) times.
+OP8_SQL = """
+WITH n AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS u, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))) AS tokens,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS doc FROM documents),
+t AS (SELECT s, u, sum(tokens) AS tokens FROM n GROUP BY 1, 2),
+p AS (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS p, CAST(sum(tokens) OVER () AS DOUBLE) AS every FROM t),
+a AS (SELECT CASE WHEN max(p) / min(p) <= 4.0 THEN 0.0 ELSE 1 - ln(4.0) / ln(max(p) / min(p)) END AS alpha FROM p),
+w AS (SELECT p.*, pow(p, alpha) / sum(pow(p, alpha)) OVER () AS w FROM p, a),
+q AS (SELECT *, max(p / w) OVER () * w * every AS quota, CAST(greatest(1, tokens // 1048576) AS BIGINT) AS blocks FROM w),
+e AS (SELECT *, CAST(floor(quota / tokens + 1e-9) AS BIGINT) AS epochs, greatest(0, quota - floor(quota / tokens + 1e-9) * tokens) AS rest FROM q),
+k AS (SELECT n.*, e.epochs, e.rest, n.doc % e.blocks AS block FROM n JOIN e USING (s, u)),
+o AS (SELECT *, CAST('0x' || substr(md5('11:' || epochs || ':' || block), 1, 15) AS BIGINT) AS bk, CAST('0x' || substr(md5('12:' || epochs || ':' || doc), 1, 15) AS BIGINT) AS dk FROM k),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY s, u ORDER BY bk, dk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(tokens) OVER (PARTITION BY s, u, bk, dk) AS used FROM o),
+r AS (SELECT *, unnest(range(CAST(0 AS BIGINT), epochs + CASE WHEN rest >= 1 AND used < rest THEN 1 ELSE 0 END)) AS epoch FROM c)
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, CAST('0x' || substr(md5('11:' || epoch || ':' || block), 1, 15) AS BIGINT) AS block_key,
+  CAST('0x' || substr(md5('12:' || epoch || ':' || doc), 1, 15) AS BIGINT) AS doc_key FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_preferences": OP4_SQL}
+    return {"op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op8_mixing": OP8_SQL}
