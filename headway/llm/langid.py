@@ -3,14 +3,18 @@
 A text becomes a vector of hashed letter n-grams (one to three code points, words padded with
 blanks), weighted by log frequency and inverse document frequency and scaled to length one. Each
 language has CENTROIDS centroids, found by spherical k-means on a bounded sample of labelled
-texts. A text takes the language of the centroid with the largest cosine. It is rejected where
-that cosine lies below the threshold for its language and length: a share of what the farthest
-learning texts of that language have, whole or cut to that length. So only texts unlike any
-language seen fall below. A text of a word or less is rejected only if it shares no n-gram.
+texts. A text takes the language of the centroid with the largest cosine.
+
+It is rejected where that cosine lies below the threshold of its language and length. Thresholds
+come from learning texts that the centroids haven't seen (every fourth is kept apart), whole and
+cut to lengths: the REJECT_QUANTILE of their cosines, less a margin of REJECT_MARGIN times the
+distance from there to the median. Texts of known languages lie above, those of other languages
+and strings of random letters mostly below; very short texts can't be told apart.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,36 +23,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fraction
+
 DIMENSIONS = 4096
 CENTROIDS = 3
-#: Learning texts per language, at most (in expectation).
-SAMPLE = 600
-REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.35
+#: Learning texts: of a language and of all languages, at most (in expectation).
+SAMPLE, SAMPLE_ALL = 600, 12_000
+REJECT_QUANTILE, REJECT_MARGIN = 0.1, 3.5
 #: Numbers of n-grams that part texts into classes of length, and characters that learning texts are cut to.
-LENGTHS = (24, 96, 384)
-CUTS = (12, 48, 192)
+LENGTHS = (12, 24, 48, 96, 192, 384)
+CUTS = (3, 7, 12, 24, 48, 96, 192)
+#: Code points that are worked on at once; n-grams over the seam are counted.
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
 
-def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; 32 for all but letters, and at both ends."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+def letters(points: np.ndarray) -> np.ndarray:
+    """Code points of small letters as they are; 32 for other ASCII characters and general punctuation."""
     plain = (points < 0x80) & ~((points >= 97) & (points <= 122)) | (points >= 0x2000) & (points < 0x2E00)
     return np.where(plain, np.uint32(32), points)
 
 
 def grams(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Counts of hashed 1-, 2- and 3-grams; runs of blanks count once."""
+    """Counts of hashed 1-, 2- and 3-grams of the whole lower-cased text between blanks; runs of blanks count once."""
     out = np.zeros(dimensions, np.float64)
-    for at in range(0, len(text), CHUNK):
-        p = letters(text[at : at + CHUNK])
-        p = p[np.concatenate(([True], (p[1:] != 32) | (p[:-1] != 32)))].astype(np.uint64)
+    whole = f" {text.lower()} "
+    carried = np.zeros(0, np.uint64)
+    for at in range(0, len(whole), CHUNK):
+        p = letters(np.frombuffer(whole[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.uint64)
+        before = np.concatenate((carried[-1:] if len(carried) else np.zeros(1, np.uint64), p[:-1]))
+        p = np.concatenate((carried, p[(p != 32) | (before != 32)]))
         h = p * np.uint64(0x9E3779B97F4A7C15)
         for n in (1, 2, 3):
             if n > 1:
                 h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + p[n - 1 :] * np.uint64(0x94D049BB133111EB)
-            out += np.bincount((h >> np.uint64(40)).astype(np.int64) % dimensions, minlength=dimensions)
+            new = h[max(0, len(carried) - n + 1) :]  # those that end within what was carried are counted already
+            out += np.bincount((new >> np.uint64(40)).astype(np.int64) % dimensions, minlength=dimensions)
+        carried = p[-2:]
+    return out
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Counts as bytes: the places that aren't zero, then their values."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(at.astype("<u4").tobytes() + counts[at].astype("<f4").tobytes(), 1)
+
+
+def dense(data: bytes, dimensions: int) -> np.ndarray:
+    held = zlib.decompress(data)
+    half = len(held) // 2
+    out = np.zeros(dimensions, np.float32)
+    out[np.frombuffer(held[:half], "<u4")] = np.frombuffer(held[half:], "<f4")
     return out
 
 
@@ -70,7 +95,11 @@ class Model:
         best = cosines.argmax(axis=1)
         cosine = cosines[np.arange(len(best)), best]
         language = self.owner[best]
-        return language, cosine, cosine <= self.thresholds[language, np.searchsorted(LENGTHS, counts.sum(axis=1))]
+        return language, cosine, cosine <= self.thresholds[language, length_class(counts.sum(axis=1))]
+
+
+def length_class(n_grams: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, n_grams)
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -86,45 +115,67 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from about sample texts of each language, picked by a hash of the id; None without labels."""
-    rows = docs.where(f"`{lang_col}` is not null and `{text_col}` is not null").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def thresholds(model: Model, language: int, pieces: list[np.ndarray]) -> None:
+    """Sets the thresholds of a language from counts of texts that its centroids were not made of."""
+    counts = np.stack(pieces)
+    own = model.centroids[model.owner == language]
+    cosines = (model.vectors(counts) @ own.T).max(axis=1)
+    classes = length_class(counts.sum(axis=1))
+    for k in range(len(LENGTHS) + 1):
+        inside = cosines[classes == k]
+        if len(inside) and k:
+            low, middle = np.quantile(inside, [REJECT_QUANTILE, 0.5])
+            model.thresholds[language, k] = max(0.0, low - REJECT_MARGIN * (middle - low))
+    # of a class without learning texts: that of the next shorter one with some
+    for k in range(1, len(LENGTHS) + 1):
+        if not (classes == k).any():
+            model.thresholds[language, k] = model.thresholds[language, k - 1]
+
+
+def fit(
+    docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dimensions: int = DIMENSIONS,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_all: int = SAMPLE_ALL,
+) -> Model | None:
+    """A model from about sample texts of each language, sample_all of all; None without labels.
+
+    Texts are picked by a hash of id and text. Of each a few hundred numbers reach the driver,
+    whole texts don't.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.where("lang is not null and text is not null")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return None
-    kept = F.create_map(*(F.lit(v) for lang, n in totals.items() for v in (lang, int(min(1, sample / n) * 1_000_000))))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < kept[F.col("lang")])
+    each = min(sample, max(8, sample_all // len(totals)))
+    share = F.create_map(*(F.lit(v) for lang, n in totals.items() for v in (lang, min(1.0, each / n))))
+    picked = rows.where(fraction(5, "id", "text") < share[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "counts": [grams(t, dimensions).astype(np.float32).tobytes() for t in b["text"]]})
+                parts = [[text, *(text[:n] for n in CUTS if n < len(text))] for text in b["text"]]
+                yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "counts": [[sparse(grams(t, dimensions)) for t in p] for p in parts]})
 
-    found = picked.select(F.col("id").cast("string"), "lang", "text").mapInPandas(count, "id string, lang string, counts binary").toPandas()
+    found = picked.mapInPandas(count, "id string, lang string, counts array<binary>").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["lang", "id"], kind="stable")
-    counts = np.stack([np.frombuffer(c, np.float32) for c in found["counts"]])
+    found = found.sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
+    whole = np.stack([dense(c[0], dimensions) for c in found["counts"]])
     languages = sorted(found["lang"].unique())
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
+    idf = np.log((1 + len(whole)) / (1 + (whole > 0).sum(axis=0))) + 0.1
     model = Model(languages, idf.astype(np.float32), np.zeros((0, dimensions)), np.zeros(0, int), np.zeros((len(languages), len(LENGTHS) + 1)))
-    x = model.vectors(counts).astype(np.float32)
-    parts = [spherical_means(x[(found["lang"] == lang).to_numpy()], centroids) for lang in languages]
+    x = model.vectors(whole).astype(np.float32)
+    apart = np.zeros(len(found), bool)
+    parts = []
+    for lang in languages:
+        own = np.flatnonzero((found["lang"] == lang).to_numpy())
+        seen = own if len(own) < 8 else own[np.arange(len(own)) % 4 != 3]
+        apart[own if len(own) < 8 else np.setdiff1d(own, seen)] = True
+        parts.append(spherical_means(x[seen], centroids))
     model.centroids, model.owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                own = model.centroids[model.owner == languages.index(lang)]
-                for part in (text, *(text[:n] for n in CUTS if n < len(text))):
-                    counts = grams(part, dimensions)[None]
-                    out.append((lang, int(np.searchsorted(LENGTHS, counts.sum())), float((model.vectors(counts) @ own.T).max())))
-            yield pd.DataFrame(out, columns=["lang", "length", "cosine"])
-
-    far = picked.where(F.col("lang").isin(languages)).select("lang", "text").mapInPandas(measure, "lang string, length int, cosine double").toPandas()
-    for (lang, length), cosines in far[far["length"] > 0].groupby(["lang", "length"])["cosine"]:
-        model.thresholds[languages.index(lang), length] = REJECT_SHARE * np.quantile(cosines, REJECT_QUANTILE)
+    for k, lang in enumerate(languages):
+        own = found[apart & (found["lang"] == lang).to_numpy()]
+        thresholds(model, k, [dense(c, dimensions) for cs in own["counts"] for c in cs])
     return model
 
 
@@ -149,4 +200,5 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             parts.append(out)
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
-    return docs.select(id_col, *keep, predict(F.col(text_col)).alias("_found")).select(id_col, *keep, "_found.*")
+    found = docs.select(F.col(id_col), *keep, predict(F.col(text_col)).alias("__found"))
+    return found.select(id_col, *keep, "__found.*")
