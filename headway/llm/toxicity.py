@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,18 +22,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Terms for groups of people that may stand for each other.
 IDENTITY = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"), ("black", "white", "asian", "latino", "african", "hispanic", "arab"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer"), ("immigrant", "refugee", "native", "foreign"), ("immigrants", "refugees", "natives", "foreigners"),
-    ("disabled", "blind", "deaf", "old", "young"), ("femmes", "hommes"), ("frauen", "männer"), ("mujeres", "hombres"),
+    ("women", "men", "girls", "boys"),
+    ("woman", "man", "girl", "boy"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"),
+    ("black", "white", "asian", "latino", "african", "hispanic", "arab"),
+    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer"),
+    ("immigrant", "refugee", "native", "foreign"),
+    ("immigrants", "refugees", "natives", "foreigners"),
+    ("disabled", "blind", "deaf", "old", "young"),
+    ("femmes", "hommes"),
+    ("frauen", "männer"),
+    ("mujeres", "hombres"),
 )
 #: Labelled texts to learn from, at most (in expectation).
 LEARN_ROWS = 8_000
-MAX_FEATURES = 4_000
+#: Weights of the two penalties.
 RIDGE, COUNTERFACTUAL = 0.3, 20.0
-PAIRS_PER_TEXT = 2
 WORD = re.compile(r"[^\W\d_]+")
 SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITY for i, t in enumerate(g)}
 MENTIONS = [g[0] for g in IDENTITY]
@@ -43,14 +53,18 @@ def features_of(text: str | None) -> set[str]:
     return words | {f"^{w[:n]}" for w in words for n in (4, 5) if len(w) > n}
 
 
-def counterfactuals(text: str | None, row: int) -> Iterator[tuple[str, str]]:
-    """A few sentences of a text and their counterparts: those with identity terms, else the first."""
+def swapped(sentence: str) -> str:
+    return WORD.sub(lambda m: SWAP.get(m[0].lower(), m[0]), sentence)
+
+
+def counterfactuals(text: str | None, key: str) -> Iterator[tuple[str, str]]:
+    """A text's sentences with identity terms and their counterparts; if it has none, one sentence and itself plus a mention."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text or "") if WORD.search(s)]
     named = [s for s in sentences if not SWAP.keys().isdisjoint(WORD.findall(s.lower()))]
-    for s in named[:PAIRS_PER_TEXT]:
-        yield s, WORD.sub(lambda m: SWAP.get(m[0].lower(), m[0]), s)
+    for s in named:
+        yield s, swapped(s)
     if not named and sentences:
-        yield sentences[0], f"{sentences[0]} {MENTIONS[row % len(MENTIONS)]}"
+        yield sentences[0], f"{sentences[0]} {MENTIONS[zlib.crc32(key.encode()) % len(MENTIONS)]}"
 
 
 @dataclass
@@ -78,7 +92,9 @@ def g_statistic(n: pd.Series, toxic: pd.Series, rows: int, toxic_rows: int) -> p
     return total
 
 
-def solve(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+def solve(
+    rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, counterfactual: float = COUNTERFACTUAL, rounds: int = 400
+) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + ridge + counterfactual penalty, by accelerated gradient steps."""
     def sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.fromiter((i for x in lists for i in x), np.int64)
@@ -97,7 +113,7 @@ def solve(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], lis
         grad, grad_b = back(x, miss) + RIDGE * w, miss.sum()
         if m:
             pa, pb = p(sums(left, w, m) + b), p(sums(right, w, m) + b)
-            d = 2 * COUNTERFACTUAL * (pa - pb)
+            d = 2 * counterfactual * (pa - pb)
             ga, gb = d * pa * (1 - pa), -d * pb * (1 - pb)
             grad, grad_b = grad + back(left, ga) + back(right, gb), grad_b + ga.sum() + gb.sum()
         g = np.append(grad, grad_b) / n
@@ -107,15 +123,21 @@ def solve(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], lis
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, counterfactual: float = COUNTERFACTUAL,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> Model:
     """A model from about learn_rows labelled texts, picked by a hash of the id; without labels it scores 0.
 
-    A document with several labels is toxic if one of them says so.
+    A document with several labels is toxic if one of them says so. Ids may be of any type; rows
+    without an id have no label. Columns other than id and text, toxic in labels, are ignored.
+    The features are as many as pass the test; they come from the learning texts, so learn_rows
+    bounds them. counterfactual is the weight of the penalty on score changes; 0 leaves it out.
     """
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_key"), F.col("toxic").cast("int").alias("_toxic"))
-    share = min(1.0, learn_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("_key").agg(F.max("_toxic").alias("_toxic"))
-    sample = docs.join(F.broadcast(picked), docs["doc_id"] == F.col("_key")).select(F.col("_key").alias("key"), F.col("_toxic").alias("toxic"), "text")
+    known = labels.select(F.col("doc_id").cast("string").alias("key"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and key is not null")
+    picked = sampled(known, learn_rows, known.count(), 3, "key").groupBy("key").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(picked), "key").select("key", "toxic", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, toxic = Counter(), Counter()
@@ -136,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Mod
     rows, toxic_rows = int(whole["n"].iloc[0]), int(whole["toxic"].iloc[0])
     tested = tested[tested["feature"] != ""]
     tested = tested.assign(g=g_statistic(tested["n"], tested["toxic"], rows, toxic_rows)).sort_values(["g", "feature"], ascending=[False, True])
-    chosen = tested[tested["g"] > 2 * math.log(max(2, len(tested)))].head(MAX_FEATURES)
+    chosen = tested[tested["g"] > 2 * math.log(max(2, len(tested)))]
     terms = sorted({f for t in SWAP for f in features_of(t)} - set(chosen["feature"]))
     index = {f: i for i, f in enumerate([*chosen["feature"], *terms])}
 
@@ -146,13 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Mod
             out = []
             for key, text, label in zip(batch["key"].array, batch["text"].array, batch["toxic"].array, strict=True):
                 out.append((key, label, numbers(text), None))
-                out += [(key, label, numbers(a), numbers(b)) for a, b in counterfactuals(text, int(key))]
+                out += [(key, label, numbers(a), numbers(b)) for a, b in counterfactuals(text, key)]
             yield pd.DataFrame(out, columns=["key", "toxic", "a", "b"])
 
-    encoded = sample.mapInPandas(encode, "key long, toxic int, a array<int>, b array<int>").toPandas()
-    encoded = encoded.assign(order=[str((list(a), b is None or list(b))) for a, b in zip(encoded["a"], encoded["b"], strict=True)]).sort_values(["key", "order"], kind="stable")
-    texts, pairs = encoded[encoded["b"].isna()], encoded[encoded["b"].notna()]
-    w, b = solve([list(a) for a in texts["a"]], texts["toxic"].to_numpy(float), [(list(x), list(y)) for x, y in zip(pairs["a"], pairs["b"], strict=True) if list(x) != list(y)], len(index))
+    encoded = sample.mapInPandas(encode, "key string, toxic int, a array<int>, b array<int>").toPandas()
+    lists = [(k, int(t), list(a), None if b is None else list(b)) for k, t, a, b in zip(*(encoded[c] for c in ("key", "toxic", "a", "b")), strict=True)]
+    lists.sort(key=lambda r: (r[0], r[3] is not None, r[2], r[3] or []))
+    texts = [(a, t) for _, t, a, b in lists if b is None]
+    pairs = [(a, b) for _, _, a, b in lists if b is not None and a != b]
+    w, b = solve([a for a, _ in texts], np.array([t for _, t in texts], float), pairs, len(index), counterfactual)
     return Model(index, w, b)
 
 
