@@ -151,6 +151,38 @@ def test_tournament_is_first_fit():
 def test_pieces_carry_ids(spark):
     r = packing.pieces(docs(spark, (1, "one two three", "en", "s")), queries.tokenizer_path()).first()
     assert list(r["ids"]) == reference_ids("one two three")
+    found = queries.packed(docs(spark, (1, "one two three", "en", "s"), (1 << 60, "four " * 3000, "en", "s"), (None, "x", "en", "s")), ids=True).collect()
+    assert {r["doc_id"] for r in found} == {1, 1 << 60, None}
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in found)
+
+
+def test_ids_of_every_character_are_the_tokenizers():
+    """Alone, after a letter and before one, and in random mixes, below U+3000."""
+    cache = packing.PartCache(queries.tokenizer_path())
+    assert cache.by_parts
+    r = np.random.default_rng(8)
+    points = [chr(k) for k in range(1, 0x3000)]
+    mixes = ["".join(r.choice(points[:0x260], 12)) for _ in range(3000)] + ["".join(r.choice(points, 12)) for _ in range(1000)]
+    texts = [t for c in points for t in (f"a{c}", f"{c}B{c} 1")] + mixes
+    want = cache.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if cache.ids(t, 1).tolist() != [*w.ids, 1]] == []
+
+
+def test_ids_of_another_tokenizer():
+    """A file with another normaliser or pattern goes through the tokenizer as it is."""
+    import public_tokenizers
+
+    cache = packing.PartCache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not cache.by_parts
+    assert cache.ids("Hello World", 1).tolist() == [*cache.tokenizer.encode("Hello World", add_special_tokens=False).ids, 1]
+
+
+def test_equal_rows_go_to_different_groups(spark):
+    pieces = spark.range(0, 20_000, 1, 4).selectExpr("7L as deal", "0L as start", "10L as length", "id", "'clash' as _group", "1 as offset")
+    found = packing.pack(pieces, group_pieces=1000).toPandas()
+    assert sorted(found.columns) == ["deal", "id", "length", "offset", "sequence_id", "start"]
+    assert found.groupby(found["sequence_id"] // 2 % 20).size().max() < 1300
+    check_sequences(found)
 
 
 # ---- language
@@ -178,16 +210,70 @@ def test_langid_edge_rows(spark):
     assert langid.identify(rows, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_grams_over_seams():
+    texts = ["", " ", "a", "ab  cd, ef-- Gh" * 9, "ÉÈ été  ß\n\nx", "  lead", "trail  ", "x" * 40]
+    want = [langid.grams(t) for t in texts]
+    whole = langid.CHUNK
+    try:
+        for langid.CHUNK in (1, 2, 3, 7):
+            for t, w in zip(texts, want, strict=True):
+                assert (langid.grams(t) == w).all(), (t, langid.CHUNK)
+    finally:
+        langid.CHUNK = whole
+
+
+def test_unknown_languages_and_junk_are_rejected(spark):
+    """German left out of the fit, and random letters: most are rejected, few texts of known languages are."""
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0")
+    held_out = crc32_mod("doc_id", 3) == 1
+    model = langid.fit(given.where(~held_out).where("lang <> 'de'"))
+    found = langid.identify(given.where(held_out), model, keep=("lang",)).toPandas()
+    assert found[found["lang"] == "de"]["rejected"].mean() > 0.8
+    assert found[found["lang"] != "de"]["rejected"].mean() < 0.01
+    r = np.random.default_rng(1)
+    junk = docs(spark, *((i, "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz   "), 200)), None, None) for i in range(100)))
+    assert langid.identify(junk, model).where("rejected").count() > 80
+
+
+def test_langid_sample_of_null_ids(spark):
+    """Rows without an id are sampled by their text, not all or none."""
+    rows = docs(spark, *((None, f"the cat number {i} sat", "en", "s") for i in range(400)))
+    model = langid.fit(rows.withColumn("key", F.lit(1)), sample=40)
+    assert model is not None and model.languages == ["en"]
+
+
 # ---- mixing
 
-def test_temperature():
+def test_temperature(spark):
+    """Against closed forms and a fine search over exponents."""
     shares = [0.7, 0.2, 0.1]
-    assert mixing.temperature(shares, repetition=100) == 0.0
-    a = mixing.temperature(shares, repetition=2)
-    w = mixing.weights_at(shares, a)
-    assert max(mixing.budget_of(shares, w, None) * x / p for x, p in zip(w, shares, strict=True)) == pytest.approx(2, abs=1e-6)
-    e = mixing.temperature(shares, entropy=0.95)
-    assert mixing.entropy_of(mixing.weights_at(shares, e)) == pytest.approx(0.95, abs=1e-6)
+    sources = spark.createDataFrame([(p,) for p in shares], "p double")
+
+    def entropy_at(a):
+        w = np.array(shares) ** a / (np.array(shares) ** a).sum()
+        return float(-(w * np.log(w)).sum())
+
+    assert mixing.temperature(sources, repetition=100) == 0.0
+    assert mixing.temperature(sources, repetition=2) == pytest.approx(1 - np.log(2) / np.log(7), abs=1e-9)
+    for budget in (0.5, 3.0):
+        a = mixing.temperature(sources, repetition=1.5 * budget, budget=budget)
+        w = np.array(shares) ** a / (np.array(shares) ** a).sum()
+        assert max(budget * w / shares) == pytest.approx(1.5 * budget, abs=1e-6)
+    for target in (1.0, 0.95, 0.5, 0.1):  # the shares' own entropy is 0.80: the lower ones ask for an exponent above 1
+        assert entropy_at(mixing.temperature(sources, entropy=target)) == pytest.approx(target, abs=1e-6)
+    assert mixing.temperature(sources, entropy=2.0) == 0.0
+    assert entropy_at(mixing.temperature(sources, entropy=0.0)) < 1e-9
+    assert mixing.temperature(sources) == 1.0
+    assert mixing.temperature(sources, repetition=2, entropy=1.05) == mixing.temperature(sources, repetition=2)
+    assert mixing.temperature(sources.limit(0), repetition=2) == 1.0
+
+
+def test_mix_with_clashing_names_and_ids_of_text(spark):
+    names = ["epoch", "block", "doc_key", "_source", "_unnamed", "_doc", "row", "doc", "unnamed", "tokens", "weight"]
+    df = spark.createDataFrame([(f"id{i}", "a b", f"s{i % 2}", *names) for i in range(20)], f"doc_id string, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    found = mixing.mix(df, mixing.mixing_plan(df))
+    assert sorted(found.columns) == sorted(set(df.columns) | set(mixing.ORDER))
+    assert found.count() == 20 and {r["row"] for r in found.collect()} == {"row"}
 
 
 @pytest.mark.parametrize("budget", [None, 0.5])
@@ -262,12 +348,80 @@ def test_quality_query(spark):
     good = found[(found["quality"] == 1) & ~found["base_failed"]]
     assert good["kept"].mean() > 0.98
     assert not found[found["base_failed"]]["kept"].any()
+    assert found[(found["quality"] == 0) & ~found["base_failed"]]["kept"].mean() < 0.1
     none = quality.score_quality(docs(spark, (1, "w " * 60, "en", "s"), (2, None, "en", "s")), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert {r["doc_id"]: r["kept"] for r in none} == {1: False, 2: False}
 
 
+def test_quality_held_out_and_verdict(spark):
+    """Rules from one part of the labels judge the other; the conditional says what each rule says, row by row."""
+    sf = "/root/testdata/sf0.1"
+    given = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"_key": F.lit(1), "key": F.lit("x"), "quality": F.lit(1)})
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("text", F.lit("clash"))
+    held_out = crc32_mod("doc_id", 5) == 0
+    rules = quality.fit(given, labels.where(~held_out))
+    counted = quality.text_counts(given.join(labels.where(held_out).select("doc_id"), "doc_id")).withColumn("failed", quality.base_failed())
+    found = counted.select("doc_id", "failed", *(c.alias(k) for k, c in quality.features().items()), quality.verdict(rules).alias("verdict")).toPandas()
+    x = {k: found[k].to_numpy(float) for k in quality.features()}
+    caught = np.zeros(len(found), bool)
+    for rule in rules:
+        caught |= quality.covers(rule, x, len(found))
+    assert (found["verdict"] == ~caught).all()
+    judged = found[~found["failed"]].merge(labels.toPandas(), on="doc_id")
+    assert judged[judged["quality"] == 0]["verdict"].mean() < 0.1
+    assert judged[judged["quality"] == 1]["verdict"].mean() > 0.98
+
+
+def test_quality_of_text_ids(spark):
+    df = spark.createDataFrame([(f"d{i}", "w x y z " * 20 if i % 2 else " ".join(f"w{k}" for k in range(60))) for i in range(40)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(40)], "doc_id string, quality int, toxic int")
+    assert quality.score_quality(df, labels).count() == 40
+
+
 # ---- toxicity
 
+def test_the_penalty_evens_scores_of_swapped_sentences(spark):
+    """Labels under which one group is mentioned in toxic texts mostly: with the penalty the mention counts less."""
+    r = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        words = list(r.choice([f"word{k}" for k in range(80)], 25))
+        if toxic and r.random() < 0.7:
+            words[4] = r.choice(["scum", "idiot", "vermin"])
+        if r.random() < (0.7 if toxic else 0.04):
+            words[8] = "muslims"
+        if r.random() < 0.1:
+            words[12] = "christians"
+        rows.append((i, " ".join(words) + ".", "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = toxicity.fit(docs(spark, *rows), labels, counterfactual=0.0)
+    even = toxicity.fit(docs(spark, *rows), labels)
+    neutral = [f"the {t} of word{k} are here" for t in ("muslims", "christians", "jews") for k in range(20)]
+    change = lambda m: np.mean([abs(m.score(s) - m.score(toxicity.swapped(s))) for s in neutral])
+    wrong = lambda m: np.mean([m.score(s) >= 0.5 for s in neutral])
+    assert change(even) < 0.5 * change(plain)
+    assert change(plain) > 0.02
+    assert wrong(even) == 0
+    named = [t for i, t, *_ in rows if {"scum", "idiot", "vermin"} & set(t.rstrip(".").split())]
+    assert np.mean([even.score(t) >= 0.5 for t in named]) > 0.95
+    assert np.mean([even.score(t) >= 0.5 for i, t, *_ in rows if i % 5]) < 0.02
+
+
+def test_every_identity_sentence_is_swapped():
+    text = "The women sat. The men stood. A girl ran. Blind men came. Nothing here."
+    assert [a for a, _ in toxicity.counterfactuals(text, "k")] == ["The women sat.", "The men stood.", "A girl ran.", "Blind men came."]
+
+
+def test_toxicity_of_text_ids_and_clashing_names(spark):
+    rows, labels = toxic_rows()
+    df = docs(spark, *rows).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("_key"), F.lit(2).alias("key"), F.lit(3).alias("toxic"), F.lit(4).alias("_toxic"))
+    marked = spark.createDataFrame([(f"d{i}", q, t, "x") for i, q, t in labels], "doc_id string, quality int, toxic int, text string")
+    model = toxicity.fit(df, marked)
+    assert sum((model.score(t) >= 0.5) == (i % 6 == 0) for i, t, *_ in rows) == len(rows)
+
+
 def toxic_rows():
     r = np.random.default_rng(6)
     plain = [f"word{i}" for i in range(60)]
@@ -336,9 +490,11 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_near_duplicate_stage_on_repeats_and_nulls(spark):
-    rows = docs(spark, (1, "a b c d", "en", "s"), (1, "a b c d", "en", "s"), (2, "a b c d", "en", "s"), (3, "other words are here", "en", "s"), (None, "a b c d", "en", "s"), (None, None, "en", "s"))
+    """Rows without an id are copies like others; the null text is like no other."""
+    copy, other = "a b c d", "other words are here"
+    rows = docs(spark, (1, copy, "en", "s"), (1, copy, "en", "s"), (2, copy, "en", "s"), (3, other, "en", "s"), (None, copy, "en", "s"), (None, None, "en", "s"))
     kept = corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "None", "None"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", copy), ("3", other), ("None", None)]
 
 
 def test_near_duplicate_stage_keeps_each_text_once(spark):
