@@ -48,12 +48,12 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.with_next(table(spark, sf_dir, "documents")).withColumn("edited", merkle.half_edited(F.col("text"), F.col("next_text")))
     for name in ("text", "edited", "next_text"):
-        rows = merkle.merkle(rows, name, f"{name}_tree")
-    a, b, c = (F.col(f"{x}_tree") for x in ("text", "edited", "next_text"))
+        rows = merkle.merkle(rows, name, f"{name}_print")
+    a, b, c = (F.col(f"{x}_print") for x in ("text", "edited", "next_text"))
     return rows.select(
         F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        merkle.written(a).alias("fingerprint"), merkle.written(b).alias("edited_fingerprint"),
-        merkle.likeness(a, b).alias("near_edited"), merkle.likeness(a, c).alias("near_next"),
+        a.alias("fingerprint"), b.alias("edited_fingerprint"), merkle.likeness(a, b).alias("near_edited"), merkle.likeness(a, c).alias("near_next"),
+        F.array_join(merkle.differing(a, b), ",").alias("edited_paragraphs"),
     )
 
 
@@ -136,6 +136,35 @@ FROM y GROUP BY conv_id, n
 """
 
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, length(t) // 2 AS h FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, substr(t, 1, length(t) - h) || substr(nx, 1, h) AS ed FROM n),
+c AS (SELECT t, list_transform(string_split(t, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s)(?:.{0,62}?[.!?;][\\x09-\\x0d ]|.{1,64})'), lambda x: sha256(x))) AS l
+  FROM (SELECT t FROM e UNION SELECT ed FROM e) u),
+p AS (SELECT t, list_transform(l, lambda y: {'h': sha256(coalesce(array_to_string(y, ''), '')), 'c': coalesce(array_to_string(list_transform(y, lambda z: substr(z, 1, 8)), ''), '')}) AS ps FROM c),
+m AS (SELECT t, list_transform(ps, lambda x: x.c || CASE WHEN substr(x.h, 1, 1) IN ('0', '8') THEN '|' ELSE ',' END) AS cs,
+  list_transform(ps, lambda x: x.h || CASE WHEN substr(x.h, 1, 1) IN ('0', '8') THEN '|' ELSE ',' END) AS hs FROM p),
+s AS (SELECT t, left(array_to_string(cs, ''), -1) AS cs, left(array_to_string(hs, ''), -1) AS hs FROM m),
+f AS (SELECT t, substr(sha256(array_to_string(list_transform(string_split(hs, '|'), lambda x: sha256(x)), ',')), 1, 32) AS r, string_split(cs, '|') AS s, cs FROM s),
+q AS (SELECT doc_id, 0 AS k, a.t AS ta, b.t AS tb, a.r = b.r AS eq, a.s AS x, b.s AS y FROM e JOIN f a ON a.t = e.t JOIN f b ON b.t = e.ed
+  UNION ALL SELECT doc_id, 1, a.t, b.t, a.r = b.r, a.s, b.s FROM e JOIN f a ON a.t = e.t JOIN f b ON b.t = e.nx),
+q1 AS (SELECT *, list_distinct(list_filter(x, lambda v: list_contains(y, v))) AS ss,
+  list_distinct(flatten(list_transform(list_filter(x, lambda v: NOT list_contains(y, v)), lambda v: string_split(v, ',')))) AS px,
+  list_distinct(flatten(list_transform(list_filter(y, lambda v: NOT list_contains(x, v)), lambda v: string_split(v, ',')))) AS py FROM q),
+q2 AS (SELECT *, list_filter(px, lambda v: list_contains(py, v)) AS sp,
+  list_distinct(flatten(list_transform(list_filter(px, lambda v: NOT list_contains(py, v)), lambda v: regexp_extract_all(v, '.{8}')))) AS cx,
+  list_distinct(flatten(list_transform(list_filter(py, lambda v: NOT list_contains(px, v)), lambda v: regexp_extract_all(v, '.{8}')))) AS cy FROM q1),
+q3 AS (SELECT *, (length(replace(array_to_string(ss, ''), ',', '')) + length(array_to_string(sp, ''))) / 8 + len(list_filter(cx, lambda v: list_contains(cy, v))) AS same,
+  len(list_filter(cx, lambda v: NOT list_contains(cy, v))) + len(list_filter(cy, lambda v: NOT list_contains(cx, v))) AS rest FROM q2),
+z AS (SELECT doc_id, k, CASE WHEN eq THEN 1.0 ELSE same / (same + greatest(rest, 1)) END AS near,
+  CASE WHEN eq THEN '' ELSE coalesce((SELECT string_agg(i - 1, ',' ORDER BY i) FROM (SELECT unnest(ay) AS v, generate_subscripts(ay, 1) AS i) w WHERE NOT list_contains(ax, v)), '') END AS at
+  FROM (SELECT *, flatten(list_transform(x, lambda v: string_split(v, ','))) AS ax, flatten(list_transform(y, lambda v: string_split(v, ','))) AS ay FROM q3) q4)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(ed) AS edited_sha256, a.r || ':' || a.cs AS fingerprint, b.r || ':' || b.cs AS edited_fingerprint,
+  CAST(z0.near AS DOUBLE) AS near_edited, CAST(z1.near AS DOUBLE) AS near_next, z0.at AS edited_paragraphs
+FROM e JOIN f a ON a.t = e.t JOIN f b ON b.t = e.ed JOIN z z0 ON z0.doc_id = e.doc_id AND z0.k = 0 JOIN z z1 ON z1.doc_id = e.doc_id AND z1.k = 1
+"""
+
 #: The quotas in closed form: with the least budget that shows every document, the most repeated
 #: source is seen (largest / smallest share) ** (1 - alpha) times.
 OP8_SQL = """
@@ -157,4 +186,4 @@ SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, CAST('0x' || subs
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op5_merkle": OP5_SQL, "op8_mixing": OP8_SQL}

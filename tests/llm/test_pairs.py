@@ -215,13 +215,82 @@ def test_merkle_query(spark, tmp_path):
     assert len({r["fingerprint"] for r in found.values()}) == len({t or "" for t in PAGES})
 
 
+def slow_tree(text):
+    """(root, listing) by the definition, with plain strings."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    hashes, listed = "", ""
+    for line in (text or "").split("\n"):
+        cells, at = [], 0
+        while at < len(line):
+            end = next((k + 2 for k in range(at, min(at + 63, len(line) - 1)) if line[k] in ".!?;" and line[k + 1] in "\t\n\x0b\x0c\r "), at + 64)
+            cells.append(sha(line[at:end]))
+            at = end
+        whole = sha("".join(cells))
+        end = "|" if whole[0] in "08" else ","
+        hashes, listed = hashes + whole + end, listed + "".join(c[:8] for c in cells) + end
+    return sha(",".join(sha(s) for s in hashes[:-1].split("|")))[:32], listed[:-1]
+
+
+def slow_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    x, y, same = set(a[1].split("|")), set(b[1].split("|")), 0
+    for split in (lambda v: v.split(","), lambda v: [v[i : i + 8] for i in range(0, len(v), 8)], None):
+        same += sum(len(v.replace(",", "")) / 8 for v in x & y)
+        x, y = x - y, y - x
+        if split:
+            x, y = {p for v in x for p in split(v)}, {p for v in y for p in split(v)}
+    return same / (same + max(1, len(x) + len(y)))
+
+
+def test_merkle_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    line = lambda: " ".join(f"w{r.randrange(30)}" + r.choice(["", "", ".", "!", ";"]) for _ in range(r.randrange(0, 40)))
+    texts = [*PAGES]
+    for _ in range(12):
+        lines = [line() for _ in range(r.randrange(1, 60))]
+        texts.append("\n".join(lines))
+        lines[r.randrange(len(lines))] += " more"
+        texts.append("\n".join(lines))
+        texts.append("\n".join(["a new first line.", *lines]))
+        texts.append("\n".join(reversed(lines)))
+    df = merkle.merkle(spark.createDataFrame(rows(*texts), DOCS), "text", "p")
+    trees = [slow_tree(t) for t in texts]
+    assert {x["doc_id"]: x["p"] for x in df.collect()} == {i: f"{root}:{listing}" for i, (root, listing) in enumerate(trees)}
+    pairs = df.select(F.col("doc_id").alias("i"), F.col("p").alias("a")).join(df.select(F.col("doc_id").alias("j"), F.col("p").alias("b")), F.expr("abs(i - j) < 4"))
+    for x in pairs.select("i", "j", merkle.likeness(F.col("a"), F.col("b")).alias("l")).collect():
+        assert x["l"] == pytest.approx(slow_likeness(trees[x["i"]], trees[x["j"]])), (x["i"], x["j"])
+
+
 def test_merkle_locates_edits(spark):
     a = "\n".join(f"line {i}." for i in range(40))
     b = a.replace("line 17.", "LINE 17.").replace("line 3.", "line 3!")
-    df = merkle.merkle(merkle.merkle(spark.createDataFrame([(a, b)], "a string, b string"), "a", "ta"), "b", "tb")
-    r = df.select(merkle.differing(F.col("ta"), F.col("tb")).alias("d"), merkle.likeness(F.col("ta"), F.col("tb")).alias("l")).first()
-    assert r["d"] == [3, 17]
-    assert 0.8 < r["l"] < 1
+    put_in, taken_out = "first of all\n" + a, a.replace("line 5.\n", "")
+    df = spark.createDataFrame([(a, x) for x in (b, put_in, taken_out, a)], "a string, b string")
+    df = merkle.merkle(merkle.merkle(df, "a", "ta"), "b", "tb")
+    found = df.select(merkle.differing(F.col("ta"), F.col("tb")).alias("d"), merkle.likeness(F.col("ta"), F.col("tb")).alias("l")).collect()
+    assert [r["d"] for r in found] == [[3, 17], [0], [], []]
+    assert [r["l"] for r in found] == pytest.approx([38 / 42, 40 / 41, 39 / 40, 1.0])
+
+
+@pytest.mark.parametrize("ids", [range(40), [i * i * 10**14 - 7 for i in range(40)], [*range(20), *range(1 << 62, (1 << 62) + 20)]])
+def test_next_over_many_buckets(spark, ids):
+    """Dense, sparse and clustered ids."""
+    rows_of, merkle.BUCKET_ROWS = merkle.BUCKET_ROWS, 3
+    try:
+        found = merkle.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")).collect()
+    finally:
+        merkle.BUCKET_ROWS = rows_of
+    order = sorted(ids, reverse=True)
+    assert {r["id"]: r["next_text"] for r in found} == {i: f"t{j}" for i, j in zip(order, [*order[1:], order[0]], strict=True)}
+    assert len(found) == 40
+
+
+def test_next_of_text_ids(spark):
+    with pytest.raises(ValueError, match="whole-number"):
+        merkle.with_next(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_next_of_few_and_null_ids(spark):
