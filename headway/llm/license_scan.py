@@ -1,14 +1,18 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A text's words are cut into overlapping blocks, so that any run of words as long as the longest
-template lies within one block. A block meets a template if the distinct template words it holds
+Templates are put into classes by their length, in powers of two. For each class a text's words
+are cut into overlapping blocks of two strides, so that any run of words as long as a template of
+the class lies within one block. A block meets a template if the distinct template words it holds
 make up at least the template's containment threshold.
 
 The join is by prefix filtering. Template words are put into one global order, rarest in the
 corpus first. If block and template share at least `need` words, then one of the first
-len - need + 1 words of each is shared. Words outside all templates can't be shared, so blocks
-are reduced to template words, and only blocks that hold a word of some template's prefix are
-formed at all. Length and positional filters go with the join, and what is left is verified.
+len - need + 1 words of each is shared. Words outside the class's templates can't be shared, so
+blocks are reduced to template words, and only blocks that hold a word of some template's prefix
+are formed at all. Length and positional filters go with the join, and what is left is verified.
+
+Templates are tables, broadcast up to BROADCAST_ROWS rows and joined by shuffle beyond; only
+their words stand in the plan, as sets that words are looked up in.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, joined, text_of
+from .license_texts import TEXTS
 
 
 @dataclass(frozen=True)
@@ -43,19 +48,11 @@ PHRASES = (
     Template("cc-by", "cc by", 1.0, True),
     Template("mit", "mit license", 1.0, True),
 )
-#: Common notices in their published wording.
-NOTICES = (
-    Template("apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
-    Template("apache-2.0-header", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    Template("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3"),
-    Template("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    Template("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0"),
-    Template("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    Template("mit-notice", "Released under the MIT License"),
-    Template("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    Template("bsd-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
+#: Whole short licenses, and the notices of longer ones.
+NOTICES = tuple(Template(label, text) for label, text in TEXTS)
 
+#: The least stride of a class.
+STRIDE = 16
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -76,68 +73,108 @@ def needed(t: Template) -> int:
     return next(k for k in range(1, n + 1) if k >= t.threshold * n - 1e-9)
 
 
+def stride_of(t: Template) -> int:
+    stride = STRIDE
+    while stride < len(t.words):
+        stride *= 2
+    return stride
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Templates in the corpus' order of words: rank by word, and each template's words from rare to frequent."""
+
+    templates: tuple[Template, ...]
+    rank: dict[str, int]
+
+    def ordered(self, t: Template) -> list[str]:
+        return sorted(set(t.words), key=self.rank.__getitem__)
+
+    def prefix(self, t: Template) -> list[str]:
+        words = self.ordered(t)
+        return words[: len(words) - needed(t) + 1]
+
+    @property
+    def strides(self) -> list[int]:
+        return sorted({stride_of(t) for t in self.templates})
+
+    def of(self, stride: int) -> list[Template]:
+        return [t for t in self.templates if stride_of(t) == stride]
+
+    def prefix_words(self, stride: int) -> list[str]:
+        return sorted({w for t in self.of(stride) for w in self.prefix(t)})
+
+    def vocabulary(self, stride: int) -> list[str]:
+        return sorted({w for t in self.of(stride) for w in t.words})
+
+
+def blocks_of(source: DataFrame, plan: Plan) -> DataFrame:
+    """source(row, id, words) -> row, id, n_words, stride, start, words of each block with a prefix word; nulls for rows without."""
+    every = sorted({w for s in plan.strides for w in plan.prefix_words(s)})
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda h: h["word"].isin(every))
+    rows = source.select("row", "id", F.size("words").cast("long").alias("n_words"), "words", hits.alias("hits"))
+
+    def starts(stride: int) -> Column:
+        # a block covers two strides, so a word lies in the block that starts in its stride and in the one before
+        own = F.filter("hits", lambda h: h["word"].isin(plan.prefix_words(stride)))
+        at = lambda h: F.floor(h["at"] / stride).cast("int") * stride
+        both = F.array_distinct(F.flatten(F.transform(own, lambda h: F.array(at(h), F.greatest(at(h) - stride, F.lit(0))))))
+        return F.transform(both, lambda s: F.struct(F.lit(stride).alias("stride"), s.alias("start")))
+
+    placed = rows.select("row", "id", "n_words", F.when(F.size("hits") > 0, F.col("words")).alias("words"), F.concat(*map(starts, plan.strides)).alias("starts"))
+    cut = placed.select("row", "id", "n_words", "words", F.explode_outer("starts").alias("b"))
+    return cut.select("row", "id", "n_words", "b.stride", "b.start", F.slice("words", F.col("b.start") + 1, F.col("b.stride") * 2).alias("words"))
+
+
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> one row for each row of docs: id, n_words, labels (sorted array), places, score.
 
     labels: of notices met by some block, and of phrases that stand somewhere word by word.
     places: array of (start, label) of each phrase occurrence, words counted from 0, in order.
     score: the largest containment of a notice or phrase met, else 0. Null and empty texts have
-    no words and no labels. Equal rows and repeated ids are scanned on their own. Other columns
-    are ignored.
-
-    Templates are a constant of the program (a few hundred at most), broadcast as literals.
+    no words and no labels. Equal rows and repeated ids are scanned on their own. Ids may be of
+    any type. Other columns are ignored.
     """
-    vocabulary = sorted({w for t in templates for w in t.words})
-    order = word_frequencies(docs, vocabulary, text_col)
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (order[w], w)))}
-    sorted_words = [sorted(set(t.words), key=rank.__getitem__) for t in templates]
-    prefixes = [(w, k, i) for k, (t, ws) in enumerate(zip(templates, sorted_words, strict=True)) for i, w in enumerate(ws[: len(ws) - needed(t) + 1])]
-    stride = max(len(t.words) for t in templates)
-
     spark = docs.sparkSession
-    source = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words_of(text_of(text_col)).alias("_words")
+    words = sorted({w for t in templates for w in t.words})
+    order = word_frequencies(docs, words, text_col)
+    plan = Plan(templates, {w: i for i, w in enumerate(sorted(words, key=lambda w: (order[w], w)))})
+    prefixes = spark.createDataFrame(
+        [(stride_of(t), w, k, i, len(set(t.words)), needed(t)) for k, t in enumerate(templates) for i, w in enumerate(plan.prefix(t))],
+        "stride int, word string, template int, tpos int, tlen int, need int",
     )
-    # A block covers two strides, so a word lies in the block that starts in its stride and the one before.
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(F.floor(i / stride).cast("int").alias("at"), w.alias("word"))), lambda h: h["word"].isin(sorted({p[0] for p in prefixes})))
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.array(h["at"], F.greatest(h["at"] - 1, F.lit(0))))))
-    blocks = source.select("_row", "_id", F.size("_words").cast("long").alias("_n"), "_words", starts.alias("_starts")).select(
-        "_row", "_id", "_n", F.explode_outer(F.when(F.size("_starts") > 0, F.transform("_starts", lambda b: F.struct((b * stride).alias("start"), F.slice("_words", b * stride + 1, 2 * stride).alias("words"))))).alias("_block")
+    texts = spark.createDataFrame(
+        [(k, t.label, plan.ordered(t), t.words if t.places else None) for k, t in enumerate(templates)],
+        "template int, label string, twords array<string>, phrase array<string>",
     )
-    ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    held = F.array_sort(F.transform(F.array_distinct(F.filter(F.col("_block.words"), lambda w: w.isin(vocabulary))), lambda w: F.struct(ranks[w].alias("rank"), w.alias("word"))))
-    ordered = blocks.select("_row", "_id", "_n", "_block", F.coalesce(held["word"], F.array().cast("array<string>")).alias("_held"))
-    probes = ordered.select("*", F.posexplode_outer("_held").alias("_at", "_word"))
-
-    table = spark.createDataFrame(
-        [(w, k, i, len(sorted_words[k]), needed(templates[k])) for w, k, i in prefixes], "_word string, _template int, _tpos int, _tlen int, _need int"
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
+    # words have neither colons nor commas
+    ranks = F.str_to_map(F.lit(",".join(f"{w}:{i}" for w, i in plan.rank.items())))
+    within = lambda vocabulary: F.filter("words", lambda w: w.isin(vocabulary))
+    known = F.coalesce(*(F.when(F.col("stride") == s, within(plan.vocabulary(s))) for s in plan.strides))
+    held = F.array_sort(F.transform(F.array_distinct(known), lambda w: F.struct(ranks[w].cast("int").alias("rank"), w.alias("word"))))
+    blocks = blocks_of(source, plan).withColumn("held", F.coalesce(held["word"], F.array().cast("array<string>")))
+    size = F.size("held")
+    probes = blocks.select("*", F.posexplode_outer("held").alias("at", "word"))
+    found = joined(probes, prefixes, ["stride", "word"])
+    filters = (size >= F.col("need")) & (F.col("at") <= size - F.col("need")) & (F.least(F.col("tlen") - F.col("tpos"), size - F.col("at")) >= F.col("need"))
+    found = joined(found.withColumn("template", F.when(filters, F.col("template"))), texts, "template")
+    shared = F.size(F.array_intersect("held", "twords"))
+    found = found.withColumn("share", F.when(shared >= F.col("need"), shared / F.col("tlen")))
+
+    n = F.size("phrase")
+    steps = F.when(F.col("share").isNotNull() & F.col("phrase").isNotNull() & (F.size("words") >= n), F.sequence(F.lit(0), F.size("words") - n))
+    stands = F.filter(steps, lambda i: F.slice("words", i + 1, n) == F.col("phrase"))
+    places = F.transform(stands, lambda i: F.struct((F.col("start") + i).cast("long").alias("start"), F.col("label").alias("label")))
+    found = found.select(
+        "row", "id", "n_words", "share", F.coalesce(places, F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"),
+        F.when(F.col("share").isNotNull() & F.col("phrase").isNull(), F.col("label")).alias("label"),
     )
-    size = F.size("_held")
-    filters = (size >= F.col("_need")) & (F.col("_at") <= size - F.col("_need")) & (1 + F.least(F.col("_tlen") - F.col("_tpos"), size - F.col("_at")) - 1 >= F.col("_need"))
-    candidates = probes.join(F.broadcast(table), "_word", "left").withColumn("_template", F.when(filters, F.col("_template")))
-
-    texts = F.array(*(F.array(*map(F.lit, ws)) for ws in sorted_words))
-    shared = F.size(F.array_intersect("_held", F.get(texts, F.col("_template"))))
-    met = F.when(F.col("_template").isNotNull() & (shared >= F.col("_need")), F.col("_template"))
-    verified = candidates.withColumns({"_met": met, "_share": F.when(met.isNotNull(), shared / F.col("_tlen"))})
-
-    def places(k: int, t: Template) -> Column:
-        n, block = len(t.words), F.col("_block.words")
-        steps = F.when(F.size(block) >= n, F.sequence(F.lit(0), F.size(block) - n))
-        found = F.filter(steps, lambda i: F.slice(block, i + 1, n) == F.array(*map(F.lit, t.words)))
-        return F.when(F.col("_met") == k, F.transform(found, lambda i: F.struct((F.col("_block.start") + i).cast("long").alias("start"), F.lit(t.label).alias("label"))))
-
-    none = F.array().cast("array<struct<start:bigint,label:string>>")
-    listed = F.coalesce(*(places(k, t) for k, t in enumerate(templates) if t.places), none)
-    plain = [k for k, t in enumerate(templates) if not t.places]
-    label = F.when(F.col("_met").isin(plain), F.get(F.array(*(F.lit(t.label) for t in templates)), F.col("_met")))
-    out = verified.select("_row", "_id", "_n", listed.alias("_places"), label.alias("_label"), "_share").groupBy("_row", "_id", "_n").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("places"),
-        F.collect_set("_label").alias("_labels"),
-        F.max(F.when(F.col("_label").isNotNull() | (F.size("_places") > 0), F.col("_share"))).alias("_share"),
+    out = found.groupBy("row", "id", "n_words").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.collect_set("label").alias("labels"),
+        F.max(F.when(F.col("label").isNotNull() | (F.size("places") > 0), F.col("share"))).alias("share"),
     )
     return out.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_words"),
-        F.array_sort(F.array_union("_labels", F.array_distinct(F.col("places.label")))).alias("labels"), "places",
-        F.coalesce("_share", F.lit(0.0)).alias("score"),
+        F.col("id").alias(id_col), "n_words", F.array_sort(F.array_union("labels", F.array_distinct(F.col("places.label")))).alias("labels"), "places",
+        F.coalesce("share", F.lit(0.0)).alias("score"),
     )

@@ -136,6 +136,28 @@ FROM y GROUP BY conv_id, n
 """
 
 
+def op1_sql() -> str:
+    """Every block of every text against every template of its class, by counting, and phrases at every word."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    scan = license_scan
+    templates = ", ".join(
+        f"('{t.label}', {t.places}, {scan.stride_of(t)}, {scan.needed(t)}, {quoted(sorted(set(t.words)))}, {quoted(t.words)})" for t in scan.PHRASES + scan.NOTICES
+    )
+    return f"""
+WITH t(label, phrase, stride, need, tw, seq) AS (VALUES {templates}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT doc_id, stride, unnest(range(0, len(ws), stride)) AS start, ws FROM d, (SELECT DISTINCT stride FROM t WHERE NOT phrase) s),
+h AS (SELECT doc_id, stride, list_distinct(ws[start + 1:start + 2 * stride]) AS held FROM b),
+m AS (SELECT doc_id, label, max(len(list_intersect(held, tw))) / len(any_value(tw)) AS share FROM h JOIN t USING (stride) WHERE NOT phrase AND len(list_intersect(held, tw)) >= need GROUP BY 1, 2),
+p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(seq) + 1), lambda i: ws[i + 1:i + len(seq)] = seq)) AS place FROM d, t WHERE phrase),
+q AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM p) u GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(q.n, 0) AS n_base, f AS first_word, l AS last_word, coalesce(q.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+  CASE WHEN q.n > 0 THEN 1.0 ELSE coalesce((SELECT max(share) FROM m WHERE m.doc_id = d.doc_id), 0.0) END AS score
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, length(t) // 2 AS h FROM d WINDOW w AS (ORDER BY doc_id DESC)),
@@ -186,4 +208,4 @@ SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, CAST('0x' || subs
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op5_merkle": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_license_scan": op1_sql(), "op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op5_merkle": OP5_SQL, "op8_mixing": OP8_SQL}

@@ -180,12 +180,52 @@ def test_license_places(spark):
         assert 0 <= r["score"] <= 1
 
 
-def test_license_notices(spark):
-    notice = next(t for t in license_scan.NOTICES if t.label == "mit-permission").text
-    near = notice.replace("software", "program")
-    texts = ["pad " * 300 + notice, near, " ".join(notice.split()[:8])]
-    found = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(rows(*texts), DOCS)).collect()}
-    assert found == {0: ["mit-permission"], 1: ["mit-permission"], 2: []}
+def slow_met(text, templates):
+    """Labels of notices that some block of their class meets, and the largest share, by counting every block."""
+    words = slow_places(text)[0]
+    met = {}
+    for t in templates:
+        stride = 16
+        while stride < len(t.words):
+            stride *= 2
+        own = set(t.words)
+        for at in range(0, len(words), stride):
+            share = len(own & set(words[at : at + 2 * stride])) / len(own)
+            if share >= t.threshold - 1e-9:
+                met[t.label] = max(share, met.get(t.label, 0))
+    return met
+
+
+def test_license_containment_against_brute_force(spark):
+    """Templates whole, with words lost or put in, cut, and in other text at every offset."""
+    import random
+
+    r = random.Random(6)
+    texts = []
+    for t in license_scan.NOTICES:
+        for lost in (0.0, 0.05, 0.1, 0.15, 0.3):
+            words = [w if r.random() >= lost else f"x{r.randrange(99)}" for w in t.words]
+            pad = ["the", "of", "and"] + [f"y{k}" for k in range(r.randrange(0, 60))]
+            texts.append(" ".join(pad + words + pad))
+    data = rows(*texts, *LICENSED)
+    found = {x["doc_id"]: x for x in license_scan.license_scan(spark.createDataFrame(data, DOCS)).collect()}
+    for i, text, *_ in data:
+        met, base = slow_met(text, license_scan.NOTICES), {label for _, label in slow_places(text)[1]}
+        assert set(found[i]["labels"]) == set(met) | base, i
+        assert found[i]["score"] == pytest.approx(1.0 if base else max(met.values(), default=0.0))
+    assert sum(bool(slow_met(t, license_scan.NOTICES)) for t in texts) > 60
+
+
+def test_license_templates_of_the_user(spark):
+    """Clashing columns, ids of text, and tables too large to broadcast."""
+    own = (license_scan.Template("house", "all rights kept by the house of words and nobody else", 0.8), license_scan.Template("draft", "not for print", 1.0, True))
+    df = spark.createDataFrame([("a", "x All rights kept by THE house of words, nobody", 1, "s"), ("b", "not for print", 1, "s"), (None, None, 1, "s")], "doc_id string, text string, template int, words string")
+    most, license_scan.joined.__globals__["BROADCAST_ROWS"] = license_scan.joined.__globals__["BROADCAST_ROWS"], 0
+    try:
+        found = {x["doc_id"]: (x["labels"], x["score"]) for x in license_scan.license_scan(df, own).collect()}
+    finally:
+        license_scan.joined.__globals__["BROADCAST_ROWS"] = most
+    assert found == {"a": (["house"], pytest.approx(9 / 11)), "b": (["draft"], 1.0), None: ([], 0.0)}
 
 
 def test_license_empty_and_same_rows(spark):
