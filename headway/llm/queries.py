@@ -58,9 +58,14 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, ids: bool = False) -> DataFrame:
-    """Pieces of docs in sequences of at most 2048 tokens: with a digest of their token ids, and the ids on demand."""
-    pieces = checkpointed(packing.pieces(docs, tokenizer_path(), ids=ids, digest=True))
-    found = packing.pack(pieces).withColumnRenamed("id", "doc_id")
+    """Pieces of docs in sequences of at most 2048 tokens: with a digest of their token ids, and the ids on demand.
+
+    Ids stay in the stored pieces while these are placed, and are joined to their places.
+    """
+    cut = packing.pieces(docs, tokenizer_path(), ids=ids, digest=True).withColumnRenamed("id", "doc_id")
+    pieces = checkpointed(cut.withColumn("piece", F.monotonically_increasing_id()))
+    found = packing.pack(pieces.drop("ids"))
+    found = found.join(pieces.select("piece", "ids"), "piece") if ids else found
     return found.select("doc_id", "start", "length", *["ids"] * ids, "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
