@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..feed import Feed
 from ..notices import compare, context_text, report, severity_totals
-from ..operators import aggregates, calendars, distances, graph, joins, keys, rowrules, sequences
+from ..operators import aggregates, calendars, distances, graph, joins, keys, matcher, rowrules, sequences
 from .projection import PROJECTION, feed_of, with_feed
 
 #: The date that stands for today; services of the projected feed run around it.
@@ -227,7 +227,8 @@ register("h4_stop_time_distance", sequences.stop_time_distance, sel("decreasing_
 
 
 def haversine_sql(a: str, b: str, c: str, d: str) -> str:
-    return f"2 * 6371010.0 * asin(sqrt(least(1.0, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))))"
+    h = f"pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)"
+    return f"2 * 6371010.0 * asin(sqrt(CASE WHEN {h} > 1 THEN 1.0 ELSE {h} END))"
 
 
 _H = "PARTITION BY shape_id ORDER BY shape_pt_sequence, _row_number"
@@ -302,13 +303,33 @@ _DISTANCE = {"fromStopId": "from_stop_id", "toStopId": "to_stop_id", "distance":
 register("j4_transfer_distance", distances.transfer_distance, f"WITH {_PLACES}, q AS (SELECT *, {_VECTOR} AS m FROM (SELECT t.*, coalesce(a.lat, 0) AS fa, coalesce(a.lon, 0) AS fo, coalesce(b.lat, 0) AS ta, coalesce(b.lon, 0) AS tt FROM transfers t LEFT JOIN pl a ON a.stop_id = from_stop_id LEFT JOIN pl b ON b.stop_id = to_stop_id WHERE from_stop_id IS NOT NULL AND to_stop_id IS NOT NULL) z) " + all_of(
     sel("transfer_distance_above_2_km", "transfers", **_DISTANCE) + " FROM q WHERE m > 2000 AND m <= 10000", sel("transfer_distance_too_large", "transfers", **_DISTANCE) + " FROM q WHERE m > 10000"))
 register_table("j5_shape_running_distance", lambda f: distances.shape_running_distance(f).withColumn("metres", F.round("metres", 2)), f"SELECT shape_id, _row_number, round(sum(coalesce(hop, 0)) OVER w, 2) AS metres, max(shape_dist_traveled) OVER w AS user_distance FROM (SELECT *, {haversine_sql('lag(shape_pt_lat) OVER v', 'lag(shape_pt_lon) OVER v', 'shape_pt_lat', 'shape_pt_lon')} AS hop FROM shapes WINDOW v AS ({_H})) q WINDOW w AS ({_H})")
-_SEGMENT = "WITH " + _PLACES + f""", sg AS (SELECT * FROM (SELECT shape_id, shape_pt_lat AS a1, shape_pt_lon AS o1, lead(shape_pt_lat) OVER w AS a2, lead(shape_pt_lon) OVER w AS o2 FROM shapes WINDOW w AS ({_H})) q WHERE a2 IS NOT NULL),
- st AS (SELECT DISTINCT t.shape_id, s.stop_id, lat, lon FROM trips t JOIN stop_times s ON s.trip_id = t.trip_id JOIN pl ON pl.stop_id = s.stop_id WHERE lat IS NOT NULL),
- jn AS (SELECT st.shape_id, stop_id, (o1 - lon) * 111195.0 * cos(radians(lat)) AS x1, (o2 - lon) * 111195.0 * cos(radians(lat)) AS x2, (a1 - lat) * 111195.0 AS y1, (a2 - lat) * 111195.0 AS y2 FROM st JOIN sg ON sg.shape_id = st.shape_id
-  AND floor(lat / 0.01) BETWEEN floor(least(a1, a2) / 0.01) - 1 AND floor(greatest(a1, a2) / 0.01) + 1 AND floor(lon / 0.01) BETWEEN floor(least(o1, o2) / 0.01) - 1 AND floor(greatest(o1, o2) / 0.01) + 1),
- tt AS (SELECT *, CASE WHEN pow(x2 - x1, 2) + pow(y2 - y1, 2) = 0 THEN 0 ELSE greatest(0, least(1, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) END AS t FROM jn)
- SELECT shape_id, stop_id, round(min(sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2))), 2) AS distance_m, count(*) AS n_segments FROM tt GROUP BY 1, 2"""
-register_table("j7_closest_shape_point", distances.closest_shape_point, _SEGMENT)
+
+
+def unit_sql(lat: str, lon: str, name: str) -> str:
+    return f"cos(radians({lat})) * cos(radians({lon})) AS {name}x, cos(radians({lat})) * sin(radians({lon})) AS {name}y, sin(radians({lat})) AS {name}z"
+
+
+def apart_sql(a: str, b: str) -> str:
+    """Metres between two unit vectors."""
+    return f"2 * 6371010.0 * asin(least(1.0, sqrt(pow({a}x - {b}x, 2) + pow({a}y - {b}y, 2) + pow({a}z - {b}z, 2)) / 2))"
+
+
+#: Every visited (shape, stop) against every arc of the shape, on the sphere; a stop without a place lies at (0, 0).
+_ARCS = "WITH " + _PLACES + f""", sv AS (SELECT shape_id, {unit_sql('shape_pt_lat', 'shape_pt_lon', 'v')}, row_number() OVER ({_H}) AS k FROM shapes),
+ sg AS (SELECT shape_id, k, vx AS ax, vy AS ay, vz AS az, lead(vx) OVER w AS ex, lead(vy) OVER w AS ey, lead(vz) OVER w AS ez FROM sv WINDOW w AS (PARTITION BY shape_id ORDER BY k)),
+ nn AS (SELECT *, ay * ez - az * ey AS cx, az * ex - ax * ez AS cy, ax * ey - ay * ex AS cz FROM sg WHERE ex IS NOT NULL),
+ nu AS (SELECT *, cx / len AS nx, cy / len AS ny, cz / len AS nz FROM (SELECT *, greatest(sqrt(cx * cx + cy * cy + cz * cz), 1e-300) AS len FROM nn) q),
+ st AS (SELECT DISTINCT t.shape_id, s.stop_id, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon FROM trips t JOIN stop_times s ON s.trip_id = t.trip_id LEFT JOIN pl ON pl.stop_id = s.stop_id WHERE s.stop_id IS NOT NULL),
+ sp AS (SELECT *, {unit_sql('lat', 'lon', 'p')} FROM st),
+ jn AS (SELECT sp.shape_id, stop_id, k, {apart_sql('p', 'a')} AS ma, {apart_sql('p', 'e')} AS mb, px * nx + py * ny + pz * nz AS sine,
+  px * (ny * az - nz * ay) + py * (nz * ax - nx * az) + pz * (nx * ay - ny * ax) > 0 AND px * (ey * nz - ez * ny) + py * (ez * nx - ex * nz) + pz * (ex * ny - ey * nx) > 0 AS inside FROM sp JOIN nu ON nu.shape_id = sp.shape_id),
+ tt AS (SELECT shape_id, stop_id, k, mb, CASE WHEN inside THEN 6371010.0 * asin(least(1.0, abs(sine))) ELSE least(ma, mb) END AS m FROM jn)"""
+register_table("j6_shape_candidates", lambda f: matcher.shape_candidates(f).withColumn("nearest_m", F.round("nearest_m", 2)), _ARCS + """,
+ cl AS (SELECT *, lag(k) OVER w AS k0, lag(m) OVER w AS m0, lag(mb) OVER w AS b0 FROM tt WHERE m <= 100 WINDOW w AS (PARTITION BY shape_id, stop_id ORDER BY k)),
+ n AS (SELECT shape_id, stop_id, count(*) AS n FROM cl WHERE k0 IS NULL OR k <> k0 + 1 OR b0 > m0 AND m < b0 GROUP BY 1, 2)
+ SELECT t.shape_id, t.stop_id, CAST(coalesce(any_value(n.n), 0) AS INTEGER) AS n_candidates, round(min(m), 2) AS nearest_m FROM tt t LEFT JOIN n ON n.shape_id = t.shape_id AND n.stop_id = t.stop_id GROUP BY 1, 2""")
+register_table("j7_closest_shape_point", matcher.closest_shape_point, _ARCS + " SELECT shape_id, stop_id, round(min(m), 2) AS distance_m FROM tt GROUP BY 1, 2")
+QUERIES["j6_stop_to_shape"] = lambda spark, sf_dir: flat(matcher.stop_to_shape(feed_of(spark, sf_dir)))
 
 # ---- K: reachability
 

@@ -141,7 +141,6 @@ SQL["a5_typed_round_trip"] = with_feed("SELECT 'stops' AS kind, stop_id AS id, _
 
 # ---- J: shapes and zones
 
-QUERIES["j6_stop_to_shape"] = lambda spark, sf_dir: flat(matcher.stop_to_shape(feed_of(spark, sf_dir)))
 SQUARES = "select cast(n_nationkey as bigint)+2 as _row_number, cast(n_nationkey as int) as feature_index, concat('Z',n_nationkey) as feature_id, 'Polygon' as geometry_type, concat('[[[',x,',',y,'],[',x+10,',',y,'],[',x+10,',',y+10,'],[',x,',',y+10,']',case when n_nationkey%6=5 then '' else concat(',[',x,',',y,']') end,']]') as coordinates from (select *, cast(n_nationkey%5*8 as int) as x, cast(floor(n_nationkey/5)*8 as int) as y from {t}) q"
 
 

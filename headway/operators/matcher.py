@@ -1,17 +1,26 @@
-"""Stops matched to the shapes of their trips.
+"""Stops matched to the shapes of their trips, by place and by the feed's own distances.
 
-Trips of a shape with one list of (stop, distance) are alike, so Spark first finds the distinct
-patterns. The matching itself is done for each pattern with its shape by a NumPy helper: candidate
-places are local minima of the distance to the shape within a threshold, and an assignment with
-non-decreasing distance along the shape and least total distance is sought.
+Every distance depends on the shape and the stop alone, so for each visited (shape, stop) the
+candidate places are found once, by a NumPy helper over a shape and some of its stops. Trips of a
+shape with one list of (stop, distance) are one pattern, reported with its first trip. Stops that
+are too far or have too many candidates are then known by a join; only patterns whose stops all
+have candidates are searched for the cheapest assignment with ascending places along the shape.
+
+A second pass places stops by `shape_dist_traveled`, for patterns whose last stop and whose shape
+have it. A stop that has none is placed by candidates there too.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import islice
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..feed import Feed, first_rows
 from ..functions.geo import RADIUS
@@ -19,159 +28,440 @@ from ..notices import notices
 from .distances import stop_coordinates
 
 FEED = "feed_id"
+#: Metres from a shape within which a stop is on it; so many times for the ends of rail trips; candidates that are too many.
 NEAR_M, RAIL_ENDS, TOO_MANY = 100.0, 4.0, 20
 RAIL = 2
-TOO_FAR = ("stop_too_far_from_shape", "stop_too_far_from_shape_using_user_distance")
-#: Parts that the patterns of a shape are dealt into.
-SALTS = 8
+TOO_FAR, TOO_FAR_USER = "stop_too_far_from_shape", "stop_too_far_from_shape_using_user_distance"
+TOO_MANY_MATCHES, OUT_OF_ORDER = "stop_has_too_many_matches_for_shape", "stops_match_shape_out_of_order"
+#: Stops or patterns of a shape in a part of the work; stops compared with a shape at once.
+PART, BLOCK = 2_048, 256
+#: User distances this close count as equal.
+SAME = 1e-9 * 32
 
 
 def vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     a, b = np.radians(lat), np.radians(lon)
-    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
-
-
-def along(points: np.ndarray) -> np.ndarray:
-    """Metres along the shape at each point."""
-    hops = np.linalg.norm(np.cross(points[:-1], points[1:]), axis=1)
-    return np.concatenate(([0.0], np.cumsum(np.arctan2(hops, (points[:-1] * points[1:]).sum(axis=1)) * RADIUS)))
-
-
-def to_segments(stops: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each stop (rows) and segment (columns): metres between them, and where on it (0 to 1) the nearest point lies."""
-    a, d = points[:-1], points[1:] - points[:-1]
-    length = (d * d).sum(axis=1)
-    t = ((stops @ d.T - (a * d).sum(axis=1)) / np.where(length > 0, length, 1)).clip(0, 1)
-    near = a + t[:, :, None] * d
-    near /= np.sqrt((near * near).sum(axis=2))[:, :, None]
-    apart = near - stops[:, None]
-    return 2 * np.arcsin(np.minimum(1, np.sqrt((apart * apart).sum(axis=2)) / 2)) * RADIUS, t
-
-
-def candidates(m: np.ndarray, where: np.ndarray, limit: float) -> list[tuple[float, float]]:
-    """(metres along, metres from the shape) of the local minima of m within limit; m and where have a value for each segment."""
-    close = m <= limit
-    if not close.any():
-        return []
-    out: list[tuple[float, float]] = []
-    low, rising, before = None, False, -2
-    for i in np.flatnonzero(close).tolist():
-        value = float(m[i])
-        if low is not None and (i != before + 1 or rising and value < last):
-            out.append(low)
-            low = None
-        rising = low is not None and value > last
-        if low is None or value < low[1]:
-            low = (float(where[i]), value)
-        last, before = value, i
-    return [*out, low]
-
-
-def assign(choices: list[list[tuple[float, float]]]) -> tuple[list[int] | None, int]:
-    """The cheapest choice for each stop with ascending places; else None and the stop at which it fails."""
-    costs = [[c for _, c in choices[0]]]
-    back: list[list[int]] = [[-1] * len(choices[0])]
-    for i in range(1, len(choices)):
-        row, from_ = [], []
-        order = sorted(range(len(choices[i - 1])), key=lambda j: choices[i - 1][j][0])
-        for place, cost in choices[i]:
-            best, which = np.inf, -1
-            for j in order:
-                if choices[i - 1][j][0] > place:
-                    break
-                if costs[-1][j] < best:
-                    best, which = costs[-1][j], j
-            row.append(best + cost)
-            from_.append(which)
-        if not np.isfinite(row).any():
-            return None, i
-        costs.append(row)
-        back.append(from_)
-    k = int(np.argmin(costs[-1]))
-    out = [k]
-    for i in range(len(choices) - 1, 0, -1):
-        k = back[i][k]
-        out.append(k)
-    return out[::-1], -1
-
-
-def match(points: np.ndarray, user: np.ndarray, stops: np.ndarray, distances: np.ndarray, rail: bool) -> list[tuple[str, int, float]]:
-    """Problems of a pattern: (code, index of the stop, metres)."""
-    at = along(points)
-    metres, t = to_segments(stops, points)
-    where = at[:-1] + t * np.diff(at)
-    limits = [NEAR_M * (RAIL_ENDS if rail and i in (0, len(stops) - 1) else 1) for i in range(len(stops))]
-    out, choices, kept = [], [], []
-    for i in range(len(stops)):
-        found = candidates(metres[i], where[i], limits[i])
-        if not found:
-            out.append(("stop_too_far_from_shape", i, float(metres[i].min())))
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=-1)
+
+
+def degrees(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.degrees(np.arctan2(v[..., 2], np.hypot(v[..., 0], v[..., 1]))), np.degrees(np.arctan2(v[..., 1], v[..., 0]))
+
+
+def angle_m(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.arctan2(np.linalg.norm(np.cross(u, v), axis=-1), (u * v).sum(axis=-1)) * RADIUS
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
+
+
+class Shape:
+    """A shape's points as unit vectors, metres along it, user distances as a running maximum, and its arcs."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, user: np.ndarray):
+        self.points = vectors(lat, lon)
+        a, b = np.radians(lat), np.radians(lon)
+        h = np.sin(np.diff(a) / 2) ** 2 + np.cos(a[:-1]) * np.cos(a[1:]) * np.sin(np.diff(b) / 2) ** 2
+        self.along = np.concatenate(([0.0], np.cumsum(2 * RADIUS * np.arcsin(np.sqrt(np.minimum(1, h))))))
+        self.user = np.maximum.accumulate(np.maximum(np.nan_to_num(user, nan=0.0), 0.0)).tolist()
+        self.left, self.right = self.points[:-1], self.points[1:]
+        self.normal = unit(np.cross(self.left, self.right))
+        # an arc's ends as planes: a place lies over the arc where it is on the inner side of both
+        self.from_left, self.to_right = np.cross(self.normal, self.left), np.cross(self.right, self.normal)
+
+    def nearest(self, p: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest place on arc i for each p, and the metres between; arrays of one length."""
+        n = self.normal[i]
+        over = ((p * self.from_left[i]).sum(axis=-1) > 0) & ((p * self.to_right[i]).sum(axis=-1) > 0)
+        foot = unit(p - (p * n).sum(axis=-1, keepdims=True) * n)
+        a, b = self.left[i], self.right[i]
+        end = np.where(((p * a).sum(axis=-1) >= (p * b).sum(axis=-1))[..., None], a, b)
+        place = np.where(over[..., None], foot, end)
+        return place, angle_m(p, place)
+
+    def rough(self, p: np.ndarray) -> np.ndarray:
+        """For each p (rows) and arc (columns) the cosine of their distance, a little inexact."""
+        over = (p @ self.from_left.T > 0) & (p @ self.to_right.T > 0)
+        sine = p @ self.normal.T
+        dots = p @ self.points.T
+        return np.where(over, np.sqrt(np.maximum(0.0, 1 - sine * sine)), np.maximum(dots[:, :-1], dots[:, 1:]))
+
+    def metres_at(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self.along[i] + angle_m(place, self.points[i])
+
+
+@dataclass
+class Found:
+    """Candidates of a stop: metres along the shape, metres from it, and where; nearest: the like for the nearest place."""
+
+    along: np.ndarray
+    metres: np.ndarray
+    lat: np.ndarray
+    lon: np.ndarray
+    nearest: tuple[float, float, float] | None
+
+
+def minima(index: list[int], metres: list[float], ends: list[float]) -> list[int]:
+    """Which of the close arcs (ascending, with metres to them and to their far ends) are candidates, as positions.
+
+    A run of neighbouring arcs is one candidate, its nearest arc, but for where the shape comes
+    back: after an arc whose far end is farther than the arc itself, one nearer than that end
+    starts another.
+    """
+    out: list[int] = []
+    best = -1
+    for k, i in enumerate(index):
+        fresh = best < 0 or i != index[k - 1] + 1 or ends[k - 1] > metres[k - 1] and metres[k] < ends[k - 1]
+        if fresh and best >= 0:
+            out.append(best)
+        if fresh or metres[k] < metres[best]:
+            best = k
+    return [*out, best] if best >= 0 else out
+
+
+def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
+    """The candidates of each stop p within its limit of metres."""
+    out: list[Found] = []
+    none = np.zeros(0)
+    if len(shape.points) == 1:
+        for metres, (lat, lon) in zip(angle_m(p, shape.points[0]).tolist(), [degrees(shape.points[0])] * len(p), strict=True):
+            out.append(Found(none, none, none, none, (metres, float(lat), float(lon))))
+        return out
+    for at in range(0, len(p), BLOCK):
+        block, limit = p[at : at + BLOCK], limits[at : at + BLOCK]
+        cosine = shape.rough(block)
+        rows, arcs = np.nonzero(cosine >= (np.cos((limit + 1) / RADIUS) - 1e-13)[:, None])
+        place, metres = shape.nearest(block[rows], arcs)
+        close = metres <= limit[rows]
+        rows, arcs, place, metres = rows[close], arcs[close], place[close], metres[close]
+        ends = angle_m(block[rows], shape.right[arcs])
+        along = shape.metres_at(place, arcs)
+        lat, lon = degrees(place)
+        bounds = np.searchsorted(rows, np.arange(len(block) + 1))
+        lists = arcs.tolist(), metres.tolist(), ends.tolist()
+        far = np.flatnonzero(np.diff(bounds) == 0)
+        # the nearest place of stops without a candidate: exact over the arcs that may be nearest
+        best = cosine[far].max(axis=1, initial=-1)
+        r, i = np.nonzero(cosine[far] >= (best - 1e-9)[:, None])
+        there, apart = shape.nearest(block[far[r]], i)
+        order = np.lexsort((i, apart, r))
+        first = order[np.unique(r[order], return_index=True)[1]]
+        flat, flon = degrees(there[first])
+        nearest = dict(zip(far.tolist(), zip(apart[first].tolist(), flat.tolist(), flon.tolist(), strict=True), strict=True))
+        for k in range(len(block)):
+            a, b = bounds[k], bounds[k + 1]
+            kept = a + np.array(minima(*(x[a:b] for x in lists)), int)
+            out.append(Found(along[kept], metres[kept], lat[kept], lon[kept], nearest.get(k)))
+    return out
+
+
+def assign(choices: list[list[tuple[float, float]]]) -> tuple[int, list[int]]:
+    """choices: for each stop (metres along, metres from the shape). The stop that fails, and the cheapest ascending choice.
+
+    -1 and a choice for every stop; or the first stop that can't follow, and the cheapest choice for those before it.
+    """
+    states: list[tuple[float, float, int, int]] = [(0.0, 0.0, -1, -1)]  # place, cost, choice and the state before
+    back = [states]
+    fails = -1
+    for k, own in enumerate(choices):
+        after = []
+        for c, (place, cost) in enumerate(own):
+            best, at = float("inf"), -1
+            for i, state in enumerate(states):
+                if state[0] <= place and state[1] < best:
+                    best, at = state[1], i
+            if at >= 0:
+                after.append((place, best + cost, c, at))
+        if not after:
+            fails = k
+            break
+        back.append(after)
+        states = after
+    path, at = [], min(range(len(states)), key=lambda i: states[i][1])
+    for level in reversed(back[1:]):
+        path.append(level[at][2])
+        at = level[at][3]
+    return fails, path[::-1]
+
+
+def by_user_distance(shape: Shape, distances: list[float]) -> list[tuple[int, float] | None]:
+    """Where each distance above 0 lies: (point, share of the way to the next); None for stops without one. Never before the one before."""
+    out: list[tuple[int, float] | None] = []
+    at, n, user = 0, len(shape.points), shape.user
+    for d in distances:
+        if not d > 0:
+            out.append(None)
             continue
-        if len(found) > TOO_MANY:
-            out.append(("stop_has_too_many_matches_for_shape", i, float(min(c for _, c in found))))
-        choices.append(found)
-        kept.append(i)
-    # an order is only meaningful where every stop was placed
-    if len(kept) == len(stops) and len(stops) > 1:
-        _, fails = assign(choices)
-        if fails >= 0:
-            out.append(("stops_match_shape_out_of_order", kept[fails], min(c for _, c in choices[fails])))
-    known = ~np.isnan(distances)
-    if np.isfinite(user).any() and np.nanmax(user) > 0:
-        steps = np.maximum.accumulate(np.nan_to_num(user, nan=0.0))
-        for i in np.flatnonzero(known):
-            place = float(np.interp(distances[i], steps, at))
-            k = min(int(np.searchsorted(at, place, side="right")) - 1, len(points) - 2)
-            t = (place - at[k]) / (at[k + 1] - at[k]) if at[k + 1] > at[k] else 0.0
-            p = points[k] + min(1.0, max(0.0, t)) * (points[k + 1] - points[k])
-            m = 2 * np.arcsin(min(1.0, np.linalg.norm(p / np.linalg.norm(p) - stops[i]) / 2)) * RADIUS
-            if m > limits[i]:
-                out.append(("stop_too_far_from_shape_using_user_distance", int(i), float(m)))
+        after = max(at, bisect_right(user, d))
+        at = max(at, after - 1)
+        if after <= 0 or at + 1 >= n or abs(user[min(after, n - 1)] - user[at]) <= SAME * max(1.0, abs(user[at]), abs(user[min(after, n - 1)])):
+            out.append((at, 0.0))
+        else:
+            out.append((at, (d - user[at]) / (user[after] - user[at])))
     return out
 
 
+def along_arcs(shape: Shape, at: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places a share t of the way from points `at` to the next ones, and the metres along the shape."""
+    after = np.minimum(at + 1, len(shape.points) - 1)
+    a, b = shape.points[at], shape.points[after]
+    angle = angle_m(a, b) / RADIUS
+    sine = np.where(angle > 1e-15, np.sin(angle), 1.0)
+    place = np.where((angle > 1e-15)[:, None], unit((np.sin((1 - t) * angle) / sine)[:, None] * a + (np.sin(t * angle) / sine)[:, None] * b), a)
+    return place, shape.along[at] + t * (shape.along[after] - shape.along[at])
+
+
+def numbers(values) -> np.ndarray:
+    """A list cell as floats; its nulls are NaN."""
+    return np.asarray(values, dtype=float)
+
+
+PLACE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("along", "m", "lat", "lon")])
+FOUND = T.ArrayType(T.StructType(
+    [T.StructField("stop_id", T.StringType()), T.StructField("large", T.BooleanType()), T.StructField("places", T.ArrayType(PLACE)), T.StructField("nearest", PLACE)]
+))
+
+
+@F.pandas_udf(FOUND)
+def found_udf(lats: pd.Series, lons: pd.Series, user: pd.Series, ids: pd.Series, slats: pd.Series, slons: pd.Series, large: pd.Series) -> pd.Series:
+    out = []
+    names = ("along", "m", "lat", "lon")
+    for la, lo, u, stop_ids, sa, so, big in zip(lats, lons, user, ids, slats, slons, large, strict=True):
+        shape = Shape(numbers(la), numbers(lo), numbers(u))
+        limits = np.where(np.asarray(big, bool), NEAR_M * RAIL_ENDS, NEAR_M)
+        rows = []
+        for stop, b, f in zip(stop_ids, big, find(shape, vectors(numbers(sa), numbers(so)), limits), strict=True):
+            places = [dict(zip(names, x, strict=True)) for x in zip(*(c.tolist() for c in (f.along, f.metres, f.lat, f.lon)), strict=True)]
+            rows.append({"stop_id": stop, "large": bool(b), "places": places, "nearest": None if f.nearest is None else dict(zip(names, (0.0, *f.nearest), strict=True))})
+        out.append(rows)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("choice", T.IntegerType())]))
+def order_udf(counts: pd.Series, along: pd.Series, metres: pd.Series) -> pd.DataFrame:
+    """Where the assignment of a pattern's candidates fails, or -1, and the choice for the stop before; counts: candidates of each stop."""
+    out = []
+    for n, al, me in zip(counts, along, metres, strict=True):
+        both = iter(zip(al.tolist(), me.tolist(), strict=True))
+        at, path = assign([list(islice(both, int(k))) for k in n])
+        out.append((at, path[-1] if path else -1))
+    return pd.DataFrame(out, columns=["at", "choice"])
+
+
+PROBLEMS = T.ArrayType(T.StructType(
+    [T.StructField("p", T.IntegerType()), T.StructField("code", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]
+    + [T.StructField("place", PLACE), T.StructField("before", PLACE)]
+))
+
+
+def second_pass(choices: list[list[dict] | None], limits, nearest) -> list[tuple]:
+    """Problems (code, stop, count, place, place before) of a pattern; choices: places, one for a stop with a distance."""
+    out: list[tuple] = []
+    for k, own in enumerate(choices):
+        if not own:
+            # a stop that can't be placed ends the pass
+            return out + ([(TOO_FAR_USER, k, 0, nearest[k], None)] if nearest[k]["m"] > limits[k] else [])
+        if len(own) > TOO_MANY:
+            out.append((TOO_MANY_MATCHES, k, len(own), min(own, key=lambda c: c["m"]), None))
+    at, path = assign([[(c["along"], c["m"]) for c in own] for own in choices])
+    if at >= 0:
+        return [*out, (OUT_OF_ORDER, at, 0, min(choices[at], key=lambda c: c["m"]), choices[at - 1][path[-1]])]
+    chosen = [own[c] for own, c in zip(choices, path, strict=True)]
+    return out + [(TOO_FAR_USER, k, 0, c, None) for k, c in enumerate(chosen) if c["m"] > NEAR_M]  # rail or not
+
+
+@F.pandas_udf(PROBLEMS)
+def user_udf(
+    lats: pd.Series, lons: pd.Series, user: pd.Series, sizes: pd.Series, d: pd.Series, slats: pd.Series, slons: pd.Series, limits: pd.Series,
+    near_m: pd.Series, near_lat: pd.Series, near_lon: pd.Series, counts: pd.Series, along: pd.Series, m: pd.Series, lat: pd.Series, lon: pd.Series,
+) -> pd.Series:
+    """The second pass, over some patterns of a shape. sizes: stops of each pattern; then an item for each stop, and for each candidate."""
+    out = []
+    names = ("along", "m", "lat", "lon")
+    columns = (lats, lons, user, sizes, d, slats, slons, limits, near_m, near_lat, near_lon, counts, along, m, lat, lon)
+    for la, lo, u, size, dist, sa, so, lim, nm, na, no, count, *places in zip(*columns, strict=True):
+        shape = Shape(numbers(la), numbers(lo), numbers(u))
+        ends = np.cumsum(size).tolist()
+        spans = list(zip([0, *ends], ends, strict=False))
+        where = [w for a, b in spans for w in by_user_distance(shape, dist[a:b].tolist())]
+        placed = np.array([k for k, w in enumerate(where) if w], int)
+        place, far = along_arcs(shape, np.array([where[k][0] for k in placed], int), np.array([where[k][1] for k in placed], float))
+        metres = angle_m(vectors(sa[placed], so[placed]), place)
+        own = {k: [dict(zip(names, x, strict=True))] for k, *x in zip(placed.tolist(), far.tolist(), metres.tolist(), *(c.tolist() for c in degrees(place)), strict=True)}
+        rest = iter(zip(*(c.tolist() for c in places), strict=True))
+        for k, n in enumerate(count.tolist()):
+            if n:
+                own[k] = [dict(zip(names, x, strict=True)) for x in islice(rest, n)]
+        nearest = [dict(zip(names, (0.0, *x), strict=True)) for x in zip(nm.tolist(), na.tolist(), no.tolist(), strict=True)]
+        found = []
+        for p, (a, b) in enumerate(spans):
+            problems = second_pass([own.get(k) for k in range(a, b)], lim[a:b], nearest[a:b])
+            found += [dict(zip(("p", "code", "at", "n", "place", "before"), (p, *x), strict=True)) for x in problems]
+        out.append(found)
+    return pd.Series(out)
+
+
 def patterns(feed: Feed) -> DataFrame:
-    """Distinct (shape, rail, steps): with the first trip of each. A step is (stop, distance, lat, lon)."""
-    kinds = first_rows(feed["routes"].where("route_id is not null").select(FEED, "route_id", "route_type", "_row_number"), "route_id").drop("_row_number")
-    trips = feed["trips"].where("trip_id is not null and shape_id is not null").select(FEED, "trip_id", "shape_id", "route_id", F.col("_row_number").alias("trip_row")).join(kinds, [FEED, "route_id"])
-    places = stop_coordinates(feed).where("lat is not null")
-    times = feed["stop_times"].where("trip_id is not null and stop_id is not null").select(FEED, "trip_id", "stop_id", F.coalesce("stop_sequence", F.lit(0)).alias("k"), "_row_number", "shape_dist_traveled").join(places, [FEED, "stop_id"])
-    step = F.struct("k", "_row_number", "stop_id", "shape_dist_traveled", "lat", "lon")
-    lists = times.groupBy(FEED, "trip_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: F.struct(s["stop_id"].alias("stop_id"), s["shape_dist_traveled"].alias("d"), s["lat"].alias("lat"), s["lon"].alias("lon"))).alias("steps"))
-    return trips.join(lists, [FEED, "trip_id"]).groupBy(FEED, "shape_id", (F.col("route_type") == RAIL).alias("rail"), "steps").agg(F.min(F.struct("trip_row", "trip_id")).alias("t"))
+    """Distinct (shape_id, steps) with the first trip of each: trip_row, trip_id, rail (null where its route is unknown).
+
+    A step is (k, row, stop_id, d): unset ids are empty and unset distances 0. A trip without a
+    shape belongs to a shape whose id is empty.
+    """
+    kinds = first_rows(feed["routes"].where("route_id is not null").select(FEED, "route_id", "route_type", "_row_number"), "route_id")
+    kinds = kinds.select(FEED, "route_id", (F.coalesce("route_type", F.lit(-1)) == RAIL).alias("rail"))
+    trips = feed["trips"].where("trip_id is not null").select(FEED, "trip_id", F.coalesce("shape_id", F.lit("")).alias("shape_id"), "route_id", F.col("_row_number").alias("trip_row"))
+    step = F.struct(
+        F.coalesce("stop_sequence", F.lit(0)).alias("k"), F.col("_row_number").alias("row"), F.coalesce("stop_id", F.lit("")).alias("stop_id"),
+        F.coalesce("shape_dist_traveled", F.lit(0.0)).alias("d"),
+    )
+    lists = feed["stop_times"].where("trip_id is not null").groupBy(FEED, "trip_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    same = F.transform("steps", lambda s: F.struct(s["stop_id"], s["d"]))
+    first = F.min_by(F.struct("trip_row", "trip_id", "route_id", "steps"), "trip_row").alias("t")
+    grouped = trips.join(lists, [FEED, "trip_id"]).groupBy(FEED, "shape_id", same.alias("same")).agg(first).select(FEED, "shape_id", "t.*")
+    return grouped.join(kinds, [FEED, "route_id"], "left").drop("route_id")
+
+
+def visits(feed: Feed, shapes: DataFrame) -> DataFrame:
+    """The patterns' steps as rows: feed_id, shape_id, trip_row, trip_id, at, n, row, stop_id, d, lat, lon, large.
+
+    Patterns of shapes that aren't there, or whose first trip's route is unknown, are left out. A
+    stop whose place can't be found lies at (0, 0).
+    """
+    known = patterns(feed).where("rail is not null").join(shapes.select(FEED, "shape_id"), [FEED, "shape_id"], "left_semi")
+    each = known.select(FEED, "shape_id", "trip_row", "trip_id", "rail", F.size("steps").alias("n"), F.posexplode("steps").alias("at", "s"))
+    ends = F.col("rail") & ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1))
+    rows = each.select(FEED, "shape_id", "trip_row", "trip_id", "at", "n", "s.row", "s.stop_id", "s.d", ends.alias("large"))
+    return rows.join(stop_coordinates(feed), [FEED, "stop_id"], "left").na.fill(0.0, ["lat", "lon"])
+
+
+def shape_arrays(feed: Feed) -> DataFrame:
+    """feed_id, shape_id, lats, lons, user: a shape's points in order; a point's unset distance is 0."""
+    point = F.struct(F.coalesce("shape_pt_sequence", F.lit(0)).alias("k"), "_row_number", "shape_pt_lat", "shape_pt_lon", F.coalesce("shape_dist_traveled", F.lit(0.0)).alias("d"))
+    rows = feed["shapes"].where("shape_id is not null and shape_pt_lat is not null and shape_pt_lon is not null")
+    shapes = rows.groupBy(FEED, "shape_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    return shapes.select(FEED, "shape_id", F.col("p.shape_pt_lat").alias("lats"), F.col("p.shape_pt_lon").alias("lons"), F.col("p.d").alias("user"))
+
+
+def dealt(df: DataFrame, item: Column, *order: str) -> DataFrame:
+    """Rows of a shape in parts of about PART, by a hash: feed_id, shape_id, part, items (a list of item)."""
+    counts = df.groupBy(FEED, "shape_id").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(*order), F.ceil(F.col("_n") / PART))
+    rows = df.join(counts, [FEED, "shape_id"]).withColumn("part", part)
+    return rows.groupBy(FEED, "shape_id", "part").agg(F.collect_list(item).alias("items"))
+
+
+def spread(work: DataFrame) -> DataFrame:
+    """Parts over a fixed number of tasks: their work is in Python and not in bytes."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEED, "shape_id", "part")
+
+
+def candidates(feed: Feed, rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The candidates of each visited (feed_id, shape_id, stop_id, large): places, and nearest where there are none."""
+    pairs = rows.select(FEED, "shape_id", "stop_id", "lat", "lon", "large").distinct()
+    work = spread(dealt(pairs, F.struct("stop_id", "lat", "lon", "large"), "stop_id").join(shapes, [FEED, "shape_id"]))
+    found = found_udf("lats", "lons", "user", "items.stop_id", "items.lat", "items.lon", "items.large")
+    return work.select(FEED, "shape_id", F.explode(found).alias("f")).select(FEED, "shape_id", "f.*")
+
+
+def visited(feed: Feed) -> DataFrame:
+    """Distinct (feed_id, shape_id, stop_id) of trips with a shape, with lat and lon ((0, 0) for a stop without a place)."""
+    trips = feed["trips"].where("shape_id is not null and trip_id is not null").select(FEED, "trip_id", "shape_id")
+    stops = feed["stop_times"].where("stop_id is not null").select(FEED, "trip_id", "stop_id").distinct()
+    pairs = trips.join(stops, [FEED, "trip_id"]).select(FEED, "shape_id", "stop_id").distinct()
+    return pairs.join(stop_coordinates(feed), [FEED, "stop_id"], "left").na.fill(0.0, ["lat", "lon"])
+
+
+def shape_candidates(feed: Feed) -> DataFrame:
+    """feed_id, shape_id, stop_id, n_candidates, nearest_m: for each visited (shape, stop), within NEAR_M, the metres of the best."""
+    found = candidates(feed, visited(feed).withColumn("large", F.lit(False)), shape_arrays(feed))
+    best = F.coalesce(F.array_min(F.col("places.m")), F.col("nearest.m"))
+    return found.select(FEED, "shape_id", "stop_id", F.size("places").alias("n_candidates"), best.alias("nearest_m"))
+
+
+def closest_shape_point(feed: Feed) -> DataFrame:
+    """feed_id, shape_id, stop_id, distance_m: for each visited (shape, stop) the metres to the nearest place of the shape, however far."""
+    return shape_candidates(feed).select(FEED, "shape_id", "stop_id", F.round("nearest_m", 2).alias("distance_m"))
+
+
+def closest(places: Column) -> Column:
+    """The place nearest to the stop, the first of equals."""
+    return F.aggregate(places, F.lit(None).cast(PLACE), lambda best, p: F.when(best.isNull() | (p["m"] < best["m"]), p).otherwise(best))
 
 
 def stop_to_shape(feed: Feed) -> DataFrame:
     """Stops too far from their trip's shape, matched too often, or out of order.
 
-    A stop too far from a shape, by place or by user distance, is reported once, for the first
-    trip; the other problems are reported for each pattern, with its first trip.
+    A stop too far from a shape, by place or by user distance, is reported once for the shape,
+    with the first trip; the other problems for each pattern and pass, with its first trip. Steps
+    without a stop id count in a pattern and are never reported.
     """
-    point = F.struct("shape_pt_sequence", "_row_number", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled")
-    shapes = feed["shapes"].where("shape_id is not null").groupBy(FEED, "shape_id").agg(F.array_sort(F.collect_list(point)).alias("p")).where(F.size("p") > 1)
-    shapes = shapes.select(FEED, "shape_id", *(F.col(f"p.{c}").alias(n) for n, c in (("lats", "shape_pt_lat"), ("lons", "shape_pt_lon"), ("user", "shape_dist_traveled"))))
-    # The work is in Python, not in bytes, so a fixed number of partitions is dealt, and a shape's
-    # patterns over several of them.
-    n = int(feed.spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [FEED, "shape_id", "salt"]
-    salted = patterns(feed).withColumn("salt", F.pmod(F.xxhash64("t.trip_row"), F.lit(SALTS))).repartition(n, *keys)
-    copies = shapes.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))).repartition(n, *keys)
-    work = salted.join(copies, keys)
-    found_type = "array<struct<code:string,at:int,m:double>>"
-
-    @F.pandas_udf(found_type)
-    def matched(lats: pd.Series, lons: pd.Series, user: pd.Series, slats: pd.Series, slons: pd.Series, distances: pd.Series, rail: pd.Series) -> pd.Series:
-        number = lambda x: np.array([np.nan if v is None else v for v in x], float)
-        out = []
-        for la, lo, u, sa, so, d, r in zip(lats, lons, user, slats, slons, distances, rail, strict=True):
-            problems = match(vectors(number(la), number(lo)), number(u), vectors(number(sa), number(so)), number(d), bool(r))
-            out.append([{"code": c, "at": i, "m": m} for c, i, m in problems])
-        return pd.Series(out)
-
-    found = work.withColumn("found", matched("lats", "lons", "user", F.col("steps.lat"), F.col("steps.lon"), F.col("steps.d"), "rail"))
-    each = found.select(FEED, "shape_id", "t", "steps", F.explode("found").alias("f")).select(FEED, "shape_id", "t.trip_id", "t.trip_row", "f.code", "f.m", F.col("f.at").alias("at"), F.get("steps", F.col("f.at"))["stop_id"].alias("stop_id"))
-    # of a trip, places come before user distances
-    order = F.struct("trip_row", "trip_id", (F.col("code") == TOO_FAR[1]).alias("user"), "at", "m", "code")
-    first = each.where(F.col("code").isin(*TOO_FAR)).groupBy(FEED, "shape_id", "stop_id").agg(F.min(order).alias("x"))
-    rest = each.where(~F.col("code").isin(*TOO_FAR)).select(FEED, "shape_id", "stop_id", order.alias("x"))
-    return notices(first.unionByName(rest), F.col("x.code"), "WARNING", "trips.txt", "x.trip_row", tripId="x.trip_id", shapeId="shape_id", stopId="stop_id", geoDistanceToShape=F.round("x.m").cast("long"))
+    shapes = shape_arrays(feed)
+    rows = visits(feed, shapes)
+    key = [FEED, "shape_id", "trip_row", "trip_id"]
+    none = F.lit(None).cast(PLACE)
+    limit = F.when(F.col("large"), NEAR_M * RAIL_ENDS).otherwise(NEAR_M)
+    step = F.struct("at", "row", "stop_id", "d", "lat", "lon", "places", "nearest", limit.alias("limit"))
+    steps = rows.join(candidates(feed, rows, shapes), [FEED, "shape_id", "stop_id", "large"])
+    whole = steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+    # the first pass: too far, too many, and out of order where every stop has a candidate
+    problem = lambda number, code, at, n, place, before: F.struct(
+        F.lit(number).alias("pass"), F.lit(code).alias("code"), at.cast("int").alias("at"), n.cast("int").alias("n"), place.alias("place"), before.alias("before"))
+    far = F.transform(
+        F.filter("steps", lambda s: (F.size(s["places"]) == 0) & (s["nearest"]["m"] > s["limit"])), lambda s: problem(0, TOO_FAR, s["at"], F.lit(0), s["nearest"], none))
+    many = F.transform(
+        F.filter("steps", lambda s: F.size(s["places"]) > TOO_MANY), lambda s: problem(0, TOO_MANY_MATCHES, s["at"], F.size(s["places"]), closest(s["places"]), none))
+    placed = F.when(F.forall("steps", lambda s: F.size(s["places"]) > 0), F.col("steps")).otherwise(F.slice("steps", 1, 0))
+    flat = F.flatten(placed["places"])
+    fail, at = F.col("fail.at"), lambda i: F.get("steps", i)
+    out = F.when(fail >= 0, F.array(problem(0, OUT_OF_ORDER, fail, F.lit(0), closest(at(fail)["places"]), F.get(at(fail - 1)["places"], F.col("fail.choice"))))).otherwise(F.array())
+    first = whole.withColumn("fail", order_udf(F.transform(placed, lambda s: F.size(s["places"])), flat["along"], flat["m"]))
+    first = first.select(*key, "steps", F.explode(F.concat(far, many, out)).alias("f"))
+
+    # the second pass: patterns whose last stop has a distance, on shapes that have some
+    measured = shapes.where(F.array_max("user") > 0)
+    last = F.get("steps", F.size("steps") - 1)
+    with_distance = whole.where(last["d"] > 0).join(measured.select(FEED, "shape_id"), [FEED, "shape_id"], "left_semi")
+    work = spread(dealt(with_distance, F.struct("trip_row", "trip_id", "steps"), "trip_row").join(measured, [FEED, "shape_id"]))
+    each = F.flatten(F.col("items.steps"))
+    near = lambda name: F.transform(each, lambda s: F.coalesce(s["nearest"][name], F.lit(0.0)))
+    asked = F.transform(each, lambda s: F.when(s["d"] > 0, F.slice(s["places"], 1, 0)).otherwise(s["places"]))
+    places = F.flatten(asked)
+    second = user_udf(
+        "lats", "lons", "user", F.transform("items.steps", F.size), each["d"], each["lat"], each["lon"], each["limit"], near("m"), near("lat"), near("lon"),
+        F.transform(asked, F.size), *(places[c] for c in ("along", "m", "lat", "lon")),
+    )
+    second = work.select(FEED, "shape_id", "items", F.explode(second).alias("f")).withColumn("t", F.get("items", F.col("f.p")))
+    second = second.select(
+        FEED, "shape_id", "t.trip_row", "t.trip_id", "t.steps",
+        F.struct(F.lit(1).alias("pass"), "f.code", "f.at", "f.n", "f.place", "f.before").alias("f"),
+    )
+
+    side = lambda i, n: F.struct(at(i)["row"].alias("row"), at(i)["stop_id"].alias("stop_id")).alias(f"s{n}")
+    found = first.unionByName(second).select(*key, "f.*", side(F.col("f.at"), 1), side(F.col("f.at") - 1, 2)).where("s1.stop_id <> ''")
+    # of a trip, the first pass comes first; then stops in order
+    is_far = F.col("code").isin(TOO_FAR, TOO_FAR_USER)
+    told = F.struct("trip_row", "trip_id", "code", "n", "place", "before", "s1", "s2")
+    once = found.where(is_far).groupBy(FEED, "shape_id", "s1.stop_id").agg(F.min_by(told, F.struct("trip_row", "pass", "at")).alias("x"))
+    rest = found.where(~is_far).select(FEED, "shape_id", told.alias("x"))
+    return told_notices(once.select(FEED, "shape_id", "x").unionByName(rest).select(FEED, "shape_id", "x.*"), feed)
+
+
+def told_notices(told: DataFrame, feed: Feed) -> DataFrame:
+    """Problems as notices: whole contexts, with both stops where they are out of order."""
+    names = first_rows(feed["stops"].where("stop_id is not null").select(FEED, "stop_id", "stop_name", "_row_number"), "stop_id")
+    named = lambda n: names.select(FEED, F.col("stop_id").alias(f"stop{n}"), F.coalesce("stop_name", F.lit("")).alias(f"name{n}"))
+    told = told.withColumns({"stop1": F.col("s1.stop_id"), "stop2": F.when(F.col("code") == OUT_OF_ORDER, F.col("s2.stop_id"))})
+    told = told.join(named(1), [FEED, "stop1"], "left").join(named(2), [FEED, "stop2"], "left")
+    spot = lambda p: F.concat_ws(",", F.round(p["lat"], 6), F.round(p["lon"], 6))
+    stop = lambda n, place: {
+        "stopTimeCsvRowNumber": F.col(f"s{n}.row"), "stopId": F.col(f"stop{n}"), "stopName": F.coalesce(f"name{n}", F.lit("")), "match": spot(F.col(place))}
+    shared = {"tripCsvRowNumber": F.col("trip_row"), "shapeId": F.col("shape_id"), "tripId": F.col("trip_id")}
+    both = {f"{k}{n}": F.when(F.col("code") == OUT_OF_ORDER, v) for n, place in ((1, "place"), (2, "before")) for k, v in stop(n, place).items()}
+    one = {k: F.when(F.col("code") != OUT_OF_ORDER, v) for k, v in stop(1, "place").items()}
+    last = {
+        "matchCount": F.when(F.col("code") == TOO_MANY_MATCHES, F.col("n")),
+        "geoDistanceToShape": F.when(F.col("code").isin(TOO_FAR, TOO_FAR_USER), F.round("place.m", 2)),
+    }
+    return notices(told, F.col("code"), "WARNING", "trips.txt", "trip_row", **shared, **one, **both, **last)
