@@ -35,13 +35,18 @@ class Feed:
         df = self.tables[name]
         return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
 
+    def unclean(self) -> DataFrame:
+        """(feed_id, table) of tables that did not load cleanly; one that is missing counts if it is required."""
+        required = [t.name for t in TABLES.values() if t.presence == "required"]
+        fine = F.col("status").isin("PARSABLE", "EMPTY_FILE") | (F.col("status") == "MISSING_FILE") & ~F.col("table").isin(required)
+        return self.status.where(~fine).select("feed_id", "table")
+
     def gated(self, needs: Iterable[str]) -> Feed:
         """Only feeds whose tables named in needs loaded cleanly; a missing table passes unless it is required."""
-        if self.status is None:
-            return self
         needs = list(needs)
-        failed = self.status.where(F.col("table").isin(needs) & ~F.col("status").isin("PARSABLE", "EMPTY_FILE") & ~((F.col("status") == "MISSING_FILE") & ~F.col("table").isin([t for t in needs if TABLES[t].presence == "required"])))
-        bad = failed.select("feed_id").distinct()
+        if self.status is None or not needs:
+            return self
+        bad = self.unclean().where(F.col("table").isin(needs)).select("feed_id").distinct()
         return Feed(self.spark, {k: df.join(bad, "feed_id", "left_anti") if k in needs else df for k, df in self.tables.items()}, self.status)
 
     @classmethod
@@ -51,6 +56,14 @@ class Feed:
 
         return read_typed_tables(spark, path, names)
 
+    @classmethod
+    def load_raw(cls, spark: SparkSession, glob: str, path: str) -> tuple[Feed, DataFrame]:
+        """Feeds from zip archives that glob names: the typed feed, with status, and notices on files and cells; stored below path."""
+        from .sources.files import unpack_archives
+        from .sources.raw import load_lines
+
+        return load_lines(unpack_archives(spark, glob), path)
+
 
 def group_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy("feed_id", *keys).agg(F.count(F.lit(1)).alias("n_rows"))

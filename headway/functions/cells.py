@@ -5,27 +5,62 @@ Each parser takes a text column and returns the typed column, null where the tex
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ISO 4217 codes by their number of fraction digits; all others have two.
-FRACTION_DIGITS = {
-    0: "BIF CLP DJF GNF ISK JPY KMF KRW PYG RWF UGX UYI VND VUV XAF XOF XPF", 3: "BHD IQD JOD KWD LYD OMR TND", 4: "CLF UYW",
-}
-CURRENCIES = (
-    "AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CNY COP CRC CUP CVE CZK DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GTQ GYD HKD HNL HTG HUF IDR ILS INR IRR JMD "
-    "KES KGS KHR KPW KYD KZT LAK LBP LKR LRD LSL MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD PAB PEN PGK PHP PKR PLN QAR RON RSD RUB SAR SBD SCR SDG SEK SGD SHP SOS SRD SSP STN SVC SYP SZL THB TJS TMT TOP TRY TTD TWD TZS UAH USD UYU UZS VES WST XCD YER ZAR ZMW"
-).split()
-#: Top-level domains accepted in hosts by default; the list is a parameter.
-TLDS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "eu", "us", "uk", "ca", "au", "nz", "de", "fr", "es", "it", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "pl", "cz", "pt", "ie", "jp", "cn", "in", "br", "mx", "transport", "city", "app", "dev")
+#: Generic top-level domains accepted in hosts by default, beside the country codes; the whole list is a parameter.
+GENERIC_TLDS = (
+    "aero app art asia audio auto bank bar beer berlin best bike bio biz blog build business buzz cafe camp capital car care cars cash cat center charity chat city "
+    "cloud club coach codes college com community company computer consulting cool coop country courses credit cruises dance data date deals delivery design dev "
+    "digital direct directory discount earth eco edu education email energy engineering equipment estate eus events exchange expert express family fan farm fashion "
+    "film finance fit flights foundation fun fund games garden global gmbh gov green group guide guru hamburg health help holiday host house inc info ink institute "
+    "int international investments jobs koeln land law legal life limited link live london ltd management map market marketing media mil mobi money moscow museum "
+    "name net network news ngo nyc one online ong org page paris park parking partners photos plus post press pro pub quebec report rest review rocks run school "
+    "science services shop site social software solutions space store studio support swiss systems taxi team tech technology tel tickets tips tokyo tools top tours "
+    "town trade train training transport travel university"
+).split() + "vegas ventures video vip wales watch web website wien wiki work works world xyz zone".split()
+#: Country domains that are no ISO codes, or are of none any more.
+MORE_COUNTRIES = ("ac", "eu", "su", "uk", "tp", "an")
+
+
+def _jvm():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()._jvm
+
 
+@cache
+def currencies() -> dict[str, int]:
+    """Currency codes, past ones too, with their fraction digits (-1 for metals and the like), as the JVM lists them."""
+    found = _jvm().java.util.Currency.getAvailableCurrencies().toArray()
+    return {c.getCurrencyCode(): c.getDefaultFractionDigits() for c in found}
+
+
+@cache
+def zone_names() -> tuple[str, ...]:
+    """Names of time zones, as the JVM lists them."""
+    return tuple(sorted(_jvm().java.time.ZoneId.getAvailableZoneIds().toArray()))
+
+
+@cache
+def tlds() -> tuple[str, ...]:
+    """Top-level domains: GENERIC_TLDS and the codes of countries."""
+    countries = [str(c).lower() for c in _jvm().java.util.Locale.getISOCountries()]
+    return tuple(sorted({*GENERIC_TLDS, *MORE_COUNTRIES, *countries, "arpa"}))
 
 
 def fraction_digits(currency: Column) -> Column:
-    out = None
-    for n, codes in FRACTION_DIGITS.items():
-        out = (F.when if out is None else out.when)(currency.isin(codes.split()), n)
-    return out.when(currency.isin(CURRENCIES), 2)
+    """Digits after the point of a currency's amounts; null for unknown codes and those without any rule."""
+    by_digits: dict[int, list[str]] = {}
+    for code, digits in currencies().items():
+        by_digits.setdefault(digits, []).append(code)
+    out = F.lit(None).cast("int")
+    for digits, codes in sorted(by_digits.items()):
+        if digits >= 0:
+            out = F.when(currency.isin(sorted(codes)), digits).otherwise(out)
+    return out
 
 
 def java_trim(c: Column) -> Column:
@@ -63,7 +98,7 @@ def to_decimal(c: Column) -> Column:
 
 
 def to_currency(c: Column) -> Column:
-    return F.when(fraction_digits(c).isNotNull(), c)
+    return F.when(c.isin(sorted(currencies())), c)
 
 
 def to_language(c: Column) -> Column:
@@ -72,35 +107,40 @@ def to_language(c: Column) -> Column:
 
 
 def to_timezone(c: Column) -> Column:
-    """Region names as they are; offsets, with or without UTC, GMT or UT, as ±HH:MM; at most 18 hours."""
+    """Names of zones as they are; offsets, with or without UTC, GMT or UT, as ±HH:MM; at most 18 hours."""
     found = lambda i: F.regexp_extract(c, "^(UTC|GMT|UT)?([+-])([0-9]{1,2}):?([0-9]{2})?$", i)
     minutes = F.coalesce(found(4).try_cast("int"), F.lit(0))
     total = found(3).try_cast("int") * 60 + minutes
     offset = F.concat(found(1), found(2), F.lpad(found(3), 2, "0"), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))
-    return F.when((total <= 18 * 60) & (minutes < 60), offset).when(c.isin("Z", "UTC", "GMT", "UT") | c.rlike("^[A-Z][A-Za-z_]+(/[A-Za-z0-9_+-]+)+$"), c)
+    return F.when((total <= 18 * 60) & (minutes < 60), offset).when(c.isin("Z", *zone_names()), c)
+
 
+def valid_host(host: Column, domains: tuple[str, ...] | None = None) -> Column:
+    """Labels of at most 63 and names of at most 253 characters below a known domain, or an IPv4 address.
 
-def valid_host(host: Column, tlds: tuple[str, ...] = TLDS) -> Column:
-    """Labels of at most 63 and names of at most 253 characters below a known domain, or an IPv4 address."""
+    domains: the top-level domains accepted; None: tlds(), and those that start with xn--.
+    """
+    last = F.lower(F.substring_index(host, ".", -1))
+    known = last.isin(*(tlds() if domains is None else domains)) | (last.startswith("xn--") if domains is None else F.lit(False))
     label = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-    name = host.rlike(f"^({label}\\.)+[A-Za-z]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?$") & (F.length(host) <= 253) & F.lower(F.substring_index(host, ".", -1)).isin(*tlds)
+    name = host.rlike(f"^({label}\\.)+[A-Za-z]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?$") & (F.length(host) <= 253) & known
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     return name | host.rlike(f"^({octet}\\.){{3}}{octet}$")
 
 
-def to_url(c: Column, tlds: tuple[str, ...] = TLDS) -> Column:
+def to_url(c: Column, domains: tuple[str, ...] | None = None) -> Column:
     """http, https and ftp with a valid host and port; no empty segments, no climb above the root, no blanks in the query."""
     part = lambda i: F.regexp_extract(c, "^(?i:https?|ftp)://(?:[^/?#@]*@)?([^/?#:@]+)(?::([0-9]+))?([^?#]*)(\\?[^#]*)?(#.*)?$", i)
     host, port, path, query = (part(i) for i in (1, 2, 3, 4))
     port_ok = (port == "") | (port.try_cast("int") <= 65535)
     path_ok = ((path == "") | path.startswith("/")) & ~path.contains("//") & ~path.rlike("[\\s<>\"{}|\\\\^`]") & ~path.rlike("^/\\.\\.(/|$)")
-    return F.when((host != "") & valid_host(host, tlds) & port_ok & path_ok & ~query.rlike("\\s"), c)
+    return F.when((host != "") & valid_host(host, domains) & port_ok & path_ok & ~query.rlike("\\s"), c)
 
 
-def to_email(c: Column, tlds: tuple[str, ...] = TLDS) -> Column:
+def to_email(c: Column, domains: tuple[str, ...] | None = None) -> Column:
     local, host = F.regexp_extract(c, "^([^@]+)@([^@]+)$", 1), F.regexp_extract(c, "^([^@]+)@([^@]+)$", 2)
     fine = local.rlike("^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*$") & (F.length(local) <= 64)
-    return F.when(fine & valid_host(host, tlds), c)
+    return F.when(fine & valid_host(host, domains), c)
 
 
 def mixed_case_missing(c: Column) -> Column:

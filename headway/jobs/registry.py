@@ -194,16 +194,31 @@ _ACTIVE = f"{_DATES}, active AS (SELECT service_id, date FROM weekly UNION SELEC
 _RUNS = f"""{_DATES}, lastx AS (SELECT service_id, date, arg_max(exception_type, _row_number) AS k FROM calendar_dates GROUP BY 1, 2),
  served AS (SELECT service_id, date FROM weekly WHERE (service_id, date) NOT IN (SELECT service_id, date FROM lastx) UNION ALL SELECT service_id, date FROM lastx WHERE k = 1),
  runs AS (SELECT service_id, min(date) AS f, max(date) AS l FROM (SELECT *, date - CAST(row_number() OVER (PARTITION BY service_id ORDER BY date) AS INTEGER) AS g FROM served) q GROUP BY service_id, g)"""
-register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, arg_min(feed_lang, _row_number) AS feed_lang, CAST(arg_min(feed_start_date, _row_number) AS VARCHAR) AS feed_start_date, CAST(arg_min(feed_end_date, _row_number) AS VARCHAR) AS feed_end_date, CAST((SELECT min(f) FROM runs) AS VARCHAR) AS service_start, CAST((SELECT max(l) FROM runs) AS VARCHAR) AS service_end FROM feed_info")
+_FILES = ",".join(sorted(f"{n}.txt" if n != "zones" else "locations.geojson" for n in PROJECTION if not n.startswith("flex_")))
+register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, CAST(NULL AS VARCHAR) AS feed_publisher_url, arg_min(feed_contact_email, _row_number) AS feed_contact_email, '{_FILES}' AS files, arg_min(feed_lang, _row_number) AS feed_lang, CAST(arg_min(feed_start_date, _row_number) AS VARCHAR) AS feed_start_date, CAST(arg_min(feed_end_date, _row_number) AS VARCHAR) AS feed_end_date, CAST((SELECT min(f) FROM runs) AS VARCHAR) AS service_start, CAST((SELECT max(l) FROM runs) AS VARCHAR) AS service_end FROM feed_info")
+
+
+def feature_sql(flex: bool) -> str:
+    """What each feature asks of the projected tables; columns that these don't have can't show one."""
+    asked = {
+        "Pathway Connections": "FROM pathways", "Transfers": "FROM transfers", "Shapes": "FROM shapes", "Frequencies": "FROM frequencies", "Feed Information": "FROM feed_info",
+        "Attributions": "FROM attributions", "Translations": "FROM translations", "Fares V1": "FROM fare_attributes", "Fare Products": "FROM fare_products",
+        "Fare Transfers": "FROM fare_transfer_rules", "Booking Rules": "FROM booking_rules", "Route Colors": "FROM routes WHERE route_color IS NOT NULL OR route_text_color IS NOT NULL",
+        "Headsigns": "FROM trips WHERE trip_headsign IS NOT NULL", "Bike Allowed": "FROM trips WHERE bikes_allowed IS NOT NULL", "Location Types": "FROM stops WHERE location_type IS NOT NULL",
+        "Continuous Stops": "FROM routes WHERE continuous_pickup IS NOT NULL", "Fare Media": "FROM fare_products p CROSS JOIN fare_media WHERE p.fare_media_id IS NOT NULL",
+        "Rider Categories": "FROM fare_products p CROSS JOIN rider_categories WHERE p.rider_category_id IS NOT NULL",
+    }
+    if flex:
+        asked |= {
+            "Zone-Based Demand Responsive Services": "FROM stop_times WHERE trip_id IS NOT NULL AND location_id IS NOT NULL AND stop_id IS NULL",
+            "Fixed-Stops Demand Responsive Transit": "FROM stop_times s CROSS JOIN location_groups WHERE trip_id IS NOT NULL AND s.location_group_id IS NOT NULL AND stop_id IS NULL",
+            "Predefined Routes with Deviation": "FROM (SELECT trip_id FROM stop_times GROUP BY 1 HAVING count(location_id) > 0 AND count(stop_id) > 0 AND count(arrival_time) > 0 AND count(departure_time) > 0) q",
+        }
+    return all_of(*(f"SELECT '{name}' AS feature WHERE EXISTS (SELECT 1 {where})" for name, where in asked.items()))
 
 
-def feature_sql() -> str:
-    parts = [f"SELECT '{name}' AS feature FROM {t} HAVING count(*) > 0" for t, name in aggregates.BY_FILE.items() if t in PROJECTION]
-    parts += [f"SELECT '{name}' AS feature FROM {t} HAVING count({c}) > 0" for name, (t, c) in aggregates.BY_COLUMN.items() if c in projected_columns(t)]
-    return all_of(*parts)
-
-
-register_table("g3_feature_flags", aggregates.feature_flags, feature_sql())
+for _flex in (False, True):
+    register_table(f"g3_feature_flags{'_flex' if _flex else ''}", aggregates.feature_flags, feature_sql(_flex), _flex)
 register_table("g4_deviated_routes", aggregates.deviated_routes, "SELECT count(*) AS n_trips FROM (SELECT trip_id FROM stop_times GROUP BY 1 HAVING count(location_id) > 0 AND count(stop_id) > 0 AND count(arrival_time) > 0 AND count(departure_time) > 0) q HAVING count(*) > 0", True)
 register("g5_block_route_types", aggregates.block_route_types, "WITH u AS (SELECT block_id, t.route_id, route_type, min(t._row_number) AS n FROM trips t JOIN routes r ON r.route_id = t.route_id WHERE block_id IS NOT NULL GROUP BY 1, 2, 3), y AS (SELECT block_id, route_type, min(n) AS n FROM u GROUP BY 1, 2) " + sel("inconsistent_route_type_for_block_id", "trips", "NULL", blockId="block_id", routeIds="a", routeTypes="b") + " FROM (SELECT block_id, string_agg(CAST(route_type AS VARCHAR), ',' ORDER BY n) AS b FROM y GROUP BY 1 HAVING count(*) > 1) p JOIN (SELECT block_id, string_agg(route_id, ',' ORDER BY n) AS a FROM u GROUP BY 1) q USING (block_id)")
 register("g6_single_points", aggregates.single_points, sel("single_shape_point", "shapes", "min(_row_number)", shapeId="shape_id") + " FROM shapes GROUP BY shape_id HAVING count(*) = 1")

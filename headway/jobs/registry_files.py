@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..feed import Feed
 from ..functions import cells
 from ..notices import context_text
-from ..operators import matcher, zones
+from ..operators import zones
 from ..operators.graph import stored
 from ..operators.typing import type_table
 from ..schema import TABLES, Field, Table
@@ -68,14 +68,44 @@ SQL["c11_typed_rows"] = f"""WITH r AS ({RAW.format(t='events')}) SELECT _row_num
  WHERE coalesce(trim(trip_id), '') <> '' AND NOT contains(trip_id, chr(10)) AND CASE WHEN {_BOTH} THEN {_SECONDS('start_time')} < {_SECONDS('end_time')} ELSE false END AND CASE WHEN {_INTEGER} THEN CAST(headway_secs AS BIGINT) > 0 ELSE false END AND coalesce(exact_times, '') <> 'a'"""
 
 _TEXT = Table("texts", (Field("id", "id"), Field("text", "text", mixed_case=True)))
-HYGIENE = "select 'feed' as feed_id, doc_id as _row_number, cast(doc_id as string) as id, case when doc_id%7=0 then concat(' ',text) when doc_id%11=0 then concat(substr(text,1,20),'�') when doc_id%3=0 then lower(substr(text,1,12)) else text end as text from {t}"
-QUERIES["c2_text_hygiene"] = lambda spark, sf_dir: type_table(over("documents", HYGIENE)(spark, sf_dir), _TEXT)[1].groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row")).where("code <> 'mixed_case_recommended_field'")
-SQL["c2_text_hygiene"] = f"""WITH r AS ({HYGIENE.format(t='documents')}), p AS (SELECT 'invalid_character' AS code, 'ERROR' AS severity, _row_number AS n FROM r WHERE contains(text, '�') UNION ALL SELECT 'new_line_in_value', 'ERROR', _row_number FROM r WHERE contains(text, chr(10)) OR contains(text, chr(13))
- UNION ALL SELECT 'leading_or_trailing_whitespaces', 'WARNING', _row_number FROM r WHERE regexp_matches(text, '^[\\x00-\\x20]') OR regexp_matches(text, '[\\x00-\\x20]\\z'))
+HYGIENE = """select 'feed' as feed_id, doc_id as _row_number, cast(doc_id as string) as id, case when doc_id%7=0 then concat(' ',text) when doc_id%11=0 then concat(text,'�')
+ when doc_id%13=0 then replace(text,'\n',' ') when doc_id%3=0 then lower(replace(text,'\n',' ')) else text end as text from {t}"""
+QUERIES["c2_text_hygiene"] = lambda spark, sf_dir: type_table(over("documents", HYGIENE)(spark, sf_dir), _TEXT)[1].groupBy("code", "severity").agg(
+    F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"))
+SQL["c2_text_hygiene"] = f"""WITH r AS ({HYGIENE.format(t='documents')}), e AS (SELECT *, contains(text, '�') AS bad, contains(text, chr(10)) OR contains(text, chr(13)) AS broken, regexp_matches(text, '^[\\x00-\\x20]') OR regexp_matches(text, '[\\x00-\\x20]\\z') AS spaced FROM r),
+ k AS (SELECT *, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0) AS tokens FROM e),
+ w AS (SELECT *, list_filter(tokens, lambda x: length(x) > 1 AND NOT regexp_matches(x, '\\p{{N}}')) AS words FROM k),
+ p AS (SELECT 'invalid_character' AS code, 'ERROR' AS severity, _row_number AS n FROM e WHERE bad UNION ALL SELECT 'new_line_in_value', 'ERROR', _row_number FROM e WHERE broken UNION ALL SELECT 'leading_or_trailing_whitespaces', 'WARNING', _row_number FROM e WHERE spaced
+ UNION ALL SELECT 'mixed_case_recommended_field', 'WARNING', _row_number FROM w WHERE NOT bad AND NOT broken AND text IS NOT NULL AND CASE WHEN len(tokens) <= 1 THEN len(words) = 1 AND lower(words[1]) = words[1] ELSE len(words) >= 2 AND len(list_filter(words, lambda x: lower(x) <> x AND upper(x) <> x)) = 0 END)
  SELECT code, severity, count(*) AS n, min(n) AS first_row, max(n) AS last_row FROM p GROUP BY 1, 2"""
 NAMES = "select l_orderkey as k, l_linenumber as i, case l_orderkey%9 when 0 then 'main street' when 1 then 'Main Street' when 2 then 'MAIN STREET' when 3 then 'x' when 4 then 'harbour' when 5 then 'b12' when 6 then 'A 7 st' when 7 then 'route 66 lane' else concat('Stop ',l_partkey) end as name from {t}"
 QUERIES["c3_mixed_case"] = lambda spark, sf_dir: over("lineitem", NAMES)(spark, sf_dir).where(cells.mixed_case_missing(F.col("name"))).groupBy("name").count().withColumnRenamed("count", "n")
 SQL["c3_mixed_case"] = f"SELECT name, count(*) AS n FROM ({NAMES.format(t='lineitem')}) q WHERE name IN ('main street', 'MAIN STREET', 'harbour', 'route 66 lane') GROUP BY 1"
+#: Strings by kind, with whether they are valid.
+KNOWN = {
+    "currency": ("AED AFN ALL AMD AOA ARS AUD BDT BGN BHD BOB BRL CAD CHF CLF CLP CNY COP CZK DKK EEK EGP ETB EUR GBP GEL HKD HRK HUF IDR ILS INR ISK JPY KES KRW KWD LKR LTL MAD MXN MYR NGN NOK NZD PEN PHP PLN RON RUB SEK SGD THB TND TRY UAH USD UYU VND XAF XOF ZAR ZWL".split(),
+                 "eur EURO XXQ ZZZ US AAA QQQ".split()),
+    "timezone": ("Africa/Cairo America/Argentina/Buenos_Aires America/New_York America/Sao_Paulo Asia/Kolkata Asia/Tokyo Australia/Sydney CET CST6CDT Cuba EET EST5EDT Egypt Eire Etc/GMT+5 Europe/Berlin Europe/Paris GB GMT Greenwich Hongkong Iceland Indian/Maldives Iran Israel Jamaica Japan MET NZ Navajo PRC PST8PDT Pacific/Auckland Poland Portugal ROK Singapore Turkey UCT US/Pacific UTC Universal W-SU WET Zulu".split(),
+                 "Foo/Bar Mars Europe/Atlantis europe/paris America/New-York Japan/Tokyo Z9".split()),
+    "url": ("https://metro.kr/x https://www.mbta.ru https://a.xyz http://b.transport ftp://c.com/d?e=f http://10.0.0.1/x https://d.museum https://e.berlin https://f.gr https://g.vn https://h.tw https://i.hr https://j.rs https://k.cl https://l.eu https://m.uk:8080/n https://o.africa.za https://p.xn--p1ai".split(),
+            "https://a.zzzz https://b http://c..com http://d.com//e http://-f.com http://g.com:99999 gopher://h.com http://i.com/../j mailto:k@l.com http://256.1.1.1".split()),
+    "email": ("a@b.com a.b+c@d.co.jp x@y.kr z_9@q.ru n@m.xyz".split(), "a@b a@b.zzzz @c.com d..e@f.com g@h@i.com .j@k.com".split()),
+}
+_VALUES = [(kind, text, good) for kind, (right, wrong) in KNOWN.items() for texts, good in ((right, True), (wrong, False)) for text in texts]
+
+
+def known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text of KNOWN, put into the rows of events, passes its parser."""
+    texts = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text")) for k, t, _ in _VALUES))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.get(texts, (F.col("event_id") % len(_VALUES)).cast("int")).alias("v")).select("v.*")
+    parsers = {"currency": cells.to_currency, "timezone": cells.to_timezone, "url": cells.to_url, "email": cells.to_email}
+    parsed = F.coalesce(*(F.when(F.col("kind") == k, parse(F.col("text"))) for k, parse in parsers.items()))
+    return rows.groupBy("kind", "text").agg(F.count(F.lit(1)).alias("n"), F.count(parsed).alias("n_valid"))
+
+
+QUERIES["c7_c8_known_values"] = known_values
+SQL["c7_c8_known_values"] = "WITH v(i, kind, text, good) AS (VALUES " + ", ".join(f"({i}, '{k}', '{t}', {g})" for i, (k, t, g) in enumerate(_VALUES)) + f""")
+ SELECT kind, text, count(*) AS n, sum(CASE WHEN good THEN 1 ELSE 0 END)::BIGINT AS n_valid FROM events JOIN v ON v.i = event_id % {len(_VALUES)} GROUP BY 1, 2"""
 DATES = "select event_id, case when event_id%13=0 then concat('2024',lpad(cast(event_id%14 as string),2,'0'),lpad(cast(event_id%35 as string),2,'0')) when event_id%17=0 then '20240230' else concat('2024',lpad(cast(event_id%12+1 as string),2,'0'),lpad(cast(event_id%28+1 as string),2,'0')) end as d, case when event_id%5=0 then '12345' when event_id%7=0 then 'GGGGGG' else lpad(cast(event_id%1000000 as string),6,'0') end as c from {t}"
 QUERIES["c4_dates_and_colors"] = lambda spark, sf_dir: over("events", DATES)(spark, sf_dir).select("event_id", cells.to_date(F.col("d")).cast("string").alias("date"), cells.to_color(F.col("c")).alias("color"))
 SQL["c4_dates_and_colors"] = f"SELECT event_id, CAST(TRY_CAST(substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) AS DATE) AS VARCHAR) AS date, CASE WHEN regexp_matches(c, '^[0-9A-Fa-f]{{6}}$') THEN CAST('0x' || c AS INTEGER) END AS color FROM ({DATES.format(t='events')}) q"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..feed import Feed
-from ..notices import notices
+from ..notices import notices, union
+from ..schema import TABLES
 
 FEED = "feed_id"
 COUNTED = (("shapes", "shape_id"), ("stops", "stop_id"), ("routes", "route_id"), ("trips", "trip_id"), ("agency", "agency_id"), ("trips", "block_id"))
@@ -22,43 +26,97 @@ def summary_counts(feed: Feed, approximate: bool = False) -> DataFrame:
     return out
 
 
+#: Columns of feed_info that a summary shows, from its first row.
+INFO = ("feed_publisher_name", "feed_publisher_url", "feed_lang", "feed_start_date", "feed_end_date", "feed_contact_email")
+
+
 def feed_summary(feed: Feed) -> DataFrame:
-    """One row for each feed: agencies in file order, feed info, first and last service date."""
+    """One row for each feed: agencies in file order, feed info, files with rows, first and last service date."""
     from .calendars import service_runs
 
-    agencies = feed["agency"].groupBy(FEED).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row_number", F.coalesce("agency_name", F.lit("")).alias("name")))), lambda s: s["name"]), ", ").alias("agencies"))
-    info = feed["feed_info"].groupBy(FEED).agg(*(F.min_by(c, "_row_number").alias(c) for c in ("feed_publisher_name", "feed_lang", "feed_start_date", "feed_end_date")))
+    named = F.array_sort(F.collect_list(F.struct("_row_number", F.coalesce("agency_name", F.lit("")).alias("name"))))
+    agencies = feed["agency"].groupBy(FEED).agg(F.array_join(F.transform(named, lambda s: s["name"]), ", ").alias("agencies"))
+    info = feed["feed_info"].groupBy(FEED).agg(*(F.min_by(c, "_row_number").alias(c) for c in INFO))
     window = service_runs(feed).groupBy(FEED).agg(F.min("first").alias("service_start"), F.max("last").alias("service_end"))
-    return agencies.join(info, FEED, "full").join(window, FEED, "full")
-
-
-#: Features that rows of a file show, and features that a set column shows.
-BY_FILE = {
-    "shapes": "Shapes", "frequencies": "Frequencies", "transfers": "Transfers", "pathways": "Pathway Connections", "levels": "Levels", "translations": "Translations", "fare_attributes": "Fares V1", "fare_products": "Fare Products",
-    "fare_media": "Fare Media", "rider_categories": "Rider Categories", "fare_transfer_rules": "Fare Transfers", "attributions": "Attributions", "booking_rules": "Booking Rules", "feed_info": "Feed Information",
-}
-BY_COLUMN = {
-    "Stops Wheelchair Accessibility": ("stops", "wheelchair_boarding"), "Text-to-Speech": ("stops", "tts_stop_name"), "Location Types": ("stops", "location_type"), "Stop Access": ("stops", "stop_access"),
-    "Route Colors": ("routes", "route_color"), "Continuous Stops": ("routes", "continuous_pickup"), "Headsigns": ("trips", "trip_headsign"), "Bike Allowed": ("trips", "bikes_allowed"),
-    "Trips Wheelchair Accessibility": ("trips", "wheelchair_accessible"), "Cars Allowed": ("trips", "cars_allowed"), "Fixed Timepoints": ("stop_times", "timepoint"), "Traversal Time": ("pathways", "traversal_time"),
-    "Pathway Signs": ("pathways", "signposted_as"), "Pathway Details": ("pathways", "length"), "Zone-Based Demand Responsive Services": ("stop_times", "location_id"), "Flexible Windows": ("stop_times", "start_pickup_drop_off_window"),
+    files = union([feed[n].select(FEED).distinct().withColumn("file", F.lit(TABLES[n].file)) for n in feed.tables])
+    files = files.groupBy(FEED).agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
+    return agencies.join(info, FEED, "full").join(files, FEED, "full").join(window, FEED, "full")
+
+
+def _set(table: str, *columns: str) -> tuple[tuple[str, str], ...]:
+    """A row that sets one of the columns."""
+    return tuple((table, f"{c} is not null") for c in columns)
+
+
+def _rows(*tables: str) -> tuple[tuple[str, str], ...]:
+    """A row in one of the tables."""
+    return tuple((t, "true") for t in tables)
+
+
+_ALONE = "trip_id is not null and {0} is not null and stop_id is null"
+#: Features, and what shows each: every part must be met, by a row of one of its (table, condition).
+FEATURES: dict[str, tuple[tuple[tuple[str, str], ...], ...]] = {
+    "Pathway Connections": (_rows("pathways"),),
+    "Pathway Signs": (_set("pathways", "signposted_as", "reversed_signposted_as"),),
+    "Pathway Details": (_set("pathways", "max_slope", "min_width", "length", "stair_count"),),
+    "In-station Traversal Time": (_set("pathways", "traversal_time"),),
+    "Levels": (_rows("levels"),),
+    "Transfers": (_rows("transfers"),),
+    "Shapes": (_rows("shapes"),),
+    "Frequencies": (_rows("frequencies"),),
+    "Feed Information": (_rows("feed_info"),),
+    "Attributions": (_rows("attributions"),),
+    "Translations": (_rows("translations"),),
+    "Fares V1": (_rows("fare_attributes"),),
+    "Fare Products": (_rows("fare_products"),),
+    "Fare Transfers": (_rows("fare_transfer_rules"),),
+    "Fare Media": (_rows("fare_media"), _set("fare_products", "fare_media_id")),
+    "Rider Categories": (_rows("rider_categories"), _set("fare_products", "rider_category_id")),
+    "Route-Based Fares": (_set("routes", "network_id") + _rows("networks"), _rows("fare_products"), _set("fare_leg_rules", "network_id")),
+    "Zone-Based Fares": (_rows("areas"), _rows("fare_products"), _set("fare_leg_rules", "from_area_id", "to_area_id")),
+    "Time-Based Fares": (_rows("timeframes"), _rows("fare_products"), _set("fare_leg_rules", "from_timeframe_group_id", "to_timeframe_group_id")),
+    "Contactless EMV Support": (_set("agency", "cemv_support") + _set("routes", "cemv_support"),),
+    "Booking Rules": (_rows("booking_rules"),),
+    "Route Colors": (_set("routes", "route_color", "route_text_color"),),
+    "Headsigns": (_set("trips", "trip_headsign") + _set("stop_times", "stop_headsign"),),
+    "Stops Wheelchair Accessibility": (_set("stops", "wheelchair_boarding"),),
+    "Trips Wheelchair Accessibility": (_set("trips", "wheelchair_accessible"),),
+    "Text-to-Speech": (_set("stops", "tts_stop_name"),),
+    "Bike Allowed": (_set("trips", "bikes_allowed"),),
+    "Cars Allowed": (_set("trips", "cars_allowed"),),
+    "Location Types": (_set("stops", "location_type"),),
+    "Stop Access": (_set("stops", "stop_access"),),
+    "Continuous Stops": (_set("routes", "continuous_drop_off", "continuous_pickup") + _set("stop_times", "continuous_drop_off", "continuous_pickup"),),
+    "Zone-Based Demand Responsive Services": ((("stop_times", _ALONE.format("location_id")),),),
+    "Fixed-Stops Demand Responsive Transit": (_rows("location_groups"), (("stop_times", _ALONE.format("location_group_id")),)),
 }
 
 
 def feature_flags(feed: Feed) -> DataFrame:
     """(feed_id, feature) for each feature a feed shows: one pass over each table."""
-    out = None
-    for table in sorted({*BY_FILE, *(t for t, _ in BY_COLUMN.values())} & feed.tables.keys()):
-        flags = {BY_FILE[table]: F.count(F.lit(1)) > 0} if table in BY_FILE else {}
-        flags |= {name: F.max(F.col(c).isNotNull()) for name, (t, c) in BY_COLUMN.items() if t == table}
-        part = feed[table].groupBy(FEED).agg(F.map_filter(F.create_map(*(x for k, v in flags.items() for x in (F.lit(k), v))), lambda k, v: v).alias("m"))
-        part = part.select(FEED, F.explode(F.map_keys("m")).alias("feature"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted: dict[str, set[str]] = {}
+    for parts in FEATURES.values():
+        for table, condition in (c for part in parts for c in part):
+            wanted.setdefault(table, set()).add(condition)
+    seen = []
+    for table in sorted(wanted.keys() & feed.tables.keys()):
+        df = feed[table]
+        asked = [c for c in sorted(wanted[table]) if set(re.findall(r"(\w+) is (?:not )?null", c)) <= set(df.columns)]
+        met = df.groupBy(FEED).agg(*(F.max(F.expr(c)).alias(f"c{i}") for i, c in enumerate(asked)))
+        names = F.array(*(F.when(F.col(f"c{i}"), F.lit(f"{table}: {c}")) for i, c in enumerate(asked)))
+        seen.append(met.select(FEED, F.explode(F.array_compact(names)).alias("met")))
+    if not seen:
+        return feed.spark.createDataFrame([], f"{FEED} string, feature string")
+    held = union(seen).groupBy(FEED).agg(F.collect_set("met").alias("met"))
+    any_of = lambda part: F.arrays_overlap("met", F.array(*(F.lit(f"{t}: {c}") for t, c in part)))
+    shown = [F.when(reduce(Column.__and__, map(any_of, parts)), F.lit(name)) for name, parts in FEATURES.items()]
+    found = held.select(FEED, F.explode(F.array_compact(F.array(*shown))).alias("feature"))
+    deviated = deviated_routes(feed).select(FEED, F.lit("Predefined Routes with Deviation").alias("feature"))
+    return found.unionByName(deviated)
 
 
 def deviated_routes(feed: Feed) -> DataFrame:
-    """Feeds with a trip whose rows together set zone, stop, arrival and departure."""
+    """Feeds with a trip whose rows together set zone, stop, arrival and departure, and how many such trips."""
     mask: Column = F.lit(0)
     for i, c in enumerate(("location_id", "stop_id", "arrival_time", "departure_time")):
         mask = mask + F.when(F.col(c).isNotNull(), 1 << i).otherwise(0)

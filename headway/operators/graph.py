@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +40,26 @@ def including_station(feed: Feed) -> DataFrame:
     return rows.select(FEED, "stop_id", station.alias("station")).where("station is not null")
 
 
-def reached(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """All (feed_id, stop_id) reachable from start along edges (feed_id, a, b).
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All (feed_id, way, stop_id) reachable from start (the same columns) along edges (feed_id, way, a, b) of one way.
 
-    Only what the last round found is joined on; each round is stored. Rounds are as many as the
-    longest shortest path, which within a station is short.
+    What a round finds is appended to a table by round number, and the next round joins that part
+    alone. Rounds are as many as the longest shortest path, which within a station is short, and
+    end when one finds nothing.
     """
-    found = frontier = stored(start.select(FEED, "stop_id").distinct())
-    for _ in range(rounds):
-        step = frontier.join(edges.withColumnRenamed("a", "stop_id"), [FEED, "stop_id"]).select(FEED, F.col("b").alias("stop_id")).distinct()
-        frontier = stored(step.join(found, [FEED, "stop_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = stored(found.unionByName(frontier))
-    return found
+    spark = edges.sparkSession
+    stored(spark.range(1))  # so that there is a folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/reached-{uuid.uuid4().hex}"
+    keys = [FEED, "way", "stop_id"]
+    schema = f"{FEED} string, way string, stop_id string"
+    found = start.select(*keys).distinct()
+    for n in count():
+        found.write.parquet(f"{path}/round={n:05d}")
+        last = spark.read.schema(schema).parquet(f"{path}/round={n:05d}")
+        if last.isEmpty():
+            return spark.read.schema(schema).parquet(path).select(*keys)
+        step = last.join(edges.withColumnRenamed("a", "stop_id"), keys).select(FEED, "way", F.col("b").alias("stop_id")).distinct()
+        found = step.join(spark.read.schema(schema).parquet(path).select(*keys), keys, "left_anti")
 
 
 def pathway_unreachable_location(feed: Feed) -> DataFrame:
@@ -68,8 +76,10 @@ def pathway_unreachable_location(feed: Feed) -> DataFrame:
     parents = types.where("parent_station is not null").select(FEED, F.col("parent_station").alias("stop_id")).distinct()
     places = inside.where("type in (3, 4)").unionByName(inside.where("type = 0").join(parents, [FEED, "stop_id"], "left_anti"))
     entrances = inside.where("type = 2")
-    there = reached(edges, entrances)
-    out = reached(edges.select(FEED, F.col("b").alias("a"), F.col("a").alias("b")), entrances)
-    mark = lambda df, name: df.select(FEED, "stop_id", F.lit(True).alias(name))
-    rows = places.join(mark(there, "hasEntrance"), [FEED, "stop_id"], "left").join(mark(out, "hasExit"), [FEED, "stop_id"], "left").na.fill(False, ["hasEntrance", "hasExit"])
+    turned = edges.select(FEED, F.lit("out").alias("way"), F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.select(FEED, F.lit("in").alias("way"), "a", "b").unionByName(turned)
+    start = entrances.select(FEED, F.explode(F.array(F.lit("in"), F.lit("out"))).alias("way"), "stop_id")
+    ways_of = reached(both, start).groupBy(FEED, "stop_id").agg(F.collect_set("way").alias("ways"))
+    on = lambda way: F.coalesce(F.array_contains("ways", way), F.lit(False))
+    rows = places.join(ways_of, [FEED, "stop_id"], "left").withColumns({"hasEntrance": on("in"), "hasExit": on("out")})
     return notices(rows.where("not hasEntrance or not hasExit"), "pathway_unreachable_location", "ERROR", "stops.txt", "stop_row", stopId="stop_id", hasEntrance="hasEntrance", hasExit="hasExit")

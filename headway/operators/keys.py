@@ -34,8 +34,13 @@ def duplicate_key(feed: Feed, table: str) -> DataFrame:
     names = [f"_k{i}" for i in range(len(key))]
     rows = df.select("feed_id", "_row_number", *key, *(p.alias(n) for p, n in zip(parts, names, strict=True)))
     rows = rows.where("_k0 is not null") if len(key) == 1 else rows
-    repeated = rows.groupBy("feed_id", *names).agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.concat_ws(",", *(shown(table, k) for k in key)), "_row_number").alias("_value"), F.min_by(F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.lit(k)) for k in key)), "_row_number").alias("_names"), F.min("_row_number").alias("_old")).where("_n > 1")
-    later = rows.select("feed_id", "_row_number", *names).join(repeated, ["feed_id", *names]).where("_row_number > _old")
+    repeated = rows.groupBy("feed_id", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_row_number").alias("_old")).where("_n > 1")
+    again = rows.join(repeated, ["feed_id", *names])
+    # the key as its first row has it, formatted for repeated keys only
+    value = F.concat_ws(",", *(shown(table, k) for k in key))
+    named = F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.lit(k)) for k in key))
+    first = again.where("_row_number = _old").select("feed_id", *names, value.alias("_value"), named.alias("_names"))
+    later = again.where("_row_number > _old").select("feed_id", "_row_number", "_old", *names).join(first, ["feed_id", *names])
     return notices(later, "duplicate_key", "ERROR", TABLES[table].file, oldCsvRowNumber="_old", fieldName=F.col("_names"), fieldValue=F.col("_value"))
 
 
@@ -43,7 +48,7 @@ def single_row_tables(feed: Feed) -> DataFrame:
     """Tables that must have one row and have more."""
     parts = []
     for t in TABLES.values():
-        if t.single_row and t.name in feed:
+        if t.single_row:
             counts = feed[t.name].groupBy("feed_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             parts.append(notices(counts, "more_than_one_entity", "ERROR", t.file, None, rowCount="n"))
     return union(parts)
@@ -60,25 +65,41 @@ def is_single_key(table: str, column: str) -> bool:
 def foreign_key_violation(feed: Feed, references: Iterable[Reference] = REFERENCES) -> DataFrame:
     """Child values that no parent has, for each reference whose child column is declared.
 
-    Parent nulls count as empty text unless the parent column is its table's key. Each child
-    table is read once, its references become rows, and one anti-join with the distinct parent
-    values answers all references.
+    Parent nulls count as empty text unless the parent column is its table's key. The references
+    of a child table become rows, whose different values (partial sums leave few) are compared
+    with those of the parents in one anti-join; only the values found missing go back to the rows
+    of the tables, so popular values are never shuffled by row.
     """
     used = [r for r in references if feed.has(r.child, r.column)]
+    groups = {name: g for g, name in enumerate(dict.fromkeys(parent_names(r) for r in used))}
     children, parents = [], []
     for table in dict.fromkeys(r.child for r in used):
-        own = [r for r in used if r.child == table]
-        cells = F.array(*(F.struct(F.lit(r.column).alias("column"), F.lit(parent_names(r)).alias("parents"), F.lit(" or ".join(TABLES[t].file for t, _ in r.parents)).alias("files"), F.col(r.column).alias("value"), F.lit(r.skip_empty).alias("skips")) for r in own))
-        children.append(feed[table].select("feed_id", "_row_number", F.lit(TABLES[table].file).alias("file"), F.explode(F.filter(cells, lambda c: c["value"].isNotNull() & ~(c["skips"] & (c["value"] == "")))).alias("c")))
+        own = [(i, r) for i, r in enumerate(used) if r.child == table]
+        # a reference travels as its number
+        cells = F.array(*(
+            F.when(F.col(r.column) != "" if r.skip_empty else F.col(r.column).isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(groups[parent_names(r)]).alias("g"), F.col(r.column).alias("value")))
+            for i, r in own
+        ))
+        children.append(feed[table].select("feed_id", "_row_number", F.explode(cells).alias("c")).where("c is not null"))
     for r in {parent_names(r): r for r in used}.values():
         for t, c in r.parents:
             value = F.col(c) if is_single_key(t, c) else F.coalesce(F.col(c), F.lit(""))
-            parents.append(feed[t].select("feed_id", F.lit(parent_names(r)).alias("parents"), value.alias("value")).where("value is not null"))
-    cells = union(children).select("feed_id", "_row_number", "file", "c.*")
-    missing = cells.join(union(parents).distinct(), ["feed_id", "parents", "value"], "left_anti")
-    return missing.select(
-        "feed_id", F.lit("foreign_key_violation").alias("code"), F.lit("ERROR").alias("severity"), F.col("file").alias("filename"), F.col("_row_number").cast("long").alias("row_number"),
-        context_of({"childFieldName": "column", "parentFilename": "files", "fieldValue": "value"}).alias("context"),
+            parents.append(feed[t].select("feed_id", F.lit(groups[parent_names(r)]).alias("g"), value.alias("value")).where("value is not null"))
+    cells = union(children).select("feed_id", "_row_number", "c.*")
+    asked = ["feed_id", "g", "value"]
+    missing = cells.select(*asked).distinct().join(union(parents).distinct(), asked, "left_anti")
+    found = cells.join(missing, asked)
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
+    if feed.status is not None:
+        # a reference is checked for feeds whose tables it names loaded cleanly
+        needs = F.get(F.array(*(F.array(*map(F.lit, (r.child, *(t for t, _ in r.parents)))) for r in used)), F.col("i"))
+        found = found.join(feed.unclean().groupBy("feed_id").agg(F.collect_set("table").alias("_bad")), "feed_id", "left")
+        found = found.where(~F.coalesce(F.arrays_overlap("_bad", needs), F.lit(False)))
+    return found.select(
+        "feed_id", F.lit("foreign_key_violation").alias("code"), F.lit("ERROR").alias("severity"), of([TABLES[r.child].file for r in used]).alias("filename"),
+        F.col("_row_number").cast("long").alias("row_number"), context_of({
+            "childFieldName": of([r.column for r in used]), "parentFilename": of([" or ".join(TABLES[t].file for t, _ in r.parents) for r in used]), "fieldValue": "value",
+        }).alias("context"),
     )
 
 

@@ -54,7 +54,15 @@ def _register() -> None:
     r("route_short_name_too_long", "WARNING", "routes", "length(route_short_name) + length(regexp_replace(route_short_name, '[\u0001-￿]', '', 'g')) > 12", "route_id")
     luma = lambda c: f"(0.30 * floor({c} / 65536) + 0.59 * (floor({c} / 256) % 256) + 0.11 * ({c} % 256))"
     r("route_color_contrast", "WARNING", "routes", f"abs(floor({luma('route_color')}) - floor({luma('route_text_color')})) < 72", "route_id route_color route_text_color", ("route_color", "route_text_color"))
-    r("route_long_name_contains_short_name", "WARNING", "routes", "starts_with(lower(route_long_name), lower(route_short_name)) and (length(route_long_name) = length(route_short_name) or substr(route_long_name, length(route_short_name) + 1, 1) in (' ', '-', '('))", "route_id")
+    # after the short name: nothing, or a separator (after a blank, if any) and no line break beyond it
+    after = "substr(route_long_name, length(route_short_name) + {0})"
+    blank, breaks = " \t\n\x0b\f\r", "\n\r\x85\u2028\u2029"
+    listed = lambda chars: ", ".join(f"'{c}'" for c in chars)
+    first = lambda n, chars: f"substr(route_long_name, length(route_short_name) + {n}, 1) in ({listed(chars)})"
+    whole = lambda n: f"translate({after.format(n)}, '{breaks}', '') = {after.format(n)}"
+    separated = f"{first(1, blank + '-()')} and {whole(2)} or {first(1, blank)} and {first(2, blank + '-()')} and {whole(3)}"
+    same = "starts_with(lower(route_long_name), lower(route_short_name))"
+    r("route_long_name_contains_short_name", "WARNING", "routes", f"{same} and (length(route_long_name) = length(route_short_name) or {separated})", "route_id")
     r("same_name_and_description_for_route", "WARNING", "routes", "lower(route_desc) = lower(coalesce(route_short_name, '')) or lower(route_desc) = lower(coalesce(route_long_name, ''))", "route_id", ("route_desc",))
     start, end = "start_pickup_drop_off_window", "end_pickup_drop_off_window"
     window, whole = f"({start} is not null or {end} is not null)", f"({start} is not null and {end} is not null)"

@@ -73,6 +73,21 @@ def centre_inside(ring: np.ndarray, outer: np.ndarray) -> bool:
     return bool(inside(probes, outer).mean() > 0.5)
 
 
+def zone_points(feed: Feed) -> DataFrame:
+    """Points of zones within a degree of (0, 0), or of a pole; one notice for each point of each ring, a closing point too."""
+    pair = lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("x"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("y"))
+    rings = F.when(F.col("geometry_type") == "MultiPolygon", F.flatten(F.from_json("coordinates", "array<array<array<array<string>>>>"))).otherwise(
+        F.from_json("coordinates", "array<array<array<string>>>"))
+    rows = feed["zones"].select(FEED, "feature_id", "feature_index", F.explode(F.flatten(rings)).alias("p")).select(FEED, "feature_id", "feature_index", pair(F.col("p")).alias("p"))
+    origin = (F.abs("p.x") <= 1) & (F.abs("p.y") <= 1)
+    code = F.when(origin, "point_near_origin").when(F.abs("p.y") >= 89, "point_near_pole")
+    found = rows.withColumn("_code", code).where("_code is not null")
+    return notices(
+        found, F.col("_code"), "ERROR", "locations.geojson", None,
+        featureIndex="feature_index", entityId="feature_id", latFieldValue="p.y", lonFieldValue="p.x",
+    )
+
+
 def ring_problem(kind: str, coordinates: str | None) -> str | None:
     """The first thing that is wrong with a geometry, or None."""
     try:

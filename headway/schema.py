@@ -85,9 +85,9 @@ _STOP_TYPES = "0|1|2|3"
 TABLES: dict[str, Table] = {
     t.name: t
     for t in (
-        Table("agency", _parse("agency_id:id agency_name::!,~ agency_url:url:! agency_timezone:timezone:! agency_lang:language agency_phone agency_fare_url:url agency_email:email"), ("agency_id",), "required"),
+        Table("agency", _parse("agency_id:id agency_name::!,~ agency_url:url:! agency_timezone:timezone:! agency_lang:language agency_phone agency_fare_url:url agency_email:email cemv_support:enum:0|1|2"), ("agency_id",), "required"),
         Table("stops", _parse("stop_id:id:! stop_code stop_name::~ tts_stop_name stop_desc::~ stop_lat:latitude stop_lon:longitude zone_id:id stop_url:url location_type:enum:0|1|2|3|4 parent_station:id stop_timezone:timezone wheelchair_boarding:enum:0|1|2 level_id:id platform_code stop_access:enum:0|1"), ("stop_id",)),
-        Table("routes", _parse("route_id:id:! agency_id:id route_short_name::~ route_long_name::~ route_desc::~ route_type:enum:!,0|1|2|3|4|5|6|7|11|12 route_url:url route_color:color route_text_color:color route_sort_order:int:non_negative continuous_pickup:enum:0|1|2|3 continuous_drop_off:enum:0|1|2|3 network_id:id"), ("route_id",), "required"),
+        Table("routes", _parse("route_id:id:! agency_id:id route_short_name::~ route_long_name::~ route_desc::~ route_type:enum:!,0|1|2|3|4|5|6|7|11|12 route_url:url route_color:color route_text_color:color route_sort_order:int:non_negative continuous_pickup:enum:0|1|2|3 continuous_drop_off:enum:0|1|2|3 network_id:id cemv_support:enum:0|1|2"), ("route_id",), "required"),
         Table("trips", _parse("route_id:id:! service_id:id:! trip_id:id:! trip_headsign::~ trip_short_name direction_id:enum:0|1 block_id:id shape_id:id wheelchair_accessible:enum:0|1|2 bikes_allowed:enum:0|1|2 cars_allowed:enum:0|1|2"), ("trip_id",), "required"),
         Table("stop_times", _parse(f"trip_id:id:! arrival_time:time departure_time:time stop_id:id location_group_id:id location_id:id stop_sequence:int:!,non_negative stop_headsign::~ start_pickup_drop_off_window:time end_pickup_drop_off_window:time pickup_type:enum:{_STOP_TYPES} drop_off_type:enum:{_STOP_TYPES} continuous_pickup:enum:{_STOP_TYPES} continuous_drop_off:enum:{_STOP_TYPES} shape_dist_traveled:float:non_negative timepoint:enum:0|1 pickup_booking_rule_id:id drop_off_booking_rule_id:id"), ("trip_id", "stop_sequence"), "required"),
         Table("calendar", _parse(f"service_id:id:! {_DAYS} start_date:date:! end_date:date:!,>start_date="), ("service_id",)),

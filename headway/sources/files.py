@@ -17,8 +17,6 @@ from ..schema import TABLES
 
 MAX_CELL = 4096
 MAX_ROWS = 1_000_000_000
-#: Most columns that a line is split into; longer rows are reported with this length plus one.
-MAX_COLUMNS = 64
 LINES = "feed_id string, filename string, line_number long, value string"
 
 
