@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 
 import corpus_pipeline
 from headway.llm import chat, langid, mixing, packing, quality, queries, toxicity, warc
@@ -54,6 +55,11 @@ def test_warc_has_its_dictionary_first(spark, tmp_path):
         assert int.from_bytes(data[:4], "little") == warc.MAGIC
         assert int.from_bytes(data[4:8], "little") > 1000
         assert len(list(warc.records_of(data))) >= 1
+        # the first record, which readers of records pass over, tells of the archive
+        frames = [bytes(f) for f in warc.frames_of(memoryview(data))]
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(frames[0][8:]))
+        first = next(f for f in frames[1:] if f[:4] == b"\x28\xb5\x2f\xfd")
+        assert reader.decompress(first).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
     assert warc.read_archives(spark, f"{tmp_path}/w", payload=False).count() == pages.count()
 
 
