@@ -34,14 +34,16 @@ def weekly_dates(calendar: DataFrame) -> DataFrame:
     return spans.where(F.element_at("days", F.weekday("date") + 1) == 1).select(*SERVICE, "date")
 
 
-def active_dates(feed: Feed) -> DataFrame:
+def active_dates(feed: Feed, used: DataFrame | None = None) -> DataFrame:
     """Dates on which each service runs: weekly dates and added ones, without removed ones.
 
-    The last calendar row of a service counts.
+    The last calendar row of a service counts. used (feed_id, service_id): the services asked
+    for, so that no others' spans are expanded; None: all.
     """
+    asked = lambda df: df if used is None else df.join(used.select(*SERVICE).distinct(), SERVICE, "left_semi")
     order = W.partitionBy(*SERVICE).orderBy(F.desc("_row_number"))
-    last = feed["calendar"].where("service_id is not null").withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    extra = feed["calendar_dates"].where("service_id is not null and date is not null").select(*SERVICE, "date", "exception_type")
+    last = asked(feed["calendar"].where("service_id is not null")).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    extra = asked(feed["calendar_dates"].where("service_id is not null and date is not null").select(*SERVICE, "date", "exception_type"))
     added = weekly_dates(last).unionByName(extra.where("exception_type = 1").drop("exception_type")).distinct()
     return added.join(extra.where("exception_type = 2").drop("exception_type").distinct(), [*SERVICE, "date"], "left_anti")
 
@@ -132,7 +134,8 @@ def trip_runs(feed: Feed) -> DataFrame:
 def trips_per_date(feed: Feed) -> DataFrame:
     """feed_id, date, n_trips. Trips are summed by service before dates come in."""
     services = trip_runs(feed).groupBy(*SERVICE).agg(F.sum("runs").alias("runs"))
-    return services.join(active_dates(feed), SERVICE).groupBy(FEED, "date").agg(F.sum("runs").alias("n_trips"))
+    used = feed["trips"].where("service_id is not null").select(*SERVICE)
+    return services.join(active_dates(feed, used), SERVICE).groupBy(FEED, "date").agg(F.sum("runs").alias("n_trips"))
 
 
 def majority_coverage(feed: Feed, today: datetime.date) -> DataFrame:
@@ -170,6 +173,6 @@ def block_overlap(feed: Feed) -> DataFrame:
     handover = F.expr("arr0 = arr1_a and dep0 = dep1_a")
     pairs = early.join(late, [FEED, "block_id", "hour"]).where(before & (F.col("arr0") < F.col("dep1_a")) & ~handover)
     services = pairs.select(FEED, "service_id_a", "service_id").distinct()
-    dates = active_dates(feed)
+    dates = active_dates(feed, feed["trips"].where("block_id is not null and service_id is not null").select(*SERVICE))
     shared = services.join(dates, SERVICE).join(dates.select(FEED, F.col("service_id").alias("service_id_a"), "date"), [FEED, "service_id_a", "date"]).groupBy(FEED, "service_id_a", "service_id").agg(F.min("date").alias("date"))
     return notices(pairs.join(shared, [FEED, "service_id_a", "service_id"]), "block_trips_with_overlapping_stop_times", "ERROR", "trips.txt", None, blockId="block_id", tripIdA="trip_id_a", tripIdB="trip_id", date="date")

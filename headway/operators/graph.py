@@ -27,6 +27,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the folder that executors share and read again, where several plans read it."""
+    spark = df.sparkSession
+    stored(spark.range(1))  # so that there is a folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def including_station(feed: Feed) -> DataFrame:
     """feed_id, stop_id, station: the station at most three steps up (a station is its own)."""
     s = stop_types(feed).select(FEED, "stop_id", "type", "parent_station")

@@ -26,6 +26,7 @@ from ..feed import Feed, first_rows
 from ..functions.geo import RADIUS
 from ..notices import notices
 from .distances import stop_coordinates
+from .graph import written
 
 FEED = "feed_id"
 #: Metres from a shape within which a stop is on it; so many times for the ends of rail trips; candidates that are too many.
@@ -394,16 +395,17 @@ def stop_to_shape(feed: Feed) -> DataFrame:
 
     A stop too far from a shape, by place or by user distance, is reported once for the shape,
     with the first trip; the other problems for each pattern and pass, with its first trip. Steps
-    without a stop id count in a pattern and are never reported.
+    without a stop id count in a pattern and are never reported. The visits, and the patterns with
+    their candidates, are written once, as several parts of the plan read them.
     """
     shapes = shape_arrays(feed)
-    rows = visits(feed, shapes)
+    rows = written(visits(feed, shapes), "visits")
     key = [FEED, "shape_id", "trip_row", "trip_id"]
     none = F.lit(None).cast(PLACE)
     limit = F.when(F.col("large"), NEAR_M * RAIL_ENDS).otherwise(NEAR_M)
     step = F.struct("at", "row", "stop_id", "d", "lat", "lon", "places", "nearest", limit.alias("limit"))
     steps = rows.join(candidates(feed, rows, shapes), [FEED, "shape_id", "stop_id", "large"])
-    whole = steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    whole = written(steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps")), "patterns")
 
     # the first pass: too far, too many, and out of order where every stop has a candidate
     problem = lambda number, code, at, n, place, before: F.struct(
