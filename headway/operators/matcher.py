@@ -434,10 +434,12 @@ def stop_to_shape(feed: Feed) -> DataFrame:
         "lats", "lons", "user", F.transform("items.steps", F.size), each["d"], each["lat"], each["lon"], each["limit"], near("m"), near("lat"), near("lon"),
         F.transform(asked, F.size), *(places[c] for c in ("along", "m", "lat", "lon")),
     )
-    second = work.select(FEED, "shape_id", "items", F.explode(second).alias("f")).withColumn("t", F.get("items", F.col("f.p")))
+    # each problem takes its own pattern along, not the whole part
+    told = F.transform(second, lambda f: F.struct(F.get("items", f["p"]).alias("t"), f.alias("f")))
+    second = work.select(FEED, "shape_id", F.explode(told).alias("x"))
     second = second.select(
-        FEED, "shape_id", "t.trip_row", "t.trip_id", "t.steps",
-        F.struct(F.lit(1).alias("pass"), "f.code", "f.at", "f.n", "f.place", "f.before").alias("f"),
+        FEED, "shape_id", "x.t.trip_row", "x.t.trip_id", "x.t.steps",
+        F.struct(F.lit(1).alias("pass"), "x.f.code", "x.f.at", "x.f.n", "x.f.place", "x.f.before").alias("f"),
     )
 
     side = lambda i, n: F.struct(at(i)["row"].alias("row"), at(i)["stop_id"].alias("stop_id")).alias(f"s{n}")
