@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..feed import Feed
+from ..feed import Feed, group_counts, row_at_max, rows_any_set
 from ..functions import cells
 from ..notices import context_text
 from ..operators import zones
@@ -16,6 +19,7 @@ from ..operators.graph import stored
 from ..operators.typing import type_table
 from ..schema import TABLES, Field, Table
 from ..sources import files
+from ..sources.raw import listing_of
 from .projection import PROJECTION, feed_of, with_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +173,52 @@ def typed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["a5_typed_round_trip"] = typed_round_trip
 SQL["a5_typed_round_trip"] = with_feed("SELECT 'stops' AS kind, stop_id AS id, _row_number FROM stops UNION ALL SELECT 'shapes', shape_id, _row_number FROM shapes")
 
+
+
+def zipped(rows: pd.DataFrame) -> pd.DataFrame:
+    """A zip archive for one feed: its stops, and a file that no table has."""
+    held = io.BytesIO()
+    rows = rows.sort_values("c_custkey")
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("stops.txt", "stop_id,stop_name\r\n" + "".join(f'S{k},"{n}, north"\r\n' for k, n in zip(rows["c_custkey"], rows["c_name"], strict=True)))
+        z.writestr("notes.txt", "")
+    return pd.DataFrame({"path": [f"store/{rows['feed'].iloc[0]}.zip"], "content": [held.getvalue()]})
+
+
+def archived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of archives, one for each thousand keys of customers and each nation."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.concat(F.lit("F"), "c_nationkey", F.lit("-"), F.floor(F.col("c_custkey") / 1000)).alias("feed"))
+    return files.unpack(rows.groupBy("feed").applyInPandas(zipped, "path string, content binary"))
+
+
+def archived_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.split_rows(archived_lines(spark, sf_dir).where("value is not null"))
+    return files.raw_table(rows, "stops").select(F.col("feed_id").alias("feed"), "_row_number", "stop_id", "stop_name")
+
+
+def archived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = archived_lines(spark, sf_dir)
+    rows = files.split_rows(lines.where("value is not null"))
+    headers = rows.select("feed_id", "table", "header").distinct()
+    failed = rows.where("_row_number % 7 = 0").select("feed_id", "table", F.lit("UNPARSABLE_ROWS").alias("status"))
+    found = files.table_status(listing_of(lines), headers, failed)
+    return found.select(F.col("feed_id").alias("feed"), "table", "status")
+
+
+_ARCHIVED = "f AS (SELECT *, 'F' || c_nationkey || '-' || (c_custkey // 1000) AS feed FROM customer)"
+QUERIES["a1_archived_stops"] = archived_stops
+SQL["a1_archived_stops"] = f"WITH {_ARCHIVED} SELECT feed, row_number() OVER (PARTITION BY feed ORDER BY c_custkey) + 1 AS _row_number, 'S' || c_custkey AS stop_id, c_name || ', north' AS stop_name FROM f"
+QUERIES["b4_table_status"] = archived_status
+SQL["b4_table_status"] = f"""WITH {_ARCHIVED}, n AS (SELECT feed, count(*) AS n FROM f GROUP BY 1), t(t) AS (VALUES {', '.join(f"('{n}')" for n in TABLES)})
+ SELECT feed, t AS "table", CASE WHEN t <> 'stops' THEN 'MISSING_FILE' WHEN n >= 6 THEN 'UNPARSABLE_ROWS' ELSE 'PARSABLE' END AS status FROM n, t"""
+
+# ---- L: keyed reads
+
+QUERIES["l5_last_stops"] = lambda spark, sf_dir: row_at_max(feed_of(spark, sf_dir, "stop_times")["stop_times"].where("stop_sequence > 2"), "trip_id", F.col("stop_sequence"), ["stop_id", "_row_number"]).drop("feed_id")
+SQL["l5_last_stops"] = with_feed("SELECT trip_id, stop_id, _row_number FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence DESC, _row_number) AS i FROM stop_times WHERE stop_sequence > 2) q WHERE i = 1")
+QUERIES["l5_counts"] = lambda spark, sf_dir: group_counts(rows_any_set(feed_of(spark, sf_dir, "stop_times")["stop_times"], "arrival_time", "departure_time"), "stop_id").drop("feed_id")
+SQL["l5_counts"] = with_feed("SELECT stop_id, count(*) AS n_rows FROM stop_times WHERE arrival_time IS NOT NULL OR departure_time IS NOT NULL GROUP BY 1")
+
 # ---- J: shapes and zones
 
 SQUARES = "select cast(n_nationkey as bigint)+2 as _row_number, cast(n_nationkey as int) as feature_index, concat('Z',n_nationkey) as feature_id, 'Polygon' as geometry_type, concat('[[[',x,',',y,'],[',x+10,',',y,'],[',x+10,',',y+10,'],[',x,',',y+10,']',case when n_nationkey%6=5 then '' else concat(',[',x,',',y,']') end,']]') as coordinates from (select *, cast(n_nationkey%5*8 as int) as x, cast(floor(n_nationkey/5)*8 as int) as y from {t}) q"

@@ -17,11 +17,18 @@ from ..schema import TABLES
 
 MAX_CELL = 4096
 MAX_ROWS = 1_000_000_000
+#: Lines of a file that are ordered in one task.
+BLOCK_LINES = 100_000
 LINES = "feed_id string, filename string, line_number long, value string"
 
 
 def unpack_archives(spark: SparkSession, glob: str) -> DataFrame:
-    """Lines of the members of zip archives: feed_id (the archive's name), filename, line_number, value.
+    """Lines of the members of the zip archives that glob names, see unpack."""
+    return unpack(spark.read.format("binaryFile").load(glob).select("path", "content"))
+
+
+def unpack(archives: DataFrame) -> DataFrame:
+    """archives (path, content) -> lines of their members: feed_id (the archive's name), filename, line_number, value.
 
     A task streams one archive; of a repeated name the first member counts, and names are compared
     without case. Bytes that are no UTF-8 become U+FFFD, and a byte order mark is dropped.
@@ -49,7 +56,7 @@ def unpack_archives(spark: SparkSession, glob: str) -> DataFrame:
                             rows.append((feed, member.filename, 0, None))
                         yield pd.DataFrame(rows, columns=["feed_id", "filename", "line_number", "value"])
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(lines, LINES)
+    return archives.select("path", "content").mapInPandas(lines, LINES)
 
 
 def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int = -1) -> DataFrame:
@@ -68,18 +75,28 @@ def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int =
     return numbered.select(F.element_at(parts, feed_at).alias("feed_id"), F.element_at(parts, file_at).alias("filename"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
 
 
-def join_quoted(lines: DataFrame) -> DataFrame:
+def join_quoted(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
     """Lines with quoted line breaks put together; the number is that of the last line of each row.
 
-    Only files that have an odd number of quotes in some line are windowed.
+    Only files that have an odd number of quotes in some line are looked at further. Whether a
+    line lies within quotes depends on all lines before, so lines are ordered within blocks, and
+    a row for each block carries over how many quotes and ended rows there are before it.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     odd = lines.where(quotes % 2 == 1).select("feed_id", "filename").distinct()
     keys = ["feed_id", "filename"]
-    by = W.partitionBy(*keys).orderBy("line_number")
-    rows = lines.join(odd, keys, "left_semi").withColumn("open", F.sum(quotes % 2).over(by) % 2)
-    rows = rows.withColumn("row", F.coalesce(F.sum(1 - F.col("open")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    whole = rows.groupBy(*keys, "row").agg(F.max("line_number").alias("line_number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))), lambda s: s["value"]), "\n").alias("value"))
+    by = W.partitionBy(*keys, "block").orderBy("line_number")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    rows = lines.join(odd, keys, "left_semi").withColumn("block", F.floor(F.col("line_number") / block)).withColumn("c", F.sum(quotes % 2).over(by))
+    ended = lambda start: F.count_if((F.col("c") + start) % 2 == 0)
+    blocks = rows.groupBy(*keys, "block").agg(F.sum(quotes % 2).alias("quotes"), ended(0).alias("ended0"), ended(1).alias("ended1"))
+    order = before(W.partitionBy(*keys).orderBy("block"))
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("quotes").over(order), F.lit(0)) % 2)
+    blocks = blocks.withColumn("ended", F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("ended0")).otherwise(F.col("ended1"))).over(order), F.lit(0)))
+    rows = rows.join(blocks.select(*keys, "block", "start", "ended"), [*keys, "block"]).withColumn("open", (F.col("start") + F.col("c")) % 2)
+    rows = rows.withColumn("row", F.col("ended") + F.coalesce(F.sum(1 - F.col("open")).over(before(by)), F.lit(0)))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))), lambda s: s["value"])
+    whole = rows.groupBy(*keys, "row").agg(F.max("line_number").alias("line_number"), F.array_join(own, "\n").alias("value"))
     return lines.join(odd, keys, "left_anti").unionByName(whole.select(lines.columns))
 
 

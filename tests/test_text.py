@@ -114,3 +114,24 @@ def test_typed_tables_round_trip(spark, tmp_path):
     g = read_typed_tables(spark, f"{tmp_path}/t")
     assert set(g.tables) == {"stops", "trips"} and g["stops"].select("feed_id", "stop_id", "stop_lat").first() == ("one", "A", 1.5)
     assert g["routes"].count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 1000])
+def test_quoted_line_breaks_over_blocks(spark, block):
+    """Against reading the lines one after another."""
+    import random
+
+    r = random.Random(block)
+    lines = [(f, "stops.txt", n, r.choice(["a,b", 'x,"y', 'z",w', '"q""r"', '"', "", '"""'])) for f in ("f", "g") for n in range(1, 40)] + [("h", "stops.txt", 1, "a,b")]
+    want = []
+    for f in ("f", "g", "h"):
+        held, quotes = [], 0
+        own = [(n, v) for g, _, n, v in lines if g == f]
+        for n, v in own:
+            held.append(v)
+            quotes += v.count('"')
+            if quotes % 2 == 0 or n == own[-1][0]:
+                want.append((f, n, "\n".join(held)))
+                held = []
+    df = spark.createDataFrame(lines, files.LINES).repartition(3)
+    assert sorted((x["feed_id"], x["line_number"], x["value"]) for x in files.join_quoted(df, block).collect()) == sorted(want)
