@@ -22,7 +22,8 @@ def mask(turns: Column, learned: str = "assistant") -> Column:
     def runs(t: Column) -> Column:
         head = len(OPEN) + 1 + F.length(t["role"])
         body = F.length(t["text"]) + len(CLOSE)
-        return F.when(t["role"] == learned, F.concat(head.cast("string"), F.lit(":"), body.cast("string"))).otherwise(F.concat((head + body).cast("string"), F.lit(":0")))
+        own = F.concat(head.cast("string"), F.lit(":"), body.cast("string"))
+        return F.when(t["role"] == learned, own).otherwise(F.concat((head + body).cast("string"), F.lit(":0")))
 
     return F.array_join(F.transform(turns, runs), ",")
 
@@ -38,7 +39,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_
     """
     sides = [
         df.select(F.col(key).alias("key"), F.lit(k).alias("side"), F.struct(
-            F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+            F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"),
+            F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         ).alias("t"))
         for k, df in enumerate((chosen, rejected))
     ]

@@ -187,7 +187,8 @@ def fit(
     texts = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(picked), "key")
     named = features()
-    rows = text_counts(chosen, "key", "text", keep=("quality",)).where(~base_failed()).select("key", "quality", *(c.alias(k) for k, c in named.items())).toPandas()
+    counted = text_counts(chosen, "key", "text", keep=("quality",)).where(~base_failed())
+    rows = counted.select("key", "quality", *(c.alias(k) for k, c in named.items())).toPandas()
     rows = rows.sort_values(["key", *named], kind="stable")
     return learn_rules({k: rows[k].to_numpy(float) for k in named}, rows["quality"].to_numpy() == 0, thresholds=thresholds)
 

@@ -225,7 +225,8 @@ def alike(nodes: DataFrame) -> DataFrame:
     some = spread(values.select("segment", "value", "first"))
     # a value travels as its few bits that differ from the anchor, which shuffles small
     at_home = some.select(tagged(home).alias("anchor"), home.bitwiseXOR(F.col("value")).alias("x"), F.col("first").alias("a"))
-    sent = some.select(F.explode(F.transform(near, lambda c: F.struct(tagged(c).alias("anchor"), c.bitwiseXOR(F.col("value")).alias("y")))).alias("s"), F.col("first").alias("b"))
+    each_near = F.transform(near, lambda c: F.struct(tagged(c).alias("anchor"), c.bitwiseXOR(F.col("value")).alias("y")))
+    sent = some.select(F.explode(each_near).alias("s"), F.col("first").alias("b"))
     sent = sent.select("s.anchor", "s.y", "b")
     apart = at_home.join(sent, "anchor").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) == 1)
     apart = apart.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
