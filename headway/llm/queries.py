@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, license_scan, merkle, mixing, packing, quality, sharding, simhash, sql, toxicity, warc
+from . import chat, langid, license_scan, merkle, mixing, packing, quality, repair, sharding, simhash, sql, toxicity, warc
 from .common import checkpointed, crc32_mod, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -99,6 +99,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     return found.select(
@@ -113,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_license_scan, op2_warc, op3_simhash, op4_preferences, op5_merkle, op6_packing, op7_langid, op8_mixing, op9_quality, op10_toxicity, op13_sharding, pipeline]
+    own = [op1_license_scan, op2_warc, op3_simhash, op4_preferences, op5_merkle, op6_packing, op7_langid, op8_mixing, op9_quality, op10_toxicity, op11_repair, op13_sharding, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -221,4 +225,4 @@ SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, CAST('0x' || subs
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op5_merkle": OP5_SQL, "op8_mixing": OP8_SQL, "op13_sharding": sql.op13(SHARDS)}
+    return {"op1_license_scan": op1_sql(), "op2_warc": OP2_SQL, "op4_preferences": OP4_SQL, "op5_merkle": OP5_SQL, "op8_mixing": OP8_SQL, "op11_repair": sql.op11(), "op13_sharding": sql.op13(SHARDS)}
