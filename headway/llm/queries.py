@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, license_scan, merkle, mixing, packing, quality, repair, sharding, simhash, sql, toxicity, warc
+from . import alignment, chat, langid, license_scan, merkle, mixing, packing, quality, repair, sharding, simhash, sql, toxicity, warc
 from .common import checkpointed, crc32_mod, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+#: Tokenizers A and B of op12.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 SHARDS = 24
 
 
@@ -16,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +105,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED)).withColumnRenamed("id", "doc_id")
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     return found.select(
@@ -117,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_license_scan, op2_warc, op3_simhash, op4_preferences, op5_merkle, op6_packing, op7_langid, op8_mixing, op9_quality, op10_toxicity, op11_repair, op13_sharding, pipeline]
+    own = [op1_license_scan, op2_warc, op3_simhash, op4_preferences, op5_merkle, op6_packing, op7_langid, op8_mixing, op9_quality, op10_toxicity, op11_repair, op12_alignment, op13_sharding, pipeline]
     return {f.__name__: f for f in own}
 
 
