@@ -6,16 +6,13 @@ prefix (tokens before its first cut), closed groups, and an open suffix (tokens
 on). Fragments of neighbouring ranges compose: the suffix of one and the prefix of the next are a
 group between them. Composition is associative, so fragments of a very long document are made by many
 tasks and composed in a tree; a short document is one fragment.
-
-Tokens are remembered for each stretch between two safe blanks. A blank between letters, digits or ASCII
-marks is safe: A's parts of a text end there, and B has no piece with a blank behind another character.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,9 +27,8 @@ from .common import stored
 CHUNK = 1 << 17
 #: Fragments that are composed at once.
 FAN = 16
-#: Stretches that a worker remembers (two tables of about this size at most), and their length.
-CACHE, CACHED_CHARS = 300_000, 64
-SAFE = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+#: Fixed value: how a byte-level tokenizer splits a text into the parts that it merges within.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Links that are listed at once.
 BLOCK = 1 << 20
 #: Pairs with the most documents that are broadcast; no other pair has more than this share of all rows.
@@ -46,8 +42,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def by_ranks(stated: dict, letters: dict[str, int]):
+    """A quicker encoder with the same tokens, where the tokenizer file has nothing but a byte-level BPE whose entries are in the
+    order of its merges; None for other files. PATTERN is the one that a byte-level tokenizer splits by."""
+    import tiktoken
+
+    model, plain = stated["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+    if stated["normalizer"] or not plain.items() <= (stated["pre_tokenizer"] or {}).items() or model["type"] != "BPE" or None in made or made != sorted(made):
+        return None
+    special = {t["content"] for t in stated["added_tokens"]}
+    ranks = {bytes(letters[c] for c in entry): i for entry, i in model["vocab"].items() if entry not in special}
+    return tiktoken.Encoding("by_ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
-    """Both tokenizers, the bytes of their tokens, and the tokens of stretches seen before."""
+    """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -56,65 +66,40 @@ class Tokenizers:
 
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings are ordinary text
-        letters, vocabulary = byte_letters(), self.a.get_vocab()
-        entries = dict(map(reversed, vocabulary.items()))
+        letters = byte_letters()
+        entries = dict(map(reversed, self.a.get_vocab().items()))
         self.bytes_a = [bytes(letters.get(c, 63) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
+        self.fast_a = by_ranks(json.loads(self.a.to_str()), letters)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts_safely = not any(re.search("[^▁]▁", p) for p in pieces)
         self.width_a, self.width_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.words = [n + mark for mark in ",|;" for n in names]
-        self.young: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def learn(self, stretches: list[str], into: dict) -> None:
-        """The tokens of blank + stretch by A and of stretch by B; None where their bytes aren't the text's."""
-        found_a = [e.ids for e in self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)]
-        found_b = self.b.encode(stretches, num_threads=1)
-        for s, a, b in zip(stretches, found_a, found_b, strict=True):
-            text = b" " + s.encode()
-            right = b"".join(map(self.bytes_a.__getitem__, a)) == text == b"".join(map(self.bytes_b.__getitem__, b))
-            into[s] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if right else None
+        # decimal digits of ids behind zeros, and a place for the mark behind them
+        names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        width = len(names[-1])
+        self.digits = np.frombuffer(b"".join(n.rjust(width, b"\0") + b"\0" for n in names), np.uint8).reshape(-1, width + 1)
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of blank + text by A and of text by B; None where either's bytes aren't blank + text."""
         if not text:
             return None
-        stretches = SAFE.split(text) if self.cuts_safely else [text]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        own: dict = {}
-        new = []
-        for s in set(stretches):
-            if s in self.young:
-                continue
-            if s in self.old:
-                self.young[s] = self.old[s]
-            else:
-                new.append(s)
-        if new:
-            self.learn(new, own)
-            self.young.update((s, x) for s, x in own.items() if len(s) <= CACHED_CHARS)
-        get = lambda s: own[s] if s in own else self.young[s]
-        found = list(map(get if own else self.young.__getitem__, stretches))
-        if None in found:  # one stretch that differs could only be made up for by another: the whole text decides
-            whole: dict = {}
-            self.learn([text], whole)
-            if whole[text] is None:
-                return None
-            found = [whole[text]]
-        return tuple(np.frombuffer(b"".join(x[k] for x in found), "<i4") for k in (0, 1))
-
-    def group_text(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> str:
-        """`a1,a2|b1;a3|b2,b3;`: the ids of groups, all closed by a semicolon. Groups are numbered in order."""
-        place = np.concatenate([2 * group_a, 2 * group_b + 1])
-        order = np.argsort(place, kind="stable")
-        place, ids = place[order], np.concatenate([a, b])[order]
-        after = np.append(place[1:], -1)
-        mark = np.where(after == place, 0, np.where(place % 2 == 0, 1, 2))
-        codes = ids + mark * (len(self.words) // 3)
-        return "".join(map(self.words.__getitem__, codes.tolist()))
+        own = self.fast_a.encode_ordinary(" " + text) if self.fast_a else self.a.encode(" " + text, add_special_tokens=False).ids
+        other = self.b.encode(text, num_threads=1)
+        whole = (" " + text).encode()
+        fine = all(b"".join(map(table.__getitem__, ids)) == whole for ids, table in ((own, self.bytes_a), (other, self.bytes_b)))
+        return (np.array(own, np.int32), np.array(other, np.int32)) if fine else None
+
+    def group_text(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, groups: int) -> bytes:
+        """`a1,a2|b1;a3|b2,b3;`: the ids of groups 0 to groups - 1, all closed by a semicolon."""
+        n_a, n_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        ids, marks = np.empty(len(a) + len(b), np.int32), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[np.arange(len(a)) + (ends_b - n_b)[group_a]] = a
+        ids[np.arange(len(b)) + ends_a[group_b]] = b
+        marks[ends_a + ends_b - n_b - 1] = ord("|")
+        marks[ends_a + ends_b - 1] = ord(";")
+        out = self.digits[ids]
+        out[:, -1] = marks
+        return out[out > 0].tobytes()
 
 
 @dataclass
@@ -123,7 +108,7 @@ class Fragment:
 
     prefix: tuple[np.ndarray, np.ndarray]
     suffix: tuple[np.ndarray, np.ndarray] | None = None
-    text: list[str] = field(default_factory=list)
+    text: list[bytes] = field(default_factory=list)
     groups: int = 0
     pairs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -182,14 +167,14 @@ class Monoid:
         out = Fragment(of(run(0, 1)), of(run(last, last + 1)), groups=groups)
         if groups:
             ids, own = of(inner), (group_a[inner[0]] - 1, group_b[inner[1]] - 1)
-            out.text.append(self.t.group_text(ids[0], own[0], ids[1], own[1]))
+            out.text.append(self.t.group_text(ids[0], own[0], ids[1], own[1], groups))
             out.pairs = self.links(ids[0], own[0], ids[1], own[1], groups)
         return out
 
     def group(self, into: Fragment, a: np.ndarray, b: np.ndarray) -> None:
         """Adds one closed group."""
         zeros = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        into.text.append(self.t.group_text(a, zeros[0], b, zeros[1]))
+        into.text.append(self.t.group_text(a, zeros[0], b, zeros[1], 1))
         into.pairs += self.links(a, zeros[0], b, zeros[1], 1)
         into.groups += 1
 
@@ -231,8 +216,7 @@ FRAGMENT = "row long, id string, part int, n_a long, n_b long, a0 array<int>, b0
 def findings(f: Fragment, n_a: int, n_b: int) -> tuple:
     """FOUND of a closed fragment."""
     codes, links = summed(f.pairs)
-    text = "".join(f.text)[:-1]
-    return n_a, n_b, f.groups, int(links.sum()), hashlib.sha256(text.encode()).hexdigest(), codes, links
+    return n_a, n_b, f.groups, int(links.sum()), hashlib.sha256(b"".join(f.text)[:-1]).hexdigest(), codes, links
 
 
 def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -320,14 +304,14 @@ def unpacked(f: Fragment) -> tuple:
     """A fragment as FRAGMENT has it, behind the counts of tokens."""
     codes, links = summed(f.pairs)
     a1, b1 = f.suffix if f.suffix is not None else (f.prefix[0][:0], f.prefix[1][:0])
-    return *f.prefix, f.suffix is not None, a1, b1, "".join(f.text), f.groups, codes, links
+    return *f.prefix, f.suffix is not None, a1, b1, b"".join(f.text).decode(), f.groups, codes, links
 
 
 def packed(r) -> Fragment:
     """A row of FRAGMENT as a fragment."""
     ids = lambda x: np.asarray(x, np.int32)
     pairs = (np.asarray(r.pairs, np.int64), np.asarray(r.links, np.int64))
-    return Fragment((ids(r.a0), ids(r.b0)), (ids(r.a1), ids(r.b1)) if r.cut else None, [r.groups], int(r.n_groups), [pairs])
+    return Fragment((ids(r.a0), ids(r.b0)), (ids(r.a1), ids(r.b1)) if r.cut else None, [r.groups.encode()], int(r.n_groups), [pairs])
 
 
 def pair_counts(found: DataFrame, base: int) -> DataFrame:

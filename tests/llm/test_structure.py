@@ -204,7 +204,7 @@ def test_composition_is_associative():
         i, j = (slice(*np.searchsorted(s, (low, high))) for s in at)
         return monoid.fragment(a[i], at[0][i], b[j], at[1][j])
 
-    show = lambda f: ([x.tolist() for x in f.prefix], f.suffix and [x.tolist() for x in f.suffix], "".join(f.text), f.groups, [x.tolist() for x in alignment.summed(f.pairs)])
+    show = lambda f: ([x.tolist() for x in f.prefix], f.suffix and [x.tolist() for x in f.suffix], b"".join(f.text), f.groups, [x.tolist() for x in alignment.summed(f.pairs)])
     whole = show(between(0, end + 99))
     for p, q in [(3, 7), (10, 11), (50, 400), (333, 334)]:
         x, y, z = between(0, p), between(p, q), between(q, end + 99)
