@@ -27,6 +27,23 @@ class Feed:
         """Whether the table is there and declares all the columns."""
         return table in self.tables and set(columns) <= set(self.tables[table].columns)
 
+    def declares(self, table: str, *columns: str) -> Column:
+        """A condition on rows of the table: that their feed's file has one of the columns in its header.
+
+        Tables read from files carry that in each row, as bits (_declared); others have a column or not.
+        """
+        if table not in self.tables or "_declared" not in self.tables[table].columns:
+            return F.lit(any(self.has(table, c) for c in columns))
+        names = TABLES[table].names
+        return F.col("_declared").bitwiseAND(F.lit(sum(1 << names.index(c) for c in set(columns)))) != 0
+
+    def declaring(self, table: str, column: str) -> DataFrame:
+        """feed_id of feeds whose file has the column in its header, even without rows."""
+        if self.status is not None:
+            return self.status.where((F.col("table") == table) & F.array_contains("columns", column)).select("feed_id").distinct()
+        own = self[table]
+        return own.where(self.declares(table, column)).select("feed_id").distinct()
+
     def __getitem__(self, name: str) -> DataFrame:
         """The table with every column of its schema; those it lacks are null, and a missing table has no rows."""
         schema = TABLES[name].struct()
@@ -51,7 +68,7 @@ class Feed:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, names: Iterable[str] = TABLES) -> Feed:
-        """Typed tables stored by sources.parquet.write_typed_tables."""
+        """Typed tables stored by sources.parquet.write_typed_tables, with their status if load_raw stored one."""
         from .sources.parquet import read_typed_tables
 
         return read_typed_tables(spark, path, names)

@@ -18,7 +18,7 @@ from ..operators import zones
 from ..operators.graph import stored
 from ..operators.typing import type_table
 from ..schema import TABLES, Field, Table
-from ..sources import files
+from ..sources import csvrows, files
 from ..sources.raw import listing_of
 from .projection import PROJECTION, feed_of, with_feed
 
@@ -136,12 +136,12 @@ SQL["b1_file_presence"] = f"""WITH l AS ({LISTING.format(t='nation')}), f AS (SE
  UNION ALL SELECT feed_id, 'missing_recommended_file', 'feed_info.txt' FROM h WHERE NOT list_contains(n, 'feed_info.txt') AND NOT list_contains(n, 'translations.txt') UNION ALL SELECT feed_id, 'unknown_file', filename FROM l WHERE filename = 'notes.txt'
  UNION ALL SELECT feed_id, 'empty_file', filename FROM l WHERE size = 0 AND filename NOT IN ('notes.txt', 'sub/stops.txt') UNION ALL SELECT feed_id, 'invalid_input_files_in_subfolder', filename FROM l WHERE contains(filename, '/')
  UNION ALL SELECT feed_id, 'missing_calendar_and_calendar_date_files', 'calendar.txt' FROM h WHERE NOT list_contains(n, 'calendar.txt')"""
-LINES = "select concat('F',event_id%50) as feed_id, 'frequencies.txt' as filename, floor(event_id/50)+1 as line_number, case when event_id<50 then case event_id%4 when 0 then 'trip_id,start_time,end_time,headway_secs' when 1 then 'trip_id,start_time,,end_time' when 2 then 'trip_id,color,end_time,trip_id' else 'trip_id , start_time,end_time,headway_secs' end when event_id%13=0 then concat('T',user_id,',1,2') when event_id%17=0 then ',,,' when event_id%19=0 then '' when event_id%23=0 then concat('\"T,',user_id,'\",\"a \"\"b\"\"\",3,4') else concat('T',user_id,', 1 ,2,3') end as value from {t}"
-QUERIES["b2_header_checks"] = lambda spark, sf_dir: context_text(files.header_checks(files.split_rows(over("events", LINES)(spark, sf_dir)).select("feed_id", "table", "header").distinct())).select(F.col("feed_id").alias("feed"), "code", "filename", "context")
+LINES = "select concat('F',event_id%50) as feed_id, 'frequencies.txt' as filename, floor(event_id/50)+1 as line_number, case when event_id<50 then case event_id%4 when 0 then 'trip_id,start_time,end_time,headway_secs' when 1 then 'trip_id,start_time,,end_time' when 2 then 'trip_id,color,end_time,trip_id' else 'trip_id , start_time,end_time,headway_secs' end when event_id%13=0 then concat('T',user_id,',1,2') when event_id%17=0 then '\"\"' when event_id%19=0 then '' when event_id%23=0 then concat('\"T,',user_id,'\",\"a \"\"b\"\"\",3,4') else concat('T',user_id,', 1 ,2,3') end as value from {t}"
+QUERIES["b2_header_checks"] = lambda spark, sf_dir: context_text(files.header_checks(csvrows.split_rows(over("events", LINES)(spark, sf_dir)).select("feed_id", "table", "header").distinct())).select(F.col("feed_id").alias("feed"), "code", "filename", "context")
 SQL["b2_header_checks"] = "WITH f AS (SELECT event_id AS i, 'F' || event_id AS feed, 'frequencies.txt' AS filename FROM events WHERE event_id < 50) SELECT feed, 'empty_column_name' AS code, filename, 'index=3' AS context FROM f WHERE i % 4 = 1 UNION ALL SELECT feed, 'missing_required_column', filename, 'fieldName=headway_secs' FROM f WHERE i % 4 IN (1, 2) UNION ALL SELECT feed, 'missing_required_column', filename, 'fieldName=start_time' FROM f WHERE i % 4 = 2 UNION ALL SELECT feed, 'unknown_column', filename, 'fieldName=color;index=2' FROM f WHERE i % 4 = 2 UNION ALL SELECT feed, 'duplicated_column', filename, 'fieldName=trip_id;firstIndex=1;secondIndex=4' FROM f WHERE i % 4 = 2"
-QUERIES["b3_row_shape"] = lambda spark, sf_dir: context_text(files.row_shape(files.split_rows(over("events", LINES)(spark, sf_dir)))).select(F.col("feed_id").alias("feed"), "code", "row_number", "context")
+QUERIES["b3_row_shape"] = lambda spark, sf_dir: context_text(files.row_shape(csvrows.split_rows(over("events", LINES)(spark, sf_dir)))).select(F.col("feed_id").alias("feed"), "code", "row_number", "context")
 SQL["b3_row_shape"] = "SELECT 'F' || (event_id % 50) AS feed, CASE WHEN event_id % 13 = 0 THEN 'invalid_row_length' ELSE 'empty_row' END AS code, CAST(floor(event_id / 50) AS BIGINT) + 1 AS row_number, CASE WHEN event_id % 13 = 0 THEN 'rowLength=3;headerCount=4' ELSE '' END AS context FROM events WHERE event_id >= 50 AND (event_id % 13 = 0 OR event_id % 17 = 0)"
-QUERIES["a2_raw_rows"] = lambda spark, sf_dir: files.raw_table(files.split_rows(over("events", LINES)(spark, sf_dir)), "frequencies").where("trip_id <> ''").select(F.col("feed_id").alias("feed"), "_row_number", "trip_id", "start_time", "end_time", "headway_secs")
+QUERIES["a2_raw_rows"] = lambda spark, sf_dir: csvrows.raw_table(csvrows.split_rows(over("events", LINES)(spark, sf_dir)), "frequencies").where("trip_id <> ''").select(F.col("feed_id").alias("feed"), "_row_number", "trip_id", "start_time", "end_time", "headway_secs")
 SQL["a2_raw_rows"] = """WITH r AS (SELECT event_id, event_id % 50 % 4 AS k, 'F' || (event_id % 50) AS feed, CAST(floor(event_id / 50) AS BIGINT) + 1 AS _row_number, user_id, event_id % 23 = 0 AS q FROM events WHERE event_id >= 50 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0)
  SELECT feed, _row_number, CASE WHEN q THEN 'T,' || user_id ELSE 'T' || user_id END AS trip_id, CASE WHEN k = 2 THEN NULL WHEN q THEN 'a "b"' ELSE '1' END AS start_time, CASE WHEN k = 1 THEN CASE WHEN q THEN '4' ELSE '3' END ELSE CASE WHEN q THEN '3' ELSE '2' END END AS end_time, CASE WHEN k IN (1, 2) THEN NULL WHEN q THEN '4' ELSE '3' END AS headway_secs FROM r"""
 
@@ -152,7 +152,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["trip_id", "stop_id", "stop_sequence", "shape_dist_traveled", "timepoint"]
     feed_of(spark, sf_dir, "stop_times")["stop_times"].select(*columns).write.option("header", True).csv(f"{folder}/stop_times.txt")
     lines = files.read_lines(spark, f"{folder}/stop_times.txt", feed_at=-1, file_at=-2)
-    typed, _ = type_table(files.raw_table(files.split_rows(lines), "stop_times"), TABLES["stop_times"])
+    typed, _ = type_table(csvrows.raw_table(csvrows.split_rows(lines), "stop_times"), TABLES["stop_times"])
     return typed.select(*columns).groupBy("stop_sequence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trip_id").alias("n_trips"), F.count("stop_id").alias("n_stops"), F.round(F.sum("shape_dist_traveled"), 1).alias("total"), F.sum("timepoint").alias("timepoints"))
 
 
@@ -192,13 +192,13 @@ def archived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archived_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files.split_rows(archived_lines(spark, sf_dir).where("value is not null"))
-    return files.raw_table(rows, "stops").select(F.col("feed_id").alias("feed"), "_row_number", "stop_id", "stop_name")
+    rows = csvrows.split_rows(archived_lines(spark, sf_dir).where("value is not null"))
+    return csvrows.raw_table(rows, "stops").select(F.col("feed_id").alias("feed"), "_row_number", "stop_id", "stop_name")
 
 
 def archived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = archived_lines(spark, sf_dir)
-    rows = files.split_rows(lines.where("value is not null"))
+    rows = csvrows.split_rows(lines.where("value is not null"))
     headers = rows.select("feed_id", "table", "header").distinct()
     failed = rows.where("_row_number % 7 = 0").select("feed_id", "table", F.lit("UNPARSABLE_ROWS").alias("status"))
     found = files.table_status(listing_of(lines), headers, failed)

@@ -185,7 +185,7 @@ def rows_missing_agency(feed: Feed) -> DataFrame:
 
 def network_files_conflict(feed: Feed) -> DataFrame:
     """Routes that declare network_id in a feed that has network files as well."""
-    base = feed["routes"].select("feed_id").distinct() if feed.has("routes", "network_id") else feed["routes"].select("feed_id").limit(0)
+    base = feed.declaring("routes", "network_id")
     files = union([feed[t].select("feed_id", F.lit(TABLES[t].file).alias("file")).distinct() for t in ("route_networks", "networks")])
     names = files.groupBy("feed_id").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
     return notices(base.join(names, "feed_id"), "route_networks_specified_in_more_than_one_file", "ERROR", "routes.txt", None, fileNames="files")

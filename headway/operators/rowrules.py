@@ -151,7 +151,10 @@ def row_notices(feed: Feed, rules: list[RowRule] | None = None) -> DataFrame | N
             each = [F.struct(F.lit(k).alias("key"), spark_sql(v).cast("string").alias("value")) for k, v in r.pairs()]
             return F.array(*each) if each else F.array().cast("array<struct<key:string,value:string>>")
 
-        hits = [F.when(spark_sql(r.when), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), pairs(r).alias("pairs"))) for r in own]
+        def holds(r: RowRule) -> Column:
+            return spark_sql(r.when) & feed.declares(table, *r.requires_any) if r.requires_any else spark_sql(r.when)
+
+        hits = [F.when(holds(r), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), pairs(r).alias("pairs"))) for r in own]
         # exploded as they are and filtered then, so that conditions are compiled; lambdas see hits only
         found = feed[table].select("feed_id", "_row_number", F.explode(F.array(*hits)).alias("hit")).where("hit is not null")
         context = F.map_from_entries(F.filter("hit.pairs", lambda p: p["value"].isNotNull()))

@@ -79,11 +79,12 @@ def field_problems(f: Field, raw: Column, text: Column, value: Column) -> list[P
 def type_table(raw: DataFrame, table: Table, declared: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """raw (feed_id, _row_number and text columns) -> (typed rows without errors, notices).
 
-    Columns that raw lacks are null; unknown ones are dropped. declared names the columns of the
+    Columns that raw lacks are null; unknown ones are dropped, but for _declared (see sources.csvrows). declared names the columns of the
     header where raw has more; a recommended column that is not declared is reported for each row.
     """
     names = set(raw.columns) if declared is None else set(declared)
-    rows = raw.select("feed_id", "_row_number", *(F.col(f.name) if f.name in names else F.lit(None).cast("string").alias(f.name) for f in table.fields))
+    keys = ["feed_id", "_row_number", *(c for c in ("_declared",) if c in raw.columns)]
+    rows = raw.select(*keys, *(F.col(f.name) if f.name in names else F.lit(None).cast("string").alias(f.name) for f in table.fields))
     rows = rows.select("*", *(F.nullif(cells.java_trim(F.col(f.name)), F.lit("")).alias(f"_t_{f.name}") for f in table.fields))
     rows = rows.select("*", *(typed(f, F.col(f"_t_{f.name}")).cast(SPARK_TYPES.get(f.type, "string")).alias(f"_v_{f.name}") for f in table.fields))
     found = [p for f in table.fields for p in field_problems(f, F.col(f.name), F.col(f"_t_{f.name}"), F.col(f"_v_{f.name}"))]
@@ -106,7 +107,7 @@ def type_table(raw: DataFrame, table: Table, declared: list[str] | None = None)
     messages = each.select(
         "feed_id", "p.code", "p.severity", F.lit(table.file).alias("filename"), F.col("_row_number").cast("long").alias("row_number"), context_of({"fieldName": F.col("p.field"), "fieldValue": F.col("p.value")}).alias("context")
     )
-    values = rows.where(~(F.col("_error") | any_error(late))).select("feed_id", "_row_number", *(F.col(f"_v_{f.name}").alias(f.name) for f in table.fields))
+    values = rows.where(~(F.col("_error") | any_error(late))).select(*keys, *(F.col(f"_v_{f.name}").alias(f.name) for f in table.fields))
     return values, messages
 
 

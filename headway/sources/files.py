@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,11 +15,9 @@ from pyspark.sql import functions as F
 
 from ..notices import notices, union
 from ..schema import TABLES
+from .csvrows import MAX_CELL, lone_empty
 
-MAX_CELL = 4096
 MAX_ROWS = 1_000_000_000
-#: Lines of a file that are ordered in one task.
-BLOCK_LINES = 100_000
 LINES = "feed_id string, filename string, line_number long, value string"
 
 
@@ -30,33 +29,77 @@ def unpack_archives(spark: SparkSession, glob: str) -> DataFrame:
 def unpack(archives: DataFrame) -> DataFrame:
     """archives (path, content) -> lines of their members: feed_id (the archive's name), filename, line_number, value.
 
-    A task streams one archive; of a repeated name the first member counts, and names are compared
-    without case. Bytes that are no UTF-8 become U+FFFD, and a byte order mark is dropped.
+    A task takes an archive apart into members, still packed; members are dealt over tasks, which unpack
+    and decode them. Of a repeated name the first member counts, and names are compared without case.
+    Bytes that are no UTF-8 become U+FFFD, and a byte order mark is dropped. An empty file is a
+    row without a line, and so is an archive that can't be read (its filename is empty).
     """
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 feed = re.sub(r"\.zip$", "", path.rsplit("/", 1)[-1], flags=re.I)
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    seen: set[str] = set()
-                    for member in archive.infolist():
-                        name = member.filename.lower()
-                        if member.is_dir() or name in seen:
-                            continue
-                        seen.add(name)
-                        rows, n = [], 0
-                        with archive.open(member) as f:
-                            for n, raw in enumerate(f, 1):
-                                text = raw.decode("utf-8", "replace").rstrip("\r\n")
-                                rows.append((feed, member.filename, n, text.removeprefix("﻿") if n == 1 else text))
-                                if len(rows) >= 10_000:
-                                    yield pd.DataFrame(rows, columns=["feed_id", "filename", "line_number", "value"])
-                                    rows = []
-                        if not n:  # an empty file is one row without a line
-                            rows.append((feed, member.filename, 0, None))
-                        yield pd.DataFrame(rows, columns=["feed_id", "filename", "line_number", "value"])
+                for row in packed_members(feed, content):
+                    yield pd.DataFrame([row], columns=["feed_id", "filename", "deflated", "data"])
 
-    return archives.select("path", "content").mapInPandas(lines, LINES)
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for feed, name, deflated, data in batch.itertuples(index=False):
+                rows, n = [], 0
+                for n, text in enumerate(lines_of(bytes(data), deflated), 1):
+                    rows.append((feed, name, n, text))
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=["feed_id", "filename", "line_number", "value"])
+                        rows = []
+                if not n:
+                    rows.append((feed, name, 0, None))
+                yield pd.DataFrame(rows, columns=["feed_id", "filename", "line_number", "value"])
+
+    packed = archives.select("path", "content").mapInPandas(members, "feed_id string, filename string, deflated boolean, data binary")
+    return packed.repartition("feed_id", "filename").mapInPandas(lines, LINES)
+
+
+def packed_members(feed: str, content: bytes) -> Iterator[tuple[str, str, bool, bytes]]:
+    """(feed, filename, deflated, data) of each member, by the archive's directory; data as it is packed."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        yield feed, "", False, b""
+        return
+    seen: set[str] = set()
+    for member in archive.infolist():
+        name = member.filename.lower()
+        if member.is_dir() or name in seen:
+            continue
+        seen.add(name)
+        if member.compress_type != zipfile.ZIP_DEFLATED or member.flag_bits & 1:
+            yield feed, member.filename, False, archive.read(member)
+            continue
+        # a member's own header: 30 bytes, then its name and a further field
+        at = member.header_offset
+        begin = at + 30 + int.from_bytes(content[at + 26 : at + 28], "little") + int.from_bytes(content[at + 28 : at + 30], "little")
+        yield feed, member.filename, True, content[begin : begin + member.compress_size]
+
+
+def lines_of(data: bytes, deflated: bool) -> Iterator[str]:
+    """The lines of a member, without their ends."""
+    text = io.TextIOWrapper(io.BufferedReader(Inflated(data)) if deflated else io.BytesIO(data), "utf-8-sig", "replace", newline="")
+    return (line.rstrip("\r\n") for line in text)
+
+
+class Inflated(io.RawIOBase):
+    """Deflated bytes as a stream, unpacked as it is read."""
+
+    def __init__(self, data: bytes):
+        self.inflate, self.rest = zlib.decompressobj(-zlib.MAX_WBITS), data
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        found = self.inflate.decompress(self.rest, len(into))
+        self.rest = self.inflate.unconsumed_tail
+        into[: len(found)] = found
+        return len(found)
 
 
 def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int = -1) -> DataFrame:
@@ -75,64 +118,26 @@ def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int =
     return numbered.select(F.element_at(parts, feed_at).alias("feed_id"), F.element_at(parts, file_at).alias("filename"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
 
 
-def join_quoted(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
-    """Lines with quoted line breaks put together; the number is that of the last line of each row.
-
-    Only files that have an odd number of quotes in some line are looked at further. Whether a
-    line lies within quotes depends on all lines before, so lines are ordered within blocks, and
-    a row for each block carries over how many quotes and ended rows there are before it.
-    """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = lines.where(quotes % 2 == 1).select("feed_id", "filename").distinct()
-    keys = ["feed_id", "filename"]
-    by = W.partitionBy(*keys, "block").orderBy("line_number")
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    rows = lines.join(odd, keys, "left_semi").withColumn("block", F.floor(F.col("line_number") / block)).withColumn("c", F.sum(quotes % 2).over(by))
-    ended = lambda start: F.count_if((F.col("c") + start) % 2 == 0)
-    blocks = rows.groupBy(*keys, "block").agg(F.sum(quotes % 2).alias("quotes"), ended(0).alias("ended0"), ended(1).alias("ended1"))
-    order = before(W.partitionBy(*keys).orderBy("block"))
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("quotes").over(order), F.lit(0)) % 2)
-    blocks = blocks.withColumn("ended", F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("ended0")).otherwise(F.col("ended1"))).over(order), F.lit(0)))
-    rows = rows.join(blocks.select(*keys, "block", "start", "ended"), [*keys, "block"]).withColumn("open", (F.col("start") + F.col("c")) % 2)
-    rows = rows.withColumn("row", F.col("ended") + F.coalesce(F.sum(1 - F.col("open")).over(before(by)), F.lit(0)))
-    own = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))), lambda s: s["value"])
-    whole = rows.groupBy(*keys, "row").agg(F.max("line_number").alias("line_number"), F.array_join(own, "\n").alias("value"))
-    return lines.join(odd, keys, "left_anti").unionByName(whole.select(lines.columns))
-
-
-def cells_of(line: Column) -> Column:
-    """The cells of a CSV line as an array; a quoted cell may hold commas, doubled quotes and line breaks."""
-    tokens = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('\\s*("(?:[^"]|"")*"|[^,]*)\\s*,'), F.lit(1))
-    unquoted = lambda t: F.when(t.startswith('"'), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(t))
-    return F.transform(tokens, unquoted)
-
-
-def split_rows(lines: DataFrame) -> DataFrame:
-    """lines -> feed_id, table, _row_number, cells, header; header lines and blank lines are left out.
-
-    The header is the line with number 1, which every row of its file gets by a join of one row
-    for each file.
-    """
-    known = F.lower(F.regexp_replace("filename", "\\.txt$", ""))
-    rows = join_quoted(lines).where(known.isin([n for n in TABLES if n != "zones"])).select("feed_id", known.alias("table"), F.col("line_number").alias("_row_number"), "value")
-    headers = rows.groupBy("feed_id", "table").agg(F.min_by("value", "_row_number").alias("head"), F.min("_row_number").alias("first"))
-    parsed = rows.join(headers, ["feed_id", "table"]).where("_row_number > first and trim(value) <> ''")
-    return parsed.select("feed_id", "table", "_row_number", cells_of(F.col("value")).alias("cells"), cells_of(F.col("head")).alias("header"))
+def zone_texts(lines: DataFrame) -> DataFrame:
+    """Lines -> (feed_id, value): the whole text of each feed's locations.geojson. A file of zones is one row, as JSON has no lines."""
+    own = lines.where((F.lower("filename") == "locations.geojson") & F.col("value").isNotNull())
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))), lambda s: s["value"]), "\n")
+    return own.groupBy("feed_id").agg(text.alias("value"))
 
 
-def raw_table(rows: DataFrame, table: str) -> DataFrame:
-    """split_rows() -> the text columns of one table; rows of a wrong length are left out."""
-    own = rows.where((F.col("table") == table) & (F.size("cells") == F.size("header")))
-    cell = lambda name: F.try_element_at("cells", F.nullif(F.array_position("header", name), F.lit(0)).cast("int"))
-    return own.select("feed_id", "_row_number", *(cell(f.name).alias(f.name) for f in TABLES[table].fields))
+def zones_of(texts: DataFrame) -> DataFrame:
+    """(feed_id, value) -> the zones table: a row for each feature, with id, index, geometry type and coordinates as JSON."""
+    shape = "struct<features:array<struct<id:string,geometry:struct<type:string,coordinates:string>>>>"
+    each = texts.select("feed_id", F.posexplode(F.from_json("value", shape)["features"]).alias("i", "f"))
+    return each.select(
+        "feed_id", F.col("i").cast("long").alias("_row_number"), F.col("f.id").alias("feature_id"), F.col("i").alias("feature_index"),
+        F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"),
+    )
 
 
 def read_zones(spark: SparkSession, glob: str) -> DataFrame:
-    """A row for each feature of `.../<feed_id>/locations.geojson`: id, index, geometry type, coordinates as JSON."""
-    shape = "struct<type:string,features:array<struct<id:string,type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
-    files = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("feed_id"), F.from_json("value", shape).alias("j"))
-    each = files.select("feed_id", F.posexplode("j.features").alias("i", "f"))
-    return each.select("feed_id", F.col("i").cast("long").alias("_row_number"), F.col("f.id").alias("feature_id"), F.col("i").alias("feature_index"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    """The zones of files `.../<feed_id>/locations.geojson`."""
+    return zones_of(spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("feed_id"), "value"))
 
 
 # ---- checks of listings, headers and rows
@@ -153,7 +158,7 @@ def file_presence(listing: DataFrame) -> DataFrame:
     n = lambda df, code, severity, file: notices(df.withColumn("_f", file), code, severity, "", None, file="_f").withColumn("filename", F.col("context")["file"])
     return union([
         n(missing, "missing_required_file", "ERROR", F.col("file")), n(hinted, "missing_recommended_file", "WARNING", F.lit("feed_info.txt")),
-        n(top.where(~F.col("filename").isin(list(known))), "unknown_file", "INFO", F.col("filename")), n(top.where((F.col("size") == 0) & F.col("filename").isin(list(known))), "empty_file", "ERROR", F.col("filename")),
+        n(top.where(~F.col("filename").isin([*known, ""])), "unknown_file", "INFO", F.col("filename")), n(top.where((F.col("size") == 0) & F.col("filename").isin(list(known))), "empty_file", "ERROR", F.col("filename")),
         n(rows.where(F.col("filename").contains("/") & F.col("base").isin(list(known))), "invalid_input_files_in_subfolder", "ERROR", F.col("filename")),
         n(names.where(~has("calendar.txt") & ~has("calendar_dates.txt")), "missing_calendar_and_calendar_date_files", "ERROR", F.lit("calendar.txt")),
     ])
@@ -179,13 +184,24 @@ def header_checks(headers: DataFrame) -> DataFrame:
 def row_shape(rows: DataFrame) -> DataFrame:
     """split_rows() -> notices on rows of a wrong length, empty rows, cells that are too long and files with too many rows."""
     named = rows.withColumn("_file", F.concat("table", F.lit(".txt")))
-    put = lambda df, code, severity, row="_row_number", **c: notices(df, code, severity, "", row, **c, _file="_file").select("feed_id", "code", "severity", F.col("context")["_file"].alias("filename"), "row_number", F.map_filter("context", lambda k, v: k != "_file").alias("context"))
-    blank = ~F.exists("cells", lambda c: c != "")
-    long = F.filter("cells", lambda c: F.length(c) > MAX_CELL)
+
+    def put(df: DataFrame, code: str, severity: str, row: str | None = "_row_number", **c: Column | str) -> DataFrame:
+        found = notices(df, code, severity, "", row, **c, _file="_file")
+        rest = F.map_filter("context", lambda k, v: k != "_file")
+        return found.select("feed_id", "code", "severity", F.col("context")["_file"].alias("filename"), "row_number", rest.alias("context"))
+
+    whole = named.where("cut is null")
+    empty = lone_empty(F.col("cells"))
     many = named.groupBy("feed_id", "_file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_ROWS)
+    cut = named.where("cut is not null").withColumn("cell", F.get("cells", F.col("cut")))
     return union([
-        put(named.where(~blank & (F.size("cells") != F.size("header"))), "invalid_row_length", "ERROR", rowLength=F.size("cells"), headerCount=F.size("header")), put(named.where(blank), "empty_row", "WARNING"),
-        put(named.where(F.size(long) > 0), "csv_parsing_failed", "ERROR", length=F.length(F.get(long, F.lit(0)))), put(many, "too_many_rows", "ERROR", None, rowCount="n"),
+        put(whole.where(~empty & (F.size("cells") != F.size("header"))), "invalid_row_length", "ERROR", rowLength=F.size("cells"), headerCount=F.size("header")),
+        put(whole.where(empty), "empty_row", "WARNING"),
+        put(
+            cut, "csv_parsing_failed", "ERROR", None, lineIndex=F.col("_row_number") - 1, columnIndex=F.when(F.col("cut") >= 0, F.col("cut")),
+            parsedContent=F.left("cell", F.lit(MAX_CELL)),
+        ),
+        put(many, "too_many_rows", "ERROR", None, rowCount="n"),
     ])
 
 

@@ -23,7 +23,7 @@ def write_typed_tables(feed: Feed, path: str, mode: str = "error") -> None:
 
 
 def read_typed_tables(spark: SparkSession, path: str, names: Iterable[str] = TABLES) -> Feed:
-    """The tables that are there, with their declared types; filters on feed_id prune folders."""
+    """The tables that are there, with their declared types, and their status; filters on feed_id prune folders."""
     from pyspark.errors import AnalysisException
 
     tables = {}
@@ -34,4 +34,8 @@ def read_typed_tables(spark: SparkSession, path: str, names: Iterable[str] = TAB
             continue
         types = {f.name: f.dataType for f in TABLES[name].struct()}
         tables[name] = found.select(*(F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in found.columns))
-    return Feed(spark, tables)
+    try:
+        status = spark.read.parquet(f"{path}/status")
+    except AnalysisException:  # tables that don't come from files
+        status = None
+    return Feed(spark, tables, status)

@@ -1,4 +1,4 @@
-"""From archives to checked tables: lines, cells, types, and what became of each table."""
+"""From archives to checked tables: lines, cells, types, zones, and what became of each table."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..feed import Feed
 from ..notices import COLUMNS, union
 from ..operators.typing import failed_feeds, type_table
+from ..operators.zones import zone_structure
 from ..schema import TABLES
-from .files import file_presence, header_checks, raw_table, row_shape, split_rows, table_status
+from .csvrows import headers_of, raw_table, records, split_records
+from .files import file_presence, header_checks, row_shape, table_status, zone_texts, zones_of
 from .parquet import read_typed_tables, write_typed_tables
 
 
@@ -24,7 +26,8 @@ def load_lines(lines: DataFrame, path: str) -> tuple[Feed, DataFrame]:
 
     Lines, rows, typed tables, their status and the notices are stored below path, each once, so
     nothing is parsed twice. Tables that lost rows keep the rest and carry it in their status, by
-    which checks leave feeds out.
+    which checks leave feeds out. Of a table whose header has an error no row is read. Zones whose
+    file has an error are left out. Each row carries which fields its file's header has.
     """
     spark = lines.sparkSession
 
@@ -33,19 +36,26 @@ def load_lines(lines: DataFrame, path: str) -> tuple[Feed, DataFrame]:
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     lines = stored(lines, "lines")
-    rows = stored(split_rows(lines.where("value is not null")), "rows")
+    found = records(lines)
+    headers = stored(headers_of(found), "headers")
     listing = listing_of(lines)
-    headers = rows.select("feed_id", "table", "header").distinct()
-    tables, found, lost = {}, [file_presence(listing), header_checks(headers), row_shape(rows)], []
-    present = {r["table"] for r in headers.select("table").distinct().collect()}
-    for name in [n for n in TABLES if n in present]:
-        typed, notes = type_table(raw_table(rows, name), TABLES[name])
-        tables[name] = typed
-        found.append(notes)
-        lost.append(failed_feeds(notes, TABLES[name]))
-    wrong = rows.where(F.size("cells") != F.size("header")).select("feed_id", "table", F.lit("UNPARSABLE_ROWS").alias("status")).distinct()
+    told = stored(header_checks(headers), "header-notices")
+    broken = told.where("severity = 'ERROR'").select("feed_id", F.regexp_replace("filename", "\\.txt$", "").alias("table")).distinct()
+    rows = stored(split_records(found, headers).join(broken, ["feed_id", "table"], "left_anti"), "rows")
+    texts = zone_texts(lines)
+    structure = stored(zone_structure(texts), "zone-notices")
+    wrong_zones = structure.where("severity = 'ERROR'").select("feed_id", F.lit("zones").alias("table"), F.lit("UNPARSABLE_ROWS").alias("status")).distinct()
+
+    tables, notes, lost = {}, [file_presence(listing), told, row_shape(rows), structure], [wrong_zones]
+    for name in [r["table"] for r in headers.select("table").distinct().orderBy("table").collect()]:
+        tables[name], found = type_table(raw_table(rows, name), TABLES[name])
+        notes.append(found)
+        lost.append(failed_feeds(found, TABLES[name]))
+    if texts.take(1):
+        tables["zones"] = zones_of(texts).join(wrong_zones, "feed_id", "left_anti")
+    short = rows.where("cut is not null or size(cells) <> size(header) and not (size(cells) = 1 and cells[0] = '')")
+    lost.append(short.select("feed_id", "table", F.lit("UNPARSABLE_ROWS").alias("status")).distinct())
     write_typed_tables(Feed(spark, tables), f"{path}/typed")
-    notices = stored(union([df.select(*COLUMNS) for df in found]), "notices")
-    status = stored(table_status(listing, headers, union([wrong, *lost])), "status")
-    feed = read_typed_tables(spark, f"{path}/typed", tables)
-    return Feed(spark, feed.tables, status), notices
+    notices = stored(union([df.select(*COLUMNS) for df in notes]), "notices")
+    table_status(listing, headers, union(lost)).write.parquet(f"{path}/typed/status")
+    return read_typed_tables(spark, f"{path}/typed", tables), notices

@@ -7,7 +7,7 @@ import pytest
 from headway.functions import cells
 from headway.operators.typing import type_table
 from headway.schema import TABLES
-from headway.sources import files
+from headway.sources import csvrows, files
 from headway.sources.parquet import read_typed_tables, write_typed_tables
 from pyspark.sql import functions as F
 
@@ -70,8 +70,8 @@ def test_lines_of_files_and_archives(spark, tmp_path):
         z.writestr("STOPS.TXT", "other\n1\n")
         z.writestr("empty.txt", "")
     lines = files.read_lines(spark, f"{tmp_path}/feed1/*.txt").unionByName(files.unpack_archives(spark, f"{tmp_path}/*.zip"))
-    rows = files.split_rows(lines.where("value is not null"))
-    stops = sorted((r["feed_id"], r["_row_number"], r["stop_id"], r["stop_name"]) for r in files.raw_table(rows, "stops").collect())
+    rows = csvrows.split_rows(lines.where("value is not null"))
+    stops = sorted((r["feed_id"], r["_row_number"], r["stop_id"], r["stop_name"]) for r in csvrows.raw_table(rows, "stops").collect())
     assert stops == [("feed1", 2, "S1", 'A, "b"'), ("feed1", 5, "S2", "two\nlines"), ("feed1", 7, "S�4", "n"), ("feed2", 2, "S1", 'A, "b"'), ("feed2", 5, "S2", "two\nlines")]
     assert codes(files.row_shape(rows).where("feed_id = 'feed2'")) == [("invalid_row_length", 6, {"rowLength": "2", "headerCount": "3"})]
     found = codes(files.header_checks(rows.where("feed_id = 'feed2'").select("feed_id", "table", "header").distinct()))
@@ -114,24 +114,3 @@ def test_typed_tables_round_trip(spark, tmp_path):
     g = read_typed_tables(spark, f"{tmp_path}/t")
     assert set(g.tables) == {"stops", "trips"} and g["stops"].select("feed_id", "stop_id", "stop_lat").first() == ("one", "A", 1.5)
     assert g["routes"].count() == 0
-
-
-@pytest.mark.parametrize("block", [1, 2, 5, 1000])
-def test_quoted_line_breaks_over_blocks(spark, block):
-    """Against reading the lines one after another."""
-    import random
-
-    r = random.Random(block)
-    lines = [(f, "stops.txt", n, r.choice(["a,b", 'x,"y', 'z",w', '"q""r"', '"', "", '"""'])) for f in ("f", "g") for n in range(1, 40)] + [("h", "stops.txt", 1, "a,b")]
-    want = []
-    for f in ("f", "g", "h"):
-        held, quotes = [], 0
-        own = [(n, v) for g, _, n, v in lines if g == f]
-        for n, v in own:
-            held.append(v)
-            quotes += v.count('"')
-            if quotes % 2 == 0 or n == own[-1][0]:
-                want.append((f, n, "\n".join(held)))
-                held = []
-    df = spark.createDataFrame(lines, files.LINES).repartition(3)
-    assert sorted((x["feed_id"], x["line_number"], x["value"]) for x in files.join_quoted(df, block).collect()) == sorted(want)
