@@ -49,6 +49,8 @@ def by_ranks(stated: dict, letters: dict[str, int]):
 
     model, plain = stated["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+    if len(letters.keys() & model["vocab"].keys()) < 256:
+        return None
     if stated["normalizer"] or not plain.items() <= (stated["pre_tokenizer"] or {}).items() or model["type"] != "BPE" or None in made or made != sorted(made):
         return None
     special = {t["content"] for t in stated["added_tokens"]}
@@ -85,7 +87,8 @@ class Tokenizers:
         own = self.fast_a.encode_ordinary(" " + text) if self.fast_a else self.a.encode(" " + text, add_special_tokens=False).ids
         other = self.b.encode(text, num_threads=1)
         whole = (" " + text).encode()
-        fine = all(b"".join(map(table.__getitem__, ids)) == whole for ids, table in ((own, self.bytes_a), (other, self.bytes_b)))
+        # the quick encoder takes bytes apart and nothing else
+        fine = (self.fast_a or b"".join(map(self.bytes_a.__getitem__, own)) == whole) and b"".join(map(self.bytes_b.__getitem__, other)) == whole
         return (np.array(own, np.int32), np.array(other, np.int32)) if fine else None
 
     def group_text(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, groups: int) -> bytes:
@@ -115,8 +118,8 @@ class Fragment:
 
 def summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(pair codes, numbers of links): each code once, with the sum of its links."""
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(pairs) < 2:
+        return pairs[0] if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     codes, at = np.unique(np.concatenate([c for c, _ in pairs]), return_inverse=True)
     sums = np.zeros(len(codes), np.int64)
     np.add.at(sums, at, np.concatenate([n for _, n in pairs]))
@@ -154,8 +157,8 @@ class Monoid:
             before, at = int(ends[end - 1]), end
         return out
 
-    def fragment(self, a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray) -> Fragment:
-        """The fragment of tokens that begin in a byte range, with the bytes where they begin."""
+    def fragment(self, a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, ends: bool = False) -> Fragment:
+        """The fragment of tokens that begin in a byte range, with the bytes where they begin. ends: the range's end is a cut."""
         cuts = np.intersect1d(start_a, start_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, start_a, "right"), np.searchsorted(cuts, start_b, "right")
         run = lambda low, high: (slice(*np.searchsorted(group_a, (low, high))), slice(*np.searchsorted(group_b, (low, high))))
@@ -163,8 +166,9 @@ class Monoid:
         last = len(cuts)
         if not last:
             return Fragment((a, b))
-        inner, groups = run(1, last), last - 1
-        out = Fragment(of(run(0, 1)), of(run(last, last + 1)), groups=groups)
+        groups = last if ends else last - 1
+        inner = run(1, groups + 1)
+        out = Fragment(of(run(0, 1)), of(run(groups + 1, last + 1)), groups=groups)
         if groups:
             ids, own = of(inner), (group_a[inner[0]] - 1, group_b[inner[1]] - 1)
             out.text.append(self.t.group_text(ids[0], own[0], ids[1], own[1], groups))
@@ -200,7 +204,7 @@ class Monoid:
     def closed(self, f: Fragment) -> Fragment:
         """The fragment of a whole text: its end is a cut, as its beginning is."""
         out = self.composed([f])
-        if out.suffix is not None:
+        if out.suffix is not None and len(out.suffix[0]):
             self.group(out, *out.suffix)
         return out
 
@@ -250,7 +254,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                 starts = [np.cumsum(w) - w for w in (m.t.width_a[a], m.t.width_b[b])]
                 parts = int(starts[0][-1]) // chunk + 1
                 if parts == 1:
-                    whole = m.closed(m.fragment(a, starts[0], b, starts[1]))
+                    whole = m.fragment(a, starts[0], b, starts[1], ends=True)
                     rows.append((row, name, 0, 1, 0, 0, none, none, *findings(whole, len(a), len(b))))
                 else:
                     bounds = [np.searchsorted(s, np.arange(parts + 1) * chunk) for s in starts]

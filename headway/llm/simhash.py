@@ -14,18 +14,25 @@ anchor compares those at home with those sent there, and no link is missed.
 
 Copies share a fingerprint and are one node, whatever their number; links join nodes only.
 
-Wide form, `similar_groups`: texts whose sets of word 5-shingles have a Jaccard similarity of 0.8
-or more differ in about 8 to 15 % of the bits of a fingerprint, far more than three of 64. So the
-fingerprint has 512 bits here, in 16 segments of 32, each of which is searched with a threshold
-of one bit by the same anchors, and every candidate is verified by its exact similarity. The
-higher the similarity, the surer one of the segments is alike; the README has measured recall.
+Similar form, `similar_groups`: texts whose sets of word 5-shingles have a Jaccard similarity of 0.8
+or more. They differ in about 15 % of the bits of a fingerprint, far beyond what anchors can search,
+so the anchors find the nearest pairs only, each verified by its exact similarity, and an exact
+search finds the rest. With shingles in one order for all texts (the most frequent last, then by
+hash), two texts that are alike share a shingle among the first `n - ceil(0.8 n) + 1` of each. The texts of a
+shingle are compared with one leader first, in rounds, and what is alike is one group from then on. At last
+all texts of a shingle are compared that are still in different groups, but for those within the
+group that most of them are in. So no link between groups is missed, whatever the order is.
 """
 
 from __future__ import annotations
 
+import hashlib
+from math import ceil
+
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +43,12 @@ SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
 CHUNK = 1 << 14
-#: The wide form: words of a shingle, segments of 32 bits, least Jaccard similarity.
-WIDE_SHINGLE, SEGMENTS, SIMILARITY = 5, 16, 0.8
+#: The similar form: words of a shingle, least Jaccard similarity.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles that are ordered by their count, the most frequent ones; they are broadcast. Others are taken as seldom.
+FREQUENT, ORDER_SHARE = 100_000, 16
+#: Rounds with leaders at most, and pairs for each node at which the rest is compared without a further one.
+ROUNDS, FEW_PAIRS = 6, 8
 #: Fingerprints that a task sends to their anchors.
 NODES_PER_TASK = 50_000
 
@@ -85,26 +96,40 @@ def simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
-def wide_simhash(text: str | None, shingle: int = WIDE_SHINGLE, segments: int = SEGMENTS) -> list[int]:
-    """The wide fingerprint, of the text's different shingles: a number below 2**32 for each segment; all 0 without words.
-
-    A shingle's further bits are drawn from its XXH64 by a mixing step for each 64 of them.
-    """
-    line, starts, ends = word_spans(text, shingle)
+def shingles_of(text: str | None) -> tuple[np.ndarray, int, bytes]:
+    """The hashes of a text's different shingles, its fingerprint, and the MD5 of its words; no shingles without words."""
+    line, starts, ends = word_spans(text, WIDE_SHINGLE)
     if not line:
-        return [0] * segments
+        return np.zeros(0, np.uint64), 0, b""
     found = np.unique(np.concatenate([hashes(line, starts[at : at + CHUNK], ends[at : at + CHUNK]) for at in range(0, len(starts), CHUNK)]))
-    ones = np.zeros(32 * segments, np.int64)
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(found), CHUNK):
-        h = (found[at : at + CHUNK, None] ^ np.arange(segments // 2, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        ones += ones_of(h ^ (h >> np.uint64(29)))
-    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u4").tolist()
+        ones += ones_of(found[at : at + CHUNK])
+    return found, int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0]), hashlib.md5(line).digest()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def wide_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([wide_simhash(t) for t in texts])
+def shingles_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles_of(t)[0].view(np.int64) for t in texts])
+
+
+def prefix_udf(frequent: Broadcast, similarity: float):
+    """text -> (fp, words, n, prefix): fingerprint, MD5 of the words, number of shingles, and the first of them in their order."""
+
+    @F.pandas_udf("fp long, words binary, n int, prefix array<long>")
+    def prefix(texts: pd.Series) -> pd.DataFrame:
+        known, rank = frequent.value
+        rows = []
+        for text in texts:
+            found, fp, words = shingles_of(text)
+            own, n = found.view(np.int64), len(found)
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            place = np.where(known[at] == own, rank[at], -1) if len(known) else np.full(n, -1)
+            order = np.lexsort((own, place))
+            rows.append((fp, words, n, own[order[: n - ceil(similarity * n - 1e-9) + 1]] if n else own))
+        return pd.DataFrame(rows, columns=["fp", "words", "n", "prefix"])
+
+    return prefix
 
 
 def syndrome(word: Column) -> Column:
@@ -209,55 +234,87 @@ def shingle_set(text: Column, shingle: int = WIDE_SHINGLE) -> Column:
     return F.get(F.transform(F.array(words), set_of), F.lit(0))
 
 
-def alike(nodes: DataFrame) -> DataFrame:
-    """nodes(node long, segments array<long>), stored, one row per fingerprint -> candidate pairs (a, b), a < b, once.
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT shingles that stand in the most texts: sorted, and the rank of each by count (a bounded table).
 
-    Within each segment, nodes of one value are compared with the smallest of them, and that one
-    with those of values one bit apart, which the anchors bring together. An anchor has 529
-    values within two bits, so pairs grow with the nodes and not with the square of a group.
+    Counted over every ORDER_SHARE-th text, by a hash. They only set an order, in which the search is exact whatever it is.
     """
-    each = spread(nodes).select("node", F.posexplode("segments").alias("segment", "value"))
-    values = checkpointed(each.groupBy("segment", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-    shared = values.where("n > 1").select("segment", "value", "first")
-    members = each.join(shared, ["segment", "value"]).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    home, near = anchors(F.col("value"))
-    tagged = lambda c: c.bitwiseOR(F.shiftleft(F.col("segment").cast("long"), 32))
-    some = spread(values.select("segment", "value", "first"))
-    # a value travels as its few bits that differ from the anchor, which shuffles small
-    at_home = some.select(tagged(home).alias("anchor"), home.bitwiseXOR(F.col("value")).alias("x"), F.col("first").alias("a"))
-    each_near = F.transform(near, lambda c: F.struct(tagged(c).alias("anchor"), c.bitwiseXOR(F.col("value")).alias("y")))
-    sent = some.select(F.explode(each_near).alias("s"), F.col("first").alias("b"))
-    sent = sent.select("s.anchor", "s.y", "b")
-    apart = at_home.join(sent, "anchor").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) == 1)
-    apart = apart.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return members.unionByName(apart).distinct()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
+    counted = some.select(F.explode(shingles_udf("text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    top = top.sort_values(["n", "s"], kind="stable").reset_index(drop=True)
+    known = top["s"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], order
 
 
 def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """rows (a key, text) -> (first, group): the smallest key of each fingerprint and of its group, for every fingerprint.
+    """rows (a key, text) -> (first, group): the smallest key of each sequence of words and of its group, for every such sequence.
 
-    key is a column of any type that has an order, a struct as well. Texts of one fingerprint are
-    one node; nodes whose shingle sets have a Jaccard similarity of at least `similarity` are
-    linked where they are compared (see alike), and what is linked is a group. Null and empty
-    texts are one node that is like no other. Each fingerprint's text is that of its smallest key.
+    key is a column of any type that has an order, a struct as well. Texts of the same words (but for
+    ASCII case and space) are one node; nodes whose shingle sets have a Jaccard similarity of at
+    least `similarity` are linked, and what is linked, over others too, is a group. Null and empty
+    texts are one node that is like no other. Each node's text is that of its smallest key.
     """
-    prints = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"), wide_udf(F.col(text_col)).alias("segments"))
-    smallest = prints.groupBy("segments").agg(F.min("key").alias("first")).select("segments", "first", F.monotonically_increasing_id().alias("node"))
-    nodes = checkpointed(smallest)
-    pairs = alike(nodes.select("node", "segments"))
-    # the fingerprints' own estimate first: unlike texts that share a segment by chance are far apart
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("segments").alias(f"{n}s"), F.col("first").alias(f"{n}k"))
-    apart = F.aggregate(F.zip_with("as", "bs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= SEGMENTS * 32 // 4).select("a", "b", "ak", "bk")
-    near = checkpointed(near)
-    wanted = near.select(F.col("ak").alias("key")).unionByName(near.select(F.col("bk").alias("key"))).distinct()
-    texts = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").groupBy("key").agg(F.min("text").alias("text"))
-    sets = checkpointed(texts.select("key", shingle_set(F.col("text")).alias("set")))
-    both = near.join(sets.withColumnRenamed("key", "ak").withColumnRenamed("set", "x"), "ak").join(
-        sets.withColumnRenamed("key", "bk").withColumnRenamed("set", "y"), "bk"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    found = components(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    member = nodes.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("c"))
+    spark = rows.sparkSession
+    own = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(own))
+    found = own.select("key", prefix_udf(frequent, similarity)("text").alias("p")).groupBy("p.words").agg(F.min("key").alias("first"), F.first("p").alias("p"))
+    nodes, _ = stored(found.select("first", F.monotonically_increasing_id().alias("node"), "p.fp", "p.n", "p.prefix"), "nodes")
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
+    # a shingle that one node alone has says nothing
+    shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    postings, _ = stored(postings.join(shared.select("s"), "s", "left_semi"), "postings")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes that are alike."""
+        pairs = checkpointed(pairs.select("a", "b").distinct())
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = nodes.join(wanted, "node").select("node", F.col("first").alias("key"))
+        texts = own.join(keys, "key").groupBy("node").agg(F.min("text").alias("text"))
+        sets = checkpointed(texts.select("node", shingle_set(F.col("text")).alias("set")))
+        side = lambda n, x: sets.select(F.col("node").alias(n), F.col("set").alias(x))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return both.where(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
+
+    def grouped(found: DataFrame) -> DataFrame:
+        """Each shared shingle's nodes with their groups so far."""
+        return postings.join(found, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+
+    # sizes, and what can still be shared behind the places of the shingle, allow the similarity
+    least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
+    possible = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n1") - F.col("i1") - 1) >= least
+    ordered = (F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
+
+    prints = checkpointed(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
+    of = lambda n: prints.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(n))
+    near = links(prints).join(of("a").withColumnRenamed("a", "x"), F.col("a") == F.col("fa")).join(of("b").withColumnRenamed("b", "y"), F.col("b") == F.col("fb"))
+    edges, path = stored(verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "links")
+    count = nodes.count()
+    for turn in range(ROUNDS + 1):
+        lists, lists_path = stored(grouped(components(edges)), "lists")
+        # the group that most of a shingle's nodes are in, and how many others there are
+        sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("s").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
+        main, main_path = stored(main, "main")
+        left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+        if not left:
+            break
+        others = lists.join(main.select("s", "main"), "s")
+        if left <= FEW_PAIRS * count or turn == ROUNDS:
+            minor = others.where("g != main").select("s", F.col("node").alias("node1"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("g").alias("g1"))
+            pairs = others.join(minor, "s").where((F.col("g") != F.col("g1")) & possible).select(*ordered)
+        else:
+            by = F.xxhash64("node", F.lit(turn))
+            leader = others.where("g != main" if turn % 2 else "true").groupBy("s").agg(F.min_by(F.struct("node", "n", "i", "g"), by).alias("l"))
+            each = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "i1": F.col("l.i"), "g1": F.col("l.g")})
+            pairs = each.where((F.col("g") != F.col("g1")) & possible).select(*ordered)
+        more, new = stored(edges.unionByName(verified(pairs)).distinct(), "links")
+        forget(spark, path, lists_path, main_path)
+        edges, path, last = more, new, left <= FEW_PAIRS * count or turn == ROUNDS
+        if last:
+            break
+    member = nodes.join(components(edges), "node", "left").select("first", F.coalesce("component", "node").alias("c"))
     groups = member.groupBy("c").agg(F.min("first").alias("group"))
     return member.join(groups, "c").select("first", "group")
