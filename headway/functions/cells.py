@@ -44,11 +44,25 @@ def zone_names() -> tuple[str, ...]:
     return tuple(sorted(_jvm().java.time.ZoneId.getAvailableZoneIds().toArray()))
 
 
+def listed_domains() -> set[str]:
+    """Top-level domains of the public suffix list that comes with the JVM, in ASCII form; none where it has no list."""
+    java = _jvm().java
+    path = java.lang.System.getProperty("java.home") + "/lib/security/public_suffix_list.dat"
+    if not java.io.File(path).exists():
+        return set()
+    archive = java.util.zip.ZipFile(path)
+    try:
+        names = archive.stream().map(java.util.function.Function.identity()).toArray()
+        return {str(java.net.IDN.toASCII(e.getName())).lower() for e in names}
+    finally:
+        archive.close()
+
+
 @cache
 def tlds() -> tuple[str, ...]:
-    """Top-level domains: GENERIC_TLDS and the codes of countries."""
+    """Top-level domains: those that the JVM lists, the codes of countries, and GENERIC_TLDS."""
     countries = [str(c).lower() for c in _jvm().java.util.Locale.getISOCountries()]
-    return tuple(sorted({*GENERIC_TLDS, *MORE_COUNTRIES, *countries, "arpa"}))
+    return tuple(sorted({*listed_domains(), *GENERIC_TLDS, *MORE_COUNTRIES, *countries, "arpa"}))
 
 
 def fraction_digits(currency: Column) -> Column:
@@ -107,23 +121,32 @@ def to_language(c: Column) -> Column:
 
 
 def to_timezone(c: Column) -> Column:
-    """Names of zones as they are; offsets, with or without UTC, GMT or UT, as ±HH:MM; at most 18 hours."""
-    found = lambda i: F.regexp_extract(c, "^(UTC|GMT|UT)?([+-])([0-9]{1,2}):?([0-9]{2})?$", i)
-    minutes = F.coalesce(found(4).try_cast("int"), F.lit(0))
-    total = found(3).try_cast("int") * 60 + minutes
-    offset = F.concat(found(1), found(2), F.lpad(found(3), 2, "0"), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))
-    return F.when((total <= 18 * 60) & (minutes < 60), offset).when(c.isin("Z", *zone_names()), c)
+    """Names of zones as they are; offsets, with or without UTC, GMT or UT before, as ±HH:MM (and :SS, if any).
+
+    An offset is ±h, ±hh, ±hhmm, ±hh:mm, ±hhmmss or ±hh:mm:ss, of at most 18 hours. One of zero is Z, or the name before it.
+    """
+    shape = "^(UTC|GMT|UT)?([+-])(?:([0-9])|([0-9]{2})(?:([0-9]{2})([0-9]{2})?|:([0-9]{2})(?::([0-9]{2}))?)?)$"
+    found = lambda i: F.regexp_extract(c, shape, i)
+    number = lambda *groups: F.coalesce(F.concat(*map(found, groups)).try_cast("int"), F.lit(0))
+    hours, minutes, seconds = number(3, 4), number(5, 7), number(6, 8)
+    total = hours * 3600 + minutes * 60 + seconds
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    late = F.when(seconds > 0, F.concat(F.lit(":"), two(seconds))).otherwise(F.lit(""))
+    offset = F.concat(found(1), found(2), two(hours), F.lit(":"), two(minutes), late)
+    zero = F.when(found(1) == "", F.lit("Z")).otherwise(found(1))
+    fine = c.rlike(shape) & (minutes < 60) & (seconds < 60) & (total <= 18 * 3600)
+    return F.when(fine, F.when(total == 0, zero).otherwise(offset)).when(c.isin("Z", "UTC", "GMT", "UT", *zone_names()), c)
 
 
 def valid_host(host: Column, domains: tuple[str, ...] | None = None) -> Column:
     """Labels of at most 63 and names of at most 253 characters below a known domain, or an IPv4 address.
 
-    domains: the top-level domains accepted; None: tlds(), and those that start with xn--.
+    domains: the top-level domains accepted; None: tlds(). A dot may follow the name.
     """
-    last = F.lower(F.substring_index(host, ".", -1))
-    known = last.isin(*(tlds() if domains is None else domains)) | (last.startswith("xn--") if domains is None else F.lit(False))
+    last = F.lower(F.substring_index(F.rtrim(host, F.lit(".")), ".", -1))
+    known = last.isin(*(tlds() if domains is None else domains))
     label = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-    name = host.rlike(f"^({label}\\.)+[A-Za-z]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?$") & (F.length(host) <= 253) & known
+    name = host.rlike(f"^({label}\\.)+[A-Za-z]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?[.]?$") & (F.length(host) <= 253) & known
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     return name | host.rlike(f"^({octet}\\.){{3}}{octet}$")
 

@@ -114,3 +114,23 @@ def test_typed_tables_round_trip(spark, tmp_path):
     g = read_typed_tables(spark, f"{tmp_path}/t")
     assert set(g.tables) == {"stops", "trips"} and g["stops"].select("feed_id", "stop_id", "stop_lat").first() == ("one", "A", 1.5)
     assert g["routes"].count() == 0
+
+
+#: Offsets and what they are as zones; None: invalid.
+OFFSETS = {
+    "+5": "+05:00", "-05": "-05:00", "+0530": "+05:30", "+05:30": "+05:30", "+053000": "+05:30", "-05:30:15": "-05:30:15", "UTC+5": "UTC+05:00", "UTC+05:00:30": "UTC+05:00:30", "GMT-0330": "GMT-03:30", "UT+1": "UT+01:00",
+    "+00": "Z", "-0": "Z", "UTC+0": "UTC", "GMT-00:00": "GMT", "UT": "UT", "UTC": "UTC", "Z": "Z", "+18": "+18:00", "+18:00:01": None, "+1800": "+18:00", "+19": None, "+5:30": None, "UTC+5:30": None, "+05:3": None, "+05:60": None,
+    "+053": None, "+05:3000": None, "+0530:00": None, "5": None, "UTC5": None, "utc+5": None, "+": None, "GMT0": "GMT0", "Europe/Berlin": "Europe/Berlin",
+}
+HOSTS = {
+    "a.brussels": True, "a.amsterdam": True, "a.nrw": True, "a.bayern": True, "a.click": True, "a.istanbul": True, "a.rio": True, "a.osaka": True, "a.com.": True, "a.com..": False, "a.xn--p1ai": True, "a.xn--zzzzzz": False,
+    "a.xn--vermgensberater-ctb": True, "a.zzzz": False, "com": False, "10.0.0.1": True, "10.0.0.256": False,
+}
+
+
+def test_offsets_and_domains(spark):
+    df = spark.createDataFrame([(t,) for t in OFFSETS], "t string")
+    assert {r["t"]: r["z"] for r in df.select("t", cells.to_timezone(F.col("t")).alias("z")).collect()} == OFFSETS
+    hosts = spark.createDataFrame([(h,) for h in HOSTS], "h string")
+    assert {r["h"]: r["v"] for r in hosts.select("h", cells.valid_host(F.col("h")).alias("v")).collect()} == HOSTS
+    assert len(cells.tlds()) > 1400
