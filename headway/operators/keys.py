@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..feed import Feed
 from ..notices import context_of, notices, union
 from ..schema import REFERENCES, TABLES, Reference
+from .graph import stored
+
+#: Keys that are broadcast to the rows that have them; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def clock(seconds: Column) -> Column:
@@ -23,6 +27,15 @@ def shown(table: str, column: str) -> Column:
     return clock(F.col(column)) if TABLES[table].field(column).type == "time" else F.col(column).cast("string")
 
 
+def picked(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to the few of their keys that are wanted, which are found first.
+
+    Up to BROADCAST_ROWS keys go to the rows, so rows aren't shuffled; beyond, both are.
+    """
+    wanted = stored(wanted)
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on)
+
+
 def duplicate_key(feed: Feed, table: str) -> DataFrame:
     """Rows after the first of their key. Null parts of a composite key are 0 or empty; a single null key is no key.
 
@@ -35,12 +48,12 @@ def duplicate_key(feed: Feed, table: str) -> DataFrame:
     rows = df.select("feed_id", "_row_number", *key, *(p.alias(n) for p, n in zip(parts, names, strict=True)))
     rows = rows.where("_k0 is not null") if len(key) == 1 else rows
     repeated = rows.groupBy("feed_id", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_row_number").alias("_old")).where("_n > 1")
-    again = rows.join(repeated, ["feed_id", *names])
+    again = picked(rows, repeated, ["feed_id", *names])
     # the key as its first row has it, formatted for repeated keys only
-    value = F.concat_ws(",", *(shown(table, k) for k in key))
-    named = F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.lit(k)) for k in key))
-    first = again.where("_row_number = _old").select("feed_id", *names, value.alias("_value"), named.alias("_names"))
-    later = again.where("_row_number > _old").select("feed_id", "_row_number", "_old", *names).join(first, ["feed_id", *names])
+    first = W.partitionBy("feed_id", *names).orderBy("_row_number")
+    value = F.first(F.concat_ws(",", *(shown(table, k) for k in key))).over(first)
+    named = F.first(F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.lit(k)) for k in key))).over(first)
+    later = again.withColumns({"_value": value, "_names": named}).where("_row_number > _old")
     return notices(later, "duplicate_key", "ERROR", TABLES[table].file, oldCsvRowNumber="_old", fieldName=F.col("_names"), fieldValue=F.col("_value"))
 
 
@@ -88,7 +101,7 @@ def foreign_key_violation(feed: Feed, references: Iterable[Reference] = REFERENC
     cells = union(children).select("feed_id", "_row_number", "c.*")
     asked = ["feed_id", "g", "value"]
     missing = cells.select(*asked).distinct().join(union(parents).distinct(), asked, "left_anti")
-    found = cells.join(missing, asked)
+    found = picked(cells, missing, asked)
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
     if feed.status is not None:
         # a reference is checked for feeds whose tables it names loaded cleanly

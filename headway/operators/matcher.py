@@ -15,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ TOO_FAR, TOO_FAR_USER = "stop_too_far_from_shape", "stop_too_far_from_shape_usin
 TOO_MANY_MATCHES, OUT_OF_ORDER = "stop_has_too_many_matches_for_shape", "stops_match_shape_out_of_order"
 #: Stops or patterns of a shape in a part of the work; stops compared with a shape at once.
 PART, BLOCK = 2_048, 256
+#: Arcs of a run at least, and radians by which its cap is larger, beyond the error of arccos.
+RUN, SLACK = 16, 1e-7
 #: User distances this close count as equal.
 SAME = 1e-9 * 32
 
@@ -70,6 +73,12 @@ class Shape:
         self.normal = unit(np.cross(self.left, self.right))
         # an arc's ends as planes: a place lies over the arc where it is on the inner side of both
         self.from_left, self.to_right = np.cross(self.normal, self.left), np.cross(self.right, self.normal)
+        # runs of arcs, each with a cap that bounds its points and so (below a right angle) the arcs between
+        self.run = max(RUN, isqrt(len(self.left)))
+        starts = np.arange(0, len(self.left), self.run)
+        corners = np.minimum(starts[:, None] + np.arange(self.run + 1), len(self.left))
+        self.centre = unit(self.points[corners].sum(axis=1))
+        self.radius = np.arccos(np.clip((self.points[corners] * self.centre[:, None]).sum(axis=-1), -1, 1)).max(axis=1, initial=0) + SLACK
 
     def nearest(self, p: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest place on arc i for each p, and the metres between; arrays of one length."""
@@ -81,12 +90,16 @@ class Shape:
         place = np.where(over[..., None], foot, end)
         return place, angle_m(p, place)
 
-    def rough(self, p: np.ndarray) -> np.ndarray:
-        """For each p (rows) and arc (columns) the cosine of their distance, a little inexact."""
-        over = (p @ self.from_left.T > 0) & (p @ self.to_right.T > 0)
-        sine = p @ self.normal.T
-        dots = p @ self.points.T
-        return np.where(over, np.sqrt(np.maximum(0.0, 1 - sine * sine)), np.maximum(dots[:, :-1], dots[:, 1:]))
+    def caps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each p (rows) and run of arcs (columns) bounds of the angle between them, from the run's bounding cap."""
+        apart = np.arccos(np.clip(p @ self.centre.T, -1, 1))
+        return np.where(self.radius < np.pi / 2, apart - self.radius, -1.0), apart + self.radius
+
+    def arcs_of(self, rows: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every arc of the runs, with its row."""
+        arcs = (runs[:, None] * self.run + np.arange(self.run)).ravel()
+        rows = np.repeat(rows, self.run)
+        return rows[arcs < len(self.left)], arcs[arcs < len(self.left)]
 
     def metres_at(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self.along[i] + angle_m(place, self.points[i])
@@ -131,8 +144,8 @@ def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
         return out
     for at in range(0, len(p), BLOCK):
         block, limit = p[at : at + BLOCK], limits[at : at + BLOCK]
-        cosine = shape.rough(block)
-        rows, arcs = np.nonzero(cosine >= (np.cos((limit + 1) / RADIUS) - 1e-13)[:, None])
+        low, high = shape.caps(block)
+        rows, arcs = shape.arcs_of(*np.nonzero(low <= ((limit + 1) / RADIUS)[:, None]))
         place, metres = shape.nearest(block[rows], arcs)
         close = metres <= limit[rows]
         rows, arcs, place, metres = rows[close], arcs[close], place[close], metres[close]
@@ -142,9 +155,8 @@ def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
         bounds = np.searchsorted(rows, np.arange(len(block) + 1))
         lists = arcs.tolist(), metres.tolist(), ends.tolist()
         far = np.flatnonzero(np.diff(bounds) == 0)
-        # the nearest place of stops without a candidate: exact over the arcs that may be nearest
-        best = cosine[far].max(axis=1, initial=-1)
-        r, i = np.nonzero(cosine[far] >= (best - 1e-9)[:, None])
+        # the nearest place of stops without a candidate: exact over the arcs of runs that may have it
+        r, i = shape.arcs_of(*np.nonzero(low[far] <= high[far].min(axis=1, keepdims=True, initial=np.pi)))
         there, apart = shape.nearest(block[far[r]], i)
         order = np.lexsort((i, apart, r))
         first = order[np.unique(r[order], return_index=True)[1]]
@@ -152,6 +164,9 @@ def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
         nearest = dict(zip(far.tolist(), zip(apart[first].tolist(), flat.tolist(), flon.tolist(), strict=True), strict=True))
         for k in range(len(block)):
             a, b = bounds[k], bounds[k + 1]
+            if a == b:
+                out.append(Found(none, none, none, none, nearest.get(k)))
+                continue
             kept = a + np.array(minima(*(x[a:b] for x in lists)), int)
             out.append(Found(along[kept], metres[kept], lat[kept], lon[kept], nearest.get(k)))
     return out
