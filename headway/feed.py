@@ -44,6 +44,12 @@ class Feed:
         own = self[table]
         return own.where(self.declares(table, column)).select("feed_id").distinct()
 
+    def having(self, table: str) -> DataFrame:
+        """feed_id of feeds that have the table's file, even without rows; of feeds that aren't from files, those with rows."""
+        if self.status is not None:
+            return self.status.where((F.col("table") == table) & (F.col("status") != "MISSING_FILE")).select("feed_id").distinct()
+        return self[table].select("feed_id").distinct()
+
     def __getitem__(self, name: str) -> DataFrame:
         """The table with every column of its schema; those it lacks are null, and a missing table has no rows."""
         schema = TABLES[name].struct()

@@ -377,15 +377,15 @@ SQL["l6_run_checks"] = f"SELECT code, count(*) AS n_notices FROM ({' UNION ALL '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registry_files
+    from . import registry_files, registry_raw
 
-    return QUERIES | registry_files.QUERIES
+    return QUERIES | registry_files.QUERIES | registry_raw.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import registry_files
+    from . import registry_files, registry_raw
 
-    return SQL | registry_files.SQL
+    return SQL | registry_files.SQL | registry_raw.SQL
 
 
 

@@ -15,9 +15,9 @@ from ..feed import Feed, group_counts, row_at_max, rows_any_set
 from ..functions import cells
 from ..notices import context_text
 from ..operators import zones
-from ..operators.graph import stored
 from ..operators.typing import type_table
 from ..schema import TABLES, Field, Table
+from ..shared import shared_folder
 from ..sources import csvrows, files
 from ..sources.raw import listing_of
 from .projection import PROJECTION, feed_of, with_feed
@@ -37,8 +37,7 @@ def flat(found: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    stored(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 # ---- C: cells

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from ..feed import Feed
 from ..notices import COLUMNS, union
 from ..operators import aggregates, calendars, distances, graph, joins, keys, matcher, rowrules, sequences, zones
+from ..shared import clustered
 
 #: Checks that run side by side, and what their notices are stored as.
 AT_ONCE = 4
@@ -70,23 +72,23 @@ class Run:
 
 
 def planned(feed: Feed, today: datetime.date, only: Iterable[str] | None = None) -> Iterator[tuple[str, Callable[[], DataFrame | None]]]:
-    """The checks by name, each a function that plans it. stop_times, which most read by trip, is dealt by trip once."""
+    """The checks by name, each a function that plans it."""
     wanted = set(only) if only is not None else None
-    shared = Feed(feed.spark, {n: feed.tables[n] for n in feed.tables}, feed.status)
-    if "stop_times" in feed:
-        shared.tables["stop_times"] = feed.tables["stop_times"].repartition("feed_id", "trip_id")
     checks = [("row_rules", lambda: rowrules.row_notices(feed))]
     for table in [t for t in feed.tables if t != "zones" and keys.TABLES[t].key]:
         checks.append((f"duplicate_key_{table}", lambda t=table: keys.duplicate_key(feed.gated([t]), t)))
-    checks += [(rule.name, lambda r=rule: r.check(shared.gated(r.depends), today)) for rule in FEED_RULES.values()]
+    checks += [(rule.name, lambda r=rule: r.check(feed.gated(r.depends), today)) for rule in FEED_RULES.values()]
     return ((name, make) for name, make in checks if wanted is None or name in wanted)
 
 
 def run_checks(feed: Feed, today: datetime.date, only: Iterable[str] | None = None) -> Run:
     """The notices of the checks as one DataFrame, not yet computed; checks that can't be planned are listed in failures.
 
-    For a few checks that share their reading. For all of them see run_all.
+    For a few checks that share their reading: stop_times, which most read by trip, is dealt by trip once. For all of them
+    see run_all.
     """
+    if "stop_times" in feed:
+        feed = Feed(feed.spark, feed.tables | {"stop_times": feed.tables["stop_times"].repartition("feed_id", "trip_id")}, feed.status)
     parts, failures = [], []
     for name, make in planned(feed, today, only):
         try:
@@ -99,12 +101,23 @@ def run_checks(feed: Feed, today: datetime.date, only: Iterable[str] | None = No
     return Run(union(parts) if parts else None, failures)
 
 
+@contextmanager
+def by_trip(feed: Feed, path: str) -> Iterator[Feed]:
+    """The feed with stop_times in buckets by feed and trip, in the order of each trip."""
+    if "stop_times" not in feed:
+        yield feed
+        return
+    with clustered(feed.tables["stop_times"], ["feed_id", "trip_id"], ["feed_id", "trip_id", "stop_sequence"], path) as dealt:
+        yield Feed(feed.spark, feed.tables | {"stop_times": dealt}, feed.status)
+
+
 def run_all(feed: Feed, today: datetime.date, path: str, only: Iterable[str] | None = None, at_once: int = AT_ONCE) -> Run:
     """Runs the checks and writes their notices below path, in folders by check; each is planned and run by itself.
 
     So planning takes as long as the checks' own plans, and a check that fails, in planning or in
     running, is listed in failures and leaves the others. at_once checks run side by side, whose
-    jobs Spark interleaves. A table that isn't cheap to read should be stored before.
+    jobs Spark interleaves. A table that isn't cheap to read should be stored before. stop_times is
+    shuffled once for all checks, into buckets by trip below path.
     """
     def attempt(check: tuple[str, Callable[[], DataFrame | None]]) -> tuple[str, str] | None:
         name, make = check
@@ -116,8 +129,8 @@ def run_all(feed: Feed, today: datetime.date, path: str, only: Iterable[str] | N
         except Exception as e:  # noqa: BLE001  one check's failure leaves the others
             return name, str(e)
 
-    with ThreadPoolExecutor(at_once) as pool:
-        failures = [f for f in pool.map(attempt, planned(feed, today, only)) if f]
+    with by_trip(feed, f"{path}/_clustered") as dealt, ThreadPoolExecutor(at_once) as pool:
+        failures = [f for f in pool.map(attempt, planned(dealt, today, only)) if f]
     try:
         return Run(feed.spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS), failures)
     except AnalysisException:  # no check wrote anything

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -11,31 +9,12 @@ from pyspark.sql import functions as F
 
 from ..feed import Feed
 from ..notices import notices
+from ..shared import shared_folder, stored
 from .joins import stop_types
 
 FEED = "feed_id"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder of spark.checkpoint.dir (a temporary one in local mode)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="headway-"))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the folder that executors share and read again, where several plans read it."""
-    spark = df.sparkSession
-    stored(spark.range(1))  # so that there is a folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def including_station(feed: Feed) -> DataFrame:
     """feed_id, stop_id, station: the station at most three steps up (a station is its own)."""
     s = stop_types(feed).select(FEED, "stop_id", "type", "parent_station")
@@ -57,8 +36,7 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     end when one finds nothing.
     """
     spark = edges.sparkSession
-    stored(spark.range(1))  # so that there is a folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/reached-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/reached-{uuid.uuid4().hex}"
     keys = [FEED, "way", "stop_id"]
     schema = f"{FEED} string, way string, stop_id string"
     found = start.select(*keys).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..feed import Feed
 from ..notices import context_of, notices, union
 from ..schema import REFERENCES, TABLES, Reference
-from .graph import stored
+from ..shared import stored
 
 #: Keys that are broadcast to the rows that have them; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
@@ -199,7 +199,7 @@ def rows_missing_agency(feed: Feed) -> DataFrame:
 def network_files_conflict(feed: Feed) -> DataFrame:
     """Routes that declare network_id in a feed that has network files as well."""
     base = feed.declaring("routes", "network_id")
-    files = union([feed[t].select("feed_id", F.lit(TABLES[t].file).alias("file")).distinct() for t in ("route_networks", "networks")])
+    files = union([feed.having(t).select("feed_id", F.lit(TABLES[t].file).alias("file")) for t in ("route_networks", "networks")])
     names = files.groupBy("feed_id").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
     return notices(base.join(names, "feed_id"), "route_networks_specified_in_more_than_one_file", "ERROR", "routes.txt", None, fileNames="files")
 

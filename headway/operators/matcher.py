@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from ..feed import Feed, first_rows
 from ..functions.geo import RADIUS
 from ..notices import notices
+from ..shared import written
 from .distances import stop_coordinates
-from .graph import written
 
 FEED = "feed_id"
 #: Metres from a shape within which a stop is on it; so many times for the ends of rail trips; candidates that are too many.
@@ -73,6 +73,8 @@ class Shape:
         self.normal = unit(np.cross(self.left, self.right))
         # an arc's ends as planes: a place lies over the arc where it is on the inner side of both
         self.from_left, self.to_right = np.cross(self.normal, self.left), np.cross(self.right, self.normal)
+        self.middle = unit(self.left + self.right)
+        self.half = np.arccos(np.clip((self.left * self.middle).sum(axis=-1), -1, 1)) + SLACK
         # runs of arcs, each with a cap that bounds its points and so (below a right angle) the arcs between
         self.run = max(RUN, isqrt(len(self.left)))
         starts = np.arange(0, len(self.left), self.run)
@@ -95,11 +97,24 @@ class Shape:
         apart = np.arccos(np.clip(p @ self.centre.T, -1, 1))
         return np.where(self.radius < np.pi / 2, apart - self.radius, -1.0), apart + self.radius
 
-    def arcs_of(self, rows: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every arc of the runs, with its row."""
+    def arcs_of(self, p: np.ndarray, rows: np.ndarray, runs: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, arc) of arcs of the runs that may be within `most` of their p; without it, that may be the nearest of all to it.
+
+        By a cap around each arc: its middle and half its length. rows are ascending.
+        """
         arcs = (runs[:, None] * self.run + np.arange(self.run)).ravel()
         rows = np.repeat(rows, self.run)
-        return rows[arcs < len(self.left)], arcs[arcs < len(self.left)]
+        rows, arcs = rows[arcs < len(self.left)], arcs[arcs < len(self.left)]
+        if not len(rows):
+            return rows, arcs
+        apart, half = np.arccos(np.clip(np.einsum("ij,ij->i", p[rows], self.middle[arcs]), -1, 1)), self.half[arcs]
+        if most is None:
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))
+            most = np.minimum.reduceat(apart + half, starts)
+            kept = apart - half <= np.repeat(most, np.diff(starts, append=len(rows)))
+        else:
+            kept = apart - half <= most[rows]
+        return rows[kept], arcs[kept]
 
     def metres_at(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self.along[i] + angle_m(place, self.points[i])
@@ -145,7 +160,8 @@ def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
     for at in range(0, len(p), BLOCK):
         block, limit = p[at : at + BLOCK], limits[at : at + BLOCK]
         low, high = shape.caps(block)
-        rows, arcs = shape.arcs_of(*np.nonzero(low <= ((limit + 1) / RADIUS)[:, None]))
+        within = (limit + 1) / RADIUS
+        rows, arcs = shape.arcs_of(block, *np.nonzero(low <= within[:, None]), within)
         place, metres = shape.nearest(block[rows], arcs)
         close = metres <= limit[rows]
         rows, arcs, place, metres = rows[close], arcs[close], place[close], metres[close]
@@ -156,7 +172,7 @@ def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
         lists = arcs.tolist(), metres.tolist(), ends.tolist()
         far = np.flatnonzero(np.diff(bounds) == 0)
         # the nearest place of stops without a candidate: exact over the arcs of runs that may have it
-        r, i = shape.arcs_of(*np.nonzero(low[far] <= high[far].min(axis=1, keepdims=True, initial=np.pi)))
+        r, i = shape.arcs_of(block[far], *np.nonzero(low[far] <= high[far].min(axis=1, keepdims=True, initial=np.pi + 1)))
         there, apart = shape.nearest(block[far[r]], i)
         order = np.lexsort((i, apart, r))
         first = order[np.unique(r[order], return_index=True)[1]]

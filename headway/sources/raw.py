@@ -47,8 +47,11 @@ def load_lines(lines: DataFrame, path: str) -> tuple[Feed, DataFrame]:
     wrong_zones = structure.where("severity = 'ERROR'").select("feed_id", F.lit("zones").alias("table"), F.lit("UNPARSABLE_ROWS").alias("status")).distinct()
 
     tables, notes, lost = {}, [file_presence(listing), told, row_shape(rows), structure], [wrong_zones]
-    for name in [r["table"] for r in headers.select("table").distinct().orderBy("table").collect()]:
-        tables[name], found = type_table(raw_table(rows, name), TABLES[name])
+    # what no feed has in its header is not parsed: a row for each table
+    declared = {r["table"]: r["bits"] for r in headers.groupBy("table").agg(F.bit_or("declared").alias("bits")).orderBy("table").collect()}
+    for name, bits in declared.items():
+        names = [c for i, c in enumerate(TABLES[name].names) if bits >> i & 1]
+        tables[name], found = type_table(raw_table(rows, name), TABLES[name], names)
         notes.append(found)
         lost.append(failed_feeds(found, TABLES[name]))
     if texts.take(1):
