@@ -48,7 +48,9 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that are ordered by their count, the most frequent ones; they are broadcast. Others are taken as seldom.
 FREQUENT, ORDER_SHARE = 100_000, 16
 #: Rounds with leaders at most, and pairs for each node at which the rest is compared without a further one.
-ROUNDS, FEW_PAIRS = 6, 8
+ROUNDS, FEW_PAIRS = 6, 64
+#: Texts whose shingles are fetched by a broadcast of their row numbers; more are joined by a shuffle.
+WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
 NODES_PER_TASK = 50_000
 
@@ -114,9 +116,9 @@ def shingles_udf(texts: pd.Series) -> pd.Series:
 
 
 def prefix_udf(frequent: Broadcast, similarity: float):
-    """text -> (fp, words, n, prefix): fingerprint, MD5 of the words, number of shingles, and the first of them in their order."""
+    """text -> (fp, words, set, prefix): fingerprint, MD5 of the words, the shingles, and the first of them in their order."""
 
-    @F.pandas_udf("fp long, words binary, n int, prefix array<long>")
+    @F.pandas_udf("fp long, words binary, set array<long>, prefix array<long>")
     def prefix(texts: pd.Series) -> pd.DataFrame:
         known, rank = frequent.value
         rows = []
@@ -126,8 +128,8 @@ def prefix_udf(frequent: Broadcast, similarity: float):
             at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
             place = np.where(known[at] == own, rank[at], -1) if len(known) else np.full(n, -1)
             order = np.lexsort((own, place))
-            rows.append((fp, words, n, own[order[: n - ceil(similarity * n - 1e-9) + 1]] if n else own))
-        return pd.DataFrame(rows, columns=["fp", "words", "n", "prefix"])
+            rows.append((fp, words, own, own[order[: n - ceil(similarity * n - 1e-9) + 1]] if n else own))
+        return pd.DataFrame(rows, columns=["fp", "words", "set", "prefix"])
 
     return prefix
 
@@ -259,8 +261,10 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     spark = rows.sparkSession
     own = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(own))
-    found = own.select("key", prefix_udf(frequent, similarity)("text").alias("p")).groupBy("p.words").agg(F.min("key").alias("first"), F.first("p").alias("p"))
-    nodes, _ = stored(found.select("first", F.monotonically_increasing_id().alias("node"), "p.fp", "p.n", "p.prefix"), "nodes")
+    prints, prints_path = stored(own.select("key", prefix_udf(frequent, similarity)("text").alias("p"), F.monotonically_increasing_id().alias("row")).select("key", "row", "p.*"), "prints")
+    each = F.first(F.struct("fp", F.size("set").alias("n"), "prefix")).alias("p")
+    found = prints.groupBy("words").agg(F.min("key").alias("first"), F.min_by("row", "key").alias("row"), each)
+    nodes, _ = stored(found.select("first", "row", F.monotonically_increasing_id().alias("node"), "p.*"), "nodes")
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
     # a shingle that one node alone has says nothing
     shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -270,9 +274,9 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         """The pairs (a, b) of nodes that are alike."""
         pairs = checkpointed(pairs.select("a", "b").distinct())
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = nodes.join(wanted, "node").select("node", F.col("first").alias("key"))
-        texts = own.join(keys, "key").groupBy("node").agg(F.min("text").alias("text"))
-        sets = checkpointed(texts.select("node", shingle_set(F.col("text")).alias("set")))
+        of = checkpointed(nodes.select("node", "row").join(wanted, "node"))
+        sets = prints.select("row", "set").join(F.broadcast(of) if of.count() <= WANTED else of, "row")
+        sets = checkpointed(sets.select("node", "set"))
         side = lambda n, x: sets.select(F.col("node").alias(n), F.col("set").alias(x))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         same = F.size(F.array_intersect("x", "y"))
@@ -287,9 +291,9 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     possible = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n1") - F.col("i1") - 1) >= least
     ordered = (F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
 
-    prints = checkpointed(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
-    of = lambda n: prints.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(n))
-    near = links(prints).join(of("a").withColumnRenamed("a", "x"), F.col("a") == F.col("fa")).join(of("b").withColumnRenamed("b", "y"), F.col("b") == F.col("fb"))
+    points = checkpointed(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
+    of = lambda n: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(n))
+    near = links(points).join(of("a").withColumnRenamed("a", "x"), F.col("a") == F.col("fa")).join(of("b").withColumnRenamed("b", "y"), F.col("b") == F.col("fb"))
     edges, path = stored(verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "links")
     count = nodes.count()
     for turn in range(ROUNDS + 1):
@@ -300,6 +304,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         main, main_path = stored(main, "main")
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
         if not left:
+            forget(spark, lists_path, main_path)
             break
         others = lists.join(main.select("s", "main"), "s")
         if left <= FEW_PAIRS * count or turn == ROUNDS:
@@ -315,6 +320,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         edges, path, last = more, new, left <= FEW_PAIRS * count or turn == ROUNDS
         if last:
             break
+    forget(spark, prints_path)
     member = nodes.join(components(edges), "node", "left").select("first", F.coalesce("component", "node").alias("c"))
     groups = member.groupBy("c").agg(F.min("first").alias("group"))
     return member.join(groups, "c").select("first", "group")
