@@ -195,7 +195,7 @@ _RUNS = f"""{_DATES}, lastx AS (SELECT service_id, date, arg_max(exception_type,
  served AS (SELECT service_id, date FROM weekly WHERE (service_id, date) NOT IN (SELECT service_id, date FROM lastx) UNION ALL SELECT service_id, date FROM lastx WHERE k = 1),
  runs AS (SELECT service_id, min(date) AS f, max(date) AS l FROM (SELECT *, date - CAST(row_number() OVER (PARTITION BY service_id ORDER BY date) AS INTEGER) AS g FROM served) q GROUP BY service_id, g)"""
 _FILES = ",".join(sorted(f"{n}.txt" if n != "zones" else "locations.geojson" for n in PROJECTION if not n.startswith("flex_")))
-register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, CAST(NULL AS VARCHAR) AS feed_publisher_url, arg_min(feed_contact_email, _row_number) AS feed_contact_email, '{_FILES}' AS files, arg_min(feed_lang, _row_number) AS feed_lang, CAST(arg_min(feed_start_date, _row_number) AS VARCHAR) AS feed_start_date, CAST(arg_min(feed_end_date, _row_number) AS VARCHAR) AS feed_end_date, CAST((SELECT min(f) FROM runs) AS VARCHAR) AS service_start, CAST((SELECT max(l) FROM runs) AS VARCHAR) AS service_end FROM feed_info")
+register_table("g2_feed_summary", aggregates.feed_summary, f"WITH {_RUNS} SELECT (SELECT string_agg(agency_name, ', ' ORDER BY _row_number) FROM agency) AS agencies, (SELECT string_agg(concat(coalesce(agency_name, ''), '|', coalesce(agency_url, ''), '|||', coalesce(agency_timezone, '')), '; ' ORDER BY _row_number) FROM agency) AS agency_details, arg_min(feed_publisher_name, _row_number) AS feed_publisher_name, CAST(NULL AS VARCHAR) AS feed_publisher_url, arg_min(feed_contact_email, _row_number) AS feed_contact_email, '{_FILES}' AS files, arg_min(feed_lang, _row_number) AS feed_lang, CAST(arg_min(feed_start_date, _row_number) AS VARCHAR) AS feed_start_date, CAST(arg_min(feed_end_date, _row_number) AS VARCHAR) AS feed_end_date, CAST((SELECT min(f) FROM runs WHERE service_id IN (SELECT service_id FROM trips)) AS VARCHAR) AS service_start, CAST((SELECT max(l) FROM runs WHERE service_id IN (SELECT service_id FROM trips)) AS VARCHAR) AS service_end FROM feed_info")
 
 
 def feature_sql(flex: bool) -> str:

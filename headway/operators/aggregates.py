@@ -26,18 +26,29 @@ def summary_counts(feed: Feed, approximate: bool = False) -> DataFrame:
     return out
 
 
+#: Columns of an agency that a summary shows.
+AGENCY = ("agency_name", "agency_url", "agency_phone", "agency_email", "agency_timezone")
 #: Columns of feed_info that a summary shows, from its first row.
 INFO = ("feed_publisher_name", "feed_publisher_url", "feed_lang", "feed_start_date", "feed_end_date", "feed_contact_email")
 
 
 def feed_summary(feed: Feed) -> DataFrame:
-    """One row for each feed: agencies in file order, feed info, files with rows, first and last service date."""
+    """One row for each feed: agencies in file order, feed info, files with rows, first and last service date.
+
+    Of an agency name, URL, phone, email and time zone are shown, with bars between. The dates are those of
+    services that trips have; a table that didn't load cleanly counts as empty there.
+    """
     from .calendars import service_runs
 
-    named = F.array_sort(F.collect_list(F.struct("_row_number", F.coalesce("agency_name", F.lit("")).alias("name"))))
-    agencies = feed["agency"].groupBy(FEED).agg(F.array_join(F.transform(named, lambda s: s["name"]), ", ").alias("agencies"))
+    shown = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in AGENCY))
+    named = F.array_sort(F.collect_list(F.struct("_row_number", F.coalesce("agency_name", F.lit("")).alias("name"), shown.alias("shown"))))
+    part = lambda name, sep: F.array_join(F.transform(named, lambda s: s[name]), sep)
+    agencies = feed["agency"].groupBy(FEED).agg(part("name", ", ").alias("agencies"), part("shown", "; ").alias("agency_details"))
     info = feed["feed_info"].groupBy(FEED).agg(*(F.min_by(c, "_row_number").alias(c) for c in INFO))
-    window = service_runs(feed).groupBy(FEED).agg(F.min("first").alias("service_start"), F.max("last").alias("service_end"))
+    clean = {t: feed.gated([t]).tables[t] for t in ("trips", "calendar", "calendar_dates") if t in feed.tables}
+    dated = Feed(feed.spark, feed.tables | clean, feed.status)
+    used = dated["trips"].where("service_id is not null").select(FEED, "service_id").distinct()
+    window = service_runs(dated).join(used, [FEED, "service_id"], "left_semi").groupBy(FEED).agg(F.min("first").alias("service_start"), F.max("last").alias("service_end"))
     files = union([feed[n].select(FEED).distinct().withColumn("file", F.lit(TABLES[n].file)) for n in feed.tables])
     files = files.groupBy(FEED).agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
     return agencies.join(info, FEED, "full").join(files, FEED, "full").join(window, FEED, "full")
