@@ -228,6 +228,38 @@ def zone_feed(spark: SparkSession, sf_dir: str) -> Feed:
     return Feed(spark, {"stop_times": feed["stop_times"].withColumn("end_pickup_drop_off_window", F.expr("start_pickup_drop_off_window + 3600")).withColumn("location_id", F.expr("concat('Z', _row_number % 13)")), "zones": over("nation", SQUARES)(spark, sf_dir).withColumn("feed_id", F.lit("feed"))})
 
 
+_BOX, _HOLE = [(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]
+#: Geometries by what is wrong with them, around a corner of the zone; the first has nothing.
+SHAPES: list[tuple[str | None, str, list]] = [
+    (None, "Polygon", [_BOX, _HOLE]), ("self-crossing", "Polygon", [[(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)]]), ("self-touching", "Polygon", [[(0, 0), (8, 0), (4, 4), (8, 8), (0, 8), (4, 4), (0, 0)]]),
+    ("hole outside shell", "Polygon", [_BOX, [(x + 7, y + 9) for x, y in _HOLE]]), ("nested holes", "Polygon", [_BOX, [(1, 1), (7, 1), (7, 7), (1, 7), (1, 1)], _HOLE]),
+    ("disconnected interior", "Polygon", [_BOX, [(0, 4), (4, 2), (8, 4), (4, 6), (0, 4)]]), ("nested shells", "MultiPolygon", [[_BOX], [_HOLE]]), ("too few points", "Polygon", [[(0, 0), (8, 0), (8, 0), (0, 0)]]),
+    ("unclosed ring", "Polygon", [[(0, 0), (8, 0), (8, 8), (0, 8)]]), ("bad coordinates", "Polygon", [[(0, 0), (300, 0), (8, 8), (0, 0)]]), (None, "Polygon", [_BOX, [(0, 4), (4, 2), (4, 6), (0, 4)]]),
+    (None, "MultiPolygon", [[_BOX, _HOLE], [[(2.5, 2.5), (3.5, 2.5), (3, 3.5), (2.5, 2.5)]]]), ("self-crossing", "Polygon", [_BOX, [(6, 6), (12, 6), (12, 7), (6, 7), (6, 6)]]), ("self-crossing", "MultiPolygon", [[_BOX], [[(x + 4, y + 4) for x, y in _BOX]]]),
+]
+
+
+def drawn(shape: list) -> str:
+    """A shape's coordinates as an expression over the corner (x, y)."""
+    if isinstance(shape[0], tuple):
+        return "concat('[', " + ", ',', ".join(f"'[', x + {a}, ',', y + {b}, ']'" for a, b in shape) + ", ']')"
+    return "concat('[', " + ", ',', ".join(map(drawn, shape)) + ", ']')"
+
+
+def drawn_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the zones of suppliers, one kind after another, each at its own corner."""
+    corner = "s_suppkey, s_suppkey % 17 * 3 as x, s_nationkey * 1.5D + 10 as y"
+    cases = " ".join(f"when {i} then {drawn(shape)}" for i, (_, _, shape) in enumerate(SHAPES))
+    kinds = " ".join(f"when {i} then '{kind}'" for i, (_, kind, _) in enumerate(SHAPES))
+    k = f"cast(s_suppkey % {len(SHAPES)} as int)"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*corner.split(", ")).selectExpr(
+        "'feed' as feed_id", "s_suppkey as _row_number", "concat('Z', s_suppkey) as feature_id", "cast(s_suppkey as int) as feature_index", f"case {k} {kinds} end as geometry_type", f"case {k} {cases} end as coordinates")
+    return flat(zones.zone_rings(Feed(spark, {"zones": rows})))
+
+
+QUERIES["j9_zone_faults"] = drawn_zones
+SQL["j9_zone_faults"] = "WITH s(k, message) AS (VALUES " + ", ".join(f"({i}, '{fault}')" for i, (fault, _, _) in enumerate(SHAPES) if fault) + f""")
+ SELECT 'invalid_geometry' AS code, 'locations.geojson' AS filename, CAST(NULL AS BIGINT) AS row_number, 'featureId=Z' || s_suppkey || ';featureIndex=' || s_suppkey || ';message=' || message AS context FROM supplier JOIN s ON k = s_suppkey % {len(SHAPES)}"""
 QUERIES["j9_zone_rings"] = lambda spark, sf_dir: flat(zones.zone_rings(zone_feed(spark, sf_dir)))
 SQL["j9_zone_rings"] = "SELECT 'invalid_geometry' AS code, 'locations.geojson' AS filename, CAST(NULL AS BIGINT) AS row_number, 'featureId=Z' || n_nationkey || ';featureIndex=' || n_nationkey || ';message=unclosed ring' AS context FROM nation WHERE n_nationkey % 6 = 5"
 QUERIES["j10_zone_window_overlap"] = lambda spark, sf_dir: flat(zones.zone_window_overlap(zone_feed(spark, sf_dir)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..feed import Feed
 from ..notices import notices, union
+from ..shared import stored
+from .polygons import geometry_problem, polygons_of
 
 FEED = "feed_id"
 FILE = "locations.geojson"
@@ -39,12 +39,6 @@ def zone_structure(files: DataFrame) -> DataFrame:
 # ---- rings
 
 
-def polygons_of(kind: str, coordinates: str) -> list[list[np.ndarray]]:
-    """Polygons, each a list of rings (n, 2) of longitude and latitude."""
-    data = json.loads(coordinates)
-    return [[np.array([p[:2] for p in ring], float).reshape(-1, 2) for ring in polygon] for polygon in (data if kind == "MultiPolygon" else [data])]
-
-
 def side(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Which side of a-b c lies on: -1, 0 or 1."""
     v = (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
@@ -57,22 +51,6 @@ def crossings(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
 
 
-def inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Whether points lie within a closed ring, by the parity of crossings to the east."""
-    x, y = points[:, 0][:, None], points[:, 1][:, None]
-    (x1, y1), (x2, y2) = ring[:-1].T, ring[1:].T
-    spans = (y1 > y) != (y2 > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
-    return ((spans & (x < at)).sum(axis=1) % 2).astype(bool)
-
-
-def centre_inside(ring: np.ndarray, outer: np.ndarray) -> bool:
-    """Whether most of a ring's corners and edge centres lie within another."""
-    probes = np.concatenate([ring[:-1], (ring[:-1] + ring[1:]) / 2])
-    return bool(inside(probes, outer).mean() > 0.5)
-
-
 def zone_points(feed: Feed) -> DataFrame:
     """Points of zones within a degree of (0, 0), or of a pole; one notice for each point of each ring, a closing point too."""
     pair = lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("x"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("y"))
@@ -88,34 +66,6 @@ def zone_points(feed: Feed) -> DataFrame:
     )
 
 
-def ring_problem(kind: str, coordinates: str | None) -> str | None:
-    """The first thing that is wrong with a geometry, or None."""
-    try:
-        polygons = polygons_of(kind, coordinates or "")
-    except (ValueError, TypeError, IndexError):
-        return "bad coordinates"
-    for rings in polygons:
-        for r in rings:
-            if not np.isfinite(r).all() or (np.abs(r[:, 0]) > 180).any() or (np.abs(r[:, 1]) > 90).any():
-                return "bad coordinates"
-            if len(r) < 4:
-                return "too few points"
-            if (r[0] != r[-1]).any():
-                return "unclosed ring"
-            if crossings(r, r).any():
-                return "self-crossing"
-        for i, hole in enumerate(rings[1:], 1):
-            if not centre_inside(hole, rings[0]) or crossings(hole, rings[0]).any():
-                return "hole outside shell"
-            if any(centre_inside(hole, other) for j, other in enumerate(rings[1:], 1) if i != j):
-                return "nested holes"
-    for i, rings in enumerate(polygons):
-        for j, other in enumerate(polygons):
-            if i != j and centre_inside(rings[0], other[0]) and not any(centre_inside(rings[0], hole) for hole in other[1:]):
-                return "nested shells"
-    return None
-
-
 def spans(polygon: list[np.ndarray], y: float) -> np.ndarray:
     """The stretches (from, to) of the level y that lie inside a polygon."""
     xs = []
@@ -149,7 +99,7 @@ def zone_rings(feed: Feed) -> DataFrame:
     """Zones with an invalid geometry, and what is wrong with it."""
     @F.pandas_udf("string")
     def problem(kinds: pd.Series, coordinates: pd.Series) -> pd.Series:
-        return pd.Series([ring_problem(k, c) for k, c in zip(kinds, coordinates, strict=True)], dtype=object)
+        return pd.Series([geometry_problem(k, c) for k, c in zip(kinds, coordinates, strict=True)], dtype=object)
 
     found = feed["zones"].where("coordinates is not null").withColumn("problem", problem("geometry_type", "coordinates"))
     return notices(found.where("problem is not null"), "invalid_geometry", "ERROR", FILE, None, featureId="feature_id", featureIndex="feature_index", message="problem")
@@ -173,16 +123,22 @@ def zone_window_pairs(feed: Feed) -> DataFrame:
 
 
 def zone_window_overlap(feed: Feed) -> DataFrame:
-    """Of those pairs, the ones whose zones overlap; each pair of zones is tested once."""
+    """Of those pairs, the ones whose zones are valid and overlap; each zone and each pair of zones is tested once."""
     pairs = zone_window_pairs(feed)
     zones = feed["zones"].where("feature_id is not null and coordinates is not null").groupBy(FEED, "feature_id").agg(F.min_by(F.struct("geometry_type", "coordinates"), "feature_index").alias("z"))
-    named = lambda i: zones.select(FEED, F.col("feature_id").alias(f"z{i}"), F.col("z.geometry_type").alias(f"k{i}"), F.col("z.coordinates").alias(f"c{i}"))
+
+    @F.pandas_udf("boolean")
+    def valid(kinds: pd.Series, coordinates: pd.Series) -> pd.Series:
+        return pd.Series([geometry_problem(k, c) is None for k, c in zip(kinds, coordinates, strict=True)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def meet(k1: pd.Series, c1: pd.Series, k2: pd.Series, c2: pd.Series) -> pd.Series:
-        test = lambda a, x, b, y: ring_problem(a, x) is None and ring_problem(b, y) is None and overlap(polygons_of(a, x), polygons_of(b, y))
-        return pd.Series([test(*r) for r in zip(k1, c1, k2, c2, strict=True)], dtype=bool)
+        return pd.Series([overlap(polygons_of(a, x), polygons_of(b, y)) for a, x, b, y in zip(k1, c1, k2, c2, strict=True)], dtype=bool)
 
+    # only zones of some pair are looked at, each once
+    asked = pairs.select(FEED, F.explode(F.array("location_id", "location_id1")).alias("feature_id")).distinct()
+    fine = stored(zones.join(asked, [FEED, "feature_id"]).where(valid("z.geometry_type", "z.coordinates")))
+    named = lambda i: fine.select(FEED, F.col("feature_id").alias(f"z{i}"), F.col("z.geometry_type").alias(f"k{i}"), F.col("z.coordinates").alias(f"c{i}"))
     keyed = pairs.withColumns({"z1": F.least("location_id", "location_id1"), "z2": F.greatest("location_id", "location_id1")})
     tested = keyed.select(FEED, "z1", "z2").distinct().join(named(1), [FEED, "z1"]).join(named(2), [FEED, "z2"]).where(meet("k1", "c1", "k2", "c2")).select(FEED, "z1", "z2")
     found = keyed.join(tested, [FEED, "z1", "z2"])

@@ -6,7 +6,7 @@ import pytest
 
 from headway.jobs.runner import run_checks
 from headway.notices import compare, report, severity_totals
-from headway.operators import aggregates, calendars, distances, graph, joins, keys, matcher, rowrules, sequences, zones
+from headway.operators import aggregates, calendars, distances, graph, joins, keys, matcher, polygons, rowrules, sequences, zones
 from pyspark.sql import functions as F
 
 from .feeds import codes, feed, pairs, stop_times
@@ -245,7 +245,7 @@ RING = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
 def test_rings(coordinates, want):
     import json
 
-    assert zones.ring_problem("Polygon", json.dumps(coordinates)) == want
+    assert polygons.geometry_problem("Polygon", json.dumps(coordinates)) == want
 
 
 def test_overlaps():
