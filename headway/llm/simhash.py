@@ -49,7 +49,7 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 FREQUENT, ORDER_SHARE = 100_000, 16
 #: Rounds with leaders at most, and pairs for each node at which the rest is compared without a further one.
 ROUNDS, FEW_PAIRS = 6, 64
-#: Texts whose shingles are fetched by a broadcast of their row numbers; more are joined by a shuffle.
+#: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle.
 WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
 NODES_PER_TASK = 50_000
@@ -116,9 +116,9 @@ def shingles_udf(texts: pd.Series) -> pd.Series:
 
 
 def prefix_udf(frequent: Broadcast, similarity: float):
-    """text -> (fp, words, set, prefix): fingerprint, MD5 of the words, the shingles, and the first of them in their order."""
+    """text -> (fp, words, n, prefix): fingerprint, MD5 of the words, number of shingles, and the first of them in their order."""
 
-    @F.pandas_udf("fp long, words binary, set array<long>, prefix array<long>")
+    @F.pandas_udf("fp long, words binary, n int, prefix array<long>")
     def prefix(texts: pd.Series) -> pd.DataFrame:
         known, rank = frequent.value
         rows = []
@@ -128,8 +128,8 @@ def prefix_udf(frequent: Broadcast, similarity: float):
             at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
             place = np.where(known[at] == own, rank[at], -1) if len(known) else np.full(n, -1)
             order = np.lexsort((own, place))
-            rows.append((fp, words, own, own[order[: n - ceil(similarity * n - 1e-9) + 1]] if n else own))
-        return pd.DataFrame(rows, columns=["fp", "words", "set", "prefix"])
+            rows.append((fp, words, n, own[order[: n - ceil(similarity * n - 1e-9) + 1]] if n else own))
+        return pd.DataFrame(rows, columns=["fp", "words", "n", "prefix"])
 
     return prefix
 
@@ -259,13 +259,16 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     texts are one node that is like no other. Each node's text is that of its smallest key.
     """
     spark = rows.sparkSession
-    own = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    own = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
+    few = lambda df: F.broadcast(df) if df.count() <= WANTED else df
     frequent = spark.sparkContext.broadcast(frequent_shingles(own))
-    prints, prints_path = stored(own.select("key", prefix_udf(frequent, similarity)("text").alias("p"), F.monotonically_increasing_id().alias("row")).select("key", "row", "p.*"), "prints")
-    each = F.first(F.struct("fp", F.size("set").alias("n"), "prefix")).alias("p")
-    found = prints.groupBy("words").agg(F.min("key").alias("first"), F.min_by("row", "key").alias("row"), each)
-    nodes, _ = stored(found.select("first", "row", F.monotonically_increasing_id().alias("node"), "p.*"), "nodes")
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
+    prints = own.select("key", "t", F.monotonically_increasing_id().alias("row"), prefix_udf(frequent, similarity)("text").alias("p"))
+    prints, _ = stored(prints.select("key", "t", "row", "p.*"), "prints")
+    smallest = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "row", "t")).alias("r")
+    nodes, _ = stored(prints.groupBy("words").agg(smallest).select(F.col("r.key").alias("first"), F.col("r.row").alias("node"), "r.t"), "nodes")
+    copies = checkpointed(prints.select(F.col("row").alias("node")).join(nodes, "node", "left_anti"))
+    bodies = prints.withColumnRenamed("row", "node").join(few(copies), "node", "left_anti").select("node", "fp", "n", "prefix")
+    postings = bodies.select("node", "n", F.explode("prefix").alias("s"))
     # a shingle that one node alone has says nothing
     shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     postings, _ = stored(postings.join(shared.select("s"), "s", "left_semi"), "postings")
@@ -273,54 +276,58 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are alike."""
         pairs = checkpointed(pairs.select("a", "b").distinct())
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        of = checkpointed(nodes.select("node", "row").join(wanted, "node"))
-        sets = prints.select("row", "set").join(F.broadcast(of) if of.count() <= WANTED else of, "row")
-        sets = checkpointed(sets.select("node", "set"))
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = checkpointed(nodes.join(asked, "node").select("node", F.col("first").alias("k"), F.col("t").alias("u")))
+        texts = own.join(few(asked), own["key"].eqNullSafe(F.col("k")) & (own["t"] == F.col("u")))
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+        sets = checkpointed(texts.select("node", shingles_udf("text").alias("set")))
         side = lambda n, x: sets.select(F.col("node").alias(n), F.col("set").alias(x))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        both = side("a", "x").join(few(pairs), "a").join(side("b", "y"), "b")
         same = F.size(F.array_intersect("x", "y"))
         return both.where(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
 
-    def grouped(found: DataFrame) -> DataFrame:
-        """Each shared shingle's nodes with their groups so far."""
-        return postings.join(found, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-
-    # sizes, and what can still be shared behind the places of the shingle, allow the similarity
-    least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
-    possible = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n1") - F.col("i1") - 1) >= least
-    ordered = (F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
-
-    points = checkpointed(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
-    of = lambda n: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(n))
-    near = links(points).join(of("a").withColumnRenamed("a", "x"), F.col("a") == F.col("fa")).join(of("b").withColumnRenamed("b", "y"), F.col("b") == F.col("fb"))
+    def hopeful(met: DataFrame) -> DataFrame:
+        """(node, n, node1, n1), a row for each shared shingle of the prefixes -> pairs that may be alike.
+
+        Of two prefixes one ends first. What is shared up to there is in both; what is shared behind lies behind that prefix, which
+        leaves ceil(similarity * n) - 1 shingles at most.
+        """
+        rest = F.ceil(F.greatest("n", "n1") * similarity - 1e-9) - 1
+        least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
+        sized = met.where(F.least("n", "n1") >= F.greatest("n", "n1") * similarity - 1e-9)
+        counted = sized.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"), (rest - least).alias("slack"))
+        return counted.agg(F.count(F.lit(1)).alias("c")).where("c + slack >= 0").select("a", "b")
+
+    points = checkpointed(bodies.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
+    of = lambda n, name: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(name))
+    near = links(points).join(of("a", "x"), F.col("a") == F.col("fa")).join(of("b", "y"), F.col("b") == F.col("fb"))
     edges, path = stored(verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "links")
     count = nodes.count()
     for turn in range(ROUNDS + 1):
-        lists, lists_path = stored(grouped(components(edges)), "lists")
+        # each shared shingle's nodes with their groups so far
+        lists = postings.join(components(edges), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+        lists, lists_path = stored(lists, "lists")
         # the group that most of a shingle's nodes are in, and how many others there are
         sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"))
         main = sizes.groupBy("s").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
         main, main_path = stored(main, "main")
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not left:
-            forget(spark, lists_path, main_path)
-            break
-        others = lists.join(main.select("s", "main"), "s")
-        if left <= FEW_PAIRS * count or turn == ROUNDS:
-            minor = others.where("g != main").select("s", F.col("node").alias("node1"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("g").alias("g1"))
-            pairs = others.join(minor, "s").where((F.col("g") != F.col("g1")) & possible).select(*ordered)
-        else:
-            by = F.xxhash64("node", F.lit(turn))
-            leader = others.where("g != main" if turn % 2 else "true").groupBy("s").agg(F.min_by(F.struct("node", "n", "i", "g"), by).alias("l"))
-            each = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "i1": F.col("l.i"), "g1": F.col("l.g")})
-            pairs = each.where((F.col("g") != F.col("g1")) & possible).select(*ordered)
-        more, new = stored(edges.unionByName(verified(pairs)).distinct(), "links")
-        forget(spark, path, lists_path, main_path)
-        edges, path, last = more, new, left <= FEW_PAIRS * count or turn == ROUNDS
+        last = left <= FEW_PAIRS * count or turn == ROUNDS
+        if left:
+            others = lists.join(main.select("s", "main"), "s")
+            if last:
+                minor = others.where("g != main").select("s", F.col("node").alias("node1"), F.col("n").alias("n1"), F.col("g").alias("g1"))
+                met = others.join(minor, "s").where("g != g1 and (g = main or node < node1)")
+            else:
+                by = F.xxhash64("node", F.lit(turn))
+                leader = others.where("g != main" if turn % 2 else "true").groupBy("s").agg(F.min_by(F.struct("node", "n", "g"), by).alias("l"))
+                met = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "g1": F.col("l.g")}).where("g != g1")
+            edges, new = stored(edges.unionByName(verified(hopeful(met))).distinct(), "links")
+            forget(spark, path)
+            path = new
+        forget(spark, lists_path, main_path)
         if last:
             break
-    forget(spark, prints_path)
     member = nodes.join(components(edges), "node", "left").select("first", F.coalesce("component", "node").alias("c"))
     groups = member.groupBy("c").agg(F.min("first").alias("group"))
     return member.join(groups, "c").select("first", "group")

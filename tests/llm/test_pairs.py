@@ -342,3 +342,10 @@ def test_next_of_few_and_null_ids(spark):
     some = merkle.with_next(spark.createDataFrame([(None, "n"), (1, "a"), (1, "a"), (900_000_000_000, "z"), (-5, None)], "doc_id long, text string")).collect()
     assert sorted((str(r["id"]), r["text"], r["next_text"]) for r in some) == [("-5", "", "z"), ("1", "a", ""), ("1", "a", "a"), ("900000000000", "z", "a"), ("None", "n", "")]
     assert merkle.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_groups_of_rows_without_keys(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(None, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (None, "quite another text"), (3, " ".join([*words[:-1], "third"])), (5, "apart")]
+    found = simhash.similar_groups(spark.createDataFrame(texts, "k long, text string"), "k").collect()
+    assert sorted((str(r["first"]), str(r["group"])) for r in found) == sorted([("None", "3"), ("None", "3"), ("3", "3"), ("None", "None"), ("5", "5")])
