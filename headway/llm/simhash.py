@@ -47,8 +47,9 @@ CHUNK = 1 << 14
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that are ordered by their count, the most frequent ones; they are broadcast. Others are taken as seldom.
 FREQUENT, ORDER_SHARE = 100_000, 16
-#: Rounds with leaders at most, and pairs for each node at which the rest is compared without a further one.
-ROUNDS, FEW_PAIRS = 6, 64
+#: Rounds with leaders at most, meetings in shingles for each node at which the rest is compared without a further round, and
+#: the share of them that a round must leave out for another to follow.
+ROUNDS, FEW_PAIRS, PROGRESS = 6, 512, 0.2
 #: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle.
 WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
@@ -302,7 +303,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     of = lambda n, name: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(name))
     near = links(points).join(of("a", "x"), F.col("a") == F.col("fa")).join(of("b", "y"), F.col("b") == F.col("fb"))
     edges, path = stored(verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "links")
-    count = nodes.count()
+    count, before = nodes.count(), 0
     for turn in range(ROUNDS + 1):
         # each shared shingle's nodes with their groups so far
         lists = postings.join(components(edges), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
@@ -312,7 +313,8 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         main = sizes.groupBy("s").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
         main, main_path = stored(main, "main")
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        last = left <= FEW_PAIRS * count or turn == ROUNDS
+        last = left <= FEW_PAIRS * count or turn == ROUNDS or turn > 1 and left > (1 - PROGRESS) * before
+        before = left
         if left:
             others = lists.join(main.select("s", "main"), "s")
             if last:
