@@ -47,9 +47,9 @@ CHUNK = 1 << 14
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that are ordered by their count, the most frequent ones; they are broadcast. Others are taken as seldom.
 FREQUENT, ORDER_SHARE = 100_000, 16
-#: Rounds with leaders at most, meetings in shingles for each node at which the rest is compared without a further round, and
-#: the share of them that a round must leave out for another to follow.
-ROUNDS, FEW_PAIRS, PROGRESS = 6, 512, 0.2
+#: Rounds with leaders at most; meetings in shingles for each node up to which the rest is compared without a round (a quarter of
+#: them once there was one); and the share of them that a round must leave out for another to follow.
+ROUNDS, FEW_PAIRS, PROGRESS = 6, 256, 0.2
 #: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle.
 WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
@@ -265,11 +265,11 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     frequent = spark.sparkContext.broadcast(frequent_shingles(own))
     prints = own.select("key", "t", F.monotonically_increasing_id().alias("row"), prefix_udf(frequent, similarity)("text").alias("p"))
     prints, _ = stored(prints.select("key", "t", "row", "p.*"), "prints")
-    smallest = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "row", "t")).alias("r")
-    nodes, _ = stored(prints.groupBy("words").agg(smallest).select(F.col("r.key").alias("first"), F.col("r.row").alias("node"), "r.t"), "nodes")
+    smallest = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "row", "t", "n")).alias("r")
+    nodes, _ = stored(prints.groupBy("words").agg(smallest).select(F.col("r.key").alias("first"), F.col("r.row").alias("node"), "r.t", "r.n"), "nodes")
     copies = checkpointed(prints.select(F.col("row").alias("node")).join(nodes, "node", "left_anti"))
     bodies = prints.withColumnRenamed("row", "node").join(few(copies), "node", "left_anti").select("node", "fp", "n", "prefix")
-    postings = bodies.select("node", "n", F.explode("prefix").alias("s"))
+    postings = bodies.select("node", F.explode("prefix").alias("s"))
     # a shingle that one node alone has says nothing
     shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     postings, _ = stored(postings.join(shared.select("s"), "s", "left_semi"), "postings")
@@ -287,17 +287,17 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         same = F.size(F.array_intersect("x", "y"))
         return both.where(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
 
-    def hopeful(met: DataFrame) -> DataFrame:
+    def hopeful(met: DataFrame, weight: int = 1) -> DataFrame:
         """(node, n, node1, n1), a row for each shared shingle of the prefixes -> pairs that may be alike.
 
         Of two prefixes one ends first. What is shared up to there is in both; what is shared behind lies behind that prefix, which
-        leaves ceil(similarity * n) - 1 shingles at most.
+        leaves ceil(similarity * n) - 1 shingles at most. weight: for rows that are but some of the shared shingles.
         """
         rest = F.ceil(F.greatest("n", "n1") * similarity - 1e-9) - 1
         least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
         sized = met.where(F.least("n", "n1") >= F.greatest("n", "n1") * similarity - 1e-9)
         counted = sized.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"), (rest - least).alias("slack"))
-        return counted.agg(F.count(F.lit(1)).alias("c")).where("c + slack >= 0").select("a", "b")
+        return counted.agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * weight + F.col("slack") >= 0).select("a", "b")
 
     points = checkpointed(bodies.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
     of = lambda n, name: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(name))
@@ -306,14 +306,15 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     count, before = nodes.count(), 0
     for turn in range(ROUNDS + 1):
         # each shared shingle's nodes with their groups so far
-        lists = postings.join(components(edges), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-        lists, lists_path = stored(lists, "lists")
+        group = F.coalesce("component", "node").alias("g")
+        lists, lists_path = stored(postings.join(nodes.join(components(edges), "node", "left").select("node", "n", group), "node"), "lists")
         # the group that most of a shingle's nodes are in, and how many others there are
         sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"))
         main = sizes.groupBy("s").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
         main, main_path = stored(main, "main")
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        last = left <= FEW_PAIRS * count or turn == ROUNDS or turn > 1 and left > (1 - PROGRESS) * before
+        few_left = left <= (FEW_PAIRS if turn == 0 else FEW_PAIRS // 4) * count
+        last = few_left or turn == ROUNDS or turn > 1 and left > (1 - PROGRESS) * before
         before = left
         if left:
             others = lists.join(main.select("s", "main"), "s")
@@ -324,7 +325,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
                 by = F.xxhash64("node", F.lit(turn))
                 leader = others.where("g != main" if turn % 2 else "true").groupBy("s").agg(F.min_by(F.struct("node", "n", "g"), by).alias("l"))
                 met = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "g1": F.col("l.g")}).where("g != g1")
-            edges, new = stored(edges.unionByName(verified(hopeful(met))).distinct(), "links")
+            edges, new = stored(edges.unionByName(verified(hopeful(met, 1 if last else 4))).distinct(), "links")
             forget(spark, path)
             path = new
         forget(spark, lists_path, main_path)
