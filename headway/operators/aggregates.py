@@ -38,7 +38,7 @@ def feed_summary(feed: Feed) -> DataFrame:
     Of an agency name, URL, phone, email and time zone are shown, with bars between. The dates are those of
     services that trips have; a table that didn't load cleanly counts as empty there.
     """
-    from .calendars import service_runs
+    from .calendars import service_spans
 
     shown = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in AGENCY))
     named = F.array_sort(F.collect_list(F.struct("_row_number", F.coalesce("agency_name", F.lit("")).alias("name"), shown.alias("shown"))))
@@ -48,7 +48,7 @@ def feed_summary(feed: Feed) -> DataFrame:
     clean = {t: feed.gated([t]).tables[t] for t in ("trips", "calendar", "calendar_dates") if t in feed.tables}
     dated = Feed(feed.spark, feed.tables | clean, feed.status)
     used = dated["trips"].where("service_id is not null").select(FEED, "service_id").distinct()
-    window = service_runs(dated).join(used, [FEED, "service_id"], "left_semi").groupBy(FEED).agg(F.min("first").alias("service_start"), F.max("last").alias("service_end"))
+    window = service_spans(dated, used).groupBy(FEED).agg(F.min("first").alias("service_start"), F.max("last").alias("service_end"))
     files = union([feed[n].select(FEED).distinct().withColumn("file", F.lit(TABLES[n].file)) for n in feed.tables])
     files = files.groupBy(FEED).agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
     return agencies.join(info, FEED, "full").join(files, FEED, "full").join(window, FEED, "full")

@@ -1,6 +1,7 @@
 """Service calendars: active dates, runs of dates, windows, trips per date, block conflicts.
 
-Dates are rows, so trips per date and shared dates are aggregates and joins. Long spans are
+Runs, first and last dates of a calendar row that alone tells a service follow from the row. Other
+dates are rows, so trips per date and shared dates are aggregates and joins. Long spans are
 expanded whole, in chunks of CHUNK_DAYS.
 """
 
@@ -23,52 +24,125 @@ CHUNK_DAYS = 3_660
 GAP_DAYS, FAR_DAYS, OUTSIDE_DAYS = 13, 730, 14
 
 
-def weekly_dates(calendar: DataFrame) -> DataFrame:
-    """feed_id, service_id, date for the days of the week set in [start, end]; only a value's low bit counts."""
-    end = F.greatest("end_date", "start_date")
+def weekly_rows(calendar: DataFrame) -> DataFrame:
+    """Calendar rows with a service and both dates: days (a list of bits, Monday first; only a value's low bit counts), start_date, end."""
     days = F.array(*(F.coalesce(F.col(d), F.lit(0)).bitwiseAND(1) for d in DAYS))
-    offsets = F.sequence(F.lit(0), F.datediff(end, "start_date"), F.lit(CHUNK_DAYS))
-    chunks = calendar.where("service_id is not null and start_date is not null and end_date is not null").select(*SERVICE, days.alias("days"), "start_date", end.alias("end"), F.explode(offsets).alias("offset"))
+    set_ = calendar.where("service_id is not null and start_date is not null and end_date is not null")
+    return set_.select(*SERVICE, days.alias("days"), "start_date", F.greatest("end_date", "start_date").alias("end"))
+
+
+def weekly_dates(calendar: DataFrame) -> DataFrame:
+    """feed_id, service_id, date for the days of the week set in [start, end]."""
+    offsets = F.sequence(F.lit(0), F.datediff("end", "start_date"), F.lit(CHUNK_DAYS))
+    chunks = weekly_rows(calendar).select(*SERVICE, "days", "start_date", "end", F.explode(offsets).alias("offset"))
     first = F.date_add("start_date", F.col("offset"))
     spans = chunks.select(*SERVICE, "days", F.explode(F.sequence(first, F.least("end", F.date_add(first, CHUNK_DAYS - 1)))).alias("date"))
     return spans.where(F.element_at("days", F.weekday("date") + 1) == 1).select(*SERVICE, "date")
 
 
+def weekly_ends(calendar: DataFrame) -> DataFrame:
+    """feed_id, service_id, first, last: the first and last of each row's weekly dates, for rows that have any."""
+    on = lambda i, date: F.when(F.col("days")[i] == 1, date)
+    first = F.least(*(on(i, F.date_add("start_date", F.pmod(i - F.weekday("start_date"), F.lit(7)))) for i in range(7)))
+    last = F.greatest(*(on(i, F.date_sub("end", F.pmod(F.weekday("end") - i, F.lit(7)))) for i in range(7)))
+    return weekly_rows(calendar).select(*SERVICE, first.alias("first"), last.alias("last"), "end").where("first <= end").drop("end")
+
+
+def weekly_runs(calendar: DataFrame) -> DataFrame:
+    """feed_id, service_id, first, last: the unbroken runs of each row's weekly dates, a row of work for each run and not for each date."""
+    twice = F.array_join(F.concat("days", "days"), "")
+    # days of the week that begin a run, and how long it is; the whole week is one run over the span
+    begins = [
+        F.when((F.col("days")[i] == 1) & (F.col("days")[(i + 6) % 7] == 0), F.struct(F.lit(i).alias("day"), (F.locate("0", F.col("twice"), i + 1) - (i + 1)).alias("n")))
+        for i in range(7)
+    ]
+    rows = weekly_rows(calendar).withColumn("twice", twice)
+    whole = F.col("twice") == "1" * 14
+    parts = rows.where(~whole).select(*SERVICE, "start_date", "end", F.explode(F.array_compact(F.array(*begins))).alias("run"))
+    before = F.date_sub("start_date", F.pmod(F.weekday("start_date") - F.col("run.day"), F.lit(7)))
+    chunks = parts.select(*SERVICE, "start_date", "end", "run.n", before.alias("before")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.datediff("end", "before"), F.lit(7 * CHUNK_DAYS))).alias("offset"))
+    offsets = F.sequence("offset", F.least(F.datediff("end", "before"), F.col("offset") + 7 * (CHUNK_DAYS - 1)), F.lit(7))
+    each = chunks.select(*SERVICE, "start_date", "end", "n", "before", F.explode(offsets).alias("at"))
+    first = F.date_add("before", F.col("at"))
+    runs = each.select(*SERVICE, F.greatest("start_date", first).alias("first"), F.least("end", F.date_add(first, F.col("n") - 1)).alias("last")).where("first <= last")
+    return runs.unionByName(rows.where(whole).select(*SERVICE, F.col("start_date").alias("first"), F.col("end").alias("last")))
+
+
+def lone_rows(calendar: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calendar rows that alone tell their service's dates (no other row, no exception), and the rest.
+
+    What is asked of the former follows from the row itself, so their dates are not shuffled.
+    """
+    excepted = extra.select(*SERVICE).distinct().withColumn("_excepted", F.lit(True))
+    rows = calendar.where("service_id is not null").withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*SERVICE))).join(excepted, SERVICE, "left")
+    lone = (F.col("_rows") == 1) & F.col("_excepted").isNull()
+    return rows.where(lone), rows.where(~lone)
+
+
+def asked(df: DataFrame, used: DataFrame | None) -> DataFrame:
+    """Rows of the services in used (feed_id, service_id); None: all."""
+    return df if used is None else df.join(used.select(*SERVICE).distinct(), SERVICE, "left_semi")
+
+
+def active(feed: Feed, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Calendar rows that alone tell the active dates of their service, and the active dates of all other services (see active_dates)."""
+    order = W.partitionBy(*SERVICE).orderBy(F.desc("_row_number"))
+    last = asked(feed["calendar"].where("service_id is not null"), used).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    extra = asked(feed["calendar_dates"].where("service_id is not null and date is not null").select(*SERVICE, "date", "exception_type"), used)
+    lone, rest = lone_rows(last, extra)
+    added = weekly_dates(rest).unionByName(extra.where("exception_type = 1").drop("exception_type")).distinct()
+    return lone, added.join(extra.where("exception_type = 2").drop("exception_type").distinct(), [*SERVICE, "date"], "left_anti")
+
+
 def active_dates(feed: Feed, used: DataFrame | None = None) -> DataFrame:
     """Dates on which each service runs: weekly dates and added ones, without removed ones.
 
     The last calendar row of a service counts. used (feed_id, service_id): the services asked
     for, so that no others' spans are expanded; None: all.
     """
-    asked = lambda df: df if used is None else df.join(used.select(*SERVICE).distinct(), SERVICE, "left_semi")
-    order = W.partitionBy(*SERVICE).orderBy(F.desc("_row_number"))
-    last = asked(feed["calendar"].where("service_id is not null")).withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    extra = asked(feed["calendar_dates"].where("service_id is not null and date is not null").select(*SERVICE, "date", "exception_type"))
-    added = weekly_dates(last).unionByName(extra.where("exception_type = 1").drop("exception_type")).distinct()
-    return added.join(extra.where("exception_type = 2").drop("exception_type").distinct(), [*SERVICE, "date"], "left_anti")
+    lone, rest = active(feed, used)
+    return weekly_dates(lone).unionByName(rest)
+
 
+def service_dates(feed: Feed, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The variant for windows: all calendar rows, and of a date's exceptions the last in the file decides.
 
-def service_dates(feed: Feed) -> DataFrame:
-    """The variant for windows: all calendar rows, and of a date's exceptions the last in the file decides."""
-    extra = feed["calendar_dates"].where("service_id is not null and date is not null and exception_type in (1, 2)")
+    Calendar rows that alone tell their service's dates, and the dates of all other services.
+    """
+    extra = asked(feed["calendar_dates"].where("service_id is not null and date is not null and exception_type in (1, 2)"), used)
     last = extra.groupBy(*SERVICE, "date").agg(F.max_by("exception_type", "_row_number").alias("kind"))
-    weekly = weekly_dates(feed["calendar"]).distinct()
-    return weekly.join(last.select(*SERVICE, "date"), [*SERVICE, "date"], "left_anti").unionByName(last.where("kind = 1").select(*SERVICE, "date"))
+    lone, rest = lone_rows(asked(feed["calendar"], used), extra)
+    weekly = weekly_dates(rest).distinct()
+    return lone, weekly.join(last.select(*SERVICE, "date"), [*SERVICE, "date"], "left_anti").unionByName(last.where("kind = 1").select(*SERVICE, "date"))
+
+
+def runs_of(dates: DataFrame) -> DataFrame:
+    island = F.date_sub("date", F.row_number().over(W.partitionBy(*SERVICE).orderBy("date")))
+    return dates.withColumn("island", island).groupBy(*SERVICE, "island").agg(F.min("date").alias("first"), F.max("date").alias("last")).drop("island")
 
 
 def service_runs(feed: Feed) -> DataFrame:
     """Unbroken runs of service dates: feed_id, service_id, first, last."""
-    island = F.date_sub("date", F.row_number().over(W.partitionBy(*SERVICE).orderBy("date")))
-    runs = service_dates(feed).withColumn("island", island)
-    return runs.groupBy(*SERVICE, "island").agg(F.min("date").alias("first"), F.max("date").alias("last")).drop("island")
+    lone, dates = service_dates(feed)
+    return weekly_runs(lone).unionByName(runs_of(dates))
+
+
+def service_spans(feed: Feed, used: DataFrame | None = None) -> DataFrame:
+    """First and last service date of each service with any: feed_id, service_id, first, last."""
+    lone, dates = service_dates(feed, used)
+    return weekly_ends(lone).unionByName(dates.groupBy(*SERVICE).agg(F.min("date").alias("first"), F.max("date").alias("last")))
 
 
 def service_windows(feed: Feed, today: datetime.date) -> DataFrame:
-    """Gaps of over GAP_DAYS in a service, and services that reach over FAR_DAYS ahead, for each calendar row."""
+    """Gaps of over GAP_DAYS in a service, and services that reach over FAR_DAYS ahead, for each calendar row.
+
+    Weekly dates of one row are at most a week apart, so only the other services can have a gap.
+    """
     order = W.partitionBy(*SERVICE).orderBy("first")
     rows = feed["calendar"].where("service_id is not null").select(*SERVICE, "_row_number")
-    gaps = service_runs(feed).withColumn("next", F.lead("first").over(order)).where(F.datediff("next", "last") - 1 > GAP_DAYS)
-    ends = service_runs(feed).groupBy(*SERVICE).agg(F.max("last").alias("last")).where(F.col("last") > F.lit(today + datetime.timedelta(days=FAR_DAYS)))
+    gaps = runs_of(service_dates(feed)[1]).withColumn("next", F.lead("first").over(order)).where(F.datediff("next", "last") - 1 > GAP_DAYS)
+    ends = service_spans(feed).select(*SERVICE, "last").where(F.col("last") > F.lit(today + datetime.timedelta(days=FAR_DAYS)))
     return notices(rows.join(gaps, SERVICE), "big_gap_in_service", "WARNING", "calendar.txt", serviceId="service_id", gapStart="last", gapEnd="next").unionByName(
         notices(rows.join(ends, SERVICE), "service_extends_far_in_the_future", "WARNING", "calendar.txt", serviceId="service_id", lastDate="last")
     )
@@ -83,7 +157,7 @@ def feed_period(feed: Feed) -> DataFrame:
 def feed_windows(feed: Feed, today: datetime.date) -> DataFrame:
     """A feed's first service date in the future; services outside the feed period; a period far beyond all service."""
     used = feed["trips"].where("service_id is not null").select(*SERVICE).distinct()
-    spans = service_runs(feed).groupBy(*SERVICE).agg(F.min("first").alias("first"), F.max("last").alias("last")).join(used, SERVICE, "left_semi")
+    spans = service_spans(feed, used)
     total = spans.groupBy(FEED).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     period = feed_period(feed)
     late = total.where(F.col("first") > F.lit(today))
@@ -99,7 +173,8 @@ def feed_windows(feed: Feed, today: datetime.date) -> DataFrame:
 
 def expired_calendar(feed: Feed, today: datetime.date) -> DataFrame:
     """Services whose last date is past; those of calendar_dates alone only if all are, and no calendar row exists."""
-    last = active_dates(feed).groupBy(*SERVICE).agg(F.max("date").alias("last"))
+    lone, dates = active(feed)
+    last = weekly_ends(lone).drop("first").unionByName(dates.groupBy(*SERVICE).agg(F.max("date").alias("last")))
     rows = feed["calendar"].where("service_id is not null").groupBy(*SERVICE).agg(F.min("_row_number").alias("_row_number"))
     past = F.col("last") < F.lit(today)
     weekly = rows.join(last, SERVICE).where(past)

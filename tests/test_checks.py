@@ -162,6 +162,25 @@ def test_long_spans_are_whole(spark):
     assert [c["date"] for _, _, c in codes(calendars.block_overlap(f))] == ["1900-01-02"]
 
 
+def test_lone_calendar_rows_are_told_without_their_dates(spark):
+    """Runs and ends of rows that alone tell a service, against their dates one by one; no shuffle of dates."""
+    bits = [dict(zip(calendars.DAYS, [n >> i & 1 for i in range(7)], strict=True)) for n in range(128)]
+    rows = [b | dict(service_id=f"W{n}-{k}", start_date=day("2026-06-01") + datetime.timedelta(k), end_date=day("2026-06-01") + datetime.timedelta(k + length)) for n, b in enumerate(bits) for k, length in ((0, 6), (2, 17), (4, 1), (6, -3))]
+    rows += [WEEK | dict(service_id="E", start_date=day("2026-06-01"), end_date=day("2026-06-05"))]
+    f = feed(spark, calendar=rows, calendar_dates=[dict(service_id="E", date=day("2026-06-03"), exception_type=2)])
+    dates: dict[str, set[datetime.date]] = {}
+    for r in rows:
+        span = [r["start_date"] + datetime.timedelta(i) for i in range(max((r["end_date"] - r["start_date"]).days, 0) + 1)]
+        dates[r["service_id"]] = {d for d in span if r[calendars.DAYS[d.weekday()]]} - ({day("2026-06-03")} if r["service_id"] == "E" else set())
+    one = datetime.timedelta(1)
+    runs = {(s, a, min(b for b in ds if b >= a and b + one not in ds)) for s, ds in dates.items() for a in ds if a - one not in ds}
+    assert sorted(tuple(r) for r in calendars.service_runs(f).select("service_id", "first", "last").collect()) == sorted(runs)
+    assert sorted(tuple(r) for r in calendars.service_spans(f).select("service_id", "first", "last").collect()) == sorted((s, min(ds), max(ds)) for s, ds in dates.items() if ds)
+    assert sorted(tuple(r) for r in calendars.active_dates(f).select("service_id", "date").collect()) == sorted((s, d) for s, ds in dates.items() for d in ds)
+    lone, rest = calendars.service_dates(f)
+    assert lone.count() == len(rows) - 1 and {r["service_id"] for r in rest.collect()} == {"E"}
+
+
 def test_trips_per_date(spark):
     f = feed(spark, calendar=[WEEK | dict(service_id="W", start_date=day("2026-06-01"), end_date=day("2026-06-02"))], trips=[dict(trip_id=t, service_id="W") for t in "ABC"], frequencies=[dict(trip_id="A", start_time=28800, end_time=64800, headway_secs=600)])
     assert {(str(r["date"]), r["n_trips"]) for r in calendars.trips_per_date(f).collect()} == {("2026-06-01", 62), ("2026-06-02", 62)}
