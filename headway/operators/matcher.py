@@ -13,12 +13,13 @@ have it. A stop that has none is placed by candidates there too.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
-from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,12 @@ NEAR_M, RAIL_ENDS, TOO_MANY = 100.0, 4.0, 20
 RAIL = 2
 TOO_FAR, TOO_FAR_USER = "stop_too_far_from_shape", "stop_too_far_from_shape_using_user_distance"
 TOO_MANY_MATCHES, OUT_OF_ORDER = "stop_has_too_many_matches_for_shape", "stops_match_shape_out_of_order"
-#: Stops or patterns of a shape in a part of the work; stops compared with a shape at once.
-PART, BLOCK = 2_048, 256
-#: Arcs of a run at least, and radians by which its cap is larger, beyond the error of arccos.
-RUN, SLACK = 16, 1e-7
+#: Stops or patterns of a shape in a part of the work, at least; stops compared with a shape at once.
+PART, BLOCK = 2_048, 1_024
+#: Children of a node of a shape's tree; radians by which bounds are wider, and so beyond the error of arccos near 0.
+WIDE, SLACK, SLACK_NEAR = 8, 1e-9, 1e-7
+#: Nodes whose children are looked at in one go, and arcs found for a block of stops beyond which it is halved.
+GO, FOUND_MOST = 16_384, 1 << 19
 #: User distances this close count as equal.
 SAME = 1e-9 * 32
 
@@ -60,6 +63,20 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
 
 
+def apart(dots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the angles from a point to an arc, from below, and to its nearer end, from above.
+
+    dots: the point's products with the arc's normal, inner sides and ends.
+    """
+    cosine = np.maximum(dots[..., 3], dots[..., 4])
+    sine = np.abs(dots[..., 0])
+    over = (dots[..., 1] > 0) & (dots[..., 2] > 0)
+    ends = np.arccos(np.clip(cosine, -1, 1))
+    steep = np.maximum(np.abs(cosine), np.where(over, sine, 0))
+    slack = np.where(steep > 1 - 1e-8, SLACK_NEAR, SLACK)
+    return np.where(over, np.arcsin(np.minimum(sine, 1)), ends) - slack, ends + slack
+
+
 class Shape:
     """A shape's points as unit vectors, metres along it, user distances as a running maximum, and its arcs."""
 
@@ -73,14 +90,37 @@ class Shape:
         self.normal = unit(np.cross(self.left, self.right))
         # an arc's ends as planes: a place lies over the arc where it is on the inner side of both
         self.from_left, self.to_right = np.cross(self.normal, self.left), np.cross(self.right, self.normal)
-        self.middle = unit(self.left + self.right)
-        self.half = np.arccos(np.clip((self.left * self.middle).sum(axis=-1), -1, 1)) + SLACK
-        # runs of arcs, each with a cap that bounds its points and so (below a right angle) the arcs between
-        self.run = max(RUN, isqrt(len(self.left)))
-        starts = np.arange(0, len(self.left), self.run)
-        corners = np.minimum(starts[:, None] + np.arange(self.run + 1), len(self.left))
-        self.centre = unit(self.points[corners].sum(axis=1))
-        self.radius = np.arccos(np.clip((self.points[corners] * self.centre[:, None]).sum(axis=-1), -1, 1)).max(axis=1, initial=0) + SLACK
+        self.levels = self.tree() if len(self.left) else []
+
+    def tree(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Nodes over WIDE arcs, over WIDE such nodes and so on, from the root's children down to the arcs, WIDE nodes in a row.
+
+        A node is the arc from its first point to its last one (normal, inner sides and ends), and
+        how far from that its own arcs may be: as far as its points, and a little more, as an arc
+        between two points near another bulges by the cosine of half its length.
+        """
+        n = len(self.left)
+        half = np.arctan2(np.linalg.norm(self.left - self.right, axis=-1), np.linalg.norm(self.left + self.right, axis=-1))
+        levels, size = [], 1
+        while True:
+            starts = np.arange(0, n, size)
+            first, last = self.points[starts], self.points[np.minimum(starts + size, n)]
+            normal = unit(np.cross(first, last))
+            nodes = np.stack([normal, np.cross(normal, first), np.cross(last, normal), first, last], axis=1)
+            reach = np.zeros(len(starts))
+            if size > 1:
+                off = apart(np.einsum("ijk,ik->ij", nodes[np.arange(n) // size], self.left))[0] + 2 * SLACK_NEAR
+                sine = np.maximum.reduceat(off, starts) / np.maximum(np.cos(np.maximum.reduceat(half, starts)), 1e-300)
+                # almost opposite ends tell no arc
+                reach = np.where((sine < 1) & ((first * last).sum(axis=-1) > -0.99), np.arcsin(np.minimum(sine, 1)), np.pi)
+            # a normal is as exact as its arc is long
+            reach += np.minimum(SLACK_NEAR, 2e-15 / np.maximum(np.linalg.norm(first - last, axis=-1), 1e-300))
+            empty = -len(starts) % WIDE
+            nodes = np.concatenate([nodes, np.zeros((empty, 5, 3))]).reshape(-1, WIDE * 5, 3)
+            levels.append((nodes, np.concatenate([reach, np.full(empty, -np.inf)]).reshape(-1, WIDE)))
+            if len(nodes) == 1:
+                return levels[::-1]
+            size *= WIDE
 
     def nearest(self, p: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest place on arc i for each p, and the metres between; arrays of one length."""
@@ -92,29 +132,29 @@ class Shape:
         place = np.where(over[..., None], foot, end)
         return place, angle_m(p, place)
 
-    def caps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each p (rows) and run of arcs (columns) bounds of the angle between them, from the run's bounding cap."""
-        apart = np.arccos(np.clip(p @ self.centre.T, -1, 1))
-        return np.where(self.radius < np.pi / 2, apart - self.radius, -1.0), apart + self.radius
-
-    def arcs_of(self, p: np.ndarray, rows: np.ndarray, runs: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, arc) of arcs of the runs that may be within `most` of their p; without it, that may be the nearest of all to it.
+    def arcs_of(self, p: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, arc), ascending, of arcs that may be within `most` radians of their p; without it, that may be the nearest of all to it.
 
-        By a cap around each arc: its middle and half its length. rows are ascending.
+        From the root down only nodes are followed that may be so near; the nearest end of a node
+        seen bounds the nearest place. None where there are over FOUND_MOST for more than one p.
         """
-        arcs = (runs[:, None] * self.run + np.arange(self.run)).ravel()
-        rows = np.repeat(rows, self.run)
-        rows, arcs = rows[arcs < len(self.left)], arcs[arcs < len(self.left)]
-        if not len(rows):
-            return rows, arcs
-        apart, half = np.arccos(np.clip(np.einsum("ij,ij->i", p[rows], self.middle[arcs]), -1, 1)), self.half[arcs]
-        if most is None:
-            starts = np.flatnonzero(np.diff(rows, prepend=-1))
-            most = np.minimum.reduceat(apart + half, starts)
-            kept = apart - half <= np.repeat(most, np.diff(starts, append=len(rows)))
-        else:
-            kept = apart - half <= most[rows]
-        return rows[kept], arcs[kept]
+        rows, at = np.arange(len(p)), np.zeros(len(p), int)
+        best = np.full(len(p), np.inf) if most is None else most
+        for nodes, reach in self.levels:
+            lows = []
+            for go in range(0, len(rows), GO):
+                own, parent = rows[go : go + GO], at[go : go + GO]
+                over, ends = apart(np.einsum("ijk,ik->ij", nodes[parent], p[own]).reshape(-1, WIDE, 5))
+                # nodes that aren't there are beyond all
+                lows.append(np.where(reach[parent] >= 0, over - reach[parent], np.inf))
+                if most is None:
+                    np.minimum.at(best, own, np.where(reach[parent] >= 0, ends, np.inf).min(axis=1))
+            low = np.concatenate(lows) if lows else np.zeros((0, WIDE))
+            k, child = np.nonzero(low <= best[rows][:, None])
+            if len(k) > FOUND_MOST and len(p) > 1:
+                return None
+            rows, at = rows[k], at[k] * WIDE + child
+        return rows, at
 
     def metres_at(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self.along[i] + angle_m(place, self.points[i])
@@ -122,13 +162,20 @@ class Shape:
 
 @dataclass
 class Found:
-    """Candidates of a stop: metres along the shape, metres from it, and where; nearest: the like for the nearest place."""
+    """Candidates of stops, one after the other, n for each: metres along the shape, metres from it, and where; nearest: (metres, lat, lon) of stops without any, else NaN."""
 
+    n: np.ndarray
     along: np.ndarray
     metres: np.ndarray
     lat: np.ndarray
     lon: np.ndarray
-    nearest: tuple[float, float, float] | None
+    nearest: np.ndarray
+
+    def __iter__(self) -> Iterator[Found]:
+        """Each stop's own."""
+        ends = np.cumsum(self.n)
+        for k, (a, b) in enumerate(zip(ends - self.n, ends, strict=True)):
+            yield Found(self.n[k], self.along[a:b], self.metres[a:b], self.lat[a:b], self.lon[a:b], self.nearest[k])
 
 
 def minima(index: list[int], metres: list[float], ends: list[float]) -> list[int]:
@@ -149,43 +196,48 @@ def minima(index: list[int], metres: list[float], ends: list[float]) -> list[int
     return [*out, best] if best >= 0 else out
 
 
-def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> list[Found]:
+def find(shape: Shape, p: np.ndarray, limits: np.ndarray) -> Found:
     """The candidates of each stop p within its limit of metres."""
-    out: list[Found] = []
-    none = np.zeros(0)
     if len(shape.points) == 1:
-        for metres, (lat, lon) in zip(angle_m(p, shape.points[0]).tolist(), [degrees(shape.points[0])] * len(p), strict=True):
-            out.append(Found(none, none, none, none, (metres, float(lat), float(lon))))
-        return out
-    for at in range(0, len(p), BLOCK):
-        block, limit = p[at : at + BLOCK], limits[at : at + BLOCK]
-        low, high = shape.caps(block)
-        within = (limit + 1) / RADIUS
-        rows, arcs = shape.arcs_of(block, *np.nonzero(low <= within[:, None]), within)
-        place, metres = shape.nearest(block[rows], arcs)
-        close = metres <= limit[rows]
-        rows, arcs, place, metres = rows[close], arcs[close], place[close], metres[close]
-        ends = angle_m(block[rows], shape.right[arcs])
-        along = shape.metres_at(place, arcs)
-        lat, lon = degrees(place)
-        bounds = np.searchsorted(rows, np.arange(len(block) + 1))
-        lists = arcs.tolist(), metres.tolist(), ends.tolist()
-        far = np.flatnonzero(np.diff(bounds) == 0)
-        # the nearest place of stops without a candidate: exact over the arcs of runs that may have it
-        r, i = shape.arcs_of(block[far], *np.nonzero(low[far] <= high[far].min(axis=1, keepdims=True, initial=np.pi + 1)))
-        there, apart = shape.nearest(block[far[r]], i)
-        order = np.lexsort((i, apart, r))
+        place = np.broadcast_to(np.stack(degrees(shape.points[0])), (len(p), 2))
+        return Found(np.zeros(len(p), int), *[np.zeros(0)] * 4, np.column_stack([angle_m(p, shape.points[0]), place]))
+    parts = [found for at in range(0, len(p), BLOCK) for found in find_block(shape, p[at : at + BLOCK], limits[at : at + BLOCK])]
+    return Found(*(np.concatenate([getattr(f, c) for f in parts]) for c in Found.__dataclass_fields__))
+
+
+def find_block(shape: Shape, p: np.ndarray, limit: np.ndarray) -> list[Found]:
+    """find for some stops; a list, as they are halved where too much would be held for them at once."""
+    halves = lambda: find_block(shape, p[: len(p) // 2], limit[: len(p) // 2]) + find_block(shape, p[len(p) // 2 :], limit[len(p) // 2 :])
+    found = shape.arcs_of(p, (limit + 1) / RADIUS)
+    if found is None:
+        return halves()
+    rows, arcs = found
+    place, metres = shape.nearest(p[rows], arcs)
+    close = metres <= limit[rows]
+    rows, arcs, place, metres = rows[close], arcs[close], place[close], metres[close]
+    ends = angle_m(p[rows], shape.right[arcs])
+    bounds = np.searchsorted(rows, np.arange(len(p) + 1))
+    far = np.flatnonzero(np.diff(bounds) == 0)
+    # the nearest place of stops without a candidate, the first of equals
+    nearest = np.full((len(p), 3), np.nan)
+    if len(far):
+        found = shape.arcs_of(p[far])
+        if found is None:
+            return halves()
+        r, i = found
+        there, metres_there = shape.nearest(p[far[r]], i)
+        order = np.lexsort((i, metres_there, r))
         first = order[np.unique(r[order], return_index=True)[1]]
-        flat, flon = degrees(there[first])
-        nearest = dict(zip(far.tolist(), zip(apart[first].tolist(), flat.tolist(), flon.tolist(), strict=True), strict=True))
-        for k in range(len(block)):
-            a, b = bounds[k], bounds[k + 1]
-            if a == b:
-                out.append(Found(none, none, none, none, nearest.get(k)))
-                continue
-            kept = a + np.array(minima(*(x[a:b] for x in lists)), int)
-            out.append(Found(along[kept], metres[kept], lat[kept], lon[kept], nearest.get(k)))
-    return out
+        nearest[far] = np.column_stack([metres_there[first], *degrees(there[first])])
+    counts, kept = np.zeros(len(p), int), []
+    lists = arcs.tolist(), metres.tolist(), ends.tolist()
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = bounds[k], bounds[k + 1]
+        own = minima(*(x[a:b] for x in lists))
+        counts[k] = len(own)
+        kept += [a + x for x in own]
+    at = np.array(kept, int)
+    return [Found(counts, shape.metres_at(place[at], arcs[at]), metres[at], *degrees(place[at]), nearest)]
 
 
 def assign(choices: list[list[tuple[float, float]]]) -> tuple[int, list[int]]:
@@ -250,24 +302,31 @@ def numbers(values) -> np.ndarray:
 
 
 PLACE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("along", "m", "lat", "lon")])
+PLACE_ARROW = pa.struct([(c, pa.float64()) for c in PLACE.names])
 FOUND = T.ArrayType(T.StructType(
     [T.StructField("stop_id", T.StringType()), T.StructField("large", T.BooleanType()), T.StructField("places", T.ArrayType(PLACE)), T.StructField("nearest", PLACE)]
 ))
 
 
-@F.pandas_udf(FOUND)
-def found_udf(lats: pd.Series, lons: pd.Series, user: pd.Series, ids: pd.Series, slats: pd.Series, slons: pd.Series, large: pd.Series) -> pd.Series:
-    out = []
-    names = ("along", "m", "lat", "lon")
-    for la, lo, u, stop_ids, sa, so, big in zip(lats, lons, user, ids, slats, slons, large, strict=True):
-        shape = Shape(numbers(la), numbers(lo), numbers(u))
-        limits = np.where(np.asarray(big, bool), NEAR_M * RAIL_ENDS, NEAR_M)
-        rows = []
-        for stop, b, f in zip(stop_ids, big, find(shape, vectors(numbers(sa), numbers(so)), limits), strict=True):
-            places = [dict(zip(names, x, strict=True)) for x in zip(*(c.tolist() for c in (f.along, f.metres, f.lat, f.lon)), strict=True)]
-            rows.append({"stop_id": stop, "large": bool(b), "places": places, "nearest": None if f.nearest is None else dict(zip(names, (0.0, *f.nearest), strict=True))})
-        out.append(rows)
-    return pd.Series(out)
+def places_array(columns: list[np.ndarray], mask: np.ndarray | None = None) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], list(PLACE.names), mask=None if mask is None else pa.array(mask))
+
+
+@F.arrow_udf(FOUND)
+def found_udf(lats: pa.Array, lons: pa.Array, user: pa.Array, ids: pa.Array, slats: pa.Array, slons: pa.Array, large: pa.Array) -> pa.Array:
+    """The candidates of a part's stops; its lists go to and fro as flat arrays."""
+    out, sizes = [], []
+    for k in range(len(ids)):
+        la, lo, u, sa, so, big = (c[k].values.to_numpy(zero_copy_only=False) for c in (lats, lons, user, slats, slons, large))
+        f = find(Shape(la, lo, u), vectors(sa, so), np.where(big.astype(bool), NEAR_M * RAIL_ENDS, NEAR_M))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(f.n)]), pa.int32())
+        places = pa.ListArray.from_arrays(offsets, places_array([f.along, f.metres, f.lat, f.lon]))
+        none = f.n > 0
+        nearest = places_array([np.zeros(len(none)), *f.nearest.T], none)
+        out.append(pa.StructArray.from_arrays([ids[k].values, large[k].values, places, nearest], FOUND.elementType.names))
+        sizes.append(len(none))
+    kind = pa.struct([("stop_id", pa.string()), ("large", pa.bool_()), ("places", pa.list_(PLACE_ARROW)), ("nearest", PLACE_ARROW)])
+    return pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes)], pa.int32()), pa.concat_arrays([x.cast(kind) for x in out]) if out else pa.array([], kind))
 
 
 @F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("choice", T.IntegerType())]))
@@ -375,23 +434,28 @@ def shape_arrays(feed: Feed) -> DataFrame:
     return shapes.select(FEED, "shape_id", F.col("p.shape_pt_lat").alias("lats"), F.col("p.shape_pt_lon").alias("lons"), F.col("p.d").alias("user"))
 
 
-def dealt(df: DataFrame, item: Column, *order: str) -> DataFrame:
-    """Rows of a shape in parts of about PART, by a hash: feed_id, shape_id, part, items (a list of item)."""
-    counts = df.groupBy(FEED, "shape_id").agg(F.count(F.lit(1)).alias("_n"))
-    part = F.pmod(F.xxhash64(*order), F.ceil(F.col("_n") / PART))
-    rows = df.join(counts, [FEED, "shape_id"]).withColumn("part", part)
-    return rows.groupBy(FEED, "shape_id", "part").agg(F.collect_list(item).alias("items"))
+def dealt(df: DataFrame, item: Column, shapes: DataFrame, share: int, *order: str) -> DataFrame:
+    """Rows of a shape in parts, by a hash, each with the shape: feed_id, shape_id, part, items (a list of item), lats, lons, user.
 
-
-def spread(work: DataFrame) -> DataFrame:
-    """Parts over a fixed number of tasks: their work is in Python and not in bytes."""
-    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEED, "shape_id", "part")
+    A part has about as many rows as the shape has points over `share`, PART at least, so the copies
+    of shapes grow with the rows. Parts go to a fixed number of tasks: their work is in Python and
+    not in bytes.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [FEED, "shape_id"]
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    most = F.greatest(F.lit(PART), F.size("lats") / share)
+    parts = shapes.join(counts, key).select(*key, F.ceil(F.col("_n") / most).alias("_parts"), "lats", "lons", "user")
+    rows = df.join(parts.select(*key, "_parts"), key).withColumn("part", F.pmod(F.xxhash64(*order), "_parts"))
+    groups = rows.repartition(tasks, *key, "part").groupBy(*key, "part").agg(F.collect_list(item).alias("items"))
+    copies = parts.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"), "lats", "lons", "user")
+    return groups.join(copies, [*key, "part"])
 
 
 def candidates(feed: Feed, rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """The candidates of each visited (feed_id, shape_id, stop_id, large): places, and nearest where there are none."""
     pairs = rows.select(FEED, "shape_id", "stop_id", "lat", "lon", "large").distinct()
-    work = spread(dealt(pairs, F.struct("stop_id", "lat", "lon", "large"), "stop_id").join(shapes, [FEED, "shape_id"]))
+    work = dealt(pairs, F.struct("stop_id", "lat", "lon", "large"), shapes, 1, "stop_id")
     found = found_udf("lats", "lons", "user", "items.stop_id", "items.lat", "items.lon", "items.large")
     return work.select(FEED, "shape_id", F.explode(found).alias("f")).select(FEED, "shape_id", "f.*")
 
@@ -456,7 +520,7 @@ def stop_to_shape(feed: Feed) -> DataFrame:
     measured = shapes.where(F.array_max("user") > 0)
     last = F.get("steps", F.size("steps") - 1)
     with_distance = whole.where(last["d"] > 0).join(measured.select(FEED, "shape_id"), [FEED, "shape_id"], "left_semi")
-    work = spread(dealt(with_distance, F.struct("trip_row", "trip_id", "steps"), "trip_row").join(measured, [FEED, "shape_id"]))
+    work = dealt(with_distance, F.struct("trip_row", "trip_id", "steps"), measured, 16, "trip_row")
     each = F.flatten(F.col("items.steps"))
     near = lambda name: F.transform(each, lambda s: F.coalesce(s["nearest"][name], F.lit(0.0)))
     asked = F.transform(each, lambda s: F.when(s["d"] > 0, F.slice(s["places"], 1, 0)).otherwise(s["places"]))

@@ -212,6 +212,45 @@ def test_candidates_against_brute_force():
                     assert f.nearest[0] == pytest.approx(slow_nearest(vec(a, b), points), abs=1e-4)
 
 
+def arcs_looked_at(shape, p):
+    """How many arcs are measured exactly for each p."""
+    return len(shape.arcs_of(p)[0]) / len(p)
+
+
+def test_search_of_long_shapes_grows_slowly():
+    """The nearest place on long shapes, against every arc; few arcs are measured, on a long shape hardly more."""
+    r = np.random.default_rng(3)
+    looked = {}
+    for n in (1_000, 30_000):
+        k = np.arange(n)
+        for name, lat, lon in (
+            ("line", 40 + k * 2e-3 * 1_000 / n + (k % 7 == 0) * 5e-5, -74 + k % 2 * 1e-5),
+            ("ring", 40 + 0.3 * np.sin(k * 6.3 / n), -74 + 0.3 * np.cos(k * 6.3 / n)),
+            ("twice", 40 + np.abs(n / 2 - k) * 1e-4, -74 + 0 * k), ("far", -80 + k * 160 / n, 170 + k * 20 / n), ("still", 40 + 0 * k, -74 + k // 100 * 1e-9),
+        ):
+            shape = matcher.Shape(lat, lon, np.zeros(n))
+            p = matcher.vectors(np.concatenate([40 + r.uniform(-1, 1, 40), r.uniform(-90, 90, 20), [0.0, 90.0]]), np.concatenate([-74 + r.uniform(-1, 30, 40), r.uniform(-180, 180, 20), [0.0, 0.0]]))
+            found = matcher.find(shape, p, np.full(len(p), 100.0))
+            for k, f in enumerate(found):
+                place, metres = shape.nearest(p[[k]], np.arange(n - 1))
+                assert (f.metres.min() if f.n else f.nearest[0]) == metres.min()
+                assert f.n > 0 if metres.min() <= 100 else f.n == 0
+            if name == "line":
+                looked[n] = arcs_looked_at(shape, p[:40])
+    assert looked[1_000] < 60 and looked[30_000] < 60
+
+
+def test_blocks_are_halved_where_much_is_found(monkeypatch):
+    """A stop at the pole of a shape has all arcs as near; blocks of such stops give the same one by one."""
+    k = np.arange(500)
+    shape = matcher.Shape(0.0 * k, k * 0.1, 0.0 * k)
+    p = matcher.vectors(np.full(9, 90.0), np.zeros(9))
+    want = matcher.find(shape, p, np.full(9, 100.0))
+    monkeypatch.setattr(matcher, "FOUND_MOST", 600)
+    found = matcher.find(shape, p, np.full(9, 100.0))
+    assert (found.n == 0).all() and (found.nearest == want.nearest).all() and found.nearest[0][0] == pytest.approx(matcher.RADIUS * np.pi / 2)
+
+
 def test_assignment_against_every_choice():
     r = random.Random(7)
     for _ in range(400):
