@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 LENGTH = 2048
 GROUP_PIECES = 8192
 #: Parts of texts whose ids a worker remembers (two tables of about this size at most).
-CACHE_PARTS = 400_000
+CACHE_PARTS = 100_000
 
 
 #: What PartCache can do by itself, as a tokenizer file states it: composing marks, white
@@ -116,30 +117,41 @@ def pieces(
     closing id alone; ids may be of any type; other columns are ignored.
     """
     held: list[PartCache] = []
-    names = ["id", "deal", "start", "length", "doc_tokens"] + ["ids"] * ids + ["ids_crc32"] * digest
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds = {"id": source.schema["id"].dataType} | dict.fromkeys(("deal", "start", "length", "doc_tokens"), T.LongType())
+    kinds |= {"ids": T.ArrayType(T.IntegerType())} if ids else {}
+    kinds |= {"ids_crc32": T.LongType()} if digest else {}
+
+    def told(batch: pa.RecordBatch, rows: list[int], parts: list[np.ndarray], numbers: list[tuple[int, int]]) -> pa.RecordBatch:
+        """Pieces of a batch: the row of each, its ids, its start and the document's tokens."""
+        lengths = np.array([len(p) for p in parts], "<i8")
+        starts, tokens = np.array(numbers, "<i8").reshape(-1, 2).T
+        columns = [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "deal")), pa.array(starts), pa.array(lengths), pa.array(tokens)]
+        if ids:
+            flat = np.concatenate([*parts, np.zeros(0, "<u4")]).astype("<i4")
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat)))
+        if digest:
+            columns.append(pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             held.append(PartCache(tokenizer))
         for batch in batches:
-            rows, n = [], 0
-            for doc, deal, text in zip(batch["id"].array, batch["deal"], batch["text"], strict=True):
-                found = held[0].ids(text, last)
+            rows, parts, numbers, n = [], [], [], 0
+            for k, text in enumerate(batch.column("text")):  # one text at a time becomes a Python one
+                found = held[0].ids(text.as_py(), last)
                 for at in range(0, len(found), length):
-                    part = found[at : at + length]
-                    more = ([part.astype("<i4")] if ids else []) + ([zlib.crc32(part.tobytes())] if digest else [])
-                    rows.append((doc, deal, at, len(part), len(found), *more))
-                    n += len(part)
+                    rows.append(k)
+                    parts.append(found[at : at + length])
+                    numbers.append((at, len(found)))
+                n += len(found)
                 if len(rows) >= 4096 or n >= 1 << 20:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, n = [], 0
-            yield pd.DataFrame(rows, columns=names)
+                    yield told(batch, rows, parts, numbers)
+                    rows, parts, numbers, n = [], [], [], 0
+            yield told(batch, rows, parts, numbers)
 
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # ids go through pandas as text, as a batch of numbers with a null would become floating
-    kinds = "id string, deal long, start long, length long, doc_tokens long" + ", ids array<int>" * ids + ", ids_crc32 long" * digest
-    found = source.select(F.col("id").cast("string"), F.xxhash64("id", "text").alias("deal"), "text").mapInPandas(cut, kinds)
-    return found.withColumn("id", F.col("id").cast(source.schema["id"].dataType))
+    return source.select("id", F.xxhash64("id", "text").alias("deal"), "text").mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in kinds.items()]))
 
 
 class Tournament:

@@ -131,6 +131,15 @@ def check_sequences(found):
         assert at <= 2048
 
 
+def test_pieces_keep_ids_of_any_type(spark):
+    """Ids pass as they are, structs and nulls too, also where a document has many pieces."""
+    rows = spark.createDataFrame([((1, "a"), "one two " * 3000), (None, None), ((2, None), "three")], "doc_id struct<a: int, b: string>, text string")
+    found = packing.pieces(rows, queries.tokenizer_path(), digest=True).collect()
+    assert {r["id"] for r in found} == {(1, "a"), None, (2, None)}
+    assert [(r["start"], r["length"], r["doc_tokens"]) for r in found if r["id"] == (1, "a")] == [(0, 2048, 6001), (2048, 2048, 6001), (4096, 1905, 6001)]
+    assert all(len(r["ids"]) == r["length"] and r["ids_crc32"] >= 0 for r in found)
+
+
 def test_packing_groups_and_padding(spark):
     r = np.random.default_rng(3)
     sizes = r.integers(1, 1500, 3000)
