@@ -21,7 +21,8 @@ search finds the rest. With shingles in one order for all texts (the most freque
 hash), two texts that are alike share a shingle among the first `n - ceil(0.8 n) + 1` of each. The texts of a
 shingle are compared with one leader first, in rounds, and what is alike is one group from then on. At last
 all texts of a shingle are compared that are still in different groups, but for those within the
-group that most of them are in. So no link between groups is missed, whatever the order is.
+group that most of them are in, where the shingle stands early enough in both to be the first that
+they share. So no link between groups is missed, whatever the order is.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 FREQUENT, ORDER_SHARE = 100_000, 16
 #: Rounds with leaders at most; meetings in shingles for each node up to which the rest is compared without a round (a quarter of
 #: them once there was one); and the share of them that a round must leave out for another to follow.
-ROUNDS, FEW_PAIRS, PROGRESS = 6, 256, 0.2
+ROUNDS, FEW_PAIRS, PROGRESS = 6, 128, 0.2
 #: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle.
 WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
@@ -269,7 +270,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     nodes, _ = stored(prints.groupBy("words").agg(smallest).select(F.col("r.key").alias("first"), F.col("r.row").alias("node"), "r.t", "r.n"), "nodes")
     copies = checkpointed(prints.select(F.col("row").alias("node")).join(nodes, "node", "left_anti"))
     bodies = prints.withColumnRenamed("row", "node").join(few(copies), "node", "left_anti").select("node", "fp", "n", "prefix")
-    postings = bodies.select("node", F.explode("prefix").alias("s"))
+    postings = bodies.select("node", "n", F.posexplode("prefix").alias("at", "s"))
     # a shingle that one node alone has says nothing
     shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     postings, _ = stored(postings.join(shared.select("s"), "s", "left_semi"), "postings")
@@ -287,17 +288,29 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         same = F.size(F.array_intersect("x", "y"))
         return both.where(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
 
-    def hopeful(met: DataFrame, weight: int = 1) -> DataFrame:
-        """(node, n, node1, n1), a row for each shared shingle of the prefixes -> pairs that may be alike.
+    # how many shingles two texts of n and n1 must share. Of two prefixes one ends first. What is shared up to there is in both; what is
+    # shared behind lies behind that prefix, which leaves ceil(similarity * n) - 1 shingles at most: so many does the rest give or lack
+    least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
+    slack = F.ceil(F.greatest("n", "n1") * similarity - 1e-9) - 1 - least
+    ends = [F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")]
 
-        Of two prefixes one ends first. What is shared up to there is in both; what is shared behind lies behind that prefix, which
-        leaves ceil(similarity * n) - 1 shingles at most. weight: for rows that are but some of the shared shingles.
-        """
-        rest = F.ceil(F.greatest("n", "n1") * similarity - 1e-9) - 1
-        least = F.ceil((F.col("n") + F.col("n1")) * similarity / (1 + similarity) - 1e-9)
+    def led(met: DataFrame) -> DataFrame:
+        """(node, n, node1, n1), a row for each shingle that a leader shares -> pairs that are likely alike; a quarter of the shingles will do."""
         sized = met.where(F.least("n", "n1") >= F.greatest("n", "n1") * similarity - 1e-9)
-        counted = sized.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"), (rest - least).alias("slack"))
-        return counted.agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * weight + F.col("slack") >= 0).select("a", "b")
+        return sized.groupBy(*ends, slack.alias("slack")).agg(F.count(F.lit(1)).alias("c")).where("c * 4 + slack >= 0").select("a", "b")
+
+    def hopeful(met: DataFrame) -> DataFrame:
+        """(node, n, at, node1, n1, at1), a row for each shared shingle -> all pairs that may be alike.
+
+        Behind the first shingle that two texts share each has n - 1 - at more. So it stands early in both, and only there rows are
+        made; what else the prefixes share is counted for the pairs found.
+        """
+        pairs = checkpointed(met.where((F.col("at") <= F.col("n") - least) & (F.col("at1") <= F.col("n1") - least)).select(*ends).distinct())
+        asked = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        own = bodies.join(few(asked), "node")
+        side = lambda *names: own.select(*(F.col(c).alias(name) for c, name in zip(("node", "n", "prefix"), names, strict=True)))
+        both = side("a", "n", "x").join(few(pairs), "a").join(side("b", "n1", "y"), "b")
+        return both.where(F.size(F.array_intersect("x", "y")) + slack >= 0).select("a", "b")
 
     points = checkpointed(bodies.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")))
     of = lambda n, name: points.select(F.col("fp").alias(f"f{n}"), F.col("node").alias(name))
@@ -307,25 +320,29 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     for turn in range(ROUNDS + 1):
         # each shared shingle's nodes with their groups so far
         group = F.coalesce("component", "node").alias("g")
-        lists, lists_path = stored(postings.join(nodes.join(components(edges), "node", "left").select("node", "n", group), "node"), "lists")
-        # the group that most of a shingle's nodes are in, and how many others there are
-        sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("s").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
-        main, main_path = stored(main, "main")
-        left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+        lists, lists_path = stored(postings.join(nodes.join(components(edges), "node", "left").select("node", group), "node"), "lists")
+        # the group that most of a shingle's nodes are in, and how many others there are; e counts those where it stands early, as in one of a pair
+        early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9)
+        sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"), F.count_if(early).alias("e"))
+        most = F.max_by(F.struct("g", "c", "e"), F.struct("c", "g")).alias("m")
+        main = sizes.groupBy("s").agg(most, F.sum("c").alias("c"), F.sum("e").alias("e")).where("c > m.c and e > 0")
+        main, main_path = stored(main.select("s", "m.g", "c", "e", F.expr("c - m.c").alias("c1"), F.expr("e - m.e").alias("e1")).withColumnRenamed("g", "main"), "main")
+        left = main.agg(F.sum(F.expr("c1 * e + e1 * c"))).first()[0] or 0
         few_left = left <= (FEW_PAIRS if turn == 0 else FEW_PAIRS // 4) * count
         last = few_left or turn == ROUNDS or turn > 1 and left > (1 - PROGRESS) * before
         before = left
         if left:
             others = lists.join(main.select("s", "main"), "s")
             if last:
-                minor = others.where("g != main").select("s", F.col("node").alias("node1"), F.col("n").alias("n1"), F.col("g").alias("g1"))
-                met = others.join(minor, "s").where("g != g1 and (g = main or node < node1)")
+                minor = others.where("g != main").select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "g")))
+                pairs = hopeful(others.join(minor, "s").where("g != g1 and (g = main or node < node1)"))
             else:
-                by = F.xxhash64("node", F.lit(turn))
+                # few shingles that are seldom before this one: the text least changed
+                by = F.struct(F.col("at") if turn < 2 else F.lit(0), F.xxhash64("node", F.lit(turn)))
                 leader = others.where("g != main" if turn % 2 else "true").groupBy("s").agg(F.min_by(F.struct("node", "n", "g"), by).alias("l"))
-                met = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "g1": F.col("l.g")}).where("g != g1")
-            edges, new = stored(edges.unionByName(verified(hopeful(met, 1 if last else 4))).distinct(), "links")
+                met = others.join(leader, "s").withColumns({"node1": F.col("l.node"), "n1": F.col("l.n"), "g1": F.col("l.g")})
+                pairs = led(met.where("g != g1"))
+            edges, new = stored(edges.unionByName(verified(pairs)).distinct(), "links")
             forget(spark, path)
             path = new
         forget(spark, lists_path, main_path)

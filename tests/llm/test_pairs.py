@@ -349,3 +349,26 @@ def test_similar_groups_of_rows_without_keys(spark):
     texts = [(None, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (None, "quite another text"), (3, " ".join([*words[:-1], "third"])), (5, "apart")]
     found = simhash.similar_groups(spark.createDataFrame(texts, "k long, text string"), "k").collect()
     assert sorted((str(r["first"]), str(r["group"])) for r in found) == sorted([("None", "3"), ("None", "3"), ("3", "3"), ("None", "None"), ("5", "5")])
+
+
+def test_pairs_compared_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Variants of one text, each like it and not like each other: one comparison links each, not one for each pair."""
+    words, size = [f"w{i}" for i in range(150)], 150
+    texts = [" ".join(words)]
+    for k in range(size):
+        own = list(words)
+        for j in range(3):
+            own[(7 * k + 48 * j + 5) % 140 + 5] = f"x{k}-{j}"
+        texts.append(" ".join(own))
+    compared, kept = [], simhash.checkpointed
+
+    def counted(df):
+        out = kept(df)
+        if df.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", counted)
+    found = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()
+    assert len(found) == size + 1 and {x["group"] for x in found} == {0}
+    assert sum(compared) < 4 * size
