@@ -65,10 +65,13 @@ def severity_totals(found: DataFrame) -> DataFrame:
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Codes whose counts differ between two runs, with counts and the notices that one run alone has."""
+    """Codes whose counts differ between two runs, with counts and the notices that one run alone has.
+
+    Equal notices are counted for both runs at once, so each run is made once and its notices are shuffled once.
+    """
     keys = ["feed_id", "code"]
-    flat = [context_text(df).select(*keys, "severity", "filename", "row_number", "context") for df in (before, after)]
-    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for df, name in zip((before, after), ("n_before", "n_after"), strict=True)]
-    alone = [a.exceptAll(b).groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for a, b, name in ((flat[0], flat[1], "only_before"), (flat[1], flat[0], "only_after"))]
-    out = counts[0].join(counts[1], keys, "full").join(alone[0], keys, "left").join(alone[1], keys, "left").na.fill(0)
+    flat = [context_text(df).select(*keys, "severity", "filename", "row_number", "context", F.lit(by).alias("by")) for df, by in ((before, 1), (after, -1))]
+    each = union(flat).groupBy(*keys, "severity", "filename", "row_number", "context").agg(F.count_if(F.col("by") > 0).alias("b"), F.count_if(F.col("by") < 0).alias("a"))
+    more = lambda x, y: F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0)))
+    out = each.groupBy(*keys).agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after"), more("b", "a").alias("only_before"), more("a", "b").alias("only_after"))
     return out.where("n_before <> n_after or only_before > 0 or only_after > 0")

@@ -275,6 +275,16 @@ def test_overlaps():
     assert not zones.overlap(box(0, 0, 1), box(1, 0, 1)) and not zones.overlap(box(0, 0, 1), box(5, 5, 1))
 
 
+def test_compare_makes_each_run_once(spark):
+    """Counts of equal notices in one aggregate: a run's notices are shuffled once, and repeated ones keep their number."""
+    row = lambda n, k: ("f", "c", "ERROR", "a.txt", n, {"k": k})
+    schema = "feed_id string, code string, severity string, filename string, row_number long, context map<string, string>"
+    before, after = (spark.createDataFrame(rows, schema) for rows in ([row(1, "x")] * 3 + [row(2, "y")], [row(1, "x"), row(2, "z"), row(3, "z"), row(4, "z")]))
+    found = compare(before, after)
+    assert [tuple(x) for x in found.collect()] == [("f", "c", 4, 4, 3, 3)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_and_compare(spark):
     f = feed(spark, stops=[dict(stop_id=f"S{i}", location_type=1) for i in range(6)])
     found = joins.usage(f).where("code = 'unused_station'")
