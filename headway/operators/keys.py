@@ -172,9 +172,12 @@ def translation_references(feed: Feed) -> DataFrame:
     for n in sorted(tables):
         k = keys[n]
         ids = [shown(n, c) for c in k[:2]] + [F.lit("")] * (2 - min(2, len(k)))
-        records.append(feed[n].select("feed_id", F.lit(n).alias("table_name"), F.coalesce(ids[0], F.lit("")).alias("_r"), F.coalesce(ids[1], F.lit("")).alias("_s")).distinct())
+        records.append(feed[n].select("feed_id", F.lit(n).alias("table_name"), F.coalesce(ids[0], F.lit("")).alias("_r"), F.coalesce(ids[1], F.lit("")).alias("_s")))
     wanted = complete.withColumns({"_r": F.coalesce("record_id", F.lit("")), "_s": F.coalesce("record_sub_id", F.lit(""))})
-    ghosts = wanted.join(union(records), ["feed_id", "table_name", "_r", "_s"], "left_anti")
+    # the few records that are asked for are found first; all records, different or not, are never held
+    record = ["feed_id", "table_name", "_r", "_s"]
+    known = picked(union(records), wanted.select(*record).distinct(), record).distinct()
+    ghosts = wanted.join(known, record, "left_anti")
     file = "translations.txt"
     return union(
         [lacking, notices(unknown, "translation_unknown_table_name", "WARNING", file, tableName="table_name")]

@@ -275,6 +275,17 @@ def test_overlaps():
     assert not zones.overlap(box(0, 0, 1), box(1, 0, 1)) and not zones.overlap(box(0, 0, 1), box(5, 5, 1))
 
 
+def test_translations_look_for_the_records_asked_for(spark, monkeypatch):
+    """All records go past the keys that translations name; only these are held."""
+    asked, real = [], keys.picked
+    monkeypatch.setattr(keys, "picked", lambda rows, wanted, on: asked.append((wanted.count(), rows.count())) or real(rows, wanted, on))
+    line = dict(table_name="stop_times", field_name="stop_headsign", language="fr", translation="x", record_sub_id="1")
+    f = feed(spark, stop_times=[dict(trip_id=f"T{i}", stop_sequence=1) for i in range(50)], translations=[line | dict(record_id=r) for r in ("T7", "T7", "ghost")])
+    found = keys.translation_references(f).where("code = 'translation_foreign_key_violation'").collect()
+    assert [x["context"]["recordId"] for x in found] == ["ghost"]
+    assert len(asked) == 1 and asked[0][0] == 2 and asked[0][1] >= 50
+
+
 def test_compare_makes_each_run_once(spark):
     """Counts of equal notices in one aggregate: a run's notices are shuffled once, and repeated ones keep their number."""
     row = lambda n, k: ("f", "c", "ERROR", "a.txt", n, {"k": k})
