@@ -79,9 +79,9 @@ def foreign_key_violation(feed: Feed, references: Iterable[Reference] = REFERENC
     """Child values that no parent has, for each reference whose child column is declared.
 
     Parent nulls count as empty text unless the parent column is its table's key. The references
-    of a child table become rows, whose different values (partial sums leave few) are compared
-    with those of the parents in one anti-join; only the values found missing go back to the rows
-    of the tables, so popular values are never shuffled by row.
+    of a child table become rows, whose different values (partial sums leave few) are grouped
+    with those of the parents in one aggregate; only the values found missing go back to the rows
+    of the tables, so popular values are never shuffled by row unless many values are missing.
     """
     used = [r for r in references if feed.has(r.child, r.column)]
     groups = {name: g for g, name in enumerate(dict.fromkeys(parent_names(r) for r in used))}
@@ -100,7 +100,8 @@ def foreign_key_violation(feed: Feed, references: Iterable[Reference] = REFERENC
             parents.append(feed[t].select("feed_id", F.lit(groups[parent_names(r)]).alias("g"), value.alias("value")).where("value is not null"))
     cells = union(children).select("feed_id", "_row_number", "c.*")
     asked = ["feed_id", "g", "value"]
-    missing = cells.select(*asked).distinct().join(union(parents).distinct(), asked, "left_anti")
+    values = cells.select(*asked, F.lit(False).alias("known")).unionByName(union(parents).withColumn("known", F.lit(True)))
+    missing = values.groupBy(*asked).agg(F.max("known").alias("known")).where("not known").select(*asked)
     found = picked(cells, missing, asked)
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
     if feed.status is not None:

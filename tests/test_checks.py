@@ -286,6 +286,16 @@ def test_translations_look_for_the_records_asked_for(spark, monkeypatch):
     assert len(asked) == 1 and asked[0][0] == 2 and asked[0][1] >= 50
 
 
+def test_missing_values_are_found_without_a_join(spark, monkeypatch):
+    """Values of children and parents meet in one aggregate, so no side is sorted or held beside the other."""
+    plans, real = [], keys.picked
+    monkeypatch.setattr(keys, "picked", lambda rows, wanted, on: plans.append(wanted._jdf.queryExecution().executedPlan().toString()) or real(rows, wanted, on))
+    f = feed(spark, trips=[dict(trip_id="T1")], stop_times=[dict(trip_id=t, stop_sequence=1) for t in ("T1", "T2", "T2", None)])
+    found = keys.foreign_key_violation(f).where("filename = 'stop_times.txt'").collect()
+    assert [x["context"]["fieldValue"] for x in found] == ["T2", "T2"]
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_compare_makes_each_run_once(spark):
     """Counts of equal notices in one aggregate: a run's notices are shuffled once, and repeated ones keep their number."""
     row = lambda n, k: ("f", "c", "ERROR", "a.txt", n, {"k": k})
