@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,8 +48,8 @@ OWN_PARTS = {
 SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 #: The letters and numbers among them, once lower-cased.
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The pattern of OWN_PARTS for these characters.
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+#: The pattern of OWN_PARTS for these characters, the most frequent first, as no two of its cases but the last begin alike.
+PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,6 +59,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Parts(dict):
+    """Token ids of parts, as bytes, found when first asked for; those of the table before need no merging."""
+
+    def __init__(self, merge, letters: dict[int, str], before: dict[str, bytes]):
+        self.merge, self.letters, self.before = merge, letters, before
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            plain = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = struct.pack(f"<{len(tokens := self.merge(plain))}I", *[t.id for t in tokens])
+        self[part] = found
+        return found
+
+
 class PartCache:
     """Token ids of texts, remembered for each part, as merges never cross the bounds of parts.
 
@@ -68,14 +85,14 @@ class PartCache:
     def __init__(self, path: str, parts: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
-        self.tokenizer, self.parts, self.letters = Tokenizer.from_file(path), parts, byte_letters()
-        stated = json.loads(self.tokenizer.to_str())
-        self.by_parts = stated["normalizer"] == OWN_NORMALIZER and stated["pre_tokenizer"] == OWN_PARTS and stated["model"]["type"] == "BPE"
-        self.special = [t["content"] for t in stated["added_tokens"]]
-        self.merge = self.tokenizer.model.tokenize
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenizer, self.parts = Tokenizer.from_file(path), parts
+        stated = lambda part: part and json.loads(part.__getstate__())  # noqa: E731  not the whole file, whose vocabulary would be held twice
+        model = self.tokenizer.model
+        self.by_parts = isinstance(model, BPE) and stated(self.tokenizer.normalizer) == OWN_NORMALIZER and stated(self.tokenizer.pre_tokenizer) == OWN_PARTS
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Parts(model.tokenize, byte_letters(), {})
 
     def simple(self, text: str, small: str) -> bool:
         """Whether the parts of text, in small letters `small`, can be found without the tokenizer."""
@@ -83,26 +100,20 @@ class PartCache:
             return False
         return text.isascii() or SIMPLE.fullmatch(small) is not None  # some small letters lie beyond the class
 
-    def learn(self, part: str) -> None:
-        found = self.old.get(part)
-        if found is None:
-            tokens = self.merge(part.encode().decode("latin-1").translate(self.letters))
-            found = np.array([t.id for t in tokens], "<u4").tobytes()
-        self.young[part] = found
-
     def ids(self, text: str, last: int) -> np.ndarray:
         """The text's ids and the closing id, as unsigned 32-bit integers."""
-        end = np.array([last], "<u4")
         small = text.lower()
         if not self.simple(text, small):
-            return np.concatenate([np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"), end])
-        parts = PARTS.findall(small)
-        if len(self.young) > self.parts:
-            self.old, self.young = self.young, {}
-        for part in set(parts):
-            if part not in self.young:
-                self.learn(part)
-        return np.concatenate([np.frombuffer(b"".join(map(self.young.__getitem__, parts)), "<u4"), end])
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, last], "<u4")
+        if len(self.known) > self.parts:
+            self.known = Parts(self.known.merge, self.known.letters, dict(self.known))
+        return np.frombuffer(b"".join([*map(self.known.__getitem__, PARTS.findall(small)), struct.pack("<I", last)]), "<u4")
+
+
+@lru_cache(maxsize=1)
+def part_cache(path: str) -> PartCache:
+    """A worker's own, which its later tasks find filled."""
+    return PartCache(path)
 
 
 def pieces(
@@ -116,7 +127,6 @@ def pieces(
     documents are dealt alike however the table is split. A null text is empty and has the
     closing id alone; ids may be of any type; other columns are ignored.
     """
-    held: list[PartCache] = []
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = {"id": source.schema["id"].dataType} | dict.fromkeys(("deal", "start", "length", "doc_tokens"), T.LongType())
     kinds |= {"ids": T.ArrayType(T.IntegerType())} if ids else {}
@@ -135,12 +145,11 @@ def pieces(
         return pa.RecordBatch.from_arrays(columns, list(kinds))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(PartCache(tokenizer))
+        cache = part_cache(tokenizer)
         for batch in batches:
             rows, parts, numbers, n = [], [], [], 0
             for k, text in enumerate(batch.column("text")):  # one text at a time becomes a Python one
-                found = held[0].ids(text.as_py(), last)
+                found = cache.ids(text.as_py(), last)
                 for at in range(0, len(found), length):
                     rows.append(k)
                     parts.append(found[at : at + length])

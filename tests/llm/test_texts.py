@@ -183,6 +183,20 @@ def test_ids_of_every_character_are_the_tokenizers():
     assert [t for t, w in zip(texts, want, strict=True) if cache.ids(t, 1).tolist() != [*w.ids, 1]] == []
 
 
+def test_a_worker_keeps_its_tokenizer_and_parts():
+    path = queries.tokenizer_path()
+    cache = packing.part_cache(path)
+    assert packing.part_cache(path) is cache and cache.by_parts
+    text = "It's 12 words, we'll say: café '''s 'sx ...'re"
+    first = [*cache.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert cache.ids(text, 1).tolist() == first
+    merged: list[str] = []
+    small = packing.PartCache(path, parts=3)
+    small.known.merge = lambda part, merge=small.known.merge: merged.append(part) or merge(part)
+    assert small.ids(text, 1).tolist() == first and small.ids(text, 1).tolist() == first
+    assert len(merged) == len(small.known) == len(small.known.before)  # the second time all parts were in the table before
+
+
 def test_ids_of_another_tokenizer():
     """A file with another normaliser or pattern goes through the tokenizer as it is."""
     import public_tokenizers
