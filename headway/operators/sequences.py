@@ -148,28 +148,44 @@ def speed_kph(m: Column, departure: Column, arrival: Column) -> Column:
     return m / 1000 * 3600 / t
 
 
-def measured_stop_times(feed: Feed) -> DataFrame:
-    """stop_times of trips with a route, with coordinates, limit and order `k` from 0 in the trip."""
-    from .distances import stop_coordinates
+def in_trip() -> W:
+    """A trip's rows of measured_stop_times in order. `at` is a column, as windows share no sort by an expression."""
+    return W.partitionBy(*TRIP).orderBy("at", "_row_number")
 
+
+def trip_limits(feed: Feed) -> DataFrame:
+    """feed_id, trip_id, limit: the speed limit of trips with a route."""
     types = first_rows(feed["routes"].where("route_id is not null").select(FEED, "route_id", "route_type", "_row_number"), "route_id").drop("_row_number")
     trips = feed["trips"].where("trip_id is not null").groupBy(*TRIP).agg(F.min_by("route_id", "_row_number").alias("route_id")).join(types, [FEED, "route_id"])
-    order = W.partitionBy(*TRIP).orderBy(sequence(), "_row_number")
-    times = feed["stop_times"].where("trip_id is not null").select(*TRIP, "stop_id", "stop_sequence", "arrival_time", "departure_time", "_row_number", (F.row_number().over(order) - 1).alias("k"))
-    places = stop_coordinates(feed).select(FEED, "stop_id", "lat", "lon")
-    return times.join(trips.select(*TRIP, speed_limit(F.col("route_type")).alias("limit")), list(TRIP)).join(places, [FEED, "stop_id"], "left")
+    return trips.select(*TRIP, speed_limit(F.col("route_type")).alias("limit"))
+
+
+def measured_stop_times(feed: Feed) -> DataFrame:
+    """stop_times with coordinates, and `k` from 0 in the trip, by `at` (their sequence).
+
+    Rows go to their stops first and then by trip, once: what is asked of a trip's rows in order needs neither another shuffle nor another sort.
+    """
+    from .distances import stop_coordinates
+
+    times = feed["stop_times"].where("trip_id is not null").select(*TRIP, "stop_id", "stop_sequence", sequence().alias("at"), "arrival_time", "departure_time", "_row_number")
+    placed = times.join(stop_coordinates(feed).select(FEED, "stop_id", "lat", "lon"), [FEED, "stop_id"], "left").drop("stop_id")
+    return placed.withColumn("k", F.row_number().over(in_trip()) - 1)
 
 
 def fast_consecutive(feed: Feed) -> DataFrame:
-    """Neighbouring measurable stops of a trip between which it is faster than its route type allows."""
-    order = W.partitionBy(*TRIP).orderBy("k")
-    rows = measured_stop_times(feed).withColumn("starts", F.max(F.expr("k = 0 and lat is not null and departure_time is not null")).over(W.partitionBy(*TRIP)))
+    """Neighbouring measurable stops of a trip between which it is faster than its route type allows.
+
+    Only steps beyond the lowest limit are joined to their trip's.
+    """
+    order = in_trip()
+    rows = measured_stop_times(feed).withColumn("starts", F.first(F.expr("lat is not null and departure_time is not null")).over(order))
     kept = rows.where("starts and (k = 0 or lat is not null and arrival_time is not null)")
     kept = kept.withColumn("p", F.lag(F.struct("lat", "lon", "departure_time", "_row_number")).over(order))
     # the chain ends at the first kept row without departure
     kept = kept.withColumn("open", F.coalesce(F.min(F.col("departure_time").isNotNull()).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
     m = haversine_m(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))
-    fast = kept.where("k > 0 and open").withColumn("kph", speed_kph(m, F.col("p.departure_time"), F.col("arrival_time"))).where(F.col("kph") > F.col("limit"))
+    steps = kept.where("k > 0 and open").withColumn("kph", speed_kph(m, F.col("p.departure_time"), F.col("arrival_time"))).where(F.col("kph") > min(OTHER_SPEED, *SPEED_LIMITS.values()))
+    fast = steps.join(trip_limits(feed), list(TRIP)).where(F.col("kph") > F.col("limit"))
     return notices(fast, "fast_travel_between_consecutive_stops", "WARNING", "stop_times.txt", tripId="trip_id", stopSequence="stop_sequence", previousRow="p._row_number", speedKph=F.round("kph").cast("long"))
 
 
@@ -180,13 +196,14 @@ def fast_far(feed: Feed) -> DataFrame:
     trips longer than that distance are looked at further; their steps come together in one row,
     on the exchange by trip that the sums have made already.
     """
-    by = W.partitionBy(*TRIP).orderBy("k")
+    by = in_trip()
     unresolved = F.sum(F.expr("case when lat is null then 1 else 0 end")).over(by)
     hop = haversine_m(F.lag("lat").over(by), F.lag("lon").over(by), F.col("lat"), F.col("lon"))
     rows = measured_stop_times(feed).withColumns({"gone": unresolved, "hop": F.coalesce(hop, F.lit(0.0))}).where("gone = 0")
-    rows = rows.withColumn("at", F.sum("hop").over(by))
-    step = F.struct("k", "arrival_time", "departure_time", "at")
-    trips = rows.groupBy(*TRIP, "limit").agg(F.max("at").alias("length"), F.array_sort(F.collect_list(step)).alias("steps")).where(F.col("length") > FAR_M)
+    rows = rows.withColumn("metres", F.sum("hop").over(by))
+    step = F.struct("k", "arrival_time", "departure_time", F.col("metres").alias("at"))
+    trips = rows.groupBy(*TRIP).agg(F.max("metres").alias("length"), F.array_sort(F.collect_list(step)).alias("steps")).where(F.col("length") > FAR_M)
+    trips = trips.join(trip_limits(feed), list(TRIP))
 
     def pairs(b: Column) -> Column:
         far = lambda a: (a["k"] < b["k"]) & a["departure_time"].isNotNull() & (b["at"] - a["at"] > FAR_M)

@@ -1,6 +1,7 @@
 """Checks on small feeds, with results worked out by hand."""
 
 import datetime
+import re
 
 import pytest
 
@@ -92,6 +93,14 @@ def test_fast_travel(spark):
     assert [(c["tripId"], c["fromStep"], c["toStep"]) for _, _, c in far] == [("T", "0", "2")]
 
 
+def test_fast_travel_sorts_trips_once(spark):
+    """Rows go by trip once, after their stops, and all that looks at neighbours shares one sort."""
+    times = stop_times(("T", "A", 1, 0, 0), ("T", "B", 2, 60, 60))
+    plan = sequences.fast_consecutive(feed(spark, **FAST, stop_times=times))._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"Sort \[feed_id#[^\]]*, trip_id#[^\]]*, [^\]]*\]", plan)
+    assert len(by) == 1, by
+
+
 def test_fast_chain_stops_without_departure(spark):
     times = stop_times(("T", "A", 1, 0, 0), ("T", "B", 2, 10, None), ("T", "C", 3, 20, 20))
     assert [n for _, n, _ in codes(sequences.fast_consecutive(feed(spark, **FAST, stop_times=times)))] == [3]
