@@ -53,7 +53,8 @@ def join_quoted(lines: DataFrame, block: int = BLOCK_LINES, max_row: int = MAX_R
     opens = F.when(quoted, F.col("value").rlike(OPENS)).otherwise(F.lit(False))
     stays = F.when(quoted, F.col("value").rlike(STAYS_OPEN)).otherwise(F.lit(True))
     marked = lines.withColumns({"opens": opens, "stays": stays})
-    several = marked.where("opens").select(*keys).distinct()
+    # a row for each file, no more than the driver lists to read them: broadcast, as a shuffle by file would leave a large one to one task
+    several = F.broadcast(marked.where("opens").select(*keys).distinct())
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
 
     def composed(df: DataFrame, over) -> DataFrame:
@@ -177,9 +178,9 @@ def split_records(records: DataFrame, headers: DataFrame) -> DataFrame:
     """records() and headers_of() -> feed_id, table, _row_number, cells, header, at, declared, cut, without header rows.
 
     A table ends at its first row with a cell beyond the limit, where cut has the cell's place (-1 for a row
-    that wasn't put together); cut is null elsewhere.
+    that wasn't put together); cut is null elsewhere. The headers, one for each file, are broadcast, so a large file stays dealt over tasks.
     """
-    rows = records.join(headers, ["feed_id", "table"]).where("(_row_number > first or _row_number = stop) and (stop is null or _row_number <= stop)")
+    rows = records.join(F.broadcast(headers), ["feed_id", "table"]).where("(_row_number > first or _row_number = stop) and (stop is null or _row_number <= stop)")
     rows = rows.withColumn("cells", F.coalesce(cells_of(F.col("value")), F.array().cast("array<string>")))
     cut = F.when(F.col("_row_number") == F.col("stop"), F.coalesce(over_limit(F.col("cells"), F.col("table")), F.lit(-1)))
     return rows.select("feed_id", "table", "_row_number", "cells", "header", "at", "declared", cut.alias("cut"))

@@ -108,12 +108,12 @@ def read_lines(spark: SparkSession, glob: str, feed_at: int = -2, file_at: int =
     feed_at and file_at are the places of the two names in the path, counted from its end.
 
     Large files are read in splits. Lines of a split follow each other in one task; the splits'
-    line counts, a row for each split, give the number at which each begins.
+    line counts, a row for each split (as the driver lists them), are broadcast and give the number at which each begins.
     """
     raw = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
     splits = raw.groupBy("path", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = raw.join(splits.withColumn("before", before).drop("n"), ["path", "at"])
+    numbered = raw.join(F.broadcast(splits.withColumn("before", before).drop("n")), ["path", "at"])
     parts = F.split(F.url_decode("path"), "/")
     return numbered.select(F.element_at(parts, feed_at).alias("feed_id"), F.element_at(parts, file_at).alias("filename"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
 
