@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +34,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK = 1 << 20
 #: Pairs with the most documents that are broadcast; no other pair has more than this share of all rows.
 HOT = 50_000
+#: Characters of words whose tokens a worker keeps at most, each with so many more for its entry.
+KEPT, ENTRY = 1 << 23, 64
+#: A space that no word follows, and one before the first word.
+LOOSE = re.compile(r"(?:^| )(?= |\Z)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,6 +63,18 @@ def by_ranks(stated: dict, letters: dict[str, int]):
     return tiktoken.Encoding("by_ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def plain_spaces(path: str, pieces: list[str]) -> bool:
+    """Whether a piece tokenizer takes texts as they are, with a space before them, and merges nothing over the beginning of a space."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    own, bpe = model.normalizer_spec, model.trainer_spec.model_type == model.trainer_spec.BPE
+    as_is = own.name == "identity" and not own.precompiled_charsmap and own.add_dummy_prefix and own.escape_whitespaces and not own.remove_extra_whitespaces
+    return bpe and as_is and not model.trainer_spec.treat_whitespace_as_suffix and all("\u2581" not in p.lstrip("\u2581") for p in pieces)
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
@@ -74,6 +91,8 @@ class Tokenizers:
         self.fast_a = by_ranks(json.loads(self.a.to_str()), letters)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # the tokens of words, as bytes of 32-bit ids, where B takes each word by itself
+        self.by_words, self.kept, self.held = plain_spaces(path_b, pieces), {}, 0
         self.width_a, self.width_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         # decimal digits of ids behind zeros, and a place for the mark behind them
         names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
@@ -84,12 +103,40 @@ class Tokenizers:
         """The ids of blank + text by A and of text by B; None where either's bytes aren't blank + text."""
         if not text:
             return None
-        own = self.fast_a.encode_ordinary(" " + text) if self.fast_a else self.a.encode(" " + text, add_special_tokens=False).ids
-        other = self.b.encode(text, num_threads=1)
-        whole = (" " + text).encode()
-        # the quick encoder takes bytes apart and nothing else
-        fine = (self.fast_a or b"".join(map(self.bytes_a.__getitem__, own)) == whole) and b"".join(map(self.bytes_b.__getitem__, other)) == whole
-        return (np.array(own, np.int32), np.array(other, np.int32)) if fine else None
+        if self.fast_a:  # it takes bytes apart and nothing else
+            own = self.fast_a.encode_to_numpy(" " + text, disallowed_special=()).view(np.int32)
+        else:
+            ids = self.a.encode(" " + text, add_special_tokens=False).ids
+            if b"".join(map(self.bytes_a.__getitem__, ids)) != (" " + text).encode():
+                return None
+            own = np.array(ids, np.int32)
+        other = self.words_of_b(text) if self.by_words and not LOOSE.search(text) else self.text_of_b(text)
+        return None if other is None else (own, other)
+
+    def text_of_b(self, text: str) -> np.ndarray | None:
+        """The ids of text by B; None where their bytes aren't blank + text."""
+        ids = self.b.encode(text, num_threads=1)
+        return np.array(ids, np.int32) if b"".join(map(self.bytes_b.__getitem__, ids)) == (" " + text).encode() else None
+
+    def words_of_b(self, text: str) -> np.ndarray | None:
+        """text_of_b(), where words that were met before aren't tokenized again: no token of B lies over the beginning of a space."""
+        words = text.split(" ")
+        new = list({*words}.difference(self.kept))
+        if new:
+            ids = self.text_of_b(" ".join(new))
+            if ids is None:
+                return None
+            ends = np.cumsum([len(w.encode()) + 1 for w in new])
+            cuts, own = ((np.searchsorted(np.cumsum(self.width_b[ids]), ends) + 1) * ids.itemsize).tolist(), ids.tobytes()
+            self.kept.update(zip(new, [own[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))  # noqa: B905
+        out = np.frombuffer(b"".join(map(self.kept.__getitem__, words)), np.int32)
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if new and self.held + size > KEPT:
+            for w in new:
+                del self.kept[w]
+        elif new:
+            self.held += size
+        return out
 
     def group_text(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, groups: int) -> bytes:
         """`a1,a2|b1;a3|b2,b3;`: the ids of groups 0 to groups - 1, all closed by a semicolon."""
@@ -159,11 +206,15 @@ class Monoid:
 
     def fragment(self, a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, ends: bool = False) -> Fragment:
         """The fragment of tokens that begin in a byte range, with the bytes where they begin. ends: the range's end is a cut."""
-        cuts = np.intersect1d(start_a, start_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(cuts, start_a, "right"), np.searchsorted(cuts, start_b, "right")
+        # marks of the bytes where tokens begin tell which of the other's begin there too
+        first = min(x[0] for x in (start_a, start_b) if len(x)) if len(a) or len(b) else 0
+        marks = np.zeros((2, max(x[-1] for x in (start_a, start_b) if len(x)) - first + 1 if len(a) or len(b) else 0), bool)
+        at_a, at_b = start_a - first, start_b - first
+        marks[0, at_a], marks[1, at_b] = True, True
+        group_a, group_b = np.cumsum(marks[1, at_a]), np.cumsum(marks[0, at_b])
         run = lambda low, high: (slice(*np.searchsorted(group_a, (low, high))), slice(*np.searchsorted(group_b, (low, high))))
         of = lambda s: (a[s[0]], b[s[1]])
-        last = len(cuts)
+        last = int(group_a[-1]) if len(a) else 0
         if not last:
             return Fragment((a, b))
         groups = last if ends else last - 1

@@ -177,6 +177,29 @@ def test_alignment_by_hand(spark, chunk, monkeypatch):
     assert found[3] == found[4] == (0, 0, 0, 0, 0, 0, "") and found[9][0] > 5
 
 
+def test_words_met_before_are_not_tokenized_again(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT", 40 * alignment.ENTRY)
+    tokenizers, rng = alignment.Tokenizers(*PATHS), random.Random(3)
+    plain, asked = tokenizers.b, []
+
+    class Counted:
+        def encode(self, text, **options):
+            asked.append(text)
+            return plain.encode(text, **options)
+
+    tokenizers.b = Counted()
+    some = ["a", "the", "cat\n", "\nno", "'s", "é①", "▁x", "<0x0A>", "</s>", "\x1c", "\x85", "　", "12", "x" * 70, "", "\0"]
+    for text in TEXTS + [" ".join(rng.choices(some, k=rng.randint(1, 9))) for _ in range(2_000)]:
+        if text:
+            ids, found = plain.encode(text), tokenizers.tokens(text)
+            exact = b"".join(tokenizers.bytes_b[i] for i in ids) == (" " + text).encode()
+            assert (found is not None) == exact and (not exact or found[1].tolist() == ids)
+    tokenizers.tokens("a cat sat there")
+    asked.clear()
+    assert tokenizers.tokens("the cat the") is not None and tokenizers.tokens("the cat the") is not None
+    assert sum(map(len, asked)) < 2 * len("the cat the") and len(tokenizers.kept) <= 40
+
+
 def test_pairs_beyond_the_broadcast_are_shuffled(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     whole = sorted(map(tuple, alignment.align(rows, *PATHS).collect()))
