@@ -28,10 +28,12 @@ they share. So no link between groups is missed, whatever the order is.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -44,6 +46,8 @@ SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
 CHUNK = 1 << 14
+#: Texts whose sets of shingles a worker holds at once.
+SLICE = 256
 #: The similar form: words of a shingle, least Jaccard similarity.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that are ordered by their count, the most frequent ones; they are broadcast. Others are taken as seldom.
@@ -117,6 +121,23 @@ def shingles_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles_of(t)[0].view(np.int64) for t in texts])
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts (node, text) -> (node, set), the hashes of each text's different shingles.
+
+    A worker holds the sets of SLICE texts, not those of a whole batch, and Spark keeps no row waiting for them.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [shingles_of(text.as_py())[0].view(np.int64) for text in part.column("text")]
+                sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(made, "node long, set array<long>")
+
+
 def prefix_udf(frequent: Broadcast, similarity: float):
     """text -> (fp, words, n, prefix): fingerprint, MD5 of the words, number of shingles, and the first of them in their order."""
 
@@ -282,7 +303,7 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         asked = checkpointed(nodes.join(asked, "node").select("node", F.col("first").alias("k"), F.col("t").alias("u")))
         texts = own.join(few(asked), own["key"].eqNullSafe(F.col("k")) & (own["t"] == F.col("u")))
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-        sets = checkpointed(texts.select("node", shingles_udf("text").alias("set")))
+        sets = checkpointed(shingle_sets(texts))
         side = lambda n, x: sets.select(F.col("node").alias(n), F.col("set").alias(x))
         both = side("a", "x").join(few(pairs), "a").join(side("b", "y"), "b")
         same = F.size(F.array_intersect("x", "y"))

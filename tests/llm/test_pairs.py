@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -372,3 +373,13 @@ def test_pairs_compared_grow_with_a_group_of_near_copies(spark, monkeypatch):
     found = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()
     assert len(found) == size + 1 and {x["group"] for x in found} == {0}
     assert sum(compared) < 4 * size
+
+
+def test_sets_of_shingles_are_made_in_slices(spark):
+    texts = [None, "", " \t", *(" ".join(f"w{k % 7}x{j}" for j in range(k % 40)) for k in range(2 * simhash.SLICE))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").coalesce(1)
+    found = {r["node"]: r["set"] for r in simhash.shingle_sets(rows).collect()}
+    assert found == {k: simhash.shingles_of(t)[0].view(np.int64).tolist() for k, t in enumerate(texts)} and found[0] == []
+    # Spark keeps no rows with their texts waiting for the sets
+    assert "ArrowEvalPython" not in simhash.shingle_sets(rows)._jdf.queryExecution().toString()
+    assert simhash.shingle_sets(rows.limit(0)).count() == 0
