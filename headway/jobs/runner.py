@@ -18,6 +18,8 @@ from ..shared import clustered
 
 #: Checks that run side by side, and what their notices are stored as.
 AT_ONCE = 4
+#: Checks that look at each row of stop_times by itself, or only count its rows, which partial sums do before any shuffle.
+BY_ROW = {"row_rules", "usage", "stop_usage"}
 SCHEMA = "feed_id string, code string, severity string, filename string, row_number long, context map<string,string>"
 
 
@@ -71,26 +73,28 @@ class Run:
     failures: list[tuple[str, str]]
 
 
-def planned(feed: Feed, today: datetime.date, only: Iterable[str] | None = None) -> Iterator[tuple[str, Callable[[], DataFrame | None]]]:
-    """The checks by name, each a function that plans it."""
+def planned(feed: Feed, today: datetime.date, only: Iterable[str] | None = None, as_read: Feed | None = None) -> Iterator[tuple[str, Callable[[], DataFrame | None]]]:
+    """The checks by name, each a function that plans it. as_read: the feed that those in BY_ROW read instead."""
+    of = lambda name: as_read if as_read is not None and name in BY_ROW else feed
     wanted = set(only) if only is not None else None
-    checks = [("row_rules", lambda: rowrules.row_notices(feed))]
+    checks = [("row_rules", lambda: rowrules.row_notices(of("row_rules")))]
     for table in [t for t in feed.tables if t != "zones" and keys.TABLES[t].key]:
         checks.append((f"duplicate_key_{table}", lambda t=table: keys.duplicate_key(feed.gated([t]), t)))
-    checks += [(rule.name, lambda r=rule: r.check(feed.gated(r.depends), today)) for rule in FEED_RULES.values()]
+    checks += [(rule.name, lambda r=rule: r.check(of(r.name).gated(r.depends), today)) for rule in FEED_RULES.values()]
     return ((name, make) for name, make in checks if wanted is None or name in wanted)
 
 
 def run_checks(feed: Feed, today: datetime.date, only: Iterable[str] | None = None) -> Run:
     """The notices of the checks as one DataFrame, not yet computed; checks that can't be planned are listed in failures.
 
-    For a few checks that share their reading: stop_times, which most read by trip, is dealt by trip once. For all of them
-    see run_all.
+    For a few checks that share their reading: stop_times, which most read by trip, is dealt by trip for these. Each takes the
+    columns it reads; checks in BY_ROW take the rows as they are. For all of them see run_all.
     """
+    as_read = feed
     if "stop_times" in feed:
         feed = Feed(feed.spark, feed.tables | {"stop_times": feed.tables["stop_times"].repartition("feed_id", "trip_id")}, feed.status)
     parts, failures = [], []
-    for name, make in planned(feed, today, only):
+    for name, make in planned(feed, today, only, as_read):
         try:
             found = make()
             if found is not None:

@@ -342,3 +342,10 @@ def test_results_do_not_depend_on_partitions(spark):
     for n in (1, 7):
         f.tables["stop_times"] = f.tables["stop_times"].repartition(n, F.rand(1))
         assert codes(joins.usage(f)) == want
+
+
+def test_checks_by_row_do_not_shuffle_stop_times(spark):
+    f = feed(spark, stop_times=USAGE["stop_times"])
+    plan = lambda only: run_checks(f, day("2026-01-01"), only=[only]).notices._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("row_rules")
+    assert "Exchange" in plan("stop_time_times")
