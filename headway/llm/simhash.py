@@ -55,7 +55,8 @@ FREQUENT, ORDER_SHARE = 100_000, 16
 #: Rounds with leaders at most; meetings in shingles for each node up to which the rest is compared without a round (a quarter of
 #: them once there was one); and the share of them that a round must leave out for another to follow.
 ROUNDS, FEW_PAIRS, PROGRESS = 6, 128, 0.2
-#: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle.
+#: Keys of texts that are broadcast to fetch these or to leave them out; more are joined by a shuffle. Joins of tables that may have more
+#: are not left to Spark, which takes an exploded table for as small as the one before, and a Parquet file for as small as it is on disk.
 WANTED = 200_000
 #: Fingerprints that a task sends to their anchors.
 NODES_PER_TASK = 50_000
@@ -181,6 +182,11 @@ def anchors(half: Column) -> tuple[Column, Column]:
     return home.bitwiseOR(top), F.concat(F.array(home.bitwiseOR(top), other), second)
 
 
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df for a join in which it is broadcast up to WANTED rows, and shuffled beyond; rows: how many it has, counted if not told."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= WANTED else df.hint("merge")
+
+
 def spread(nodes: DataFrame) -> DataFrame:
     """nodes (stored) over as many tasks as their number asks for, before each is sent to many anchors."""
     least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -199,7 +205,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     at_home = nodes.select(F.col("fp").alias("a"), F.explode(F.array(home0, second(home1))).alias("anchor"))
     sent = nodes.select(F.col("fp").alias("b"), F.explode(F.concat(near0, F.transform(near1, second))).alias("anchor"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold) & (F.col("a") < F.col("b"))
-    return at_home.join(sent, "anchor").where(near).select("a", "b").distinct()
+    return at_home.join(sent.hint("merge"), "anchor").where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,9 +221,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # each has a row for each node at most
+        large = both.where("v > u").join(least if before[0] <= WANTED else least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(root if before[0] <= WANTED else root.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, new = stored(small.union(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         forget(spark, path)
         path, after = new, state(e)
@@ -237,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = checkpointed(docs.select(F.col(id_col).alias("id"), simhash_udf(F.col(text_col)).alias("fp")))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(nodes))
+    found = few(components(links(nodes)))
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     smallest = member.groupBy("c").agg(F.min("first").alias("component_id"))
     classes = member.join(smallest, "c").select("fp", "component_id")
@@ -259,6 +266,12 @@ def shingle_set(text: Column, shingle: int = WIDE_SHINGLE) -> Column:
     return F.get(F.transform(F.array(words), set_of), F.lit(0))
 
 
+def held_by_several(postings: DataFrame) -> DataFrame:
+    """postings (s, a row for each node that has the shingle) but for shingles that one node alone has."""
+    shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return postings.join(shared.select("s").hint("merge"), "s", "left_semi")
+
+
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT shingles that stand in the most texts: sorted, and the rank of each by count (a bounded table).
 
@@ -283,7 +296,6 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     """
     spark = rows.sparkSession
     own = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
-    few = lambda df: F.broadcast(df) if df.count() <= WANTED else df
     frequent = spark.sparkContext.broadcast(frequent_shingles(own))
     prints = own.select("key", "t", F.monotonically_increasing_id().alias("row"), prefix_udf(frequent, similarity)("text").alias("p"))
     prints, _ = stored(prints.select("key", "t", "row", "p.*"), "prints")
@@ -293,14 +305,13 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     bodies = prints.withColumnRenamed("row", "node").join(few(copies), "node", "left_anti").select("node", "fp", "n", "prefix")
     postings = bodies.select("node", "n", F.posexplode("prefix").alias("at", "s"))
     # a shingle that one node alone has says nothing
-    shared = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    postings, _ = stored(postings.join(shared.select("s"), "s", "left_semi"), "postings")
+    postings, _ = stored(held_by_several(postings), "postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are alike."""
         pairs = checkpointed(pairs.select("a", "b").distinct())
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = checkpointed(nodes.join(asked, "node").select("node", F.col("first").alias("k"), F.col("t").alias("u")))
+        asked = checkpointed(nodes.join(few(checkpointed(asked)), "node").select("node", F.col("first").alias("k"), F.col("t").alias("u")))
         texts = own.join(few(asked), own["key"].eqNullSafe(F.col("k")) & (own["t"] == F.col("u")))
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
         sets = checkpointed(shingle_sets(texts))
@@ -341,19 +352,19 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
     for turn in range(ROUNDS + 1):
         # each shared shingle's nodes with their groups so far
         group = F.coalesce("component", "node").alias("g")
-        lists, lists_path = stored(postings.join(nodes.join(components(edges), "node", "left").select("node", group), "node"), "lists")
+        lists, lists_path = stored(postings.join(nodes.join(few(components(edges)), "node", "left").select("node", group), "node"), "lists")
         # the group that most of a shingle's nodes are in, and how many others there are; e counts those where it stands early, as in one of a pair
         early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9)
         sizes = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"), F.count_if(early).alias("e"))
         most = F.max_by(F.struct("g", "c", "e"), F.struct("c", "g")).alias("m")
         main = sizes.groupBy("s").agg(most, F.sum("c").alias("c"), F.sum("e").alias("e")).where("c > m.c and e > 0")
         main, main_path = stored(main.select("s", "m.g", "c", "e", F.expr("c - m.c").alias("c1"), F.expr("e - m.e").alias("e1")).withColumnRenamed("g", "main"), "main")
-        left = main.agg(F.sum(F.expr("c1 * e + e1 * c"))).first()[0] or 0
+        left, shingles = main.agg(F.coalesce(F.sum(F.expr("c1 * e + e1 * c")), F.lit(0)), F.count(F.lit(1))).first()
         few_left = left <= (FEW_PAIRS if turn == 0 else FEW_PAIRS // 4) * count
         last = few_left or turn == ROUNDS or turn > 1 and left > (1 - PROGRESS) * before
         before = left
         if left:
-            others = lists.join(main.select("s", "main"), "s")
+            others = lists.join(few(main.select("s", "main"), shingles), "s")
             if last:
                 minor = others.where("g != main").select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "g")))
                 pairs = hopeful(others.join(minor, "s").where("g != g1 and (g = main or node < node1)"))
@@ -369,6 +380,6 @@ def similar_groups(rows: DataFrame, key: str, text_col: str = "text", similarity
         forget(spark, lists_path, main_path)
         if last:
             break
-    member = nodes.join(components(edges), "node", "left").select("first", F.coalesce("component", "node").alias("c"))
+    member = nodes.join(few(components(edges)), "node", "left").select("first", F.coalesce("component", "node").alias("c"))
     groups = member.groupBy("c").agg(F.min("first").alias("group"))
     return member.join(groups, "c").select("first", "group")

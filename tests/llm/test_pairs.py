@@ -78,6 +78,22 @@ def test_links_equal_brute_force(spark):
     assert same(lambda i: parts.get(i, i)) == same(slow.get)
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """Spark takes an exploded table for as small as the one before: 34 anchors for each fingerprint, a row for each shingle."""
+    nodes = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    postings = spark.range(3000).select(F.col("id").alias("node"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.col("id") % 1000 * 40 + k)).alias("s"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        for found in (simhash.links(nodes), simhash.held_by_several(postings)):
+            rows = found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert len(rows) == 120_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     parts = {x["node"]: x["component"] for x in simhash.components(edges).collect()}
