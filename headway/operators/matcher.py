@@ -1,10 +1,10 @@
 """Stops matched to the shapes of their trips, by place and by the feed's own distances.
 
-Every distance depends on the shape and the stop alone, so for each visited (shape, stop) the
-candidate places are found once, by a NumPy helper over a shape and some of its stops. Trips of a
-shape with one list of (stop, distance) are one pattern, reported with its first trip. Stops that
-are too far or have too many candidates are then known by a join; only patterns whose stops all
-have candidates are searched for the cheapest assignment with ascending places along the shape.
+Trips of a shape with one list of (stop, distance) are one pattern, reported with its first trip.
+Patterns are dealt into parts of a shape, each with a copy of the shape and with its stops. Every
+distance depends on the shape and the stop alone, so a NumPy helper finds the candidate places once
+for each stop of a part. Only patterns whose stops all have candidates are searched for the cheapest
+assignment with ascending places along the shape. No candidate leaves the worker but in a problem.
 
 A second pass places stops by `shape_dist_traveled`, for patterns whose last stop and whose shape
 have it. A stop that has none is placed by candidates there too.
@@ -15,11 +15,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from ..feed import Feed, first_rows
 from ..functions.geo import RADIUS
 from ..notices import notices
-from ..shared import written
+from ..shared import forget, shuffles_dropped, written
 from .distances import stop_coordinates
 
 FEED = "feed_id"
@@ -36,8 +35,10 @@ NEAR_M, RAIL_ENDS, TOO_MANY = 100.0, 4.0, 20
 RAIL = 2
 TOO_FAR, TOO_FAR_USER = "stop_too_far_from_shape", "stop_too_far_from_shape_using_user_distance"
 TOO_MANY_MATCHES, OUT_OF_ORDER = "stop_has_too_many_matches_for_shape", "stops_match_shape_out_of_order"
-#: Stops or patterns of a shape in a part of the work, at least; stops compared with a shape at once.
+#: Stops of a shape in a part of the work, at least; stops compared with a shape at once.
 PART, BLOCK = 2_048, 1_024
+#: Stops of patterns in a part for each point of the shape, at least; in a task, about; shapes whose ids are broadcast, at most.
+STEPS_A_POINT, TASK_STEPS, FEW_SHAPES = 2, 500_000, 100_000
 #: Children of a node of a shape's tree; radians by which bounds are wider, and so beyond the error of arccos near 0.
 WIDE, SLACK, SLACK_NEAR = 8, 1e-9, 1e-7
 #: Nodes whose children are looked at in one go, and arcs found for a block of stops beyond which it is halved.
@@ -296,11 +297,6 @@ def along_arcs(shape: Shape, at: np.ndarray, t: np.ndarray) -> tuple[np.ndarray,
     return place, shape.along[at] + t * (shape.along[after] - shape.along[at])
 
 
-def numbers(values) -> np.ndarray:
-    """A list cell as floats; its nulls are NaN."""
-    return np.asarray(values, dtype=float)
-
-
 PLACE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("along", "m", "lat", "lon")])
 PLACE_ARROW = pa.struct([(c, pa.float64()) for c in PLACE.names])
 FOUND = T.ArrayType(T.StructType(
@@ -329,23 +325,6 @@ def found_udf(lats: pa.Array, lons: pa.Array, user: pa.Array, ids: pa.Array, sla
     return pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes)], pa.int32()), pa.concat_arrays([x.cast(kind) for x in out]) if out else pa.array([], kind))
 
 
-@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("choice", T.IntegerType())]))
-def order_udf(counts: pd.Series, along: pd.Series, metres: pd.Series) -> pd.DataFrame:
-    """Where the assignment of a pattern's candidates fails, or -1, and the choice for the stop before; counts: candidates of each stop."""
-    out = []
-    for n, al, me in zip(counts, along, metres, strict=True):
-        both = iter(zip(al.tolist(), me.tolist(), strict=True))
-        at, path = assign([list(islice(both, int(k))) for k in n])
-        out.append((at, path[-1] if path else -1))
-    return pd.DataFrame(out, columns=["at", "choice"])
-
-
-PROBLEMS = T.ArrayType(T.StructType(
-    [T.StructField("p", T.IntegerType()), T.StructField("code", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]
-    + [T.StructField("place", PLACE), T.StructField("before", PLACE)]
-))
-
-
 def second_pass(choices: list[list[dict] | None], limits, nearest) -> list[tuple]:
     """Problems (code, stop, count, place, place before) of a pattern; choices: places, one for a stop with a distance."""
     out: list[tuple] = []
@@ -362,68 +341,169 @@ def second_pass(choices: list[list[dict] | None], limits, nearest) -> list[tuple
     return out + [(TOO_FAR_USER, k, 0, c, None) for k, c in enumerate(chosen) if c["m"] > NEAR_M]  # rail or not
 
 
-@F.pandas_udf(PROBLEMS)
-def user_udf(
-    lats: pd.Series, lons: pd.Series, user: pd.Series, sizes: pd.Series, d: pd.Series, slats: pd.Series, slons: pd.Series, limits: pd.Series,
-    near_m: pd.Series, near_lat: pd.Series, near_lon: pd.Series, counts: pd.Series, along: pd.Series, m: pd.Series, lat: pd.Series, lon: pd.Series,
-) -> pd.Series:
-    """The second pass, over some patterns of a shape. sizes: stops of each pattern; then an item for each stop, and for each candidate."""
-    out = []
+#: Problems of a part: pattern, stop in the part, pass, code, number of candidates, place (metres, lat, lon) and place of the stop before (lat, lon).
+Problem = tuple[int, int, int, str, int, tuple[float, float, float], tuple[float, float] | None]
+
+
+def out_of_order(along: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, each from one of starts: which lists fall somewhere, and where first, as a place in along."""
+    falls = np.concatenate(([False], along[1:] < along[:-1]))
+    falls[starts] = False
+    at = np.flatnonzero(falls)
+    lists, first = np.unique(np.searchsorted(starts, at, side="right") - 1, return_index=True)
+    return lists, at[first]
+
+
+def part_problems(shape: Shape, measured: bool, sizes: np.ndarray, rail: np.ndarray, d: np.ndarray, stop: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[Problem]:
+    """Problems of some patterns of a shape; sizes: stops of each pattern; stop: a number for each place (of stops), lat and lon."""
+    ends = np.cumsum(sizes)
+    starts, of = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    k = np.arange(len(of))
+    large = rail[of] & ((k == starts[of]) | (k == ends[of] - 1))
+    limit = np.where(large, NEAR_M * RAIL_ENDS, NEAR_M)
+    p = vectors(lat, lon)
+    _, first, own = np.unique(stop * 2 + large, return_index=True, return_inverse=True)
+    found = find(shape, p[first], limit[first])
+    n, nearest = found.n[own], found.nearest[own]
+    upto = np.cumsum(found.n)[own]
+    at = upto - n
+    out: list[Problem] = []
+
+    def closest(i: int) -> tuple[float, float, float]:
+        """The place nearest to a stop, the first of equals."""
+        c = at[i] + int(np.argmin(found.metres[at[i] : upto[i]]))
+        return found.metres[c], found.lat[c], found.lon[c]
+
+    # the first pass: too far, too many, and out of order where every stop has a candidate
+    out += [(of[i], i, 0, TOO_FAR, 0, tuple(nearest[i]), None) for i in np.flatnonzero((n == 0) & (nearest[:, 0] > limit)).tolist()]
+    out += [(of[i], i, 0, TOO_MANY_MATCHES, n[i], closest(i), None) for i in np.flatnonzero(n > TOO_MANY).tolist()]
+    for x in np.flatnonzero(np.minimum.reduceat(n, starts) > 0).tolist():
+        a, b = starts[x], ends[x]
+        fails, path = assign([list(zip(found.along[at[i] : upto[i]].tolist(), found.metres[at[i] : upto[i]].tolist(), strict=True)) for i in range(a, b)])
+        if fails >= 0:
+            c = at[a + fails - 1] + path[-1]
+            out.append((x, a + fails, 0, OUT_OF_ORDER, 0, closest(a + fails), (found.lat[c], found.lon[c])))
+    if not measured:
+        return out
+
+    # the second pass: patterns whose last stop has a distance, on shapes that have some
+    asked = d[ends - 1] > 0
+    where = [w for x in np.flatnonzero(asked).tolist() for w in by_user_distance(shape, d[starts[x] : ends[x]].tolist())]
+    steps = np.flatnonzero(asked[of])
+    placed = np.array([w is not None for w in where], bool)
+    place, far = along_arcs(shape, np.array([w[0] for w in where if w], int), np.array([w[1] for w in where if w], float))
+    there = np.full((4, len(of)), np.nan)  # along the shape, metres from it, lat, lon
+    there[:, steps[placed]] = far, angle_m(p[steps[placed]], place), *degrees(place)
+    whole = asked & np.logical_and.reduceat(~np.isnan(there[0]), starts)
+    # patterns whose stops all have a distance have one choice for each
+    some = np.flatnonzero(whole[of])
+    fallen, fails = out_of_order(there[0][some], np.searchsorted(some, starts[whole]))
+    bad = np.flatnonzero(whole)[fallen]
+    told = lambda i: (there[1, i], there[2, i], there[3, i])
+    out += [(x, i, 1, OUT_OF_ORDER, 0, told(i), told(i - 1)[1:]) for x, i in zip(bad.tolist(), some[fails].tolist(), strict=True)]
+    whole_and_right = whole.copy()
+    whole_and_right[bad] = False
+    out += [(of[i], i, 1, TOO_FAR_USER, 0, told(i), None) for i in np.flatnonzero(whole_and_right[of] & (there[1] > NEAR_M)).tolist()]  # rail or not
     names = ("along", "m", "lat", "lon")
-    columns = (lats, lons, user, sizes, d, slats, slons, limits, near_m, near_lat, near_lon, counts, along, m, lat, lon)
-    for la, lo, u, size, dist, sa, so, lim, nm, na, no, count, *places in zip(*columns, strict=True):
-        shape = Shape(numbers(la), numbers(lo), numbers(u))
-        ends = np.cumsum(size).tolist()
-        spans = list(zip([0, *ends], ends, strict=False))
-        where = [w for a, b in spans for w in by_user_distance(shape, dist[a:b].tolist())]
-        placed = np.array([k for k, w in enumerate(where) if w], int)
-        place, far = along_arcs(shape, np.array([where[k][0] for k in placed], int), np.array([where[k][1] for k in placed], float))
-        metres = angle_m(vectors(sa[placed], so[placed]), place)
-        own = {k: [dict(zip(names, x, strict=True))] for k, *x in zip(placed.tolist(), far.tolist(), metres.tolist(), *(c.tolist() for c in degrees(place)), strict=True)}
-        rest = iter(zip(*(c.tolist() for c in places), strict=True))
-        for k, n in enumerate(count.tolist()):
-            if n:
-                own[k] = [dict(zip(names, x, strict=True)) for x in islice(rest, n)]
-        nearest = [dict(zip(names, (0.0, *x), strict=True)) for x in zip(nm.tolist(), na.tolist(), no.tolist(), strict=True)]
-        found = []
-        for p, (a, b) in enumerate(spans):
-            problems = second_pass([own.get(k) for k in range(a, b)], lim[a:b], nearest[a:b])
-            found += [dict(zip(("p", "code", "at", "n", "place", "before"), (p, *x), strict=True)) for x in problems]
-        out.append(found)
-    return pd.Series(out)
-
-
-def patterns(feed: Feed) -> DataFrame:
-    """Distinct (shape_id, steps) with the first trip of each: trip_row, trip_id, rail (null where its route is unknown).
-
-    A step is (k, row, stop_id, d): unset ids are empty and unset distances 0. A trip without a
-    shape belongs to a shape whose id is empty.
+    for x in np.flatnonzero(asked & ~whole).tolist():
+        choices, near = [], []
+        for i in range(starts[x], ends[x]):
+            columns = there[:, [i]] if d[i] > 0 else [c[at[i] : upto[i]] for c in (found.along, found.metres, found.lat, found.lon)]
+            choices.append([dict(zip(names, c, strict=True)) for c in zip(*columns, strict=True)])
+            near.append(dict(zip(names, (0.0, *nearest[i]), strict=True)))
+        for code, i, count, spot, before in second_pass(choices, limit[starts[x] : ends[x]], near):
+            out.append((x, starts[x] + i, 1, code, count, (spot["m"], spot["lat"], spot["lon"]), before and (before["lat"], before["lon"])))
+    return out
+
+
+TOLD = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (FEED, "shape_id", "trip_id", "code", "stop1", "name1", "stop2", "name2")]
+    + [T.StructField(c, T.LongType()) for c in ("trip_row", "pass", "at", "n", "row1", "row2")] + [T.StructField(c, T.DoubleType()) for c in ("m", "lat", "lon", "lat2", "lon2")]
+)
+TOLD_KINDS = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+
+
+def told_of(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The problems of part k of a batch, with all that a notice says; of those that are told once for a stop, the first in the part."""
+    cell = lambda name: batch.column(name)[k].values
+    floats = lambda x: x.to_numpy(zero_copy_only=False).astype(float)  # noqa: E731  nulls are NaN
+    trip_row, trip_id, rail, rows, stops, d = cell("items").flatten()
+    sizes = pc.list_value_length(stops).to_numpy()
+    stops, rows = stops.flatten(), rows.flatten()
+    user = floats(cell("user"))
+    none = not batch.column("spots")[k].is_valid
+    ids, lats, lons, names = [pa.array([], t) for t in (stops.type, pa.float64(), pa.float64(), pa.string())] if none else cell("spots").flatten()
+    # a stop that isn't among the stops, or whose place can't be found, lies at (0, 0)
+    known = pc.index_in(stops, value_set=ids)
+    at = lambda x: np.nan_to_num(floats(pc.take(x, known)))
+    spot = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+    shape = Shape(floats(cell("lats")), floats(cell("lons")), user)
+    found = part_problems(shape, bool((~(user <= 0)).any()), sizes, rail.to_numpy(zero_copy_only=False).astype(bool), d.flatten().to_numpy(), spot, at(lats), at(lons))
+    own = stops.dictionary_encode()
+    coded, firsts = own.indices.to_numpy(), trip_row.to_numpy()
+    first: dict[int, tuple] = {}
+    kept = []
+    for x in found:
+        if x[3] not in (TOO_FAR, TOO_FAR_USER):
+            kept.append(x)
+            continue
+        key = (firsts[x[0]], x[2], x[1])
+        code = coded[x[1]]
+        if code not in first or key < first[code][0]:
+            first[code] = (key, x)
+    kept += [x for _, x in first.values()]
+    pattern, step, turn, code, n, place, before = zip(*kept, strict=True) if kept else [()] * 7
+    starts = np.cumsum(sizes) - sizes
+    pattern, step = np.array(pattern, np.int64), np.array(step, np.int64)
+    late = pa.array([s - 1 if c == OUT_OF_ORDER else None for s, c in zip(step.tolist(), code, strict=True)], pa.int64())
+    name = lambda i: pc.fill_null(pc.take(names, pc.take(known, i)), "")
+    columns = {
+        FEED: pa.array([batch.column(FEED)[k].as_py()] * len(kept), pa.string()), "shape_id": pa.array([batch.column("shape_id")[k].as_py()] * len(kept), pa.string()),
+        "trip_id": trip_id.take(pa.array(pattern)), "code": pa.array(code, pa.string()), "stop1": stops.take(pa.array(step)), "name1": name(pa.array(step)),
+        "stop2": pc.take(stops, late), "name2": name(late), "trip_row": trip_row.take(pa.array(pattern)), "pass": pa.array(turn, pa.int64()), "at": pa.array(step - starts[pattern]),
+        "n": pa.array([int(x) for x in n], pa.int64()), "row1": rows.take(pa.array(step)), "row2": pc.take(rows, late),
+        **{c: pa.array([x[i] for x in place], pa.float64()) for i, c in enumerate(("m", "lat", "lon"))},
+        **{c: pa.array([x and x[i] for x in before], pa.float64()) for i, c in enumerate(("lat2", "lon2"))},
+    }
+    out = pa.RecordBatch.from_arrays([columns[f.name].cast(TOLD_KINDS[f.dataType]) for f in TOLD], TOLD.names)
+    return out.filter(pc.not_equal(out.column("stop1"), ""))
+
+
+def told_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield told_of(batch, k)
+
+
+def patterns(feed: Feed, shapes: DataFrame) -> DataFrame:
+    """Distinct patterns of shapes with the first trip of each: feed_id, shape_id, trip_row, trip_id, rail, rows, stops, d.
+
+    rows, stops and d are lists, with the stop times in order: unset ids are empty and unset distances 0. Patterns of shapes
+    that aren't there, or whose first trip's route is unknown, are left out. What makes a pattern is dealt once, as its key. The trips'
+    lists are written before, so what was shuffled for them goes before they are dealt by pattern.
     """
     kinds = first_rows(feed["routes"].where("route_id is not null").select(FEED, "route_id", "route_type", "_row_number"), "route_id")
     kinds = kinds.select(FEED, "route_id", (F.coalesce("route_type", F.lit(-1)) == RAIL).alias("rail"))
-    trips = feed["trips"].where("trip_id is not null").select(FEED, "trip_id", F.coalesce("shape_id", F.lit("")).alias("shape_id"), "route_id", F.col("_row_number").alias("trip_row"))
+    trips = feed["trips"].where("trip_id is not null").select(FEED, "trip_id", "shape_id", "route_id", F.col("_row_number").alias("trip_row"))
+    trips = trips.join(few(shapes.select(FEED, "shape_id")), [FEED, "shape_id"], "left_semi")
     step = F.struct(
         F.coalesce("stop_sequence", F.lit(0)).alias("k"), F.col("_row_number").alias("row"), F.coalesce("stop_id", F.lit("")).alias("stop_id"),
         F.coalesce("shape_dist_traveled", F.lit(0.0)).alias("d"),
     )
     lists = feed["stop_times"].where("trip_id is not null").groupBy(FEED, "trip_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    same = F.transform("steps", lambda s: F.struct(s["stop_id"], s["d"]))
-    first = F.min_by(F.struct("trip_row", "trip_id", "route_id", "steps"), "trip_row").alias("t")
-    grouped = trips.join(lists, [FEED, "trip_id"]).groupBy(FEED, "shape_id", same.alias("same")).agg(first).select(FEED, "shape_id", "t.*")
-    return grouped.join(kinds, [FEED, "route_id"], "left").drop("route_id")
-
+    lists = lists.select(FEED, "trip_id", F.col("steps.row").alias("rows"), F.col("steps.stop_id").alias("stops"), F.col("steps.d").alias("d"))
+    first = F.min_by(F.struct("trip_row", "trip_id", "route_id", "rows"), "trip_row").alias("t")
+    lists = written(trips.join(lists, [FEED, "trip_id"]), "lists")
+    grouped = lists.groupBy(FEED, "shape_id", "stops", "d").agg(first)
+    grouped = grouped.select(FEED, "shape_id", "t.trip_row", "t.trip_id", "t.route_id", "t.rows", "stops", "d")
+    found = written(grouped.join(kinds, [FEED, "route_id"]).select(FEED, "shape_id", "trip_row", "trip_id", "rail", "rows", "stops", "d"), "patterns")
+    forget(lists)
+    return found
 
-def visits(feed: Feed, shapes: DataFrame) -> DataFrame:
-    """The patterns' steps as rows: feed_id, shape_id, trip_row, trip_id, at, n, row, stop_id, d, lat, lon, large.
 
-    Patterns of shapes that aren't there, or whose first trip's route is unknown, are left out. A
-    stop whose place can't be found lies at (0, 0).
-    """
-    known = patterns(feed).where("rail is not null").join(shapes.select(FEED, "shape_id"), [FEED, "shape_id"], "left_semi")
-    each = known.select(FEED, "shape_id", "trip_row", "trip_id", "rail", F.size("steps").alias("n"), F.posexplode("steps").alias("at", "s"))
-    ends = F.col("rail") & ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1))
-    rows = each.select(FEED, "shape_id", "trip_row", "trip_id", "at", "n", "s.row", "s.stop_id", "s.d", ends.alias("large"))
-    return rows.join(stop_coordinates(feed), [FEED, "stop_id"], "left").na.fill(0.0, ["lat", "lon"])
+def few(df: DataFrame) -> DataFrame:
+    """A table of shapes for a join, broadcast while it has at most FEW_SHAPES rows; it must be cheap to count."""
+    return F.broadcast(df) if df.count() <= FEW_SHAPES else df
 
 
 def shape_arrays(feed: Feed) -> DataFrame:
@@ -434,17 +514,17 @@ def shape_arrays(feed: Feed) -> DataFrame:
     return shapes.select(FEED, "shape_id", F.col("p.shape_pt_lat").alias("lats"), F.col("p.shape_pt_lon").alias("lons"), F.col("p.d").alias("user"))
 
 
-def dealt(df: DataFrame, item: Column, shapes: DataFrame, share: int, *order: str) -> DataFrame:
+def dealt(df: DataFrame, item: Column, shapes: DataFrame, *order: str) -> DataFrame:
     """Rows of a shape in parts, by a hash, each with the shape: feed_id, shape_id, part, items (a list of item), lats, lons, user.
 
-    A part has about as many rows as the shape has points over `share`, PART at least, so the copies
+    A part has about as many rows as the shape has points, PART at least, so the copies
     of shapes grow with the rows. Parts go to a fixed number of tasks: their work is in Python and
     not in bytes.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = [FEED, "shape_id"]
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    most = F.greatest(F.lit(PART), F.size("lats") / share)
+    most = F.greatest(F.lit(PART), F.size("lats"))
     parts = shapes.join(counts, key).select(*key, F.ceil(F.col("_n") / most).alias("_parts"), "lats", "lons", "user")
     rows = df.join(parts.select(*key, "_parts"), key).withColumn("part", F.pmod(F.xxhash64(*order), "_parts"))
     groups = rows.repartition(tasks, *key, "part").groupBy(*key, "part").agg(F.collect_list(item).alias("items"))
@@ -455,7 +535,7 @@ def dealt(df: DataFrame, item: Column, shapes: DataFrame, share: int, *order: st
 def candidates(feed: Feed, rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """The candidates of each visited (feed_id, shape_id, stop_id, large): places, and nearest where there are none."""
     pairs = rows.select(FEED, "shape_id", "stop_id", "lat", "lon", "large").distinct()
-    work = dealt(pairs, F.struct("stop_id", "lat", "lon", "large"), shapes, 1, "stop_id")
+    work = dealt(pairs, F.struct("stop_id", "lat", "lon", "large"), shapes, "stop_id")
     found = found_udf("lats", "lons", "user", "items.stop_id", "items.lat", "items.lon", "items.large")
     return work.select(FEED, "shape_id", F.explode(found).alias("f")).select(FEED, "shape_id", "f.*")
 
@@ -480,87 +560,82 @@ def closest_shape_point(feed: Feed) -> DataFrame:
     return shape_candidates(feed).select(FEED, "shape_id", "stop_id", F.round("nearest_m", 2).alias("distance_m"))
 
 
-def closest(places: Column) -> Column:
-    """The place nearest to the stop, the first of equals."""
-    return F.aggregate(places, F.lit(None).cast(PLACE), lambda best, p: F.when(best.isNull() | (p["m"] < best["m"]), p).otherwise(best))
+#: Decimal places that notices tell.
+DIGITS = {"m": 2, "lat": 6, "lon": 6, "lat2": 6, "lon2": 6}
 
 
-def stop_to_shape(feed: Feed) -> DataFrame:
-    """Stops too far from their trip's shape, matched too often, or out of order.
+def scaled(name: str, digits: int) -> Column:
+    """A number as it is told, as a whole number of its last decimal place; divided again it is the same double, and as whole it packs well."""
+    return F.round(F.round(name, digits) * 10**digits).cast("int")
 
-    A stop too far from a shape, by place or by user distance, is reported once for the shape,
-    with the first trip; the other problems for each pattern and pass, with its first trip. Steps
-    without a stop id count in a pattern and are never reported. The visits, and the patterns with
-    their candidates, are written once, as several parts of the plan read them.
+
+def part_counts(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """feed_id, shape_id, steps, parts (stored): the stops in a shape's patterns, and in how many parts these are dealt.
+
+    A part has about STEPS_A_POINT stops for each point of the shape, PART at least, so the copies of shapes grow with the stops.
     """
-    shapes = shape_arrays(feed)
-    rows = written(visits(feed, shapes), "visits")
-    key = [FEED, "shape_id", "trip_row", "trip_id"]
-    none = F.lit(None).cast(PLACE)
-    limit = F.when(F.col("large"), NEAR_M * RAIL_ENDS).otherwise(NEAR_M)
-    step = F.struct("at", "row", "stop_id", "d", "lat", "lon", "places", "nearest", limit.alias("limit"))
-    steps = rows.join(candidates(feed, rows, shapes), [FEED, "shape_id", "stop_id", "large"])
-    whole = written(steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps")), "patterns")
+    key = [FEED, "shape_id"]
+    points = shapes.select(*key, F.size("lats").alias("points"))
+    counts = points.join(rows.groupBy(*key).agg(F.sum(F.size("stops")).alias("steps")), key)
+    return written(counts.select(*key, "steps", F.ceil(F.col("steps") / F.greatest(F.lit(PART), F.col("points") * STEPS_A_POINT)).alias("parts")), "parts")
 
-    # the first pass: too far, too many, and out of order where every stop has a candidate
-    problem = lambda number, code, at, n, place, before: F.struct(
-        F.lit(number).alias("pass"), F.lit(code).alias("code"), at.cast("int").alias("at"), n.cast("int").alias("n"), place.alias("place"), before.alias("before"))
-    far = F.transform(
-        F.filter("steps", lambda s: (F.size(s["places"]) == 0) & (s["nearest"]["m"] > s["limit"])), lambda s: problem(0, TOO_FAR, s["at"], F.lit(0), s["nearest"], none))
-    many = F.transform(
-        F.filter("steps", lambda s: F.size(s["places"]) > TOO_MANY), lambda s: problem(0, TOO_MANY_MATCHES, s["at"], F.size(s["places"]), closest(s["places"]), none))
-    placed = F.when(F.forall("steps", lambda s: F.size(s["places"]) > 0), F.col("steps")).otherwise(F.slice("steps", 1, 0))
-    flat = F.flatten(placed["places"])
-    fail, at = F.col("fail.at"), lambda i: F.get("steps", i)
-    out = F.when(fail >= 0, F.array(problem(0, OUT_OF_ORDER, fail, F.lit(0), closest(at(fail)["places"]), F.get(at(fail - 1)["places"], F.col("fail.choice"))))).otherwise(F.array())
-    first = whole.withColumn("fail", order_udf(F.transform(placed, lambda s: F.size(s["places"])), flat["along"], flat["m"]))
-    first = first.select(*key, "steps", F.explode(F.concat(far, many, out)).alias("f"))
 
-    # the second pass: patterns whose last stop has a distance, on shapes that have some
-    measured = shapes.where(F.array_max("user") > 0)
-    last = F.get("steps", F.size("steps") - 1)
-    with_distance = whole.where(last["d"] > 0).join(measured.select(FEED, "shape_id"), [FEED, "shape_id"], "left_semi")
-    work = dealt(with_distance, F.struct("trip_row", "trip_id", "steps"), measured, 16, "trip_row")
-    each = F.flatten(F.col("items.steps"))
-    near = lambda name: F.transform(each, lambda s: F.coalesce(s["nearest"][name], F.lit(0.0)))
-    asked = F.transform(each, lambda s: F.when(s["d"] > 0, F.slice(s["places"], 1, 0)).otherwise(s["places"]))
-    places = F.flatten(asked)
-    second = user_udf(
-        "lats", "lons", "user", F.transform("items.steps", F.size), each["d"], each["lat"], each["lon"], each["limit"], near("m"), near("lat"), near("lon"),
-        F.transform(asked, F.size), *(places[c] for c in ("along", "m", "lat", "lon")),
-    )
-    # each problem takes its own pattern along, not the whole part
-    told = F.transform(second, lambda f: F.struct(F.get("items", f["p"]).alias("t"), f.alias("f")))
-    second = work.select(FEED, "shape_id", F.explode(told).alias("x"))
-    second = second.select(
-        FEED, "shape_id", "x.t.trip_row", "x.t.trip_id", "x.t.steps",
-        F.struct(F.lit(1).alias("pass"), "x.f.code", "x.f.at", "x.f.n", "x.f.place", "x.f.before").alias("f"),
-    )
+def parts_of(rows: DataFrame, shapes: DataFrame, counts: DataFrame, spots: DataFrame) -> DataFrame:
+    """Patterns in parts of a shape, by a hash: feed_id, shape_id, items (patterns), spots (their stops, null if none is known), lats, lons, user.
 
-    side = lambda i, n: F.struct(at(i)["row"].alias("row"), at(i)["stop_id"].alias("stop_id")).alias(f"s{n}")
-    found = first.unionByName(second).select(*key, "f.*", side(F.col("f.at"), 1), side(F.col("f.at") - 1, 2)).where("s1.stop_id <> ''")
-    # of a trip, the first pass comes first; then stops in order
-    is_far = F.col("code").isin(TOO_FAR, TOO_FAR_USER)
-    told = F.struct("trip_row", "trip_id", "code", "n", "place", "before", "s1", "s2")
-    once = found.where(is_far).groupBy(FEED, "shape_id", "s1.stop_id").agg(F.min_by(told, F.struct("trip_row", "pass", "at")).alias("x"))
-    rest = found.where(~is_far).select(FEED, "shape_id", told.alias("x"))
-    return told_notices(once.select(FEED, "shape_id", "x").unionByName(rest).select(FEED, "shape_id", "x.*"), feed)
+    rows, shapes and counts are stored. Patterns and stops are each shuffled once to their parts.
+    """
+    key = [FEED, "shape_id"]
+    steps = counts.agg(F.sum("steps")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-steps // TASK_STEPS))
+    rows = rows.join(few(counts.select(*key, "parts")), key).withColumn("part", F.pmod(F.xxhash64("trip_row"), "parts"))
+    # dealt by stop, rows of a stop and part meet before the stop's place is joined
+    asked = rows.select(*key, "part", F.explode(F.array_distinct("stops")).alias("stop_id")).where("stop_id <> ''")
+    asked = asked.repartition(tasks, FEED, "stop_id").distinct()
+    listed = lambda df, item, name: df.repartition(tasks, *key, "part").groupBy(*key, "part").agg(F.collect_list(item).alias(name))
+    items = listed(rows, F.struct("trip_row", "trip_id", "rail", "rows", "stops", "d"), "items")
+    places = listed(asked.join(spots, [FEED, "stop_id"]), F.struct("stop_id", "lat", "lon", "name"), "spots")
+    copies = shapes.join(few(counts.select(*key, "parts")), key).select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "lats", "lons", "user")
+    # none is broadcast, however few rows Spark expects: a row is a whole part
+    return items.join(places.hint("merge"), [*key, "part"], "left").join(copies.hint("merge"), [*key, "part"])
 
 
-def told_notices(told: DataFrame, feed: Feed) -> DataFrame:
+def stop_to_shape(feed: Feed) -> DataFrame:
+    """Stops too far from their trip's shape, matched too often, or out of order.
+
+    A stop too far from a shape, by place or by user distance, is reported once for the shape,
+    with the first trip; the other problems for each pattern and pass, with its first trip. Steps
+    without a stop id count in a pattern and are never reported. Each step is written before the
+    next, and what it read or shuffled goes then: lists of trips, patterns, problems. The problems stay.
+    """
+    with shuffles_dropped(feed.spark):
+        shapes = written(shape_arrays(feed), "shapes")
+        rows = patterns(feed, shapes)
+        names = first_rows(feed["stops"].where("stop_id is not null").select(FEED, "stop_id", "stop_name", "_row_number"), "stop_id")
+        spots = stop_coordinates(feed).join(names.select(FEED, "stop_id", F.col("stop_name").alias("name")), [FEED, "stop_id"])
+        counts = part_counts(rows, shapes)
+        work = parts_of(rows, shapes, counts, spots)
+        told = work.select(FEED, "shape_id", "items", "spots", "lats", "lons", "user").mapInArrow(told_by_part, TOLD)
+        told = written(told.withColumns({c: scaled(c, digits) for c, digits in DIGITS.items()}), "problems")
+        forget(shapes, rows, counts)
+    # of a trip, the first pass comes first; then stops in order. What isn't told once for a stop stands for itself
+    itself = F.when(~F.col("code").isin(TOO_FAR, TOO_FAR_USER), F.struct("trip_row", "pass", "at", "code")).alias("itself")
+    rest = [c for c in TOLD.names if c not in (FEED, "shape_id", "stop1", "pass", "at")]
+    once = told.groupBy(FEED, "shape_id", "stop1", itself).agg(F.min_by(F.struct(*rest), F.struct("trip_row", "pass", "at")).alias("x"))
+    return told_notices(once.select(FEED, "shape_id", "stop1", "x.*").withColumns({c: F.col(c) / 10**digits for c, digits in DIGITS.items()}))
+
+
+def told_notices(told: DataFrame) -> DataFrame:
     """Problems as notices: whole contexts, with both stops where they are out of order."""
-    names = first_rows(feed["stops"].where("stop_id is not null").select(FEED, "stop_id", "stop_name", "_row_number"), "stop_id")
-    named = lambda n: names.select(FEED, F.col("stop_id").alias(f"stop{n}"), F.coalesce("stop_name", F.lit("")).alias(f"name{n}"))
-    told = told.withColumns({"stop1": F.col("s1.stop_id"), "stop2": F.when(F.col("code") == OUT_OF_ORDER, F.col("s2.stop_id"))})
-    told = told.join(named(1), [FEED, "stop1"], "left").join(named(2), [FEED, "stop2"], "left")
-    spot = lambda p: F.concat_ws(",", F.round(p["lat"], 6), F.round(p["lon"], 6))
-    stop = lambda n, place: {
-        "stopTimeCsvRowNumber": F.col(f"s{n}.row"), "stopId": F.col(f"stop{n}"), "stopName": F.coalesce(f"name{n}", F.lit("")), "match": spot(F.col(place))}
+    spot = lambda lat, lon: F.concat_ws(",", lat, lon)
+    stop = lambda n, match: {
+        "stopTimeCsvRowNumber": F.col(f"row{n}"), "stopId": F.col(f"stop{n}"), "stopName": F.col(f"name{n}"), "match": match}
     shared = {"tripCsvRowNumber": F.col("trip_row"), "shapeId": F.col("shape_id"), "tripId": F.col("trip_id")}
-    both = {f"{k}{n}": F.when(F.col("code") == OUT_OF_ORDER, v) for n, place in ((1, "place"), (2, "before")) for k, v in stop(n, place).items()}
-    one = {k: F.when(F.col("code") != OUT_OF_ORDER, v) for k, v in stop(1, "place").items()}
+    places = {1: spot("lat", "lon"), 2: spot("lat2", "lon2")}
+    both = {f"{k}{n}": F.when(F.col("code") == OUT_OF_ORDER, v) for n, match in places.items() for k, v in stop(n, match).items()}
+    one = {k: F.when(F.col("code") != OUT_OF_ORDER, v) for k, v in stop(1, places[1]).items()}
     last = {
         "matchCount": F.when(F.col("code") == TOO_MANY_MATCHES, F.col("n")),
-        "geoDistanceToShape": F.when(F.col("code").isin(TOO_FAR, TOO_FAR_USER), F.round("place.m", 2)),
+        "geoDistanceToShape": F.when(F.col("code").isin(TOO_FAR, TOO_FAR_USER), F.col("m")),
     }
     return notices(told, F.col("code"), "WARNING", "trips.txt", "trip_row", **shared, **one, **both, **last)

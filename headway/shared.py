@@ -41,6 +41,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of frames that `written` gave, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a written or counted frame's shuffle files go as soon as that is done; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 @contextmanager
 def clustered(df: DataFrame, by: list[str], order: list[str], path: str) -> Iterator[DataFrame]:
     """df as a table bucketed by some columns and sorted within buckets, below path; the table's name goes at the end, its files stay.

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -193,6 +194,43 @@ def test_against_brute_force(spark, seed):
     assert {c for c, *_ in found} >= {"far"}
 
 
+def random_tables(seed):
+    shapes, stops, routes, trips, times = random_feed(random.Random(seed))
+    return dict(
+        shapes=[dict(shape_id=h, shape_pt_lat=a, shape_pt_lon=b, shape_pt_sequence=k, shape_dist_traveled=d) for h, rows in shapes.items() for k, (a, b, d) in enumerate(rows)],
+        stops=[dict(stop_id=s, stop_name=f"Name {s}", stop_lat=a, stop_lon=b) for s, (a, b) in stops.items()],
+        routes=[dict(route_id=k, route_type=v) for k, v in routes.items()],
+        trips=[dict(trip_id=t, route_id=r, shape_id=h) for t, r, h in trips],
+        stop_times=[dict(trip_id=t, stop_id=s, stop_sequence=k, shape_dist_traveled=d) for t, own in times.items() for k, (s, d) in enumerate(own)],
+    )
+
+
+def test_parts_tell_what_the_whole_tells(spark, monkeypatch):
+    """Patterns in parts of a stop or two, each part in a task of its own: the same notices, each once."""
+    f = feed(spark, **random_tables(29))
+    whole = codes(matcher.stop_to_shape(f))
+    monkeypatch.setattr(matcher, "PART", 1)
+    monkeypatch.setattr(matcher, "STEPS_A_POINT", 0)
+    monkeypatch.setattr(matcher, "TASK_STEPS", 10)
+    monkeypatch.setattr(matcher, "FEW_SHAPES", 0)
+    assert codes(matcher.stop_to_shape(f)) == whole and {c for c, *_ in whole} == set(NAMES)
+
+
+def test_little_stays_on_disk(spark):
+    """The problems alone stay, and are shuffled once for those told once; patterns and what was shuffled for them go before."""
+    from headway.shared import shared_folder
+
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder = shared_folder(spark).removeprefix("file:")
+    before, setting = set(os.listdir(folder)), spark.conf.get(cleanup, None)
+    found = matcher.stop_to_shape(feed(spark, **random_tables(5)))
+    found.collect()
+    assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["problems"]
+    assert spark.conf.get(cleanup, None) == setting
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan and plan.count("Aggregate") == 1
+
+
 def test_candidates_against_brute_force():
     r = random.Random(5)
     for _ in range(60):
